@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from . import language_id, line_runs, packing, shuffle_shards
+from . import chunked_bpe, html_crf, isolation, language_id, line_runs, packing, partenum, pii, shuffle_shards, vector_links
 
 QUERIES = {
     "op1_line_dedup": line_runs.op1,
+    "op2_quality_forest": isolation.op2,
+    "op3_personal_data": pii.op3,
     "op4_language_id": language_id.op4,
     "op5_sharding": shuffle_shards.op5,
+    "op6_chunked_bpe": chunked_bpe.op6,
+    "op7_vector_links": vector_links.op7,
+    "op8_html_text": html_crf.op8,
     "op9_packing": packing.op9,
+    "op10_jaccard_join": partenum.op10,
 }
 
 ORACLES = {
     "op1_line_dedup": line_runs.op1_sql(),
+    "op7_vector_links": vector_links.op7_sql(),
 }
