@@ -52,7 +52,7 @@ class WordEncoder:
     #: The vocabulary's own pattern of words.
     WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, name: str, most: int = 400_000):
+    def __init__(self, name: str, most: int = 300_000):
         import tiktoken
 
         model = json.load(open(vocabulary(name), encoding="utf-8"))
@@ -62,27 +62,23 @@ class WordEncoder:
             if token not in special:
                 end = token.endswith("</w>")
                 ranks[bytes(back[c] for c in (token[:-4] if end else token)) + b"\0" * end] = i
-        self.library, self.special, self.most, self.kept = library(name), special, most, {}
+        self.library, self.special, self.most, self.kept, self.old = library(name), special, most, {}, {}
         self.ranks = tiktoken.Encoding(name="words", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={})
 
-    def word(self, word: str) -> bytes:
-        """A white-space-free string's ids as little-endian unsigned 32-bit numbers."""
-        if not word.isascii() or "\0" in word or "<|" in word:
-            return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return np.array(self.ranks.encode_ordinary("\0".join(self.WORDS.findall(word.lower())) + "\0"), dtype="<u4").tobytes()
-
     def encode(self, text: str) -> bytes:
         """Words are split at \\x20 and \\n alone; other white space inside them is the library's affair."""
         words, kept = text.replace("\n", " ").split(" "), self.kept
-        try:
-            return b"".join([kept[w] for w in words])
-        except KeyError:
-            pass
-        if len(kept) > self.most:
-            kept.clear()
-        kept.setdefault("", b"")
-        new = [w for w in dict.fromkeys(words) if w not in kept]
-        plain = [w for w in new if "\0" not in w and "<|" not in w and (w.isascii() or (w.isalnum() and regular(w)))]
+        missing = set(words).difference(kept)
+        if not missing:
+            return b"".join(map(kept.__getitem__, words))
+        if len(kept) > self.most:  # what was used since the last turn stays for another one
+            self.old, self.kept = kept, {}
+            kept, missing = self.kept, set(words)
+        old = self.old
+        new = [w for w in missing if w not in old]
+        for w in missing.difference(new):
+            kept[w] = old[w]
+        plain = [w for w in new if REGULAR.fullmatch(w) and "<|" not in w]
         if plain:
             counts = [self.WORDS.findall(w.lower()) for w in plain]
             flat = self.ranks.encode_ordinary("\0".join(x for c in counts for x in c) + "\0") if any(counts) else []
@@ -94,10 +90,11 @@ class WordEncoder:
                 stop = int(stops[done - 1]) if done else 0
                 kept[w] = raw[at * 4 : stop * 4]
                 at = stop
+        done = set(plain)
         for w in new:
-            if w not in kept:
-                kept[w] = self.word(w) if w.isascii() else np.array(self.library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join([kept[w] for w in words])
+            if w not in done:
+                kept[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return b"".join(map(kept.__getitem__, words))
 
     def ends(self) -> np.ndarray:
         """Which ids end a word."""
@@ -108,11 +105,8 @@ class WordEncoder:
         return self._ends
 
 
-def regular(word: str) -> bool:
-    """Of letters and numbers that lower case and normal form leave alone, so that the ranks see what the library sees."""
-    import unicodedata
-
-    return unicodedata.is_normalized("NFC", word) and "İ" not in word and not any(c.isspace() for c in word)
+#: Visible Latin characters that normal form leaves alone and that each lower-case to one, so the ranks see what the library sees.
+REGULAR = regex.compile(r"[!-~\u00a1-\u012f\u0131-\u024f]+")
 
 
 @lru_cache(maxsize=2)
