@@ -30,6 +30,7 @@ WORDS, PERCENT = 5, 75
 NOTED_SHARE, NOTED_LEAST, WINDOW_DOCS = 0.0025, 64, 512
 STRONG_SEEDS, FULL_SEEDS = 2, 6
 FLUSH, BUCKET_SIGNATURES = 1_200_000, 1_500_000
+SKETCH_WORDS, ALL_PAIRS_UP_TO, BROADCAST_IDS = 32, 8, 1_000_000
 
 U = np.uint64
 BASE = 0xD1342543DE82EF95
@@ -87,6 +88,18 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """A parity sketch: each element flips one of its bits, so two sketches differ in no more bits than their sets in elements."""
+    bits = np.bincount((elements >> U(20)).astype(np.int64) & (64 * SKETCH_WORDS - 1), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view("<u8")
+
+
+def may_be_similar(na, nb, xa: np.ndarray, xb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """False only for pairs that sizes or sketches prove too different; sketches' words are the last axis."""
+    most = (na + nb) * (100 - percent) // (100 + percent)
+    return (np.bitwise_count(xa ^ xb).sum(axis=-1, dtype=np.int64) <= most) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+
+
 class Bands:
     """Size bands and their numbers of parts, for one similarity."""
 
@@ -155,7 +168,7 @@ def signatures(elements: np.ndarray, noted: np.ndarray, bands: Bands) -> np.ndar
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """kind 0: (doc_id, n, node) for each row; kind 1: (x, c), shingles found often in a window of documents."""
+    """kind 0: (doc_id, n, node, sketch) for each row; kind 1: (x, c), shingles found often in a window of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = [], set()
@@ -167,26 +180,27 @@ def sets_of(docs: DataFrame) -> DataFrame:
             held.clear()
             seen.clear()
             none = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), none, none, none, pa.array(x[often].astype(np.int64)), pa.array(c[often].astype(np.int64))], names=["kind", "doc_id", "n", "node", "x", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), none, none, none, pa.nulls(n, pa.binary()), pa.array(x[often].astype(np.int64)), pa.array(c[often].astype(np.int64))], names=["kind", "doc_id", "n", "node", "sketch", "x", "c"])
 
         for batch in batches:
-            ns, nodes = [], []
+            ns, nodes, sketches = [], [], []
             for text in texts_of(batch):
                 elements = shingles(text)
                 ns.append(len(elements))
+                sketches.append(sketch(elements).tobytes() if len(elements) else None)
                 nodes.append(node_of(elements) if len(elements) else None)
                 if len(elements) and nodes[-1] not in seen:
                     seen.add(nodes[-1])
                     held.append(elements)
             n = batch.num_rows
             none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), none, none], names=["kind", "doc_id", "n", "node", "x", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), none, none], names=["kind", "doc_id", "n", "node", "sketch", "x", "c"])
             if len(held) >= WINDOW_DOCS:
                 yield noted()
         if held:
             yield noted()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id bigint, n bigint, node bigint, x bigint, c bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id bigint, n bigint, node bigint, sketch binary, x bigint, c bigint")
 
 
 def signature_blocks(docs: DataFrame, noted, buckets: int, percent: int) -> DataFrame:
@@ -280,20 +294,77 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), check, "a bigint, b bigint, linked boolean")
 
 
-def cross_pairs(groups: DataFrame) -> DataFrame:
-    """(a, b): the pairs of each group's members whose roots differ; groups are those that verification left in parts."""
+def pairs_of(groups: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of small groups; of others the pairs with their smallest member."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         left, right = [], []
-        for members in batch.column("members").to_pylist():
-            node, root = np.array([m["node"] for m in members], np.int64), np.array([m["root"] for m in members], np.int64)
-            i, j = np.nonzero(np.triu(root[:, None] != root[None, :], 1))
-            left.append(np.minimum(node[i], node[j]))
-            right.append(np.maximum(node[i], node[j]))
+        for members in batch.column("members"):
+            node = members.values.to_numpy(zero_copy_only=False)
+            if len(node) == 2:
+                left.append(node[:1])
+                right.append(node[1:])
+            elif len(node) <= ALL_PAIRS_UP_TO:
+                i, j = np.triu_indices(len(node), 1)
+                left.append(node[i])
+                right.append(node[j])
+            else:
+                left.append(np.full(len(node) - 1, node[0]))
+                right.append(node[1:])
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return map_rows(groups, run, "a bigint, b bigint").distinct()
+    return map_rows(groups.select("members"), run, "a bigint, b bigint").distinct()
+
+
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and sketches don't rule out."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
+        xa, xb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, SKETCH_WORDS) for c in ("xa", "xb"))
+        keep = pa.array(may_be_similar(na, nb, xa, xb, percent))
+        return batch.select(["a", "b"]).filter(keep)
+
+    left = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("xa"))
+    right = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("xb"))
+    both = pairs.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return map_rows(both.select("a", "b", "na", "nb", "xa", "xb"), run, "a bigint, b bigint")
+
+
+def cross_pairs(groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the likely pairs of each group's members whose roots differ; groups are those that verification left in parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members in batch.column("members").to_pylist():
+                members.sort(key=lambda m: m["node"])
+                node, root, n = (np.array([m[k] for m in members], np.int64) for k in ("node", "root", "n"))
+                x = np.frombuffer(b"".join(m["sketch"] for m in members), "<u8").reshape(-1, SKETCH_WORDS)
+                for at in range(0, len(node), 64):
+                    part = slice(at, at + 64)
+                    keep = (root[part, None] != root[None, :]) & (node[part, None] < node[None, :])
+                    i, j = np.nonzero(keep & (100 * np.minimum(n[part, None], n[None, :]) >= percent * np.maximum(n[part, None], n[None, :])))
+                    ok = may_be_similar(n[part][i], n[j], x[part][i], x[j], percent)
+                    if ok.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(node[part][i[ok]]), pa.array(node[j[ok]])], names=["a", "b"])
+
+    return groups.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def sets_for(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, elements) for the ends of pairs, read from the text of each class's smallest doc_id."""
+
+    def elements(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [shingles(t) for t in texts_of(batch)]
+        return pa.RecordBatch.from_arrays([pa.array([node_of(e) if len(e) else None for e in made], pa.int64()), pa.array([e.astype("<u8").tobytes() for e in made], pa.binary())], names=["node", "elements"])
+
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = cut(nodes.join(classes, "node").select(F.col("rep").alias("doc_id")).distinct())
+    few = ids.count() <= BROADCAST_IDS  # 8 bytes each; beyond that the texts are shuffled to their ids
+    on = docs.doc_id.eqNullSafe(ids.doc_id)
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, on, "left_semi")
+    return cut(map_rows(texts.select("text"), elements, "node bigint, elements binary").where("node is not null").dropDuplicates(["node"]))
 
 
 def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -310,7 +381,7 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     made = cut(sets_of(docs))
     rows = made.where("kind = 0").select("doc_id", "n", "node")
     total, count = rows.agg(F.sum("n"), F.count("*")).first()
-    classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    classes = made.where("kind = 0 and node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     # noted shingles are at most mean set size / NOTED_SHARE, whatever the corpus' size
     often = made.where("kind = 1").groupBy("x").agg(F.sum("c").alias("c")).where(F.col("c") >= max(NOTED_LEAST, NOTED_SHARE * (count or 0)))
     noted = np.sort(np.array([r[0] for r in often.select("x").collect()], dtype=np.int64).astype(np.uint64))
@@ -318,27 +389,21 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     blocks = signature_blocks(docs, spark.sparkContext.broadcast(noted), buckets, percent)
     shared = blocks.groupBy("bucket").applyInArrow(groups_of, "gid bigint, members array<bigint>")
     groups = cut(shared.dropDuplicates(["gid"]))
-    exploded = groups.select("gid", F.explode("members").alias("node"))
-    wanted = cut(exploded.select("node").distinct().join(classes, "node"))
-
-    def elements(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [shingles(t) for t in texts_of(batch)]
-        return pa.RecordBatch.from_arrays([pa.array([node_of(e) if len(e) else None for e in made], pa.int64()), pa.array([e.astype("<u8").tobytes() for e in made], pa.binary())], names=["node", "elements"])
-
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = cut(map_rows(texts.select("text"), elements, "node bigint, elements binary").dropDuplicates(["node"]).join(wanted.select("node"), "node", "left_semi"))
-    stars = groups.select(F.explode(F.slice("members", 2, 1 << 30)).alias("b"), F.col("members")[0].alias("a")).distinct()
-    first = cut(verified(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent))
+    pairs = cut(likely(pairs_of(groups), classes, percent))
+    sets = sets_for(pairs, classes, docs)
+    first = cut(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent))
     roots = cut(components(first.where("linked")))
-    rest = cut(verified(apart(stars.join(first, ["a", "b"], "left_anti"), roots), sets, percent))
+    rest = cut(verified(apart(pairs.join(first, ["a", "b"], "left_anti"), roots), sets, percent))
     tested = first.unionByName(rest)
+    large = groups.where(F.size("members") > ALL_PAIRS_UP_TO).select("gid", F.explode("members").alias("node"))
     roots = cut(components(tested.where("linked")))
-    labelled = exploded.join(roots, "node", "left").select("gid", "node", F.coalesce("root", "node").alias("root"))
-    parts = labelled.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
-    open_groups = labelled.join(parts.select("gid"), "gid").groupBy("gid").agg(F.collect_list(F.struct("node", "root")).alias("members"))
-    last = cut(verified(cross_pairs(open_groups).join(tested, ["a", "b"], "left_anti"), sets, percent))
+    labelled = large.join(roots, "node", "left").select("gid", "node", F.coalesce("root", "node").alias("root"))
+    parts = labelled.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    open_groups = labelled.join(parts.select("gid"), "gid").join(classes, "node").groupBy("gid").agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("members"))
+    more = cut(cross_pairs(open_groups.select("members"), percent).join(pairs, ["a", "b"], "left_anti"))
+    last = cut(verified(more, sets_for(more, classes, docs), percent)) if not more.isEmpty() else tested.limit(0)
     links = tested.unionByName(last).where("linked")
-    reach = classes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    reach = classes.select("node", "rep").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = reach.groupBy("root").agg(F.min("rep").alias("low"))
     found = reach.join(lowest, "root").select("node", "low")
     return rows.join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
