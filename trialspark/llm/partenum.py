@@ -418,3 +418,17 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def op10(spark, sf_dir):
     return similarity_components(read(spark, sf_dir, "documents"))
+
+
+def op10_sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - {WORDS} + 2), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')) END) AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= {PERCENT} * (nx.n + ny.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS r FROM documents UNION SELECT links.x, reach.r FROM reach JOIN links ON links.y = reach.x),
+roots AS (SELECT x, min(r) AS r FROM reach GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, roots.r AS component_id FROM documents d JOIN roots ON roots.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""

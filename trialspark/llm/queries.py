@@ -20,4 +20,5 @@ QUERIES = {
 ORACLES = {
     "op1_line_dedup": line_runs.op1_sql(),
     "op7_vector_links": vector_links.op7_sql(),
+    "op10_jaccard_join": partenum.op10_sql(),
 }
