@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, schema_with, tune, width
+from .common import schema_with, tune, width
 
 SHARDS, BUCKET_BYTES, SEED = 16, 16 << 20, 20240607
 
@@ -53,7 +52,7 @@ def shuffle_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buck
 
     def second(table: pa.Table) -> pa.Table:
         bucket = table.column("_bucket")[0].as_py()
-        keys = [(d is None, d or 0, t is None, t or "") for d, t in zip(table.column("doc_id").to_pylist(), table.column("_at").to_pylist())]
+        keys = [(d is None, d or 0, t) for d, t in zip(table.column("doc_id").to_pylist(), table.column("_at").to_pylist())]
         base = np.array(sorted(range(len(keys)), key=keys.__getitem__), dtype=np.int64)  # a base order that is the same in each run
         order = base[fisher_yates(len(base), f"{seed}:{bucket}")]
         at = start.value[bucket] + np.arange(len(order), dtype=np.int64)
