@@ -9,18 +9,16 @@ forest of its links, never all of them, so a dense group costs its size and not
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, read, tune, width
+from .common import cut, map_rows, read, tune
 from .graphs import components
 
-THRESHOLD, BLOCK = 0.98, 1024
+THRESHOLD, BLOCK, BROADCAST_LABELS = 0.98, 1024, 100_000
 
 
 def usable(vector: list | None) -> bool:
@@ -114,9 +112,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     # a class: a label's equal vectors; null vec_ids are ids like others, after all numbers
     classes = rows.where(able).groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = classes.withColumn("node", F.xxhash64("label", "vector", F.length("vector")))
-    sizes = {r[0]: -(-r[1] // block) for r in classes.groupBy("label").count().collect()}
-    per = spark.createDataFrame([(k, v) for k, v in sizes.items()], f"label {kind}, parts int")
-    placed = classes.join(F.broadcast(per), "label") if len(sizes) < 100_000 else classes.join(per, "label")
+    per = cut(classes.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
+    placed = classes.join(F.broadcast(per) if per.count() <= BROADCAST_LABELS else per, "label")
     placed = cut(placed.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "vector"), F.col("parts")).cast("int")))
     # block p of n meets every block q: tile (max, min)
     tiled = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("label", F.greatest("part", "other").alias("i"), F.least("part", "other").alias("j"), "part", "node", "copies", "vector")
