@@ -27,7 +27,7 @@ from .common import cut, map_rows, read, texts_of, tune, width
 from .graphs import components
 
 WORDS, PERCENT = 5, 75
-NOTED_SHARE, NOTED_LEAST, WINDOW_DOCS = 0.0025, 64, 512
+NOTED_SHARE, NOTED_LEAST, WINDOW_DOCS = 0.0004, 16, 4096
 STRONG_SEEDS, FULL_SEEDS = 2, 6
 FLUSH, BUCKET_SIGNATURES = 1_200_000, 1_500_000
 SKETCH_WORDS, ALL_PAIRS_UP_TO, BROADCAST_IDS = 32, 8, 1_000_000
@@ -175,7 +175,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
 
         def noted():
             x, c = np.unique(np.concatenate(held), return_counts=True)
-            often = c >= max(3, int(2 * NOTED_SHARE * len(held)))
+            often = c >= max(3, int(NOTED_SHARE * len(held)))
             n = int(often.sum())
             held.clear()
             seen.clear()
@@ -332,24 +332,39 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return map_rows(both.select("a", "b", "na", "nb", "xa", "xb"), run, "a bigint, b bigint")
 
 
-def cross_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the likely pairs of each group's members whose roots differ; groups are those that verification left in parts."""
+def cross_pairs(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the likely pairs of each group's members whose roots differ.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for members in batch.column("members").to_pylist():
-                members.sort(key=lambda m: m["node"])
-                node, root, n = (np.array([m[k] for m in members], np.int64) for k in ("node", "root", "n"))
-                x = np.frombuffer(b"".join(m["sketch"] for m in members), "<u8").reshape(-1, SKETCH_WORDS)
-                for at in range(0, len(node), 64):
-                    part = slice(at, at + 64)
-                    keep = (root[part, None] != root[None, :]) & (node[part, None] < node[None, :])
-                    i, j = np.nonzero(keep & (100 * np.minimum(n[part, None], n[None, :]) >= percent * np.maximum(n[part, None], n[None, :])))
-                    ok = may_be_similar(n[part][i], n[j], x[part][i], x[j], percent)
-                    if ok.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(node[part][i[ok]]), pa.array(node[j[ok]])], names=["a", "b"])
+    groups (hub, members) are those that verification left in parts, by their smallest member; nodes (of, node,
+    root, n, sketch) are what is known of a hub's nodes, once, however many groups share them.
+    """
 
-    return groups.mapInArrow(run, "a bigint, b bigint").distinct()
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        node, root, n = (right.column(c).to_numpy() for c in ("node", "root", "n"))
+        order = np.argsort(node)
+        x = np.frombuffer(b"".join(right.column("sketch").to_pylist()), "<u8").reshape(-1, SKETCH_WORDS)[order]
+        node, root, n = node[order], root[order], n[order]
+        inside = [np.searchsorted(node, m.values.to_numpy(zero_copy_only=False)) for m in left.column("members")]
+        found_a, found_b = [], []
+        for at in range(0, len(node), 512):
+            meet = np.zeros((min(512, len(node) - at), len(node)), bool)
+            for own in inside:
+                rows = own[(own >= at) & (own < at + 512)] - at
+                if len(rows):
+                    meet[np.ix_(rows, own)] = True
+            i, j = np.nonzero(meet)
+            i += at
+            keep = (i < j) & (root[i] != root[j])
+            i, j = i[keep], j[keep]
+            for k in range(0, len(i), 1 << 15):
+                p, q = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+                ok = may_be_similar(n[p], n[q], x[p], x[q], percent)
+                found_a.append(node[p[ok]])
+                found_b.append(node[q[ok]])
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *found_a]), "b": np.concatenate([none, *found_b])})
+
+    return groups.groupBy("hub").cogroup(nodes.groupBy("of")).applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def sets_for(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -398,9 +413,11 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     large = groups.where(F.size("members") > ALL_PAIRS_UP_TO).select("gid", F.explode("members").alias("node"))
     roots = cut(components(tested.where("linked")))
     labelled = large.join(roots, "node", "left").select("gid", "node", F.coalesce("root", "node").alias("root"))
-    parts = labelled.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    open_groups = labelled.join(parts.select("gid"), "gid").join(classes, "node").groupBy("gid").agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("members"))
-    more = cut(cross_pairs(open_groups.select("members"), percent).join(pairs, ["a", "b"], "left_anti"))
+    parts = labelled.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gid")
+    open_groups = cut(groups.join(parts, "gid", "left_semi").select(F.col("members")[0].alias("hub"), "members"))
+    held = open_groups.select(F.col("hub").alias("of"), F.explode("members").alias("node")).distinct()
+    held = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(classes.drop("rep"), "node")
+    more = cut(cross_pairs(open_groups, held, percent).join(pairs, ["a", "b"], "left_anti"))
     last = cut(verified(more, sets_for(more, classes, docs), percent)) if not more.isEmpty() else tested.limit(0)
     links = tested.unionByName(last).where("linked")
     reach = classes.select("node", "rep").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
