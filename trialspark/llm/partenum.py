@@ -291,7 +291,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("sb"))
-    return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), check, "a bigint, b bigint, linked boolean")
+    pairs = cut(pairs.select("a", "b"))
+    if pairs.count() <= BROADCAST_IDS:  # 16 bytes each: sets stay where they are, and only those of pairs move; beyond that sets are shuffled to the pairs
+        both = left.join(F.broadcast(pairs), "a").join(right.join(F.broadcast(pairs), "b"), ["a", "b"])
+    else:
+        both = pairs.join(left, "a").join(right, "b")
+    return map_rows(both.select("a", "b", "sa", "sb"), check, "a bigint, b bigint, linked boolean")
 
 
 def pairs_of(groups: DataFrame) -> DataFrame:
@@ -367,8 +372,8 @@ def cross_pairs(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return groups.groupBy("hub").cogroup(nodes.groupBy("of")).applyInArrow(run, "a bigint, b bigint").distinct()
 
 
-def sets_for(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, elements) for the ends of pairs, read from the text of each class's smallest doc_id."""
+def sets_for(pairs: DataFrame, classes: DataFrame, docs: DataFrame, unique: bool) -> DataFrame:
+    """(node, elements) for the ends of pairs, read from the text of each class's smallest doc_id; unique: no doc_id is repeated."""
 
     def elements(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [shingles(t) for t in texts_of(batch)]
@@ -379,7 +384,8 @@ def sets_for(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     few = ids.count() <= BROADCAST_IDS  # 8 bytes each; beyond that the texts are shuffled to their ids
     on = docs.doc_id.eqNullSafe(ids.doc_id)
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, on, "left_semi")
-    return cut(map_rows(texts.select("text"), elements, "node bigint, elements binary").where("node is not null").dropDuplicates(["node"]))
+    sets = map_rows(texts.select("text"), elements, "node bigint, elements binary").where("node is not null")
+    return cut(sets if unique else sets.dropDuplicates(["node"]))
 
 
 def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -395,6 +401,7 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     tune(spark)
     made = cut(sets_of(docs))
     rows = made.where("kind = 0").select("doc_id", "n", "node")
+    unique = rows.groupBy("doc_id").count().where("count > 1").isEmpty()
     total, count = rows.agg(F.sum("n"), F.count("*")).first()
     classes = made.where("kind = 0 and node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     # noted shingles are at most mean set size / NOTED_SHARE, whatever the corpus' size
@@ -405,7 +412,7 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = blocks.groupBy("bucket").applyInArrow(groups_of, "gid bigint, members array<bigint>")
     groups = cut(shared.dropDuplicates(["gid"]))
     pairs = cut(likely(pairs_of(groups), classes, percent))
-    sets = sets_for(pairs, classes, docs)
+    sets = sets_for(pairs, classes, docs, unique)
     first = cut(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent))
     roots = cut(components(first.where("linked")))
     rest = cut(verified(apart(pairs.join(first, ["a", "b"], "left_anti"), roots), sets, percent))
@@ -418,7 +425,7 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     held = open_groups.select(F.col("hub").alias("of"), F.explode("members").alias("node")).distinct()
     held = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(classes.drop("rep"), "node")
     more = cut(cross_pairs(open_groups, held, percent).join(pairs, ["a", "b"], "left_anti"))
-    last = cut(verified(more, sets_for(more, classes, docs), percent)) if not more.isEmpty() else tested.limit(0)
+    last = cut(verified(more, sets_for(more, classes, docs, unique), percent)) if not more.isEmpty() else tested.limit(0)
     links = tested.unionByName(last).where("linked")
     reach = classes.select("node", "rep").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = reach.groupBy("root").agg(F.min("rep").alias("low"))
