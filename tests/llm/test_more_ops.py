@@ -119,6 +119,31 @@ def test_signatures_find_every_similar_pair():
             assert len(np.intersect1d(partenum.signatures(a, own, bands), partenum.signatures(b, own, bands)))
 
 
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(7)
+    sets = []
+    for size in (1, 2, 5, 31, 32, 33, 60, 500, 520, 4000, 5000):
+        pool = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        sets += [np.unique(pool), np.unique(pool[: max(1, size * 7 // 8)]), np.unique(pool[: max(1, size * 3 // 4)]), np.unique(np.concatenate([pool[: size // 3], rng.integers(0, 1 << 63, size, dtype=np.uint64)]))]
+    known = partenum.Sketches(np.array([len(x) for x in sets]), [partenum.sketch(x).tobytes() for x in sets])
+    p, q = np.triu_indices(len(sets), 1)
+    may, are = known.may_be_similar(p, q), np.array([partenum.similar(sets[i], sets[j]) for i, j in zip(p, q)])
+    assert are.sum() > 10 and not (are & ~may).any()
+    assert (may & ~are & (np.minimum(known.n[p], known.n[q]) > 400)).sum() == 0  # large sets that share a third are told apart
+
+
+def test_verified_runs_longer_than_one(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "HUB_PAIRS", 2)
+    rng = np.random.default_rng(8)
+    sets = {i: np.unique(np.concatenate([np.arange(30, dtype=np.uint64), rng.integers(1 << 40, 1 << 41, int(rng.integers(1, 14)), dtype=np.uint64)])) for i in range(20)}
+    pairs = [(a, b) for a in range(4) for b in range(a + 1, 20)]
+    table = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "node bigint, elements binary")
+    for limit in (partenum.BROADCAST_IDS, 0):
+        monkeypatch.setattr(partenum, "BROADCAST_IDS", limit)
+        got = {(r.a, r.b): r.linked for r in partenum.verified(spark.createDataFrame(pairs, "a bigint, b bigint"), table, 75).collect()}
+        assert got == {(a, b): partenum.similar(sets[a], sets[b]) for a, b in pairs} and len(set(got.values())) == 2
+
+
 def test_jaccard_join_edges(spark, odd):
     got = sorted((tuple(r) for r in partenum.similarity_components(odd).collect()), key=str)
     by = defaultdict(list)

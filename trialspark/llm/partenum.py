@@ -30,7 +30,7 @@ WORDS, PERCENT = 5, 75
 NOTED_SHARE, NOTED_LEAST, WINDOW_DOCS = 0.0004, 16, 4096
 STRONG_SEEDS, FULL_SEEDS = 2, 6
 FLUSH, BUCKET_SIGNATURES = 1_200_000, 1_500_000
-SKETCH_WORDS, ALL_PAIRS_UP_TO, BROADCAST_IDS = 32, 8, 1_000_000
+ALL_PAIRS_UP_TO, BROADCAST_IDS, HUB_PAIRS, SKETCH_CHUNK = 8, 1_000_000, 256, 1 << 20
 
 U = np.uint64
 BASE = 0xD1342543DE82EF95
@@ -89,15 +89,39 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """A parity sketch: each element flips one of its bits, so two sketches differ in no more bits than their sets in elements."""
-    bits = np.bincount((elements >> U(20)).astype(np.int64) & (64 * SKETCH_WORDS - 1), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view("<u8")
+    """A parity sketch: each element flips one of its bits, so two sketches differ in no more bits than their sets in elements.
 
-
-def may_be_similar(na, nb, xa: np.ndarray, xb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """False only for pairs that sizes or sketches prove too different; sketches' words are the last axis."""
-    most = (na + nb) * (100 - percent) // (100 + percent)
-    return (np.bitwise_count(xa ^ xb).sum(axis=-1, dtype=np.int64) <= most) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+    It has two bits for each element, rounded up to a power of two: a sketch of one width for all would say nothing
+    of sets larger than itself.
+    """
+    bits = 64 << max(0, (2 * len(elements) - 1).bit_length() - 6)
+    flips = np.bincount((elements >> U(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).view("<u8")
+
+
+class Sketches:
+    """Sketches of sets and their sizes, compared by rows; the wider of two is folded to the other's width."""
+
+    def __init__(self, n: np.ndarray, sketches: list[bytes]):
+        self.n, self.width = n, np.array([len(x) // 8 for x in sketches], np.int64)
+        self.at, self.bits = {}, {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width >= w)
+            self.at[w] = np.zeros(len(sketches), np.int64)
+            self.at[w][own] = np.arange(len(own))
+            self.bits[w] = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[i], "<u8").reshape(-1, w)) for i in own])
+
+    def may_be_similar(self, p: np.ndarray, q: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+        """False only for pairs of rows that sizes or sketches prove too different."""
+        small, large = np.minimum(self.n[p], self.n[q]), np.maximum(self.n[p], self.n[q])
+        keep, most, width = 100 * small >= percent * large, (small + large) * (100 - percent) // (100 + percent), np.minimum(self.width[p], self.width[q])
+        for w in np.unique(width[keep]).tolist():
+            mine, at, bits = np.flatnonzero(keep & (width == w)), self.at[w], self.bits[w]
+            step = max(1, SKETCH_CHUNK // w)
+            for k in range(0, len(mine), step):
+                i = mine[k : k + step]
+                keep[i] = np.bitwise_count(bits[at[p[i]]] ^ bits[at[q[i]]]).sum(axis=1, dtype=np.int64) <= most[i]
+        return keep
 
 
 class Bands:
@@ -283,20 +307,37 @@ def groups_of(table: pa.Table) -> pa.Table:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) for the pairs, on the exact sets."""
+    """(a, b, linked) for the pairs, on the exact sets.
+
+    The sets of the b of one a follow that a's set, in runs of about HUB_PAIRS: a run is read as a stream, its first
+    set is all that is held, and a set that many pairs share as their a moves once for each run.
+    """
 
-    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
-        linked = [similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
-        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, held = None, None
+        for batch in batches:
+            a, b, linked = [], [], []
+            for own, second, node, elements in zip(*(batch.column(c).to_pylist() for c in ("hub", "second", "node", "elements"))):
+                elements = np.frombuffer(elements, "<u8")
+                if not second:
+                    hub, held = own, elements
+                else:
+                    assert own == hub, "a run begins with its first set"
+                    a.append(own)
+                    b.append(node)
+                    linked.append(similar(held, elements, percent))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("sb"))
     pairs = cut(pairs.select("a", "b"))
-    if pairs.count() <= BROADCAST_IDS:  # 16 bytes each: sets stay where they are, and only those of pairs move; beyond that sets are shuffled to the pairs
-        both = left.join(F.broadcast(pairs), "a").join(right.join(F.broadcast(pairs), "b"), ["a", "b"])
-    else:
-        both = pairs.join(left, "a").join(right, "b")
-    return map_rows(both.select("a", "b", "sa", "sb"), check, "a bigint, b bigint, linked boolean")
+    few = pairs.count() <= BROADCAST_IDS  # 24 bytes each; beyond that the sets are shuffled to them
+    runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).alias("runs"))
+    dealt = pairs.join(runs, "a").select(F.col("a").alias("hub"), "b", F.pmod(F.xxhash64("b"), F.col("runs")).alias("run"))
+    firsts = dealt.select(F.col("hub").alias("node"), "hub", "run").distinct()
+    seconds = dealt.select(F.col("b").alias("node"), "hub", "run")
+    parts = [sets.join(F.broadcast(x) if few else x, "node").select("hub", "run", F.lit(k).alias("second"), "node", "elements") for k, x in enumerate((firsts, seconds))]
+    rows = parts[0].unionByName(parts[1]).repartition("hub", "run").sortWithinPartitions("hub", "run", "second")
+    return rows.mapInArrow(check, "a bigint, b bigint, linked boolean")
 
 
 def pairs_of(groups: DataFrame) -> DataFrame:
@@ -326,10 +367,10 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs that sizes and sketches don't rule out."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
-        xa, xb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, SKETCH_WORDS) for c in ("xa", "xb"))
-        keep = pa.array(may_be_similar(na, nb, xa, xb, percent))
-        return batch.select(["a", "b"]).filter(keep)
+        rows = np.arange(batch.num_rows)
+        n = np.concatenate([batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb")])
+        known = Sketches(n, batch.column("xa").to_pylist() + batch.column("xb").to_pylist())
+        return batch.select(["a", "b"]).filter(pa.array(known.may_be_similar(rows, rows + batch.num_rows, percent)))
 
     left = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("xa"))
     right = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("xb"))
@@ -347,8 +388,8 @@ def cross_pairs(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         node, root, n = (right.column(c).to_numpy() for c in ("node", "root", "n"))
         order = np.argsort(node)
-        x = np.frombuffer(b"".join(right.column("sketch").to_pylist()), "<u8").reshape(-1, SKETCH_WORDS)[order]
-        node, root, n = node[order], root[order], n[order]
+        known = Sketches(n[order], right.column("sketch").take(pa.array(order)).to_pylist())
+        node, root = node[order], root[order]
         inside = [np.searchsorted(node, m.values.to_numpy(zero_copy_only=False)) for m in left.column("members")]
         found_a, found_b = [], []
         for at in range(0, len(node), 512):
@@ -361,11 +402,9 @@ def cross_pairs(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             i += at
             keep = (i < j) & (root[i] != root[j])
             i, j = i[keep], j[keep]
-            for k in range(0, len(i), 1 << 15):
-                p, q = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
-                ok = may_be_similar(n[p], n[q], x[p], x[q], percent)
-                found_a.append(node[p[ok]])
-                found_b.append(node[q[ok]])
+            ok = known.may_be_similar(i, j, percent)
+            found_a.append(node[i[ok]])
+            found_b.append(node[j[ok]])
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([none, *found_a]), "b": np.concatenate([none, *found_b])})
 
