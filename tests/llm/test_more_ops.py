@@ -310,6 +310,26 @@ def test_quality_edges(spark, odd):
     assert isolation.judge(odd.limit(0), model).count() == 0
 
 
+def test_long_texts_that_turn_to_junk(spark):
+    """Wherever the junk is: no line, no word in a row and no 8-word window of it is repeated."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = isolation.train(docs, labels)
+    clean = [r.text for r in docs.join(labels.where("quality = 1"), "doc_id").orderBy("doc_id").select("text").collect()]
+    whole = max(clean, key=lambda t: len(t.split()))
+    good, few, rng = whole.split(), sorted(set(whole.split()))[:12], random.Random(3)
+    junk = [few[0]]
+    while len(junk) < 8000:
+        junk.append(rng.choice([w for w in few if w != junk[-1]]))
+    lines = lambda words: "\n".join(" ".join(words[i : i + 12]) for i in range(0, len(words), 12))
+    head, tail = good[:2100], good[2100:4200]
+    made = [lines(x) for x in (head + tail, head + junk, junk + head, head + junk + tail)]
+    assert len(head) == 2100
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id bigint, text string")
+    rows = sorted(isolation.judge(table, model).collect())
+    assert not any(r.base_failed for r in rows) and [r.kept for r in rows] == [True, False, False, False]
+    assert isolation.distinct_shares(["a"] * 5000) == [1 / 2000] * 4 and isolation.distinct_shares([]) == [0.0]
+
+
 # ---- op8
 
 
