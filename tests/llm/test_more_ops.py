@@ -278,6 +278,24 @@ def test_trees_tell_unseen_candidates(odd):
     assert pii.find(odd.limit(0)).count() == 0
 
 
+def test_nothing_of_a_long_secret_remains():
+    rng, model = random.Random(4), pii.model()
+    pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    alpha = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    hexa, card = "0123456789abcdef", "4111111111111111"
+    codes = [pick(alpha + "+/", 342) + "==", *(pick(alpha, k) for k in (199, 200, 201, 400, 2000, 20_000)), ".".join(pick(alpha + "-_", k) for k in (36, 300, 342)), pick(hexa, 300) + "a" + card + "b" + pick(hexa, 300), "a" * 40 + pick("abcdef", 60) + pick(hexa, 500)]
+    for code in codes:
+        for before, after in (('token = "', '" ends'), ("the key: ", " ends"), ("Bearer: ", "")):
+            text = "It begins " + before + code + after
+            (base, more), = pii.all_spans([text], *model)
+            left = pii.redact(text, base + more)
+            assert left == "It begins " + before + "<SECRET>" + after, (len(code), left)
+    for code in (pick(alpha, 344), pick(alpha + "+/", 2000)):
+        (base, more), = pii.all_spans([f"It is {code} here"], *model)
+        assert pii.redact(f"It is {code} here", base + more) == "It is <SECRET> here"
+    assert pii.all_spans(["see " + "/".join(["usr", "share", "doc"] * 100) + "/12 there"], *model) == [([], [])]
+
+
 # ---- op2
 
 

@@ -3,7 +3,9 @@
 Four exact patterns (email, ip, card, phone) always count. Beyond them, high-recall generators propose spans that
 may overlap (secrets after a key word, long codes, written-out addresses, local telephone numbers, account and
 social numbers); boosted trees score each from its format and its context, and those at or above their kind's
-calibrated threshold are added, best first, where they overlap nothing chosen already.
+calibrated threshold are added, best first, where they overlap nothing chosen already. A secret runs to the end of
+its token whatever its length: of secrets within one another the longest counts, and an exact span inside a secret
+that goes on for BARE characters more doesn't keep the secret from being added.
 """
 
 from __future__ import annotations
@@ -64,10 +66,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+#: The least length of a code that is a candidate without a key word.
+BARE = 20
+
 #: The generators: recall first; what they propose is for the trees to judge.
 GENERATORS = (
-    ("secret", re.compile(r"(?i)(?<![a-z])(?:token|secret|password|passwd|pwd|api[_-]?key|apikey|auth|bearer|key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.=-]{6,200}+)")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])([A-Za-z0-9+/_-]{20,200}+)")),
+    ("secret", re.compile(r"(?i)(?<![a-z])(?:token|secret|password|passwd|pwd|api[_-]?key|apikey|auth|bearer|key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.=-]{6,}+)")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])([A-Za-z0-9+/_-]{20,}+)")),
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64}+\s?(?:\[at\]|\(at\)|\sat\s)\s?[A-Za-z0-9-]{1,63}(?:(?:\s?(?:\[dot\]|\(dot\)|\sdot\s)\s?|\.)[A-Za-z0-9-]{2,63}){1,4})")),
     ("phone", re.compile(r"(?<![0-9.+-])(\(?[0-9]{2,5}\)?(?:[ .-][0-9]{2,4}){2,4})(?![0-9.-])")),
     ("account", re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")),
@@ -178,10 +183,13 @@ def examples(n: int, seed: int) -> list[tuple[str, str, int, int, bool]]:
         mark, quote = rng.choice((" = ", ": ", "=", ":", " : ")), rng.choice(('"', "'", ""))
         spoken = rng.choice((str.lower, str.upper, str.title))
         code = pick(rng.choice(("0123456789abcdef", "0123456789ABCDEF", low + digit, low + low.upper() + digit)), rng.randint(20, 64))
+        long = pick(rng.choice(("0123456789abcdef", low + digit, low + low.upper() + digit, low + low.upper() + digit + "+/")), rng.randint(200, 2000))
         made = rng.choice((
             ("secret", spoken(cue("secret")) + mark + quote, code, quote, True), ("secret", spoken(cue("secret")) + mark + quote, code, quote, True),
             ("secret", spoken(cue("secret")) + mark + quote, pick(low + digit + low.upper(), rng.randint(8, 20)) + pick(digit, 2), quote, True),
             ("secret", word() + " ", code, "", len(code) >= 32),
+            ("secret", spoken(cue("secret")) + mark + quote, long, quote, True), ("secret", word() + " ", long, "", True), ("secret", spoken(cue("secret")) + mark + quote, ".".join(pick(low + low.upper() + digit + "-_", rng.randint(30, 700)) for _ in range(3)), quote, True),
+            ("secret", word() + " /", "/".join(word() for _ in range(rng.randint(30, 300))) + "/" + pick(digit, 2), " ", False), ("secret", " ", pick(digit, rng.randint(200, 2000)), " ", False), ("secret", word() + " ", "-".join(word() for _ in range(rng.randint(30, 300))) + "-" + pick(digit, 1), " ", False),
             ("secret", rng.choice(("key", "Key", "token", "auth")) + rng.choice((": ", " : ")), word(6, 12), " ", False), ("secret", word() + " ", word() + "-" + word() + "-" + word(8, 12) + "-" + pick(digit, 1), " ", False),
             ("secret", word() + " ", word(18, 30) + pick(digit, 1), " ", False), ("secret", " ", pick(digit, rng.randint(20, 40)), " ", False),
             ("secret", word() + " /", "/".join(word() for _ in range(5)) + "/" + pick(digit, 2), " ", False),
@@ -224,8 +232,18 @@ def all_spans(texts: list[str], trees: Boosted, limits: dict[str, float]) -> lis
     if found:
         chances = trees.chance(np.array([describe(texts[i], *c) for i, c in found]))
         taken = [[(a, b) for _, a, b in spans] for spans in based]
-        for p, i, (kind, a, b) in sorted(((float(p), i, c) for p, (i, c) in zip(chances, found) if p >= limits[c[0]]), key=lambda x: (-x[0], x[1], x[2])):
-            if all(b <= s or e <= a for s, e in taken[i]):
+        exact, whole = [set(spans) for spans in taken], set()
+        likely = [(float(p), i, c) for p, (i, c) in zip(chances, found) if p >= limits[c[0]]]
+        reach: dict[int, int] = {}
+        for _, i, (kind, a, b) in sorted(likely, key=lambda x: (x[1], x[2][1], -x[2][2])):
+            if kind == "secret" and b > reach.get(i, 0):
+                reach[i] = b
+                whole.add((i, a, b))
+        for p, i, (kind, a, b) in sorted(likely, key=lambda x: (-x[0], x[1], x[2])):
+            if kind == "secret" and (i, a, b) not in whole:
+                continue
+            held = [(s, e) for s, e in taken[i] if s < b and a < e]
+            if not held or kind == "secret" and all((s, e) in exact[i] and a <= s and e <= b for s, e in held) and b - a - sum(e - s for s, e in held) >= BARE:
                 taken[i].append((a, b))
                 added[i].append((kind, a, b))
     return list(zip(based, added))
