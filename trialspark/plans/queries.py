@@ -249,6 +249,12 @@ def flt1(s):
     return K.window_lookup(both.where(F.col("usubjid").endswith("42")), F.lit("2024-01-05").cast("date"), F.lit("2024-12-31").cast("date")).select("domain", "usubjid", "seq", "date")
 
 
+@query("flt1_all_records", f"SELECT domain, usubjid, seq, date FROM (SELECT 'AE' AS domain, usubjid, seq, {day('stdtc')} AS date FROM ae UNION ALL SELECT 'LB', usubjid, seq, {day('dtc')} FROM lb) WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-12-31'")
+def flt1_all(s):
+    both = K.long_records({"AE": (s["ae"], "stdtc"), "LB": (s["lb"], "dtc")})
+    return K.window_lookup(both, F.lit("2024-01-05").cast("date"), F.lit("2024-12-31").cast("date")).select("domain", "usubjid", "seq", "date")
+
+
 @query("flt2_anchor_window", f"""SELECT l.usubjid, l.seq, {day('l.dtc')} AS date, a.anchor FROM lb l JOIN (SELECT d.usubjid, coalesce(v.m, {day('d.rfstdtc')} + 14) AS anchor FROM dm d LEFT JOIN (SELECT usubjid, min({day('dtc')}) AS m FROM lb WHERE {visit('visit')} = 'WEEK2' GROUP BY 1) v ON v.usubjid = d.usubjid) a ON a.usubjid = l.usubjid
   WHERE abs(date_diff('day', a.anchor, {day('l.dtc')})) <= 3""")
 def flt2(s):
@@ -328,9 +334,13 @@ def jn8(s):
 CITED = "cited AS (SELECT 'F' || CAST(o_orderkey % 50 AS VARCHAR) AS finding, 'AE' AS domain, usubjid, seq + CASE WHEN row_no % 9 = 0 THEN 1000 ELSE 0 END AS seq FROM ae JOIN orders ON o_orderkey = row_no UNION ALL SELECT 'F' || CAST(row_no % 50 AS VARCHAR), 'DOC', 'protocol_v1', NULL FROM dm WHERE row_no <= 100)"
 
 
-def cited(s):
+#: The same with the document citations of all dm rows.
+CITED_ALL = CITED.replace(" WHERE row_no <= 100", "")
+
+
+def cited(s, documents="row_no <= 100"):
     own = s["ae"].select(F.concat(F.lit("F"), (F.col("row_no") % 50).cast("string")).alias("finding"), F.lit("AE").alias("domain"), "usubjid", (F.col("seq") + F.when(F.col("row_no") % 9 == 0, 1000).otherwise(0)).cast("bigint").alias("seq"))
-    return own.unionByName(s["dm"].where("row_no <= 100").select(F.concat(F.lit("F"), (F.col("row_no") % 50).cast("string")).alias("finding"), F.lit("DOC").alias("domain"), F.lit("protocol_v1").alias("usubjid"), F.lit(None).cast("bigint").alias("seq")))
+    return own.unionByName(s["dm"].where(documents).select(F.concat(F.lit("F"), (F.col("row_no") % 50).cast("string")).alias("finding"), F.lit("DOC").alias("domain"), F.lit("protocol_v1").alias("usubjid"), F.lit(None).cast("bigint").alias("seq")))
 
 
 def known(s):
@@ -343,6 +353,11 @@ def jn9(s):
     return E.existing(cited(s), known(s))
 
 
+@query("jn9_all_evidence", f"SELECT finding, domain, usubjid, seq, domain = 'DOC' OR EXISTS (SELECT 1 FROM ae WHERE ae.usubjid = c.usubjid AND ae.seq = c.seq AND cut_available <= {CUT}) AS \"exists\" FROM cited c", CITED_ALL)
+def jn9_all(s):
+    return E.existing(cited(s, "true"), known(s))
+
+
 @query("jn10_default_reply", "SELECT usubjid, seq, CASE WHEN row_no % 10 = 0 THEN 'CONFIRMED' ELSE 'PENDING' END AS reply, row_no % 10 = 0 AS exact_hit FROM ae")
 def jn10(s):
     from ..operators.review import with_reply
@@ -424,6 +439,11 @@ def gr3(s):
     return G.neighbours(G.edges(ctx), ids, "HAS_VISIT")
 
 
+@query("gr3_all_neighbours", "SELECT src AS id, type, dst AS other FROM graph_edges WHERE type = 'HAS_VISIT'", LABS, STD, PERSONS, EDGES)
+def gr3_all(s):
+    return G.neighbours(G.edges(graph_context(s)), s["dm"].select(G.node_id("SUBJECT", F.col("usubjid")).alias("id")), "HAS_VISIT")
+
+
 @query("gr4_related", "SELECT usubjid, min(seq) AS seq, usubjid LIKE '%-000001' AS is_source FROM ae WHERE upper(term) LIKE '%HEPATO%' GROUP BY 1")
 def gr4(s):
     return G.related(s["ae"], "term", "hepato").withColumn("is_source", F.col("usubjid").endswith("-000001"))
@@ -647,10 +667,10 @@ CLAIMS = "claims AS (SELECT usubjid, seq FROM ae WHERE ser = 'Y' OR hosp = 'Yes'
 VALID = f"valid AS (SELECT *, CASE WHEN domain <> 'DOC' AND NOT EXISTS (SELECT 1 FROM ae WHERE ae.usubjid = c.usubjid AND ae.seq = c.seq AND cut_available <= {CUT}) THEN 'not_in_cut' WHEN domain <> 'DOC' AND NOT EXISTS (SELECT 1 FROM claims x WHERE x.usubjid = c.usubjid AND x.seq = c.seq) THEN 'check_failed' END AS dropped FROM cited c)"
 
 
-def valid(s):
+def valid(s, documents="row_no <= 100"):
     doc = s["lb"].sparkSession.createDataFrame([("DOC", "protocol_v1", None)], "domain string, usubjid string, seq bigint")
     claims = R.serious_ae(s["ae"]).select(F.lit("AE").alias("domain"), "usubjid", "seq").unionByName(doc)
-    return E.validated(cited(s), known(s), claims)
+    return E.validated(cited(s, documents), known(s), claims)
 
 
 @query("ev1_validate", "SELECT finding, domain, usubjid, seq, dropped FROM valid", CITED, CLAIMS, VALID)
@@ -658,11 +678,21 @@ def ev1(s):
     return valid(s)
 
 
+@query("ev1_all_validate", "SELECT finding, domain, usubjid, seq, dropped FROM valid", CITED_ALL, CLAIMS, VALID)
+def ev1_all(s):
+    return valid(s, "true")
+
+
 @query("ev3_assemble", "SELECT finding, count(*) FILTER (WHERE domain <> 'DOC')::BIGINT AS n_records, length(array_to_string(list_distinct(list(concat_ws(':', domain, usubjid, seq))), ','))::INT AS refs_length FROM valid WHERE dropped IS NULL GROUP BY 1 HAVING count(*) FILTER (WHERE domain <> 'DOC') > 0", CITED, CLAIMS, VALID)
 def ev3(s):
     return E.assemble(valid(s)).select("finding", "n_records", F.length("refs").alias("refs_length"))
 
 
+@query("ev3_all_assemble", "SELECT finding, count(*) FILTER (WHERE domain <> 'DOC')::BIGINT AS n_records, length(array_to_string(list_distinct(list(concat_ws(':', domain, usubjid, seq))), ','))::INT AS refs_length FROM valid WHERE dropped IS NULL GROUP BY 1 HAVING count(*) FILTER (WHERE domain <> 'DOC') > 0", CITED_ALL, CLAIMS, VALID)
+def ev3_all(s):
+    return E.assemble(valid(s, "true")).select("finding", "n_records", F.length("refs").alias("refs_length"))
+
+
 @query("ev4_confidence", "SELECT row_no, greatest(0.05, least(0.95, round_even(CASE WHEN row_no % 11 = 0 THEN 0.2 WHEN row_no % 7 = 0 THEN 0.3 WHEN row_no % 5 = 0 THEN 0.85 ELSE 0.9 END - CASE WHEN row_no % 2 = 0 THEN 0.1 ELSE 0 END - CASE WHEN row_no % 3 = 0 THEN 0.1 ELSE 0 END - CASE WHEN row_no % 13 = 0 THEN 0.15 ELSE 0 END, 3)))::DOUBLE AS confidence FROM dm")
 def ev4(s):
     m = lambda k: F.col("row_no") % k == 0
