@@ -49,6 +49,7 @@ class Answer:
     value: object = None
     refs: list = field(default_factory=list)
     confidence: float = 0.0
+    shortened: bool = False  # refs are the first ones only; value is of all
 
 
 def first_word(pairs, text: str) -> str | None:
@@ -136,7 +137,7 @@ def confidence_of(kind: str, empty: bool = False, dropped: bool = False, insuffi
 
 
 def answer(ctx: dict, text: str, limit: int = 1000) -> Answer:
-    """One question, one action; what can't be answered says so. ctx may hold `documents` (name, text) and `unavailable` rules."""
+    """One question, one action; what can't be answered says so. ctx may hold `documents` (name, text) and `unavailable` rules. Only refs end at the limit."""
     intent = classify(text)
     if intent.kind == "count":
         row = count_plan(ctx, intent).first()
@@ -150,13 +151,14 @@ def answer(ctx: dict, text: str, limit: int = 1000) -> Answer:
         found = finding_plan(ctx, intent)
         cited = found.select("domain", "usubjid", "seq")
         known = K.long_records({d: (df, None) for d, df in ctx["domains"].items()}).select("domain", "usubjid", "seq")
-        rows = E.existing(cited, known).orderBy("usubjid", "domain", "seq").limit(limit).collect()  # what is shown
-        refs = [(r.domain, r.usubjid, r.seq) for r in rows if r.exists]
-        subjects = sorted({r.usubjid for r in rows})
-        return Answer("finding", "ok" if rows else "no_match", subjects, refs, confidence_of("finding", not rows))
+        subjects = [r.usubjid for r in found.select("usubjid").distinct().orderBy("usubjid").collect()]
+        rows = E.existing(cited, known).where("exists").orderBy("usubjid", "domain", "seq").limit(limit + 1).collect()
+        refs = [(r.domain, r.usubjid, r.seq) for r in rows[:limit]]
+        return Answer("finding", "ok" if subjects else "no_match", subjects, refs, confidence_of("finding", not subjects), len(rows) > limit)
     if intent.kind == "lookup":
-        rows = lookup_plan(ctx, intent).limit(limit).collect()  # what is shown
-        return Answer("lookup", "ok" if rows else "no_match", len(rows), [tuple(r) for r in rows], confidence_of("lookup", not rows))
+        found = lookup_plan(ctx, intent)
+        n, rows = found.count(), found.limit(limit).collect()
+        return Answer("lookup", "ok" if n else "no_match", n, [tuple(r) for r in rows], confidence_of("lookup", not n), n > len(rows))
     if intent.kind == "doc" and "documents" in ctx:
         words = [w for w in re.findall(r"[a-z0-9]{4,}", text.lower()) if w not in ("what", "does", "protocol", "manual", "rule", "version", "about")]
         sentence = F.explode(N.sentences(F.col("text"))).alias("sentence")
