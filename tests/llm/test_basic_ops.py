@@ -145,3 +145,78 @@ def test_language_edges(spark, odd, sf):
     none = language_id.train(odd.where(F.lit(False)))
     assert {r.lang_pred for r in language_id.identify(odd, none).collect()} == {"und"}
     assert language_id.identify(odd.limit(0), model).count() == 0
+
+
+def test_one_file_makes_batches_runs_and_compactions(spark, monkeypatch):
+    """Whatever the files: four batches, later ones without what earlier ones settled, and runs compacted."""
+    seen, add = [], line_runs.LineRuns.add
+
+    def watched(self, counts):
+        before = {bytes(r.key) for r in self.settled().collect()} if self.runs() else set()
+        add(self, counts)
+        seen.append((len(before), self.compacted, sum(bytes(r.key) in before for r in counts.select("key").collect())))
+
+    monkeypatch.setattr(line_runs.LineRuns, "add", watched)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id >= 0").select("doc_id", "text")
+    rows = line_runs.dedup_lines(docs).collect()
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in rows), key=str) == brute_lines([tuple(r) for r in docs.collect()], 10)
+    assert len(seen) == 4 and [c for _, c, _ in seen] == [0, 1, 1, 3] and seen[-1][0] > 0 and seen[-1][2] > 0
+
+
+def test_keys_settle_by_the_sum_over_runs(spark):
+    runs = line_runs.LineRuns(spark, min_docs=10, fanout=4)
+    for n in (6, 6, 6):
+        runs.add(spark.createDataFrame([(bytearray(b"k"), n), (bytearray(b"r"), 1)], "key binary, n bigint"))
+    assert [spark.table(x).where("key = X'6B'").count() for x in runs.runs()] == [1, 1, 0] and runs.settled().count() == 1
+    assert sorted((bytes(r.key), r.n) for r in runs.merged(runs.runs()).collect()) == [(b"k", 12), (b"r", 3)]
+    runs.add(spark.createDataFrame([(bytearray(b"s"), 1)], "key binary, n bigint"))
+    assert runs.compacted == 1 and sorted((bytes(r.key), r.n) for r in spark.table(runs.runs()[0]).collect()) == [(b"k", 12), (b"r", 3), (b"s", 1)]
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("runs_")]
+
+
+def brute_languages(train, texts, columns):
+    """Naive Bayes by counting in dictionaries, n-grams as strings; hash collisions aside it is the same model."""
+    import math
+    from collections import defaultdict
+
+    def grams(text):
+        low = "".join(c if "a" <= c <= "z" or ord(c) >= 170 else "\0" for c in text.lower())
+        while "\0\0" in low:
+            low = low.replace("\0\0", "\0")
+        low = low if low.startswith("\0") else low
+        out = [c for c in low if c != "\0"]
+        return out + [a + b for a, b in zip(low, low[1:])] + [a + b + c for a, b, c in zip(low, low[1:], low[2:]) if b != "\0"]
+
+    counts, rows = defaultdict(Counter), Counter()
+    for text, lang in train:
+        counts[lang].update(grams(text))
+        rows[lang] += 1
+    total = {k: sum(c.values()) + 0.5 * columns for k, c in counts.items()}
+    out = []
+    for text in texts:
+        score = {k: math.log(rows[k]) + sum(math.log((counts[k][g] + 0.5) / total[k]) for g in grams(text)) / 3 for k in rows}
+        out.append(max(sorted(score), key=score.__getitem__))
+    return out
+
+
+def test_language_against_plain_counting(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.where("text is not null").collect()
+    model = language_id.train(docs, columns=1 << 20)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, model).collect()}
+    want = brute_languages([(r.text, r.lang) for r in rows if r.lang], [r.text for r in rows], 1 << 20)
+    letters = [any(c.isalpha() for c in r.text) for r in rows]
+    assert all(got[r.doc_id][0] == (w if ok else "und") for r, w, ok in zip(rows, want, letters)) and len(set(want)) > 2
+
+
+def test_rare_languages_are_learned(spark):
+    words = {"aa": "tra lo mi", "bb": "ksh ugh zz"}
+    rows = [(i, " ".join([words["aa"]] * 4), "aa") for i in range(400)] + [(1000 + i, " ".join([words["bb"]] * 4), "bb") for i in range(3)] + [(None, "ksh ugh", None)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), train_docs=20)
+    assert model[0] == ["aa", "bb"]
+    assert language_id.score_texts(["ksh zz ugh ugh zz", "mi lo tra"], *model)[0] == ["bb", "aa"]
+
+
+def test_held_out_is_never_null(spark, odd):
+    assert odd.select(language_id.held_out().alias("h")).where("h is null").count() == 0

@@ -1,8 +1,7 @@
-"""What the operators of this subpackage share: table reads, scratch space, Arrow batches, file batches."""
+"""What the operators of this subpackage share: table reads, scratch space, Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -24,27 +23,42 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches; AQE splits what is skewed."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    """Bound the session's Arrow batches, which plans read when they run; a session's own lower bounds stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = int(spark.conf.get(name).rstrip("bB"))
+        if not 0 < now <= most:
+            spark.conf.set(name, most)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
+    """The folder that driver and executors share; where the session names none, one beside its tables."""
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="trialspark-")
-        sc.setCheckpointDir(root)
+    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return root.rstrip("/")
 
 
+#: Scratch paths written and not released yet, in order.
+_made: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: rows go to the shared checkpoint folder, which outlives any executor."""
-    shared_dir(df.sparkSession)
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Cut the lineage: rows go to a table in the shared folder, which outlives any executor; readers take the columns they need."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    _made.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """Where scratch stands now, for release()."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Remove the scratch tables made since a mark. Frames that operators returned before read them: write those first."""
+    while len(_made) > since:
+        remove_path(spark, _made.pop())
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -61,17 +75,6 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def file_batches(docs: DataFrame, n: int) -> list[DataFrame]:
-    """Split a plain file read into at most n reads of disjoint files; anything else is one batch."""
-    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
-        return [docs]
-    files = sorted(docs.inputFiles())
-    if len(files) < 2:
-        return [docs]
-    groups = [files[i::n] for i in range(min(n, len(files)))]
-    return [docs.sparkSession.read.schema(docs.schema).parquet(*g) for g in groups]
-
-
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's values, null as the empty text."""
     return [x or "" for x in batch.column(column).to_pylist()]

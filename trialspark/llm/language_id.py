@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, map_rows, read, schema_with, texts_of, tune, with_columns
+from .common import map_rows, read, schema_with, texts_of, tune, with_columns
 
 COLUMNS, TRAIN_DOCS, SMOOTHING, UNKNOWN, MIN_SCORE = 1 << 15, 12_000, 0.5, "und", 0.5
 LETTER = re.compile(r"[^\W\d_]")
@@ -62,38 +62,39 @@ def groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, columns: int = COLUMNS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-probabilities (columns x languages) and log-priors from rows with a non-null lang.
 
-    At most about train_docs rows, chosen by a hash of doc_id, are counted; tasks return count matrices only.
+    At most about train_docs rows are counted, as many of each language, chosen by a hash of doc_id (and of the text
+    where that is null); all rows of a language that has fewer. Priors are of all rows, and every language with a row
+    is learned. Tasks return count matrices only.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = labelled.select("doc_id").count()
-    share = min(1.0, train_docs / max(1, n))
-    chosen = labelled.where(hash_share("doc_id", share)) if share < 1 else labelled
+    every = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row a language
+    each = max(1, train_docs // max(1, len(every)))
+    shares = {k: min(1.0, each / n) for k, n in every.items()}
+    draw = F.pmod(F.xxhash64(F.lit("share"), F.coalesce(F.col("doc_id"), F.xxhash64("text"))), F.lit(1 << 20)) / (1 << 20)
+    most = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]) if any(x < 1 for x in shares.values()) else None
+    chosen = labelled if most is None else labelled.where(draw < F.try_element_at(most, F.col("lang")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
-        rows: dict[str, int] = {}
         for batch in batches:
             texts, langs = texts_of(batch), batch.column("lang").to_pylist()
             for start, some in groups(texts):
                 index, sizes = features(some, columns)
-                parts = np.split(index, np.cumsum(sizes)[:-1])
-                for lang, part in zip(langs[start : start + len(some)], parts):
+                for lang, part in zip(langs[start : start + len(some)], np.split(index, np.cumsum(sizes)[:-1])):
                     found.setdefault(lang, np.zeros(columns, np.int64))
                     found[lang] += np.bincount(part, minlength=columns)
-                    rows[lang] = rows.get(lang, 0) + 1
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([rows[k] for k in found], pa.int64()), pa.array([v.astype("<i8").tobytes() for v in found.values()], pa.binary())], names=["lang", "n", "counts"])
-
-    sums: dict[str, list] = {}
-    for lang, rows, counts in chosen.select("text", "lang").coalesce(8).mapInArrow(count, "lang string, n bigint, counts binary").collect():
-        own = sums.setdefault(lang, [0, np.zeros(columns, np.int64)])
-        own[0] += rows
-        own[1] = own[1] + np.frombuffer(counts, "<i8")
-    langs = sorted(sums)
+        for lang, counts in found.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["lang", "at", "n"])
+
+    langs = sorted(every)
     if not langs:
         return [], np.zeros((columns, 0), np.float32), np.zeros(0)
-    matrix = np.stack([sums[k][1] for k in langs], axis=1) + SMOOTHING
-    prior = np.log(np.array([sums[k][0] for k in langs], dtype=float))
+    held = chosen.select("text", "lang").mapInArrow(count, "lang string, at bigint, n bigint").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow()  # at most languages * columns rows
+    matrix = np.full((columns, len(langs)), SMOOTHING)
+    of = {k: i for i, k in enumerate(langs)}
+    matrix[held.column("at").to_numpy(), [of[k] for k in held.column("lang").to_pylist()]] += held.column("n").to_numpy()
+    prior = np.log(np.array([every[k] for k in langs], dtype=float))
     return langs, np.log(matrix / matrix.sum(axis=0)).astype(np.float32), prior - prior.max()
 
 
@@ -122,8 +123,9 @@ def score_texts(texts: list[str], langs: list[str], matrix: np.ndarray, prior: n
 def identify(docs: DataFrame, model: tuple) -> DataFrame:
     """docs with lang_pred and score (0 to 1); null texts and texts with no letter are `und` with score 0.
 
-    Every row is scored on its whole text; ties go to the first language by name; columns of docs named
-    lang_pred or score are replaced.
+    Every row, one with a null doc_id too, is scored on its whole text, however long; ties go to the first language
+    by name; repeated rows are scored alike; without a learned language all is `und`; an empty table gives none;
+    columns of docs named lang_pred or score are replaced.
     """
     tune(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
@@ -137,7 +139,8 @@ def identify(docs: DataFrame, model: tuple) -> DataFrame:
 
 
 def held_out():
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    """Whether a row is kept from training; one without a doc_id isn't."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
 def op4(spark, sf_dir):

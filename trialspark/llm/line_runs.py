@@ -2,9 +2,10 @@
 
 A run is a table of (key, n): the 16-byte hash of a line key and the number of documents seen with it, bucketed
 and sorted by key. Each new batch is counted, merge-anti-joined with the keys that the runs have settled (those
-found in enough documents already need no more counting), and added as a run of its own; `fanout` runs of a
-level are compacted into one of the next. Runs are bucketed alike, so neither the anti-joins nor the
-compactions shuffle them again.
+that all runs together found in enough documents need no more counting), and added as a run of its own; `fanout`
+runs of a level are compacted into one of the next. Runs are bucketed alike, so the anti-joins merge them without
+a shuffle; a compaction sums its runs with one. The batches of a table are hash ranges of its texts, whatever its
+files: one scan counts all of them, in a column each, and one shuffle buckets the counts.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, file_batches, map_rows, read, remove_path, schema_with, scratch_path, texts_of, tune, width, with_columns
+from .common import SPACE, cut, map_rows, read, remove_path, schema_with, scratch_path, texts_of, tune, width, with_columns
 
 MIN_DOCS, MIN_CHARS, BATCHES, FANOUT, BROADCAST_KEYS = 10, 1, 4, 2, 400_000
 
@@ -36,25 +37,28 @@ def long_enough(key: bytes, min_chars: int) -> bool:
     return len(key) >= min_chars and (min_chars <= 1 or len(key.decode()) >= min_chars)
 
 
-def count_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(key, n): in how many documents each line key is; counted in the task first, so a hot line is few rows."""
+def count_keys(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
+    """(key, n0, n1, ...): in how many documents of each batch a line key is; counted in the task first, so a hot line is few rows."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["key", "n"])
-
-        for batch in batches:
-            for text in texts_of(batch):
-                seen.update({key_hash(k) for k in line_keys(text) if long_enough(k, min_chars)})
-            if len(seen) > 200_000:
-                yield flush()
-                seen.clear()
+            keys, of = zip(*seen)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(of, pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["key", "batch", "n"])
+
+        for batch in rows:
+            for text, of in zip(texts_of(batch), batch.column("batch").to_pylist()):
+                seen.update({(key_hash(k), of) for k in line_keys(text) if long_enough(k, min_chars)})
+                if len(seen) > 200_000:
+                    yield flush()
+                    seen.clear()
         if seen:
             yield flush()
 
-    return docs.select("text").mapInArrow(count, "key binary, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    batch = F.pmod(F.xxhash64(F.lit("batch"), "text"), F.lit(batches)).cast("int").alias("batch")
+    counted = docs.select("text", batch).mapInArrow(count, "key binary, batch int, n bigint")
+    return counted.groupBy("key").agg(*[F.sum(F.when(F.col("batch") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(batches)])
 
 
 class LineRuns:
@@ -63,11 +67,11 @@ class LineRuns:
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
         self.spark, self.min_docs, self.fanout, self.buckets = spark, min_docs, fanout, width(spark)
         self.levels: list[list[str]] = [[]]
-        self.root, self.made = scratch_path(spark, "runs"), 0
+        self.root, self.compacted = scratch_path(spark, "runs"), 0
 
     def write(self, rows: DataFrame) -> str:
-        name, self.made = f"runs_{uuid.uuid4().hex}", self.made + 1
-        rows.select("key", "n").repartition(self.buckets, "key").write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.root}/{name}").saveAsTable(name)
+        name = f"runs_{uuid.uuid4().hex}"
+        rows.repartition(self.buckets, "key").write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.root}/{name}").saveAsTable(name)
         return name
 
     def drop(self, name: str) -> None:
@@ -79,9 +83,11 @@ class LineRuns:
 
     def add(self, counts: DataFrame) -> None:
         """One batch's (key, n): without what is settled it becomes a run of level 0."""
-        for run in self.runs():
-            counts = counts.join(self.spark.table(run).where(F.col("n") >= self.min_docs), "key", "left_anti")
-        self.levels[0].append(self.write(counts))
+        seen = F.lit(0)
+        for i, run in enumerate(self.runs()):
+            counts = counts.join(self.spark.table(run).withColumnRenamed("n", f"_n{i}"), "key", "left")
+            seen = seen + F.coalesce(f"_n{i}", F.lit(0))
+        self.levels[0].append(self.write(counts.where(seen < self.min_docs).select("key", "n")))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
@@ -90,13 +96,22 @@ class LineRuns:
             self.levels[level + 1].append(self.write(self.merged(old)))
             for run in old:
                 self.drop(run)
-            level += 1
+            level, self.compacted = level + 1, self.compacted + 1
+
+    def add_all(self, counts: DataFrame, batches: int) -> None:
+        """(key, n0, n1, ...) batch by batch, from one bucketed table."""
+        name = self.write(counts)
+        for i in range(batches):
+            self.add(self.spark.table(name).where(F.col(f"n{i}") > 0).select("key", F.col(f"n{i}").alias("n")))
+        self.drop(name)
 
     def merged(self, runs: list[str]) -> DataFrame:
-        every = self.spark.table(runs[0])
-        for run in runs[1:]:
-            every = every.unionByName(self.spark.table(run))
-        return every.groupBy("key").agg(F.sum("n").alias("n"))
+        """The runs' sums by key. The renaming makes the union forget the runs' buckets: Spark 4.1 keeps them in the plan of a union of column batches but doesn't join them when it runs."""
+        rows = [self.spark.table(run).select("key", F.col("n").alias("m")) for run in runs]
+        every = rows[0]
+        for more in rows[1:]:
+            every = every.unionByName(more)
+        return every.groupBy("key").agg(F.sum("m").alias("n"))
 
     def settled(self) -> DataFrame:
         """The keys found in at least min_docs documents."""
@@ -121,17 +136,18 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
 
     A line goes from every document if its key has at least min_chars code points and is in at least min_docs
     documents; others stay, joined by \\n. Null and empty texts are one empty line, which stays, and come out as
-    the empty text. Repeated rows count as documents of their own. Columns n_lines and n_dropped of docs are
-    replaced. Up to broadcast_keys settled keys (16 bytes each) go to the executors whole; beyond that they are
-    joined to the distinct texts' keys instead, with the same result.
+    the empty text. Repeated rows count as documents of their own; texts of any length are read whole; an empty
+    table gives no rows. Columns n_lines and n_dropped of docs are replaced. Up to broadcast_keys settled keys (16
+    bytes each) go to the executors whole; beyond that they are joined to the distinct texts' keys instead, with the
+    same result.
     """
     spark = docs.sparkSession
     tune(spark)
     docs = docs.drop("n_lines", "n_dropped")
     runs = LineRuns(spark, min_docs)
-    for batch in file_batches(docs, batches):
-        runs.add(count_keys(batch, min_chars))
-    settled = runs.settled()
+    runs.add_all(count_keys(docs, min_chars, batches), batches)
+    settled = cut(runs.settled())
+    runs.close()
     out = schema_with(docs, text="string", n_lines="bigint", n_dropped="bigint")
     few = [bytes(r[0]) for r in settled.limit(broadcast_keys + 1).collect()]
 
@@ -140,7 +156,6 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
         return with_columns(batch, text=pa.array([d[0] for d in done], pa.string()), n_lines=pa.array([d[1] for d in done], pa.int64()), n_dropped=pa.array([d[2] for d in done], pa.int64()))
 
     if len(few) <= broadcast_keys:
-        runs.close()
         hot = spark.sparkContext.broadcast(frozenset(few))
         return map_rows(docs, lambda batch: cut_batch(batch, [hot.value] * batch.num_rows), out)
 

@@ -2,16 +2,22 @@
 
 Sets are grouped into bands of sizes; two sets with Jaccard similarity 3/4 or more lie in one band or in
 neighbouring ones, and differ in at most k elements, k being a seventh of their sizes together. The domain of
-shingles is split into m > k parts by a hash, and each part with what the set holds of it is one signature (of
-the enumerated subsets of parts, those of one part: the second level is trivial). Two similar sets agree on at
-least m - k parts, so they share a signature.
-
-Signatures that say little are left out where that loses nothing. A part is weak for a set if all that the set
-holds of it is nothing, or shingles that a noted share of the corpus has. A set with fewer than m - k weak
-parts shares a strong one with each set similar to it; other sets go on to a second hash, then to ones where
-only empty parts are weak, and last to one where all parts count. Sets that are equal are one class from the
-start. Shared signatures give groups; the groups' pairs are verified on the exact sets, first the pairs with
-each group's smallest member, then those between what is not connected yet.
+shingles is split by a hash into first-level partitions, and each of these into PARTS second-level parts. If two
+sets differ in at most k elements, all but k // 2 of the partitions hold at most one difference, so that in those
+the sets agree on all parts but one: each subset of PARTS - 1 parts of a partition, with what the set holds of
+it, is one signature, and similar sets share one in each such partition. A set need not enumerate all partitions:
+of any k // 2 + 1 of them one is shared, so it stops after the first that are so many.
+
+Signatures that say little are left out where that loses nothing. A subset is weak for a set if all that the set
+holds of it is nothing, or shingles that a noted share of the corpus has; partitions with a weak subset aren't
+counted among those so many. A set that has too few others goes on to a second hash, then to ones where only empty
+subsets are weak, and last to one where all count. Of two similar sets the one that stops first has k // 2 + 1
+partitions without weak subsets, one of which the sets share, and the other has not stopped before that.
+
+Sets that are equal are one class from the start. What shares a signature is paired: small groups all with all,
+others with their smallest member (within a task first, so a signature of many sets is few rows when it is dealt
+out), and pairs are verified on the exact sets. Members that this leaves unconnected are compared with the others
+block by block, each pair of blocks in a task of its own.
 """
 
 from __future__ import annotations
@@ -26,11 +32,11 @@ from pyspark.sql import functions as F
 from .common import cut, map_rows, read, texts_of, tune, width
 from .graphs import components
 
-WORDS, PERCENT = 5, 75
-NOTED_SHARE, NOTED_LEAST, WINDOW_DOCS = 0.0004, 16, 4096
+WORDS, PERCENT, PARTS = 5, 75, 3
+NOTED_SHARE, NOTED_LEAST, NOTED_MOST, WINDOW_DOCS = 0.0004, 16, 1 << 20, 4096
 STRONG_SEEDS, FULL_SEEDS = 2, 6
 FLUSH, BUCKET_SIGNATURES = 1_200_000, 1_500_000
-ALL_PAIRS_UP_TO, BROADCAST_IDS, HUB_PAIRS, SKETCH_CHUNK = 8, 1_000_000, 256, 1 << 20
+ALL_PAIRS_UP_TO, BROADCAST_IDS, HUB_PAIRS, SKETCH_CHUNK, BLOCK = 8, 1_000_000, 256, 1 << 20, 512
 
 U = np.uint64
 BASE = 0xD1342543DE82EF95
@@ -73,9 +79,17 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def node_of(elements: np.ndarray) -> int:
-    """The identity of a set, as a signed 64-bit number."""
-    return int(mix(np.array([mix(elements ^ U(0xA0761D6478BD642F)).sum(dtype=np.uint64) + U(len(elements))]))[0].astype(np.int64))
+def identity(elements: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set, as signed 64-bit numbers: its node, and what tells it from other sets of that node."""
+    sums = [mix(elements ^ U(k)).sum(dtype=np.uint64) + U(len(elements)) for k in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+    node, check = mix(np.array(sums)).astype(np.int64).tolist()
+    return node, check
+
+
+def node_of(elements: np.ndarray, mixed: frozenset = frozenset()) -> int:
+    """A set's node; where different sets have one (`mixed`), the second hash stands for it."""
+    node, check = identity(elements)
+    return check if node in mixed else node
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -125,14 +139,14 @@ class Sketches:
 
 
 class Bands:
-    """Size bands and their numbers of parts, for one similarity."""
+    """Size bands and their numbers of partitions, for one similarity. A band reaches over two steps of that similarity, so half of its sets have none similar in the next."""
 
     def __init__(self, percent: int = PERCENT):
         self.percent, self.ends = percent, [0]
 
     def of(self, size: int) -> int:
         while self.ends[-1] < size:
-            self.ends.append((self.ends[-1] + 1) * 100 // self.percent)
+            self.ends.append((self.ends[-1] + 1) * 10_000 // self.percent**2)
         return int(np.searchsorted(self.ends, size))
 
     def end(self, band: int) -> int:
@@ -144,55 +158,58 @@ class Bands:
         """How many elements two similar sets with so many together differ in, at most."""
         return both * (100 - self.percent) // (100 + self.percent)
 
-    def parts(self, band: int) -> int:
-        k = self.differ(2 * self.end(band))
-        return 1 if k == 0 else k + 2 + k // 7
+    def partitions(self, band: int) -> int:
+        bad = self.differ(2 * self.end(band)) // 2
+        return bad + 1 + bad // 5
 
     def plans(self, size: int) -> list[tuple[int, int, int]]:
-        """(band, parts, weak parts that are too many) for which a set of this size makes signatures."""
+        """(band, partitions, how many without weak subsets are enough) for which a set of this size makes signatures."""
         band, most = self.of(size), size * 100 // self.percent
-        out = [(band, self.parts(band), self.differ(size + min(most, self.end(band))))]
+        out = [(band, self.differ(size + min(most, self.end(band))))]
         if most > self.end(band):
-            out.append((band + 1, self.parts(band + 1), self.differ(size + most)))
-        return [(b, m, m - min(k, m - 1)) for b, m, k in out]
+            out.append((band + 1, self.differ(size + most)))
+        return [(b, self.partitions(b), k // 2 + 1) for b, k in out]
 
 
 def signatures(elements: np.ndarray, noted: np.ndarray, bands: Bands) -> np.ndarray:
-    """A set's signatures as 64-bit hashes of (band, seed, part, what is in the part)."""
+    """A set's signatures as 64-bit hashes of (band, seed, partition, part left out, what is in the others)."""
     if len(noted):
         at = np.searchsorted(noted, elements)
         rare = noted[np.minimum(at, len(noted) - 1)] != elements
     else:
         rare = np.ones(len(elements), bool)
-    out, seeded = [], {}
-    for band, m, limit in bands.plans(len(elements)):
+    out, seeded = [np.zeros(0, np.uint64)], {}
+    for band, m, enough in bands.plans(len(elements)):
         for seed in range(STRONG_SEEDS + FULL_SEEDS + 1):
             if seed not in seeded:
                 x = mix(elements ^ mix(np.array([seed + 1], np.uint64))[0]) if seed else elements
                 order = np.argsort(x) if seed else slice(None)
-                seeded[seed] = (x[order], rare[order], mix(x[order] + U(seed + 77)))
+                seeded[seed] = (x[order], rare[order].astype(np.int64), mix(x[order] + U(seed + 77)))
             x, scarce, content = seeded[seed]
-            part = (((x >> U(32)) * U(m)) >> U(32)).astype(np.int64)
+            part = (((x >> U(32)) * U(m * PARTS)) >> U(32)).astype(np.int64)
             starts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
-            sums = np.add.reduceat(content, starts)
+            sums, held = np.zeros(m * PARTS, np.uint64), np.zeros(m * PARTS, np.int64)
+            sums[part[starts]] = np.add.reduceat(content, starts)
             if seed < STRONG_SEEDS:
-                strong = np.add.reduceat(scarce.astype(np.int64), starts) > 0
-                sums, at = sums[strong], part[starts][strong]
+                held[part[starts]] = np.add.reduceat(scarce, starts)
             else:
-                at = part[starts]
-            weak = m - len(at)
-            if seed == STRONG_SEEDS + FULL_SEEDS and weak:  # the last hash: empty parts count as well
-                empty = np.setdiff1d(np.arange(m), at)
-                sums, at = np.concatenate([sums, np.zeros(len(empty), np.uint64)]), np.concatenate([at, empty])
+                held[part[starts]] = 1
+            sums, held = sums.reshape(m, PARTS), held.reshape(m, PARTS)
+            strong = held.sum(axis=1, keepdims=True) > held if seed < STRONG_SEEDS + FULL_SEEDS else np.ones((m, PARTS), bool)
+            whole = np.cumsum(strong.all(axis=1))
+            stop = int(np.searchsorted(whole, enough)) + 1  # the partition with which there are enough
             key = (U(band) << U(40)) + (U(seed) << U(32))
-            out.append(mix(sums + mix(at.astype(np.uint64) + key)))
-            if weak < limit:
+            names = mix(np.arange(min(stop, m) * PARTS, dtype=np.uint64) + key).reshape(-1, PARTS)
+            every = mix(sums.sum(axis=1, keepdims=True, dtype=np.uint64)[:stop] - sums[:stop] + names)
+            out.append(every[strong[:stop]])
+            if stop <= m:
                 break
     return np.concatenate(out)
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """kind 0: (doc_id, n, node, sketch) for each row; kind 1: (x, c), shingles found often in a window of documents."""
+    """kind 0: (doc_id, text_key, n, node, check, sketch) for each row; kind 1: (x, c), shingles found often in a window of documents."""
+    names = ["kind", "doc_id", "text_key", "n", "node", "check", "sketch", "x", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = [], set()
@@ -204,56 +221,77 @@ def sets_of(docs: DataFrame) -> DataFrame:
             held.clear()
             seen.clear()
             none = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), none, none, none, pa.nulls(n, pa.binary()), pa.array(x[often].astype(np.int64)), pa.array(c[often].astype(np.int64))], names=["kind", "doc_id", "n", "node", "sketch", "x", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), *[none] * 5, pa.nulls(n, pa.binary()), pa.array(x[often].astype(np.int64)), pa.array(c[often].astype(np.int64))], names=names)
 
         for batch in batches:
-            ns, nodes, sketches = [], [], []
+            ns, nodes, checks, sketches = [], [], [], []
             for text in texts_of(batch):
                 elements = shingles(text)
                 ns.append(len(elements))
                 sketches.append(sketch(elements).tobytes() if len(elements) else None)
-                nodes.append(node_of(elements) if len(elements) else None)
-                if len(elements) and nodes[-1] not in seen:
-                    seen.add(nodes[-1])
+                node, check = identity(elements) if len(elements) else (None, None)
+                nodes.append(node)
+                checks.append(check)
+                if len(elements) and node not in seen:
+                    seen.add(node)
                     held.append(elements)
             n = batch.num_rows
             none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), none, none], names=["kind", "doc_id", "n", "node", "sketch", "x", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), *[pa.array(c, pa.int64()) for c in (ns, nodes, checks)], pa.array(sketches, pa.binary()), none, none], names=names)
             if len(held) >= WINDOW_DOCS:
                 yield noted()
         if held:
             yield noted()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id bigint, n bigint, node bigint, sketch binary, x bigint, c bigint")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return keyed.mapInArrow(run, "kind int, doc_id bigint, text_key bigint, n bigint, node bigint, check bigint, sketch binary, x bigint, c bigint")
+
 
+PLAIN, PAIRS, HUBS = 0, 1, 2
 
-def signature_blocks(docs: DataFrame, noted, buckets: int, percent: int) -> DataFrame:
-    """(bucket, nodes, at, high, low): signatures dealt to buckets, packed by task; 40 bits of each are kept beside its bucket."""
+
+def signature_blocks(docs: DataFrame, noted, mixed: frozenset, buckets: int, percent: int) -> DataFrame:
+    """(bucket, kind, nodes, at, high, low): signatures dealt to buckets, packed by task; 40 bits of each are kept beside its bucket.
+
+    A signature that more than ALL_PAIRS_UP_TO sets of a block share sends the smallest of them only (HUBS), and the
+    pairs of that one with the others go along as they are (PAIRS).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, nodes, sigs, sizes, seen, held = Bands(percent), [], [], [], set(), 0
 
-        def blocks():
-            every, at = np.concatenate(sigs), np.repeat(np.arange(len(nodes), dtype="<u4"), sizes)
-            bucket = (every & U(0xFFFFFF)) % U(buckets)
-            order = np.argsort(bucket, kind="stable")
-            every, at, bucket = every[order], at[order], bucket[order]
-            edges = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
+        def packed(kind: int, key: np.ndarray, node: np.ndarray):
+            bucket = (key >> U(40)).astype(np.int64)
+            edges = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]) if len(bucket) else [0]
             for a, b in zip(edges[:-1], edges[1:]):
-                own, local = np.unique(at[a:b], return_inverse=True)
-                kind = "<u2" if len(own) < 1 << 16 else "<u4"
-                yield int(bucket[a]), np.array(nodes, "<i8")[own].tobytes(), local.astype(kind).tobytes(), (every[a:b] >> U(32)).astype("<u4").tobytes(), ((every[a:b] >> U(24)) & U(255)).astype("<u1").tobytes()
+                own, local = np.unique(node[a:b], return_inverse=True)
+                yield int(bucket[a]), kind, own.astype("<i8").tobytes(), local.astype("<u2" if len(own) < 1 << 16 else "<u4").tobytes(), (key[a:b] >> U(8)).astype("<u4").tobytes(), (key[a:b] & U(255)).astype("<u1").tobytes()
+
+        def blocks():
+            every, node = np.concatenate(sigs), np.repeat(np.array(nodes, np.int64), sizes)
+            key = (((every & U(0xFFFFFF)) % U(buckets)) << U(40)) | (every >> U(24))
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1]) if len(key) else np.zeros(0, np.int64)
+            many = np.diff(np.concatenate([starts, [len(key)]]))
+            large = np.repeat(many > ALL_PAIRS_UP_TO, many)
+            yield from packed(PLAIN, key[~large], node[~large])
+            if large.any():
+                first = starts[many > ALL_PAIRS_UP_TO]
+                yield from packed(HUBS, key[first], node[first])
+                pairs = unique_pairs(np.repeat(node[first], many[many > ALL_PAIRS_UP_TO]), node[large])
+                yield int(key[first[0]] >> U(40)), PAIRS, pairs[0].astype("<i8").tobytes(), pairs[1].astype("<i8").tobytes(), b"", b""
 
         def flush():
-            columns = list(zip(*blocks()))
-            kinds = (pa.int32(), *[pa.binary()] * 4)
+            kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+            columns = list(zip(*blocks())) or [()] * len(kinds)
             nodes.clear(), sigs.clear(), sizes.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["bucket", "nodes", "at", "high", "low"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["bucket", "kind", "nodes", "at", "high", "low"])
 
         for batch in batches:
             for text in texts_of(batch):
                 elements = shingles(text)
-                if not len(elements) or (node := node_of(elements)) in seen:
+                if not len(elements) or (node := node_of(elements, mixed)) in seen:
                     continue  # the same set's signatures need no second copy
                 if len(seen) > 200_000:
                     seen.clear()
@@ -269,41 +307,60 @@ def signature_blocks(docs: DataFrame, noted, buckets: int, percent: int) -> Data
         if nodes:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket int, nodes binary, at binary, high binary, low binary")
+    return docs.select("text").mapInArrow(run, "bucket int, kind int, nodes binary, at binary, high binary, low binary")
+
 
+def unique_pairs(a: np.ndarray, b: np.ndarray, *also: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The pairs of different numbers, each once, in order; of what goes along, the greatest."""
+    order = np.lexsort((*also, b, a))
+    a, b = a[order], b[order]
+    last = np.ones(len(a), bool)
+    last[:-1] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    last &= a != b
+    return a[last], b[last], *(x[order][last] for x in also)
 
-def groups_of(table: pa.Table) -> pa.Table:
-    """Groups of two or more nodes that share a signature of this bucket, each set of members once."""
-    nodes, sigs = [], []
-    for own, at, high, low in zip(*(table.column(c).to_pylist() for c in ("nodes", "at", "high", "low"))):
+
+def pairs_of(table: pa.Table) -> pa.Table:
+    """(a, b, large) of what shares a signature of this bucket: all pairs of small groups; others, and those that hold a HUBS row, the pairs with their smallest member."""
+    nodes, sigs, hubs, ends = [], [], [], [[], [], []]
+    for kind, own, at, high, low in zip(*(table.column(c).to_pylist() for c in ("kind", "nodes", "at", "high", "low"))):
+        if kind == PAIRS:
+            ends[0].append(np.frombuffer(own, "<i8"))
+            ends[1].append(np.frombuffer(at, "<i8"))
+            ends[2].append(np.ones(len(at) // 8, bool))
+            continue
         high = np.frombuffer(high, "<u4")
         nodes.append(np.frombuffer(own, "<i8")[np.frombuffer(at, "<u2" if len(at) == 2 * len(high) else "<u4")])
         sigs.append((high.astype(np.uint64) << U(8)) | np.frombuffer(low, "<u1").astype(np.uint64))
-    node, sig = np.concatenate(nodes), np.concatenate(sigs)
-    order = np.argsort(sig, kind="stable")
-    node, sig = node[order], sig[order]
-    same = sig[1:] == sig[:-1]
-    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    node, sig = node[shared], sig[shared]
-    order = np.lexsort((node, sig))
-    node, sig = node[order], sig[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    node, sig = node[new], sig[new]
-    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-    sizes = np.diff(np.concatenate([starts, [len(sig)]]))
-    many = sizes > 1
-    starts, sizes = starts[many], sizes[many]
-    gids, members = [], []
-    if len(starts):
-        inner = np.repeat(many, np.diff(np.concatenate([np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])), [len(sig)]])))
-        node = node[inner]
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        ids = mix(np.add.reduceat(mix(node.astype(np.uint64)), starts) + sizes.astype(np.uint64))
-        _, first = np.unique(ids, return_index=True)
-        gids = ids[first].astype(np.int64)
-        members = [node[starts[i] : starts[i] + sizes[i]] for i in first]
-    return pa.table({"gid": pa.array(gids, pa.int64()), "members": pa.array(members, pa.list_(pa.int64()))})
+        hubs.append(np.full(len(high), kind == HUBS))
+    if nodes:
+        node, sig, hub = np.concatenate(nodes), np.concatenate(sigs), np.concatenate(hubs)
+        order = np.argsort(sig, kind="stable")
+        node, sig, hub = node[order], sig[order], hub[order]
+        same = sig[1:] == sig[:-1]
+        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        node, sig, hub = node[shared], sig[shared], hub[shared]
+        order = np.lexsort((node, sig))
+        node, sig, hub = node[order], sig[order], hub[order]
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+        sizes = np.diff(np.concatenate([starts, [len(sig)]]))
+        large = sizes > ALL_PAIRS_UP_TO
+        if len(starts):
+            large |= np.logical_or.reduceat(hub, starts)
+        for n in range(2, ALL_PAIRS_UP_TO + 1):
+            of = starts[(sizes == n) & ~large]
+            if len(of):
+                i, j = np.triu_indices(n, 1)
+                members = node[of[:, None] + np.arange(n)]
+                ends[0].append(members[:, i].ravel())
+                ends[1].append(members[:, j].ravel())
+                ends[2].append(np.zeros(len(of) * len(i), bool))
+        if large.any():
+            ends[0].append(np.repeat(node[starts[large]], sizes[large]))
+            ends[1].append(node[np.repeat(large, sizes)])
+            ends[2].append(np.ones(len(ends[1][-1]), bool))
+    a, b, large = unique_pairs(*(np.concatenate([np.zeros(0, k), *e]) for e, k in zip(ends, (np.int64, np.int64, bool))))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "large": pa.array(large)})
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -340,29 +397,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(check, "a bigint, b bigint, linked boolean")
 
 
-def pairs_of(groups: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of small groups; of others the pairs with their smallest member."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        left, right = [], []
-        for members in batch.column("members"):
-            node = members.values.to_numpy(zero_copy_only=False)
-            if len(node) == 2:
-                left.append(node[:1])
-                right.append(node[1:])
-            elif len(node) <= ALL_PAIRS_UP_TO:
-                i, j = np.triu_indices(len(node), 1)
-                left.append(node[i])
-                right.append(node[j])
-            else:
-                left.append(np.full(len(node) - 1, node[0]))
-                right.append(node[1:])
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return map_rows(groups.select("members"), run, "a bigint, b bigint").distinct()
-
-
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs that sizes and sketches don't rule out."""
 
@@ -378,45 +412,49 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return map_rows(both.select("a", "b", "na", "nb", "xa", "xb"), run, "a bigint, b bigint")
 
 
-def cross_pairs(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the likely pairs of each group's members whose roots differ.
+def members_of(stars: DataFrame) -> DataFrame:
+    """(of, node): what shares a large group with its smallest member, over the smallest ones of blocks too."""
+    direct = stars.select(F.col("a").alias("of"), F.col("b").alias("node"))
+    further = stars.alias("s").join(stars.alias("t"), F.col("s.b") == F.col("t.a")).select(F.col("s.a").alias("of"), F.col("t.b").alias("node"))
+    own = direct.select("of", F.col("of").alias("node"))
+    return direct.unionByName(further).unionByName(own).distinct()
 
-    groups (hub, members) are those that verification left in parts, by their smallest member; nodes (of, node,
-    root, n, sketch) are what is known of a hub's nodes, once, however many groups share them.
+
+def cross_pairs(held: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the likely pairs of members of one group whose roots differ; held is (of, node, root, n, sketch), `of` among its own members.
+
+    Members connected with the smallest one need no comparison with each other. They and the rest are dealt to blocks
+    of about BLOCK; each block of the rest meets each block, one pair of blocks a task.
     """
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        node, root, n = (right.column(c).to_numpy() for c in ("node", "root", "n"))
-        order = np.argsort(node)
-        known = Sketches(n[order], right.column("sketch").take(pa.array(order)).to_pylist())
-        node, root = node[order], root[order]
-        inside = [np.searchsorted(node, m.values.to_numpy(zero_copy_only=False)) for m in left.column("members")]
-        found_a, found_b = [], []
-        for at in range(0, len(node), 512):
-            meet = np.zeros((min(512, len(node) - at), len(node)), bool)
-            for own in inside:
-                rows = own[(own >= at) & (own < at + 512)] - at
-                if len(rows):
-                    meet[np.ix_(rows, own)] = True
-            i, j = np.nonzero(meet)
-            i += at
-            keep = (i < j) & (root[i] != root[j])
-            i, j = i[keep], j[keep]
-            ok = known.may_be_similar(i, j, percent)
-            found_a.append(node[i[ok]])
-            found_b.append(node[j[ok]])
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *found_a]), "b": np.concatenate([none, *found_b])})
-
-    return groups.groupBy("hub").cogroup(nodes.groupBy("of")).applyInArrow(run, "a bigint, b bigint").distinct()
-
-
-def sets_for(pairs: DataFrame, classes: DataFrame, docs: DataFrame, unique: bool) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        node, root, n, block = (table.column(c).to_numpy() for c in ("node", "root", "n", "block"))
+        known = Sketches(n, table.column("sketch").to_pylist())
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        p, q = np.repeat(left, len(right)), np.tile(right, len(left))
+        keep = (root[p] != root[q]) & ((node[p] < node[q]) | (i != j))
+        p, q = p[keep], q[keep]
+        ok = known.may_be_similar(p, q, percent)
+        a, b = node[p[ok]], node[q[ok]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    main = held.where("node = of").select("of", F.col("root").alias("main"))
+    held = held.join(main, "of").withColumn("rest", F.col("root") != F.col("main"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    counts = held.groupBy("of").agg(blocks(F.count_if(~F.col("rest"))).alias("mains"), blocks(F.count_if("rest")).alias("rests"))
+    placed = held.join(counts, "of").withColumn("block", F.when(F.col("rest"), F.col("mains") + F.pmod(F.xxhash64("node"), F.col("rests"))).otherwise(F.pmod(F.xxhash64("node"), F.col("mains"))).cast("int"))
+    other = F.explode(F.sequence(F.when(F.col("rest"), F.lit(0)).otherwise(F.col("mains")), F.col("mains") + F.col("rests") - 1))
+    dealt = placed.withColumn("other", other).select("of", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n", "sketch")
+    return dealt.groupBy("of", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
+def sets_for(pairs: DataFrame, classes: DataFrame, docs: DataFrame, unique: bool, mixed: frozenset = frozenset()) -> DataFrame:
     """(node, elements) for the ends of pairs, read from the text of each class's smallest doc_id; unique: no doc_id is repeated."""
 
     def elements(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [shingles(t) for t in texts_of(batch)]
-        return pa.RecordBatch.from_arrays([pa.array([node_of(e) if len(e) else None for e in made], pa.int64()), pa.array([e.astype("<u8").tobytes() for e in made], pa.binary())], names=["node", "elements"])
+        return pa.RecordBatch.from_arrays([pa.array([node_of(e, mixed) if len(e) else None for e in made], pa.int64()), pa.array([e.astype("<u8").tobytes() for e in made], pa.binary())], names=["node", "elements"])
 
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     ids = cut(nodes.join(classes, "node").select(F.col("rep").alias("doc_id")).distinct())
@@ -427,49 +465,75 @@ def sets_for(pairs: DataFrame, classes: DataFrame, docs: DataFrame, unique: bool
     return cut(sets if unique else sets.dropDuplicates(["node"]))
 
 
-def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs.
+def similarity_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, kept) for each row of docs; text_key is xxhash64 of the text.
 
     component_id is the smallest doc_id reachable by links; two rows link if 100 * |intersection| >= percent *
-    |union| of their shingle sets. Null texts and texts without words have empty sets, link with nothing and are
-    their own component, as are rows whose set no other row's comes near. Rows with a repeated doc_id are joined
-    by what their texts say. Texts of any length are read whole. An empty table gives no rows. Sets are held as
-    sorted 64-bit hashes of their shingles.
+    |union| of their shingle sets. kept: the row is its component's first by doc_id (nulls last), then text_key, or
+    one equal to that in both; ties are such repeated rows. Null texts and texts without words have empty sets, link
+    with nothing and are kept and their own component, as are rows whose set no other row's comes near. Rows with a
+    repeated doc_id are joined by what their texts say. Texts of any length are read whole. An empty table gives no
+    rows. Sets are held as sorted 64-bit hashes of their shingles, and told apart by 128 bits.
     """
     spark = docs.sparkSession
     tune(spark)
     made = cut(sets_of(docs))
-    rows = made.where("kind = 0").select("doc_id", "n", "node")
+    told = made.where("node is not null").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high")
+    mixed = frozenset(r.node for r in told.select("node").collect())  # different sets of one 64-bit hash: a handful among ten billion
+    made = made.withColumn("node", F.when(F.col("node").isin(*mixed), F.col("check")).otherwise(F.col("node"))) if mixed else made
+    rows = made.where("kind = 0").select("doc_id", "text_key", "n", "node")
     unique = rows.groupBy("doc_id").count().where("count > 1").isEmpty()
     total, count = rows.agg(F.sum("n"), F.count("*")).first()
-    classes = made.where("kind = 0 and node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    # noted shingles are at most mean set size / NOTED_SHARE, whatever the corpus' size
+    first_row = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")
+    classes = cut(made.where("kind = 0 and node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(first_row).alias("keeper"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    # a shingle noted is in at least NOTED_SHARE of the documents, so there are at most mean set size / NOTED_SHARE; which are noted changes no result
     often = made.where("kind = 1").groupBy("x").agg(F.sum("c").alias("c")).where(F.col("c") >= max(NOTED_LEAST, NOTED_SHARE * (count or 0)))
-    noted = np.sort(np.array([r[0] for r in often.select("x").collect()], dtype=np.int64).astype(np.uint64))
+    noted = np.sort(np.array([r[0] for r in often.orderBy(F.desc("c"), "x").limit(NOTED_MOST).select("x").collect()], dtype=np.int64).astype(np.uint64))
     buckets = max(width(spark), -(-int((total or 0) * 0.9) // BUCKET_SIGNATURES), 1)
-    blocks = signature_blocks(docs, spark.sparkContext.broadcast(noted), buckets, percent)
-    shared = blocks.groupBy("bucket").applyInArrow(groups_of, "gid bigint, members array<bigint>")
-    groups = cut(shared.dropDuplicates(["gid"]))
-    pairs = cut(likely(pairs_of(groups), classes, percent))
-    sets = sets_for(pairs, classes, docs, unique)
+    blocks = signature_blocks(docs, spark.sparkContext.broadcast(noted), mixed, buckets, percent)
+    shared = cut(blocks.groupBy("bucket").applyInArrow(pairs_of, "a bigint, b bigint, large boolean").groupBy("a", "b").agg(F.max("large").alias("large")))
+    pairs = cut(likely(shared.select("a", "b"), classes, percent))
+    sets = sets_for(pairs, classes, docs, unique, mixed)
     first = cut(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent))
     roots = cut(components(first.where("linked")))
     rest = cut(verified(apart(pairs.join(first, ["a", "b"], "left_anti"), roots), sets, percent))
-    tested = first.unionByName(rest)
-    large = groups.where(F.size("members") > ALL_PAIRS_UP_TO).select("gid", F.explode("members").alias("node"))
-    roots = cut(components(tested.where("linked")))
-    labelled = large.join(roots, "node", "left").select("gid", "node", F.coalesce("root", "node").alias("root"))
-    parts = labelled.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gid")
-    open_groups = cut(groups.join(parts, "gid", "left_semi").select(F.col("members")[0].alias("hub"), "members"))
-    held = open_groups.select(F.col("hub").alias("of"), F.explode("members").alias("node")).distinct()
-    held = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(classes.drop("rep"), "node")
-    more = cut(cross_pairs(open_groups, held, percent).join(pairs, ["a", "b"], "left_anti"))
-    last = cut(verified(more, sets_for(more, classes, docs, unique), percent)) if not more.isEmpty() else tested.limit(0)
-    links = tested.unionByName(last).where("linked")
-    reach = classes.select("node", "rep").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = reach.groupBy("root").agg(F.min("rep").alias("low"))
-    found = reach.join(lowest, "root").select("node", "low")
-    return rows.join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
+    links = first.unionByName(rest).where("linked").select("a", "b")
+    roots = cut(components(links))
+    stars = shared.where("large").select("a", "b")
+    if not stars.isEmpty():
+        held = members_of(stars).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        parts = held.groupBy("of").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("of")
+        held = held.join(parts, "of", "left_semi").join(classes.select("node", "n", "sketch"), "node")
+        more = cut(cross_pairs(held, percent).join(pairs, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            last = cut(verified(more, sets_for(more, classes, docs, unique, mixed), percent))
+            roots = cut(components(links.unionByName(last.where("linked").select("a", "b"))))
+    reach = classes.select("node", "rep", "keeper").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = reach.groupBy("root").agg(F.min("rep").alias("low"), F.min("keeper").alias("first"))
+    found = cut(reach.join(lowest, "root").select("node", "low", "first"))
+    own = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")
+    out = rows.join(found, "node", "left")
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"), F.coalesce(own.eqNullSafe(F.col("first")) | F.col("first").isNull(), F.lit(True)).alias("kept"))
+
+
+def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs, as similarity_rows has them."""
+    return similarity_rows(docs, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component: of rows equal in doc_id and text, which are one component's if they have words, one stays; rows without words all do.
+
+    Rows go by doc_id and text, so an unrelated row of the same doc_id stays. An empty table gives none; a column of docs named text_key is kept as it is.
+    """
+    rows = cut(similarity_rows(docs, percent))
+    gone = rows.where("not kept").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
+    again = rows.where("kept and n_shingles > 0").groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).count().where("count > 1").drop("count")
+    on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k"))
+    kept = docs.join(gone, on, "left_anti")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
