@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.llm import language_id, line_runs, packing, partenum, pii
-from trialspark.llm.common import read, scratch_path
+from trialspark.llm.common import mark, read, release, remove_path, scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,32 +21,50 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told stay; null texts, texts without a letter and undecided ones go."""
-    model = language_id.train(docs.where(~F.coalesce(language_id.held_out(), F.lit(False))))
+    """Documents whose language is told stay; null texts, texts without a letter and undecided ones go.
+
+    Without any row of a known language there is nothing to tell languages by, and all texts with a letter stay. A
+    null doc_id is not held out. Texts of any length are read whole; repeated rows are judged alike, ties go to the
+    first language by name; an empty table gives none.
+    """
+    model = language_id.train(docs.where(~language_id.held_out()))
+    if not model[0]:
+        return docs.where(F.col("text").rlike(r"(?U)[^\W\d_]")).select(*COLUMNS)
     scored = language_id.identify(docs, model)
     return scored.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= language_id.MIN_SCORE)).select(*COLUMNS)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go; every document stays, if need be with an empty text."""
+    """Lines found in ten documents or more go; every document stays, if need be with an empty text, which null becomes too.
+
+    Repeated rows count as documents of their own; texts of any length are read whole; an empty table gives none.
+    """
     return _documents(line_runs.dedup_lines(docs))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shared shingles the one of the smallest doc_id stays; those without words stay."""
-    groups = partenum.similarity_components(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.select(*COLUMNS)
+    """Of documents linked by shared shingles the first row by doc_id (nulls last), then by a hash of its text, stays.
+
+    Rows are told apart by doc_id and text: an unlinked row stays whatever else its doc_id has, and of rows equal in
+    both one stays. Rows without words (null and empty texts too) all stay; an empty table gives none.
+    """
+    return partenum.keep_first(docs).select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data becomes <KIND>; every document stays."""
+    """Personal data becomes <KIND>; every document stays, a null text null; repeated rows are redacted alike.
+
+    Texts of any length are read whole; of overlapping spans the union goes; an empty table gives none.
+    """
     return _documents(pii.find(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in the sequences."""
+    """The pieces of all documents with their places in the sequences.
+
+    Null and empty texts are one piece of the separator; repeated rows are packed one by one; ties of length go by a
+    hash of the document; long texts are cut at the capacity; an empty table gives none.
+    """
     return packing.pack(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -63,9 +81,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """All stages over `documents`. What a stage wrote is removed once the next has read it; the last one's rows stay."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = scratch_path(spark, name)
+        path, since = scratch_path(spark, name), mark()
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        release(spark, since)
+        if before:
+            remove_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
