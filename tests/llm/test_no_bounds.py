@@ -1,0 +1,58 @@
+"""What no length may cut: spans, texts, small training tables."""
+
+import random
+
+import numpy as np
+
+from trialspark.llm import isolation, pii
+
+
+def test_written_addresses_of_any_length():
+    rng, model = random.Random(2), pii.model()
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    for local, host, labels in ((90, 20, 2), (12, 80, 2), (12, 9, 7), (300, 100, 9)):
+        mail = f"{word(local)} [at] {word(host)}" + "".join(f" [dot] {word(5)}" for _ in range(labels)) + " [dot] com"
+        (base, more), = pii.all_spans([f"write to {mail}"], *model)
+        assert pii.redact(f"write to {mail}", base + more) == "write to <EMAIL>", mail
+
+
+def test_generators_are_linear():
+    import time
+
+    def took(text: str) -> float:
+        began = time.perf_counter()
+        pii.candidates(text)
+        pii.base_spans(text)
+        return time.perf_counter() - began
+
+    for part in ("a at b.cc ", "a", "1-", "a [at] ", "key: ", "AB12", "1 2 ", "@a.", "+1"):
+        took(part * 1000)
+        assert took(part * 200_000) < 14 * max(0.02, took(part * 20_000)), part
+
+
+def forest_inputs(spark, clean: int, junk: int):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinshrd") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(60, 300)))
+    rows = [(i, text()) for i in range(200)] + [(1000 + i, " ".join(rng.choice(words) + "###$$$" for _ in range(100))) for i in range(20)]
+    labels = [(i, 1) for i in range(clean)] + [(1000 + i, 0) for i in range(junk)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int")
+
+
+def test_few_labels_still_make_a_forest(spark):
+    for clean, junk in ((6, 4), (1, 2), (0, 0)):
+        docs, labels = forest_inputs(spark, clean, junk)
+        model = isolation.train(docs, labels)
+        assert model[0] is not None, (clean, junk)
+        kept = {r.doc_id: r.kept for r in isolation.judge(docs, model).collect()}
+        if clean == 6:
+            assert not any(kept[1000 + i] for i in range(20))
+    twice = labels.union(spark.createDataFrame([(i, q) for i in range(50) for q in (0, 1)], labels.schema))
+    assert isolation.train(docs, twice)[0] is not None  # a doc_id labelled both ways has the lower quality; none is clean, so all stand for it
+
+
+def test_the_forest_is_told_apart_from_its_threshold(spark):
+    docs, labels = forest_inputs(spark, 200, 20)
+    forest, threshold, limit = isolation.train(docs, labels)
+    scores = np.array([r.anomaly for r in isolation.judge(docs, (forest, threshold, limit)).where("doc_id < 1000").collect()])
+    assert (scores <= threshold).mean() > 0.95

@@ -73,7 +73,7 @@ BARE = 20
 GENERATORS = (
     ("secret", re.compile(r"(?i)(?<![a-z])(?:token|secret|password|passwd|pwd|api[_-]?key|apikey|auth|bearer|key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.=-]{6,}+)")),
     ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])([A-Za-z0-9+/_-]{20,}+)")),
-    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64}+\s?(?:\[at\]|\(at\)|\sat\s)\s?[A-Za-z0-9-]{1,63}(?:(?:\s?(?:\[dot\]|\(dot\)|\sdot\s)\s?|\.)[A-Za-z0-9-]{2,63}){1,4})")),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++\s?(?:\[at\]|\(at\)|\sat\s)\s?[A-Za-z0-9-]++(?:(?:\s?(?:\[dot\]|\(dot\)|\sdot\s)\s?|\.)[A-Za-z0-9-]{2,}+)++)")),
     ("phone", re.compile(r"(?<![0-9.+-])(\(?[0-9]{2,5}\)?(?:[ .-][0-9]{2,4}){2,4})(?![0-9.-])")),
     ("account", re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")),
     ("social", re.compile(r"(?<![0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")),
@@ -268,7 +268,8 @@ def find(docs: DataFrame, redacted: bool = True) -> DataFrame:
     """docs with counts of the base kinds, base (joined spans), spans (base and added ones) and, if redacted, text redacted.
 
     Null texts are empty and have no spans (a redacted null stays null); texts of any length are read whole, in
-    time linear in their length; repeated rows give repeated results. Columns of docs with these names are replaced.
+    time linear in their length; of candidates equal in chance the first in the text is added; repeated rows give
+    repeated results, an empty table none. Columns of docs with these names are replaced.
     """
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model())
