@@ -3,22 +3,26 @@
 A unit vector x is stored as int8 codes times a scale, x', with e = |x - x'|. Then
     |x.y - x'.y'| <= e_x |y'| + e_y |x'| + e_x e_y,
 so only pairs whose tile product plus that bound reaches the threshold can link, and only they are computed in
-double precision. Tiles are pairs of bounded blocks of one label; a tile returns link counts and a spanning
+double precision. Vectors are dealt to the leaves of a tree over a few directions; unit vectors of cosine t are at
+most sqrt(2 - 2t) apart, in those directions as well, so pairs of leaves whose boxes lie further apart have no
+link. Tiles are pairs of bounded parts of the other leaves of one label; a tile returns link counts and a spanning
 forest of its links, never all of them, so a dense group costs its size and not its square in rows.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_rows, read, tune
 from .graphs import components
 
-THRESHOLD, BLOCK, BROADCAST_LABELS = 0.98, 1024, 100_000
+THRESHOLD, BLOCK, PART, BROADCAST_LABELS = 0.98, 1024, 8192, 100_000
+#: The tree: its directions and leaves at most, and the vectors that it is grown on (bytes at most); what it is changes no result.
+DIRECTIONS, LEAVES, SAMPLE, SAMPLE_BYTES, SLACK = 8, 256, 4096, 16 << 20, 1e-6
 
 
 def usable(vector: list | None) -> bool:
@@ -87,53 +91,148 @@ def tile_links(left: tuple, right: tuple | None, threshold: float) -> tuple[np.n
     return i[keep], j[keep]
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+class Tree:
+    """Leaves over the main directions of a sample of unit vectors, all of one length; others have leaf 0."""
+
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.size = sample.shape[1] if len(sample) else 0
+        self.axes = np.linalg.svd(sample, full_matrices=False)[2][:DIRECTIONS] if len(sample) else np.zeros((0, 0))
+        self.splits: list[tuple[int, float]] = []  # (axis, value) of inner nodes, level by level
+        parts = [self.places(sample)] if len(sample) else []
+        while parts and 2 * len(parts) <= leaves:
+            halves = []
+            for part in parts:
+                axis = int(np.ptp(part, axis=0).argmax()) if len(part) else 0
+                value = float(np.median(part[:, axis])) if len(part) else 0.0
+                self.splits.append((axis, value))
+                halves += [part[part[:, axis] < value], part[part[:, axis] >= value]]
+            parts = halves
+        self.depth = len(self.splits).bit_length()
+
+    def places(self, unit: np.ndarray) -> np.ndarray:
+        """Coordinates along the directions, and the length of what is across them: distances between these are no larger than those of the vectors."""
+        along = unit @ self.axes.T
+        return np.column_stack([along, np.sqrt(np.maximum((unit * unit).sum(axis=1) - (along * along).sum(axis=1), 0))])
+
+    def leaf(self, places: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(places), np.int64)
+        if self.splits:
+            axis, value = np.array([a for a, _ in self.splits]), np.array([v for _, v in self.splits])
+            rows = np.arange(len(places))
+            for _ in range(self.depth):
+                at = 2 * at + 1 + (places[rows, axis[at]] >= value[at])
+            at -= len(self.splits)
+        return at
+
+
+def matrix_of(raw: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def near_leaves(boxes: dict[int, tuple[np.ndarray, np.ndarray]], threshold: float) -> list[tuple[int, list[int]]]:
+    """For each leaf those whose boxes, lows and highs, are near enough for a link."""
+    reach, out = np.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK, []
+    for a, (low, high) in sorted(boxes.items()):
+        gap = {b: np.maximum(0, np.maximum(low - h, lo - high)) for b, (lo, h) in boxes.items()}
+        out.append((a, [b for b in sorted(boxes) if np.sqrt((gap[b] ** 2).sum()) <= reach]))
+    return out
+
+
+def prepared(batch: pa.RecordBatch, kind: str) -> pa.RecordBatch:
+    """Vectors as bytes; null what can't link; -0.0 is 0.0."""
+    column = batch.column("embedding")
+    lengths = pc.unique(pc.list_value_length(column)).to_pylist()
+    if column.null_count == 0 and len(lengths) == 1 and lengths[0] and column.flatten().null_count == 0:
+        data = column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(batch.num_rows, -1) + np.zeros(1, kind)
+        wide = data.astype(np.float64)
+        with np.errstate(all="ignore"):
+            size = (wide * wide).sum(axis=1)
+        good = np.isfinite(wide).all(axis=1) & np.isfinite(size) & (size > 0)
+        rows = [x.tobytes() if g else None for x, g in zip(data, good)]
+    else:
+        every = column.to_pylist()
+        rows = [(np.asarray(x, dtype=kind) + np.zeros(1, kind)).tobytes() if usable(x) else None for x in every]
+    return pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(rows, pa.binary())], names=["vec_id", "label", "vector"])
+
+
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, part: int = PART, leaves: int = LEAVES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label).
 
     Vectors link if their labels are equal and not null and their cosine is at least the threshold. Unusable
-    vectors (null, zero, null or non-finite components, or another length than the block's others) and null
+    vectors (null, zero, null or non-finite components, or another length than those compared) and null
     labels link with nothing. Equal vectors of a label are one class: they link with each other without being
     compared, and a class is compared once. Rows with a repeated vec_id count as vectors of their own. Other
-    columns are left out; an empty table gives no rows.
+    columns are left out; vectors may be of any length; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     tune(spark)
-
-    def prepare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = batch.column("embedding").to_pylist()
-        good = [usable(x) for x in rows]
-        data = [np.asarray(x, dtype="<f8").tobytes() if g else None for x, g in zip(rows, good)]
-        data = [x and (np.frombuffer(x, "<f8") + 0.0).tobytes() for x in data]  # -0.0 is 0.0
-        return pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(data, pa.binary())], names=["vec_id", "label", "vector"])
-
-    kind = dict(vectors.dtypes)["label"]
-    rows = cut(map_rows(vectors.select("vec_id", "label", "embedding"), prepare, f"vec_id bigint, label {kind}, vector binary"))
+    kind = "<f4" if "float" in dict(vectors.dtypes)["embedding"] else "<f8"
+    label = dict(vectors.dtypes)["label"]
+    rows = cut(map_rows(vectors.select("vec_id", "label", "embedding"), lambda batch: prepared(batch, kind), f"vec_id bigint, label {label}, vector binary"))
     able = "label is not null and vector is not null"
     # a class: a label's equal vectors; null vec_ids are ids like others, after all numbers
     classes = rows.where(able).groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = classes.withColumn("node", F.xxhash64("label", "vector", F.length("vector")))
-    per = cut(classes.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
-    placed = classes.join(F.broadcast(per) if per.count() <= BROADCAST_LABELS else per, "label")
-    placed = cut(placed.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "vector"), F.col("parts")).cast("int")))
-    # block p of n meets every block q: tile (max, min)
-    tiled = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("label", F.greatest("part", "other").alias("i"), F.least("part", "other").alias("j"), "part", "node", "copies", "vector")
+    classes = cut(classes.withColumn("node", F.xxhash64("label", "vector", F.length("vector"))))
+    mixed = [r.node for r in classes.groupBy("node").count().where("count > 1").collect()]  # classes of one 64-bit hash: a handful among ten billion
+    if mixed:
+        classes = classes.withColumn("node", F.when(F.col("node").isin(mixed), F.xxhash64(F.lit("second"), "label", "vector")).otherwise(F.col("node")))
+
+    n, longest = classes.agg(F.count("*"), F.max(F.length("vector"))).first()
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    wanted = 1 << max(0, min(leaves, -(-largest // part)).bit_length() - 1)
+    width = (longest or 0) // int(kind[2])
+    share = min(1.0, min(SAMPLE, SAMPLE_BYTES // max(1, 8 * width)) / max(1, n))
+    drawn = classes.where((F.length("vector") == longest) & (F.pmod(F.xxhash64(F.lit("tree"), "vector"), F.lit(1 << 20)) < int(share * (1 << 20)))) if wanted > 1 else classes.limit(0)
+    sample = [bytes(r.vector) for r in drawn.select("vector").collect()]
+    tree = spark.sparkContext.broadcast(Tree(units(matrix_of(sample, kind)) if sample else np.zeros((0, 0)), wanted))
+
+    def place(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw, t = batch.column("vector").to_pylist(), tree.value
+        at, leaf, places = np.array([len(x) == t.size * int(kind[2]) for x in raw], bool), np.zeros(len(raw), np.int64), np.zeros((len(raw), t.axes.shape[0] + 1))
+        if at.any():
+            places[at] = t.places(units(matrix_of([x for x, a in zip(raw, at) if a], kind)))
+            leaf[at] = t.leaf(places[at])
+        places[~at] = np.nan  # compared with every leaf
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf.astype(np.int32)), pa.array(list(places), pa.list_(pa.float64()))], names=[*batch.schema.names, "leaf", "places"])
+
+    placed = cut(map_rows(classes, place, f"label {label}, vector binary, rep bigint, copies bigint, node bigint, leaf int, places array<double>"))
+    ends = [f(F.get("places", F.lit(i))).alias(f"{name}{i}") for i in range(tree.value.axes.shape[0] + 1) for name, f in (("low", F.min), ("high", F.max))]
+    boxes = {r.leaf: tuple(np.nan_to_num(np.array([r[f"{name}{i}"] for i in range(len(ends) // 2)], float), nan=fill) for name, fill in (("low", -np.inf), ("high", np.inf))) for r in placed.groupBy("leaf").agg(*ends).collect()}  # a row a leaf
+    near = spark.createDataFrame(near_leaves(boxes, threshold), "leaf int, near array<int>")
+    # (label, leaf, parts): each leaf of a label in parts of bounded size
+    per = cut(placed.groupBy("label", "leaf").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")))
+    every = per.groupBy("label").agg(F.collect_list(F.struct("leaf", "parts")).alias("every"))  # at most LEAVES a label
+    known = per.join(every, "label").join(F.broadcast(near), "leaf")
+    known = F.broadcast(known) if per.count() <= BROADCAST_LABELS else known
+    own = placed.drop("places", "rep").join(known, ["label", "leaf"]).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "vector"), F.col("parts")).cast("int"))
+    own = own.withColumn("here", F.struct("leaf", "part"))
+    met = F.flatten(F.transform(F.filter("every", lambda x: F.array_contains("near", x["leaf"])), lambda x: F.transform(F.sequence(F.lit(0), x["parts"] - 1), lambda k: F.struct(x["leaf"].alias("leaf"), k.alias("part")))))
+    tiled = own.withColumn("other", F.explode(met)).select("label", F.greatest("here", "other").alias("i"), F.least("here", "other").alias("j"), "here", "node", "copies", "vector")
+    tiled = tiled.select("label", F.concat_ws("/", "i.leaf", "i.part").alias("i"), F.concat_ws("/", "j.leaf", "j.part").alias("j"), F.concat_ws("/", "here.leaf", "here.part").alias("here"), "node", "copies", "vector")
 
     def tile(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        part, raw = table.column("part").to_numpy(), table.column("vector").to_pylist()
+        left, raw = pc.equal(table.column("here"), i).to_numpy(), table.column("vector").to_pylist()
         node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
         out_node, out_n, out_a, out_b = [], [], [], []
         for n in sorted({len(x) for x in raw}):  # vectors of another length never compare
             same = np.array([len(x) == n for x in raw])
-            data = np.frombuffer(b"".join(x for x, s in zip(raw, same) if s), "<f8").reshape(-1, n // 8)
-            own, num, at = node[same], copies[same], part[same]
+            own, num, at, data = node[same], copies[same], left[same], matrix_of([x for x, s in zip(raw, same) if s], kind)
             order = np.argsort(own, kind="stable")
             data, own, num, at = data[order], own[order], num[order], at[order]
-            a, b = np.flatnonzero(at == i), np.flatnonzero(at == j)
-            left = (own[a], data[a])
-            right = None if i == j else (own[b], data[b])
-            x, y = tile_links(left, right, threshold)
-            x, y = a[x], (a if i == j else b)[y]
+            a, b = np.flatnonzero(at), np.flatnonzero(at if i == j else ~at)
+            xs, ys = [], []
+            for p in range(0, len(a), block):
+                for q in range(p if i == j else 0, len(b), block):
+                    u, v = a[p : p + block], b[q : q + block]
+                    x, y = tile_links((own[u], data[u]), None if i == j and p == q else (own[v], data[v]), threshold)
+                    xs.append(u[x])
+                    ys.append(v[y])
+            x, y = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (xs, ys))
             links = np.bincount(x, weights=num[y], minlength=len(own)) + np.bincount(y, weights=num[x], minlength=len(own))
             hit = links > 0
             out_node.append(own[hit])
