@@ -31,7 +31,7 @@ def texts(spark, sf=SF):
 # ---- components
 
 
-def test_components(spark):
+def test_components(spark):  # both ways
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, x) for x in range(501, 530)] + [(rng.randint(1000, 1200), rng.randint(1000, 1200)) for _ in range(150)] + [(7, 7)]
     parent = {x: x for e in edges for x in e}
@@ -44,7 +44,8 @@ def test_components(spark):
     for a, b in edges:
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), few=0).collect()}
+    assert got == {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
 
 

@@ -159,6 +159,33 @@ def prepared(batch: pa.RecordBatch, kind: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(rows, pa.binary())], names=["vec_id", "label", "vector"])
 
 
+def planted(classes: DataFrame, n: int, longest: int, leaves: int, kind: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """classes with their leaf, and (leaf, near): which leaves may hold links with each."""
+    spark, wide = classes.sparkSession, int(kind[2])
+    share = min(1.0, min(SAMPLE, SAMPLE_BYTES * wide // max(1, 8 * longest)) / n)
+    drawn = classes.where((F.length("vector") == longest) & (F.pmod(F.xxhash64(F.lit("tree"), "vector"), F.lit(1 << 20)) < int(share * (1 << 20))))
+    sample = [bytes(r.vector) for r in drawn.select("vector").collect()]
+    tree = Tree(units(matrix_of(sample, kind)) if sample else np.zeros((0, 0)), leaves)
+    shared, ends = spark.sparkContext.broadcast(tree), len(tree.axes) + 1
+
+    def place(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw, t = batch.column("vector").to_pylist(), shared.value
+        at, leaf, places = np.array([len(x) == t.size * wide for x in raw], bool), np.zeros(len(raw), np.int32), np.full((len(raw), ends), np.nan)
+        if at.any():
+            places[at] = t.places(units(matrix_of([x for x, a in zip(raw, at) if a], kind)))
+            leaf[at] = t.leaf(places[at])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(list(places), pa.list_(pa.float64()))], names=[*batch.schema.names, "leaf", "places"])
+
+    fields = ", ".join(f"{name} {t}" for name, t in classes.dtypes)
+    placed = cut(map_rows(classes, place, f"{fields}, leaf int, places array<double>"))
+    known = F.filter("places", lambda x: ~F.isnan(x))  # vectors of another length are in leaf 0 with all others they compare with
+    edges = [f(F.get(known, F.lit(i))).alias(f"{name}{i}") for i in range(ends) for name, f in (("low", F.min), ("high", F.max))]
+    rows = placed.groupBy("leaf").agg(*edges).collect()  # a row a leaf
+    boxes = {r.leaf: tuple(np.array([np.nan if r[f"{name}{i}"] is None else r[f"{name}{i}"] for i in range(ends)], float) for name in ("low", "high")) for r in rows}
+    boxes = {leaf: (np.nan_to_num(low, nan=-np.inf), np.nan_to_num(high, nan=np.inf)) for leaf, (low, high) in boxes.items()}
+    return placed.drop("places"), spark.createDataFrame(near_leaves(boxes, threshold), "leaf int, near array<int>")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, part: int = PART, leaves: int = LEAVES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label).
 
@@ -181,34 +208,18 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     if mixed:
         classes = classes.withColumn("node", F.when(F.col("node").isin(mixed), F.xxhash64(F.lit("second"), "label", "vector")).otherwise(F.col("node")))
 
-    n, longest = classes.agg(F.count("*"), F.max(F.length("vector"))).first()
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    wanted = 1 << max(0, min(leaves, -(-largest // part)).bit_length() - 1)
-    width = (longest or 0) // int(kind[2])
-    share = min(1.0, min(SAMPLE, SAMPLE_BYTES // max(1, 8 * width)) / max(1, n))
-    drawn = classes.where((F.length("vector") == longest) & (F.pmod(F.xxhash64(F.lit("tree"), "vector"), F.lit(1 << 20)) < int(share * (1 << 20)))) if wanted > 1 else classes.limit(0)
-    sample = [bytes(r.vector) for r in drawn.select("vector").collect()]
-    tree = spark.sparkContext.broadcast(Tree(units(matrix_of(sample, kind)) if sample else np.zeros((0, 0)), wanted))
-
-    def place(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw, t = batch.column("vector").to_pylist(), tree.value
-        at, leaf, places = np.array([len(x) == t.size * int(kind[2]) for x in raw], bool), np.zeros(len(raw), np.int64), np.zeros((len(raw), t.axes.shape[0] + 1))
-        if at.any():
-            places[at] = t.places(units(matrix_of([x for x, a in zip(raw, at) if a], kind)))
-            leaf[at] = t.leaf(places[at])
-        places[~at] = np.nan  # compared with every leaf
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf.astype(np.int32)), pa.array(list(places), pa.list_(pa.float64()))], names=[*batch.schema.names, "leaf", "places"])
-
-    placed = cut(map_rows(classes, place, f"label {label}, vector binary, rep bigint, copies bigint, node bigint, leaf int, places array<double>"))
-    ends = [f(F.get("places", F.lit(i))).alias(f"{name}{i}") for i in range(tree.value.axes.shape[0] + 1) for name, f in (("low", F.min), ("high", F.max))]
-    boxes = {r.leaf: tuple(np.nan_to_num(np.array([r[f"{name}{i}"] for i in range(len(ends) // 2)], float), nan=fill) for name, fill in (("low", -np.inf), ("high", np.inf))) for r in placed.groupBy("leaf").agg(*ends).collect()}  # a row a leaf
-    near = spark.createDataFrame(near_leaves(boxes, threshold), "leaf int, near array<int>")
+    n, largest, longest = classes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.length("vector")).alias("size")).agg(F.sum("n"), F.max("n"), F.max("size")).first()
+    wanted = 1 << max(0, min(leaves, -(-(largest or 0) // part)).bit_length() - 1)
+    if wanted == 1:
+        placed, near = classes.withColumn("leaf", F.lit(0)), spark.createDataFrame([(0, [0])], "leaf int, near array<int>")
+    else:
+        placed, near = planted(classes, n, longest, wanted, kind, threshold)
     # (label, leaf, parts): each leaf of a label in parts of bounded size
     per = cut(placed.groupBy("label", "leaf").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")))
     every = per.groupBy("label").agg(F.collect_list(F.struct("leaf", "parts")).alias("every"))  # at most LEAVES a label
     known = per.join(every, "label").join(F.broadcast(near), "leaf")
     known = F.broadcast(known) if per.count() <= BROADCAST_LABELS else known
-    own = placed.drop("places", "rep").join(known, ["label", "leaf"]).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "vector"), F.col("parts")).cast("int"))
+    own = placed.drop("rep").join(known, ["label", "leaf"]).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "vector"), F.col("parts")).cast("int"))
     own = own.withColumn("here", F.struct("leaf", "part"))
     met = F.flatten(F.transform(F.filter("every", lambda x: F.array_contains("near", x["leaf"])), lambda x: F.transform(F.sequence(F.lit(0), x["parts"] - 1), lambda k: F.struct(x["leaf"].alias("leaf"), k.alias("part")))))
     tiled = own.withColumn("other", F.explode(met)).select("label", F.greatest("here", "other").alias("i"), F.least("here", "other").alias("j"), "here", "node", "copies", "vector")
