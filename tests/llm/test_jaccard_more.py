@@ -69,3 +69,23 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, words), (5, other), (9, None), (9, None), (2, "")], key=str)
     assert partenum.keep_first(df.where("doc_id = 7")).count() == 1  # equal rows are one
     assert partenum.keep_first(df.limit(0)).count() == 0 and SF
+
+
+@pytest.mark.parametrize("chain", [True, False])
+def test_open_groups_cover_all_pairs_that_may_be_missed(spark, chain):
+    """Groups in a long chain stay apart, groups of one crowd become one; members of one group with two roots always meet."""
+    rng = random.Random(3)
+    groups = [list(range(i * 10, i * 10 + 11)) for i in range(12)] if chain else [sorted(rng.sample(range(60), 40)) for _ in range(30)]
+    own = {10 * i + 3: [1000 + 10 * i + k for k in range(9)] for i in range(4)}  # what smallest members of one task stand for
+    stars = [(g[0], x, partenum.ALL) for g in groups for x in g[1:]] + [(a, x, partenum.OWN) for a, held in own.items() for x in held]
+    roots = {x: x - x % 4 for g in [*groups, *own.values()] for x in g} if chain else {x: x - x % 4 for x in range(0, 2000)}
+    known = [(x, r) for x, r in roots.items() if any(x in s[:2] for s in stars)]
+    got = partenum.open_groups(spark.createDataFrame(stars, "a bigint, b bigint, marks bigint"), spark.createDataFrame(known, "node bigint, root bigint")).collect()
+    held = {}
+    for r in got:
+        held.setdefault(r.of, {})[r.node] = (r.root, r.main)
+    assert (len(held) > 5) == chain and all(len({m for _, m in h.values()}) == 1 for h in held.values())
+    met = {(x, y) for h in held.values() for x in h for y in h if h[x][0] != h[y][0]}
+    for g in groups:
+        every = {y for x in g for y in [x, *own.get(x, ())]}
+        assert {(x, y) for x in every for y in every if roots[x] != roots[y]} <= met

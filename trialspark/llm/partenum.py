@@ -248,6 +248,8 @@ def sets_of(docs: DataFrame) -> DataFrame:
 
 
 PLAIN, PAIRS, HUBS = 0, 1, 2
+#: What a pair is besides a candidate: a smallest member and another one of a large group, of one task's or of all.
+OWN, ALL = 1, 2
 
 
 def signature_blocks(docs: DataFrame, noted, mixed: frozenset, buckets: int, percent: int) -> DataFrame:
@@ -279,7 +281,7 @@ def signature_blocks(docs: DataFrame, noted, mixed: frozenset, buckets: int, per
             if large.any():
                 first = starts[many > ALL_PAIRS_UP_TO]
                 yield from packed(HUBS, key[first], node[first])
-                pairs = unique_pairs(np.repeat(node[first], many[many > ALL_PAIRS_UP_TO]), node[large])
+                pairs = unique_pairs(np.repeat(node[first], many[many > ALL_PAIRS_UP_TO]), node[large], np.full(int(large.sum()), OWN))
                 yield int(key[first[0]] >> U(40)), PAIRS, pairs[0].astype("<i8").tobytes(), pairs[1].astype("<i8").tobytes(), b"", b""
 
         def flush():
@@ -310,24 +312,25 @@ def signature_blocks(docs: DataFrame, noted, mixed: frozenset, buckets: int, per
     return docs.select("text").mapInArrow(run, "bucket int, kind int, nodes binary, at binary, high binary, low binary")
 
 
-def unique_pairs(a: np.ndarray, b: np.ndarray, *also: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The pairs of different numbers, each once, in order; of what goes along, the greatest."""
-    order = np.lexsort((*also, b, a))
-    a, b = a[order], b[order]
-    last = np.ones(len(a), bool)
-    last[:-1] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    last &= a != b
-    return a[last], b[last], *(x[order][last] for x in also)
+def unique_pairs(a: np.ndarray, b: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of different numbers, each once, in order, with their marks together."""
+    order = np.lexsort((b, a))
+    a, b, marks = a[order], b[order], marks[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    marks = np.bitwise_or.reduceat(marks, np.flatnonzero(first)) if len(a) else marks
+    a, b = a[first], b[first]
+    return a[a != b], b[a != b], marks[a != b]
 
 
 def pairs_of(table: pa.Table) -> pa.Table:
-    """(a, b, large) of what shares a signature of this bucket: all pairs of small groups; others, and those that hold a HUBS row, the pairs with their smallest member."""
+    """(a, b, marks) of what shares a signature of this bucket: all pairs of small groups; others, and those that hold a HUBS row, the pairs with their smallest member."""
     nodes, sigs, hubs, ends = [], [], [], [[], [], []]
     for kind, own, at, high, low in zip(*(table.column(c).to_pylist() for c in ("kind", "nodes", "at", "high", "low"))):
         if kind == PAIRS:
             ends[0].append(np.frombuffer(own, "<i8"))
             ends[1].append(np.frombuffer(at, "<i8"))
-            ends[2].append(np.ones(len(at) // 8, bool))
+            ends[2].append(np.full(len(at) // 8, OWN))
             continue
         high = np.frombuffer(high, "<u4")
         nodes.append(np.frombuffer(own, "<i8")[np.frombuffer(at, "<u2" if len(at) == 2 * len(high) else "<u4")])
@@ -354,13 +357,13 @@ def pairs_of(table: pa.Table) -> pa.Table:
                 members = node[of[:, None] + np.arange(n)]
                 ends[0].append(members[:, i].ravel())
                 ends[1].append(members[:, j].ravel())
-                ends[2].append(np.zeros(len(of) * len(i), bool))
+                ends[2].append(np.zeros(len(of) * len(i), np.int64))
         if large.any():
             ends[0].append(np.repeat(node[starts[large]], sizes[large]))
             ends[1].append(node[np.repeat(large, sizes)])
-            ends[2].append(np.ones(len(ends[1][-1]), bool))
-    a, b, large = unique_pairs(*(np.concatenate([np.zeros(0, k), *e]) for e, k in zip(ends, (np.int64, np.int64, bool))))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "large": pa.array(large)})
+            ends[2].append(np.full(len(ends[1][-1]), ALL))
+    a, b, marks = unique_pairs(*(np.concatenate([np.zeros(0, np.int64), *e]) for e in ends))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "marks": pa.array(marks, pa.int64())})
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -412,19 +415,46 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return map_rows(both.select("a", "b", "na", "nb", "xa", "xb"), run, "a bigint, b bigint")
 
 
-def members_of(stars: DataFrame) -> DataFrame:
-    """(of, node): what shares a large group with its smallest member, over the smallest ones of blocks too."""
-    direct = stars.select(F.col("a").alias("of"), F.col("b").alias("node"))
-    further = stars.alias("s").join(stars.alias("t"), F.col("s.b") == F.col("t.a")).select(F.col("s.a").alias("of"), F.col("t.b").alias("node"))
-    own = direct.select("of", F.col("of").alias("node"))
-    return direct.unionByName(further).unionByName(own).distinct()
+def members_of(shared: DataFrame) -> DataFrame:
+    """(of, node): what shares a large group with its smallest member; a group over several tasks has what their smallest members stand for."""
+    stars = lambda mark, a, b: shared.where(F.col("marks").bitwiseAND(mark) > 0).select(F.col("a").alias(a), F.col("b").alias(b))
+    every, own = stars(ALL, "of", "node"), stars(OWN, "by", "node")
+    hubs = every.select("of", F.col("of").alias("by")).unionByName(every.select("of", F.col("node").alias("by"))).distinct()
+    further = hubs.join(own, "by").select("of", "node")
+    alone = own.join(hubs.select("by").distinct(), "by", "left_anti").select(F.col("by").alias("of"), "node")  # the others' members are among a larger group's
+    out = every.unionByName(further).unionByName(alone)
+    return out.unionByName(out.select("of", F.col("of").alias("node"))).distinct()
+
+
+def open_groups(stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """(of, main, node, root): the groups with members whose roots differ from the main one.
+
+    Groups that overlap, directly or over others, are one where comparing all that they have is fewer pairs than
+    comparing each; its main root is what most of it has. Others are groups of one main, their smallest members' root.
+    """
+    union = components(stars).withColumnRenamed("root", "union")
+    union = cut(union.join(roots, "node", "left").select("node", "union", F.coalesce("root", "node").alias("root")))
+    sizes = union.groupBy("union", "root").count().groupBy("union").agg(F.sum("count").alias("n"), F.count("*").alias("parts"), F.max_by("root", F.struct("count", "root")).alias("main")).where("parts > 1")
+    marked = lambda mark: stars.where(F.col("marks").bitwiseAND(mark) > 0).select("a", "b")
+    own = marked(OWN).groupBy(F.col("a").alias("b")).agg(F.count("*").alias("own"))
+    stand = marked(ALL).join(own, "b", "left").groupBy("a").agg(F.sum(1 + F.coalesce("own", F.lit(0))).alias("held"))
+    stand = stand.unionByName(own.select(F.col("b").alias("a"), F.col("own").alias("held"))).groupBy("a").agg(F.sum("held").alias("held"))
+    apart = stand.join(union, F.col("a") == F.col("node")).groupBy("union").agg(F.sum(F.col("held").cast("double") ** 2).alias("apart"))
+    split = cut(sizes.join(apart, "union").select("union", "main", (F.col("apart") > F.col("n").cast("double") ** 2).alias("wide")))
+    once = union.join(split.where("wide").select("union", "main"), "union").select(F.col("union").alias("of"), "main", "node", "root")
+    named = union.join(split.where("not wide").select("union"), "union", "left_semi").select("node", "root")
+    if split.where("not wide").isEmpty():
+        return once
+    left = stars.join(named.select(F.col("node").alias("a")), "a", "left_semi")
+    held = members_of(left).join(named.select(F.col("node").alias("of"), F.col("root").alias("main")), "of").join(named, "node").select(F.col("main").alias("of"), "main", "node", "root").distinct()
+    return once.unionByName(held.join(held.where("root <> main").select("of").distinct(), "of", "left_semi"))
 
 
 def cross_pairs(held: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the likely pairs of members of one group whose roots differ; held is (of, node, root, n, sketch), `of` among its own members.
+    """(a, b): the likely pairs of members of one group whose roots differ; held is (of, main, node, root, n, sketch).
 
-    Members connected with the smallest one need no comparison with each other. They and the rest are dealt to blocks
-    of about BLOCK; each block of the rest meets each block, one pair of blocks a task.
+    Members of the main root need no comparison with each other. They and the rest are dealt to blocks of about
+    BLOCK; each block of the rest meets each block, one pair of blocks a task.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -439,12 +469,12 @@ def cross_pairs(held: DataFrame, percent: int) -> DataFrame:
         a, b = node[p[ok]], node[q[ok]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    main = held.where("node = of").select("of", F.col("root").alias("main"))
-    held = held.join(main, "of").withColumn("rest", F.col("root") != F.col("main"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    counts = held.groupBy("of").agg(blocks(F.count_if(~F.col("rest"))).alias("mains"), blocks(F.count_if("rest")).alias("rests"))
-    placed = held.join(counts, "of").withColumn("block", F.when(F.col("rest"), F.col("mains") + F.pmod(F.xxhash64("node"), F.col("rests"))).otherwise(F.pmod(F.xxhash64("node"), F.col("mains"))).cast("int"))
-    other = F.explode(F.sequence(F.when(F.col("rest"), F.lit(0)).otherwise(F.col("mains")), F.col("mains") + F.col("rests") - 1))
+    blocks, rest = lambda n: F.ceil(n / BLOCK).cast("int"), F.col("root") != F.col("main")
+    counts = cut(held.groupBy("of").agg(blocks(F.count_if(~rest)).alias("mains"), blocks(F.count_if(rest)).alias("rests")))
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_IDS else counts  # 16 bytes each
+    place = F.when(rest, F.col("mains") + F.pmod(F.xxhash64("node"), F.greatest("rests", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.greatest("mains", F.lit(1))))
+    placed = held.join(counts, "of").where("rests > 0").withColumn("block", place.cast("int"))
+    other = F.explode(F.sequence(F.when(rest, F.lit(0)).otherwise(F.col("mains")), F.col("mains") + F.col("rests") - 1))
     dealt = placed.withColumn("other", other).select("of", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n", "sketch")
     return dealt.groupBy("of", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
@@ -491,7 +521,7 @@ def similarity_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     noted = np.sort(np.array([r[0] for r in often.orderBy(F.desc("c"), "x").limit(NOTED_MOST).select("x").collect()], dtype=np.int64).astype(np.uint64))
     buckets = max(width(spark), -(-int((total or 0) * 0.9) // BUCKET_SIGNATURES), 1)
     blocks = signature_blocks(docs, spark.sparkContext.broadcast(noted), mixed, buckets, percent)
-    shared = cut(blocks.groupBy("bucket").applyInArrow(pairs_of, "a bigint, b bigint, large boolean").groupBy("a", "b").agg(F.max("large").alias("large")))
+    shared = cut(blocks.groupBy("bucket").applyInArrow(pairs_of, "a bigint, b bigint, marks bigint").groupBy("a", "b").agg(F.bit_or("marks").alias("marks")))
     pairs = cut(likely(shared.select("a", "b"), classes, percent))
     sets = sets_for(pairs, classes, docs, unique, mixed)
     first = cut(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent))
@@ -499,11 +529,9 @@ def similarity_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rest = cut(verified(apart(pairs.join(first, ["a", "b"], "left_anti"), roots), sets, percent))
     links = first.unionByName(rest).where("linked").select("a", "b")
     roots = cut(components(links))
-    stars = shared.where("large").select("a", "b")
+    stars = shared.where("marks > 0")
     if not stars.isEmpty():
-        held = members_of(stars).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        parts = held.groupBy("of").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("of")
-        held = held.join(parts, "of", "left_semi").join(classes.select("node", "n", "sketch"), "node")
+        held = open_groups(stars, roots).join(classes.select("node", "n", "sketch"), "node")
         more = cut(cross_pairs(held, percent).join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             last = cut(verified(more, sets_for(more, classes, docs, unique, mixed), percent))
