@@ -40,7 +40,7 @@ def test_query_matches_sql(spark, sf, duck, name):
     assert got == sorted(str([near(r[names.index(c)]) for c in sorted(names)]) for r in cur.fetchall())
 
 
-@pytest.mark.parametrize("name", ["flt1_all_records", "gr3_all_neighbours", "jn9_all_evidence", "ev1_all_validate", "ev3_all_assemble"])
+@pytest.mark.parametrize("name", ["flt1_subject_records", "gr3_neighbours", "jn9_evidence", "ev1_validate", "ev3_assemble"])
 def test_whole_table_query_matches_sql(spark, sf, duck, name):
     test_query_matches_sql(spark, sf, duck, name)
     df, n = registry.QUERIES[name](spark, sf), tables(spark, sf)["dm"].count()

@@ -18,7 +18,7 @@ def test_dates(spark):
     cases = {
         "2026-01-28": (day, None), "2026-1-28": (day, None), "2026-01-28T10:30:00": (day, None), "28-JAN-2026": (day, None), "28-jan-2026": (day, None), "28 January 2026": (day, None), "2026/01/28": (day, None), "28/01/2026": (day, None), "20260128": (day, None),
         "28-JAN-26": (None, "ambiguous_two_digit_year"), "28-FOO-2026": (None, "unknown_month"), "2026-13-45": (None, "invalid_calendar_date"), "31-FEB-2026": (None, "invalid_calendar_date"), "2026/00/10": (None, "invalid_calendar_date"), "32/01/2026": (None, "invalid_calendar_date"), "20261340": (None, "invalid_calendar_date"),
-        "Jan 2026": (None, "unrecognised_format"), "2026": (None, "unrecognised_format"), "12-2026": (None, "unrecognised_format"), "": (None, "missing"), None: (None, "missing"), "N/A": (None, "missing"), "\t2026-01-28 ": (day, None),
+        "Jan 2026": (None, "unrecognised_format"), "2026": (None, "unrecognised_format"), "12-2026": (None, "unrecognised_format"), "": (None, "missing"), None: (None, "missing"), "N/A": (None, "unrecognised_format"), "2026-01-28 10:30 local": (day, None), "2026-01-28T10+05": (day, None), "\t2026-01-28 ": (day, None),
     }
     got = values(spark, list(cases), N.parse_date)
     for (text, want), v in zip(cases.items(), got):
@@ -28,13 +28,14 @@ def test_dates(spark):
 def test_lab_values(spark):
     cases = {
         "12.4": ("numeric", 12.4), "12": ("numeric", 12.0), "1e2": ("numeric", 100.0), " 7.0 ": ("numeric", 7.0), "-0.5": ("numeric", -0.5), ".5": ("numeric", 0.5), "+3": ("numeric", 3.0), "12,4": ("numeric", 12.4), "1,234.5": ("non_numeric", None),
-        "<5": ("censored", None), "< 5": ("censored", None), ">200": ("censored", None), "<=1": ("censored", None), ">= 0,5": ("censored", None), "ND": ("not_detected", None), "nd": ("not_detected", None), "N/D": ("not_detected", None), "BLQ": ("not_detected", None), "NA": ("not_detected", None), "n/a": ("not_detected", None),
+        "<5": ("censored", None), "< 5": ("censored", None), ">200": ("censored", None), "<=1": ("censored", None), ">= 0,5": ("censored", None), "ND": ("not_detected", None), "nd": ("not_detected", None), "N/D": ("not_detected", None), "BLQ": ("not_detected", None), "NA": ("not_detected", None), "n/a": ("not_detected", None), "NOT DONE": ("not_detected", None), "notdone": ("not_detected", None), "Not_Detected": ("not_detected", None), "BLOQ": ("non_numeric", None),
         "": ("missing", None), None: ("missing", None), "POSITIVE": ("non_numeric", None), "12abc": ("non_numeric", None), "12d": ("non_numeric", None), "inf": ("non_numeric", None), "1.2.3": ("non_numeric", None), "--": ("non_numeric", None),
     }
     for (text, want), v in zip(cases.items(), values(spark, list(cases), N.lab_value)):
         assert (v.kind, v.value) == want, text
     limit = values(spark, [">= 0,5"], N.lab_value)[0]
-    assert (limit.operator, limit.bound) == (">=", 0.5)
+    assert (limit.operator, limit.bound, limit.note) == (">=", 0.5, "censored_value_unknown")
+    assert [v.note for v in values(spark, ["ND", "12,4", "5", ""], N.lab_value)] == ["not_detected_or_not_done", "comma_decimal", None, None]
 
 
 @pytest.mark.parametrize("text, want", [("5.0", 5), ("5.5", None), ("nan", None), ("inf", None), ("True", None), (" 7 ", 7), ("1e3", 1000), ("", None), (None, None)])
@@ -45,7 +46,7 @@ def test_to_int(spark, text, want):
 def test_tokens_units_visits(spark):
     assert values(spark, [" Systemic  Glucocorticoid ", "a--b", "_x_"], N.class_token) == ["SYSTEMIC_GLUCOCORTICOID", "A_B", "X"]
     assert values(spark, ["µkat / L", "μKAT/l", "U/L"], N.canonical_unit) == ["ukat/l", "ukat/l", "u/l"]
-    assert values(spark, ["Week 8", "wk-12", "Screening visit", "Baseline", "End of Study", "EOS", "Day -7", "Unscheduled 1", ""], N.visit_code) == ["WEEK8", "WEEK12", "SCREENING", "BASELINE", "EOS", "EOS", "DAY-7", "UNSCHEDULED_1", ""]
+    assert values(spark, ["Week 8", "wk-12", "Screening visit", "Baseline", "End of Study", "EOS", "Day -7", "Unscheduled 1", "", "W02", "Re-screening", "Day−3", "d_14", "Final visit", "eot", "Weekly 3", "Randomisation", "Day 1 of week 2", "Prescreen", "EOS 2"], N.visit_code) == ["WEEK8", "WEEK12", "SCREENING", "BASELINE", "EOS", "EOS", "DAY-7", "UNSCHEDULED_1", "", "WEEK2", "SCREENING", "DAY-3", "DAY14", "EOS", "EOS", "WEEKLY_3", "BASELINE", "DAY1", "PRESCREEN", "EOS_2"]
     match = lambda c: N.match_prohibited(c, F.lit(""), ["Systemic Glucocorticoid", "Sulfonylurea"])
     assert values(spark, ["SYSTEMIC_GLUCOCORTICOID", "GLUCOCORTICOID", "oral systemic glucocorticoid", "sulfonylurea", ""], match) == ["Systemic Glucocorticoid", None, "Systemic Glucocorticoid", "Sulfonylurea", None]
     assert values(spark, ["042-S07-000001", "A-B", "042-S1"], N.site_of) == ["S07", None, None]

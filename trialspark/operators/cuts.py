@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,7 +53,34 @@ def manual_as_of(manuals: DataFrame, version: int) -> DataFrame:
     return manuals.withColumn("_rank", rank).orderBy("_rank", F.col("version").desc_nulls_last(), "name").limit(1).drop("_rank")
 
 
-def delta(df: DataFrame, cut: int, known: Column | None = None) -> DataFrame:
+def delta(df: DataFrame, cut: int) -> DataFrame:
     """What arrives at the cut, by site: records, and whether the site is new."""
-    first = W.partitionBy("site")
-    return df.withColumn("_first", F.min("cut_available").over(first)).where(F.col("cut_available") == cut).groupBy("site").agg(F.count("*").alias("n_new"), (F.min("_first") == cut).alias("is_new_site"))
+    now = F.col("cut_available") == cut
+    out = df.groupBy("site").agg(F.count_if(now).alias("n_new"), (F.min("cut_available") == cut).alias("is_new_site"))
+    return out.where("n_new > 0")
+
+
+def new_places(domains: dict[str, DataFrame], cut: int) -> DataFrame:
+    """(domain, site) with records at the cut and none before."""
+    out = None
+    for name, df in domains.items():
+        one = df.groupBy("site").agg(F.min("cut_available").alias("_first")).where(F.col("_first") == cut).select(F.lit(name).alias("domain"), "site")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def overlay_all(domains: dict[str, DataFrame], corrections: DataFrame, columns: dict[str, dict[str, str]], cut: int | None) -> dict[str, DataFrame]:
+    """Each domain with all its fields corrected: columns maps a domain to its fields' column names. Fields without a correction cost nothing beyond one small job."""
+    told = {(r.domain, r.field) for r in in_force(corrections, cut).select("domain", "field").distinct().collect()}  # a row a field of the study
+    out = dict(domains)
+    for domain, field in sorted(told):
+        column = columns.get(domain, {}).get(field)
+        if column is not None and domain in out:
+            out[domain] = overlay(out[domain], corrections.where(F.col("domain") == domain), field, column, cut).drop("n_corrections")
+    return out
+
+
+def unknown_fields(corrections: DataFrame, columns: dict[str, dict[str, str]]) -> DataFrame:
+    """Corrections to a field that its domain doesn't have: issues, applied to nothing."""
+    known = [d + "." + f for d, names in columns.items() for f in names]
+    return corrections.where(~F.concat_ws(".", "domain", "field").isin(*known))

@@ -21,30 +21,33 @@ def plain(lb: DataFrame) -> DataFrame:
     return lb.select("site", "testcd", "cut_available", F.when(text.rlike(N.NUMBER), text.try_cast("double")).alias("v")).where("v is not null")
 
 
+#: Cuts of a test's values into buckets; they bound the rows that a site's middle is sought in and change no result.
+BUCKETS = 64
+
+
 def _medians(values: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, site, n, med, n_others, med_others): medians of a site's values and of all other sites'.
 
-    The median of the others isn't a sum, but it is an order statistic of the whole: with values ranked in the
-    group and in the site, a value's rank among the others of site s is its rank less the number of s's values up
-    to it. Counting by (group, value) first keeps a group's window to distinct values.
+    The median of the others isn't a sum, but its place is: how many of the others are in a bucket of values is the
+    bucket's count less the site's. So each site's middle ranks, among its own values and among the others', are
+    found by bucket from counts, and then inside that bucket among its distinct values, to which alone they are
+    joined. Buckets are cut at shared quantiles of the group.
     """
-    sites = values.groupBy(*keys, "site").agg(F.count("*").alias("n"), F.percentile("v", 0.5).alias("med"))
-    total = sites.groupBy(*keys).agg(F.sum("n").alias("_all"))
-    cells = values.groupBy(*keys, "site", "v").agg(F.count("*").alias("c"))
-    steps = cells.groupBy(*keys, "v").agg(F.sum("c").alias("c"))
-    w = W.partitionBy(*keys).orderBy("v")
-    steps = steps.withColumn("up", F.sum("c").over(w))  # how many of the group's values are at most v
-    # a site's own step function, only where it changes: between changes the others' count moves with the group's
-    own = cells.withColumn("own_up", F.sum("c").over(W.partitionBy(*keys, "site").orderBy("v"))).withColumn("next", F.lead("v").over(W.partitionBy(*keys, "site").orderBy("v")))
-    start = cells.groupBy(*keys, "site").agg(F.min("v").alias("next")).select(*keys, "site", F.lit(float("-inf")).alias("v"), F.lit(0).cast("bigint").alias("own_up"), "next")
-    spans = own.select(*keys, "site", "v", "own_up", "next").unionByName(start)
-    spans = spans.join(sites.select(*keys, "site", "n"), [*keys, "site"]).join(total, keys).withColumn("_m", F.col("_all") - F.col("n")).where("_m > 0")
-    # the k-th smallest of the others, for the two middle k: the least v with up(v) - own_up(v) >= k
-    wanted = spans.withColumn("k", F.explode(F.array(F.floor((F.col("_m") + 1) / 2), F.floor(F.col("_m") / 2) + 1)))
-    s = steps.withColumnRenamed("v", "sv").select(*keys, "sv", "up")
-    found = wanted.join(s, keys).where("sv >= v and (next is null or sv < next) and up - own_up >= k").groupBy(*keys, "site", "k").agg(F.min("sv").alias("x"))
-    others = found.groupBy(*keys, "site").agg(((F.min_by("x", "k") + F.max_by("x", "k")) / 2).alias("med_others"))
-    return sites.join(total, keys).withColumn("n_others", F.col("_all") - F.col("n")).join(others, [*keys, "site"], "left").drop("_all")
+    cuts = values.groupBy(*keys).agg(F.percentile_approx("v", F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(1000)).alias("_cuts"))
+    cells = values.groupBy(*keys, "site", "v").agg(F.count("*").alias("c")).join(cuts, keys).withColumn("bucket", F.size(F.filter("_cuts", lambda x: x <= F.col("v")))).drop("_cuts")
+    steps = cells.groupBy(*keys, "bucket", "v").agg(F.sum("c").alias("up"))
+    held = cells.groupBy(*keys, "site", "bucket").agg(F.sum("c").alias("own"))
+    grid = held.select(*keys, "site").distinct().join(steps.groupBy(*keys, "bucket").agg(F.sum("up").alias("up")), keys).join(held, [*keys, "site", "bucket"], "left")  # sites * BUCKETS rows a group
+    own = F.coalesce("own", F.lit(0))
+    both = grid.select(*keys, "site", "bucket", F.explode(F.array(F.struct(F.lit(True).alias("mine"), own.alias("c")), F.struct(F.lit(False).alias("mine"), (F.col("up") - own).alias("c")))).alias("_e")).select(*keys, "site", "bucket", "_e.*")
+    group = [*keys, "site", "mine"]
+    both = both.withColumn("to", F.sum("c").over(W.partitionBy(*group).orderBy("bucket"))).withColumn("n", F.sum("c").over(W.partitionBy(*group)))
+    middle = both.withColumn("k", F.explode(F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)))).where("k <= to and k > to - c").withColumn("rank", F.col("k") - F.col("to") + F.col("c"))
+    near = middle.select(*group, "bucket", "k", "rank", "n").join(steps, [*keys, "bucket"]).join(cells.select(*keys, "site", "v", F.col("c").alias("_c")), [*keys, "site", "v"], "left")
+    count = F.when(F.col("mine"), F.coalesce("_c", F.lit(0))).otherwise(F.col("up") - F.coalesce("_c", F.lit(0)))
+    near = near.withColumn("_at", F.sum(count).over(W.partitionBy(*group, "k").orderBy("v"))).where("_at >= rank")
+    found = near.groupBy(*group, "k").agg(F.min("v").alias("x"), F.first("n").alias("n")).groupBy(*keys, "site").pivot("mine", [True, False]).agg(((F.min_by("x", "k") + F.max_by("x", "k")) / 2).alias("med"), F.first("n").alias("n"))
+    return found.select(*keys, "site", F.col("true_n").alias("n"), F.col("true_med").alias("med"), F.coalesce("false_n", F.lit(0)).alias("n_others"), F.col("false_med").alias("med_others"))
 
 
 def median_shift(lb: DataFrame, cut: int, least: int = 5, fold: float = 3.0, tolerance: float = 0.15) -> DataFrame:
@@ -60,9 +63,10 @@ def median_shift(lb: DataFrame, cut: int, least: int = 5, fold: float = 3.0, tol
     return out.select("site", "testcd", "n", "n_others", "ratio", "prior", "shift", matched.alias("matched"), (matched.isNotNull() | (F.col("shift") >= fold)).alias("is_shift"))
 
 
-def low_variation(lb: DataFrame, cut: int, share: float = 0.2) -> DataFrame:
-    """(site, testcd, cv_site, cv_other, is_low): a site's coefficient of variation against the pooled others', from sums alone."""
-    sums = plain(lb).where(F.col("cut_available") <= cut).groupBy("site", "testcd").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+def low_variation(lb: DataFrame, cut: int, share: float = 0.2, vs: DataFrame | None = None) -> DataFrame:
+    """(site, testcd, cv_site, cv_other, is_low): a site's coefficient of variation against the pooled others', from sums alone; laboratory results and vital signs."""
+    values = plain(lb) if vs is None else plain(lb).unionByName(plain(vs))
+    sums = values.where(F.col("cut_available") <= cut).groupBy("site", "testcd").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
     total = sums.groupBy("testcd").agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("q").alias("tq"))
     both = sums.join(total, "testcd").withColumn("on", F.col("tn") - F.col("n")).withColumn("os", F.col("ts") - F.col("s")).withColumn("oq", F.col("tq") - F.col("q")).where("n >= 10 and on >= 20 and s <> 0 and os <> 0")
     cv = lambda n, s, q: F.sqrt(F.greatest((F.col(q) - F.col(s) * F.col(s) / F.col(n)) / (F.col(n) - 1), F.lit(0.0))) / F.abs(F.col(s) / F.col(n))
@@ -77,12 +81,12 @@ def visit_spacing(lb: DataFrame, least: int = 10, limit: float = 0.5) -> DataFra
     return dated.withColumn("gap", gap).where("gap is not null").groupBy("site").agg(F.count("*").alias("n_gaps"), F.stddev_samp("gap").alias("sd_gap")).where(F.col("n_gaps") >= least).withColumn("is_rigid", F.col("sd_gap") < limit)
 
 
-def quarantine(lb: DataFrame, cut: int, signals: int = 3, subjects: int = 5, records: int = 50) -> DataFrame:
+def quarantine(lb: DataFrame, cut: int, signals: int = 3, subjects: int = 5, records: int = 50, vs: DataFrame | None = None) -> DataFrame:
     """Sites with at least that many regularity signals, subjects and records."""
-    low = low_variation(lb, cut).where("is_low").groupBy("site").agg(F.count("*").alias("_low"))
+    low = low_variation(lb, cut, vs=vs).where("is_low").groupBy("site").agg(F.count("*").alias("_low"))
     rigid = visit_spacing(lb.where(F.col("cut_available") <= cut)).where("is_rigid").select("site", F.lit(1).alias("_rigid"))
     size = lb.where(F.col("cut_available") <= cut).groupBy("site").agg(F.count_distinct("usubjid").alias("n_subjects"))
-    held = plain(lb).where(F.col("cut_available") <= cut).groupBy("site").agg(F.count("*").alias("n_records"))
+    held = (plain(lb) if vs is None else plain(lb).unionByName(plain(vs))).where(F.col("cut_available") <= cut).groupBy("site").agg(F.count("*").alias("n_records"))
     out = size.join(held, "site").join(low, "site", "left").join(rigid, "site", "left").withColumn("n_signals", F.coalesce("_low", F.lit(0)) + F.coalesce("_rigid", F.lit(0))).drop("_low", "_rigid")
     return out.withColumn("quarantined", (F.col("n_signals") >= signals) & (F.col("n_subjects") >= subjects) & (F.col("n_records") >= records))
 

@@ -18,35 +18,42 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def visits_of(domains: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(domain, usubjid, visit, date, seq): the records of every domain with visits, by code and date; domains map to a table and its date column."""
+    raw = _all([df.select(F.lit(d).alias("domain"), "usubjid", "visit", F.col(dated).alias("dtc"), F.col("seq").cast("bigint").alias("seq")) for d, (df, dated) in domains.items()])
+    return raw.select("domain", "usubjid", N.visit_code(F.col("visit")).alias("visit"), N.parse_date(F.col("dtc"))["date"].alias("date"), "seq")
+
+
 def nodes(ctx: dict) -> DataFrame:
-    """(id, kind), each once."""
+    """(id, kind), each once: keys are made distinct before they are written as ids."""
     dm, persons = ctx["dm"], ctx["persons"]
     many = persons.groupBy("person_id").count().where("count > 1")
-    one = lambda df, kind, *cols: df.select(node_id(kind, *map(F.col, cols)).alias("id"), F.lit(kind).alias("kind")).distinct()
-    records = [df.select(node_id("RECORD", F.lit(d), F.col("usubjid"), F.col("seq")).alias("id"), F.lit("RECORD").alias("kind")).distinct() for d, df in ctx["domains"].items()]
-    visits = ctx["lb"].select("usubjid", N.visit_code(F.col("visit")).alias("v")).where("v <> ''")
+    one = lambda df, kind, *cols: df.select(*cols).distinct().select(node_id(kind, *map(F.col, cols)).alias("id"), F.lit(kind).alias("kind"))
+    records = [df.select("usubjid", "seq").distinct().select(node_id("RECORD", F.lit(d), F.col("usubjid"), F.col("seq")).alias("id"), F.lit("RECORD").alias("kind")) for d, df in ctx["domains"].items()]
+    visits = ctx["visits"].select("usubjid", F.col("visit").alias("v")).where("v <> ''")
     study = dm.sparkSession.createDataFrame([("STUDY:042", "STUDY")], "id string, kind string")
-    return _all([study, one(ctx["cuts"], "PROTOCOL_VERSION", "version"), one(ctx["ranges"], "REFERENCE_RANGE", "testcd", "unit", "lab"), one(dm, "SITE", "siteid"), one(many, "PERSON", "person_id"), one(dm, "SUBJECT", "usubjid"), one(visits, "VISIT", "usubjid", "v"), *records])
+    return _all([study, one(ctx["cuts"], "PROTOCOL_VERSION", "version"), one(ctx["documents"], "DOCUMENT", "name"), one(ctx["ranges"], "REFERENCE_RANGE", "testcd", "unit", "lab"), one(dm, "SITE", "siteid"), one(many, "PERSON", "person_id"), one(dm, "SUBJECT", "usubjid"), one(visits, "VISIT", "usubjid", "v"), *records])
 
 
 def edges(ctx: dict) -> DataFrame:
-    """(src, type, dst)."""
-    dm, persons, lb = ctx["dm"], ctx["persons"], ctx["lb"]
-    edge = lambda df, src, kind, dst: df.select(src.alias("src"), F.lit(kind).alias("type"), dst.alias("dst")).distinct()
-    subject, person = node_id("SUBJECT", F.col("usubjid")), node_id("PERSON", F.col("person_id"))
+    """(src, type, dst), each once; ctx["version"] is the protocol version in force, which governs the study and its subjects."""
+    dm, persons = ctx["dm"], ctx["persons"]
+    edge = lambda df, src, kind, dst: df.select(src.alias("src"), F.lit(kind).alias("type"), dst.alias("dst"))
+    keys = lambda df, *cols: df.select(*cols).distinct()
+    subject, person, protocol = node_id("SUBJECT", F.col("usubjid")), node_id("PERSON", F.col("person_id")), node_id("PROTOCOL_VERSION", F.lit(ctx["version"]))
     many = persons.join(persons.groupBy("person_id").count().where("count > 1"), "person_id")
     base = many.where("usubjid <> person_id")
-    visited = lb.select("usubjid", "seq", N.visit_code(F.col("visit")).alias("v")).where("v <> ''")
-    record = node_id("RECORD", F.lit("LB"), F.col("usubjid"), F.col("seq"))
-    visit = node_id("VISIT", F.col("usubjid"), F.col("v"))
+    visited = keys(ctx["visits"].select("domain", "usubjid", "seq", F.col("visit").alias("v")).where("v <> ''"), "domain", "usubjid", "seq", "v")
+    record, visit = node_id("RECORD", F.col("domain"), F.col("usubjid"), F.col("seq")), node_id("VISIT", F.col("usubjid"), F.col("v"))
     compared = ctx["labs"].where("r_unit is not null and status = 'ok'")
     lab = F.when(F.col("r_lab").isNotNull(), F.col("r_lab")).otherwise("CENTRAL") if "r_lab" in compared.columns else F.lit("")
+    compared = compared.select("usubjid", "seq", "testcd", "r_unit", lab.alias("lab")).distinct()
     parts = [
-        edge(dm, F.lit("STUDY:042"), "HAS_SITE", node_id("SITE", F.col("siteid"))), edge(dm, subject, "ENROLLED", node_id("SITE", F.col("siteid"))),
-        edge(ctx["cuts"], F.lit("STUDY:042"), "GOVERNED_BY", node_id("PROTOCOL_VERSION", F.col("version"))), edge(many, subject, "SAME_PERSON", person),
+        edge(keys(dm, "siteid"), F.lit("STUDY:042"), "HAS_SITE", node_id("SITE", F.col("siteid"))), edge(keys(dm, "usubjid", "siteid"), subject, "ENROLLED", node_id("SITE", F.col("siteid"))),
+        edge(keys(ctx["cuts"].where(F.col("version") == ctx["version"]), "version"), F.lit("STUDY:042"), "GOVERNED_BY", node_id("PROTOCOL_VERSION", F.col("version"))), edge(keys(dm, "usubjid"), subject, "UNDER_PROTOCOL", protocol), edge(many, subject, "SAME_PERSON", person),
         edge(base, subject, "POSSIBLE_DUPLICATE_OF", node_id("SUBJECT", F.col("person_id"))), edge(base, node_id("SUBJECT", F.col("person_id")), "POSSIBLE_DUPLICATE_OF", subject),
-        edge(visited, subject, "HAS_VISIT", visit), edge(visited, record, "AT_VISIT", visit), edge(compared, record, "COMPARED_TO", node_id("REFERENCE_RANGE", F.col("testcd"), F.col("r_unit"), lab)),
-        *[edge(df, subject, "HAS_RECORD", node_id("RECORD", F.lit(d), F.col("usubjid"), F.col("seq"))) for d, df in ctx["domains"].items()],
+        edge(keys(visited, "usubjid", "v"), subject, "HAS_VISIT", visit), edge(visited, record, "AT_VISIT", visit), edge(compared, node_id("RECORD", F.lit("LB"), F.col("usubjid"), F.col("seq")), "COMPARED_TO", node_id("REFERENCE_RANGE", F.col("testcd"), F.col("r_unit"), F.col("lab"))),
+        *[edge(keys(df, "usubjid", "seq"), subject, "HAS_RECORD", node_id("RECORD", F.lit(d), F.col("usubjid"), F.col("seq"))) for d, df in ctx["domains"].items()],
     ]
     return _all(parts)
 
@@ -64,8 +71,37 @@ def related(records: DataFrame, column: str, value: str, source: str | None = No
     return hit.withColumn("is_source", F.col("usubjid") == F.lit(source)).orderBy(F.desc("is_source"), "usubjid")
 
 
+#: The tables and columns that each kind of entity is looked up in; a value is found in part of them, a visit by its code.
+ENTITIES = {
+    "medication": ("cm", ("trt",)), "lab": ("lb", ("testcd",)), "adverse_event": ("ae", ("term",)), "visit": ("visits", ("visit",)), "exposure": ("ex", ("dose", "full_dose", "trt")),
+    "medical_history": ("mh", ("term",)), "disposition": ("ds", ("decod",)), "finding": ("findings", ("code",)),
+}
+
+
+def related_by(ctx: dict, entity: str, value: str, source: str | None = None) -> DataFrame:
+    """(usubjid, seq, is_source): subjects connected with a medication, laboratory test, adverse event, visit, dose, history, disposition or finding."""
+    table, columns = ENTITIES[entity]
+    df = ctx[table]
+    if entity == "visit":
+        return related(df.where(F.col("visit") == N.visit_code(F.lit(value))), "visit", "", source)
+    if entity == "exposure":
+        df = df.withColumn("full_dose", F.concat_ws(" ", "dose", "unit"))
+    text = F.lit("")
+    for c in columns:
+        text = F.concat_ws("\n", text, c) if c in df.columns else text
+    return related(df.withColumn("_text", text), "_text", value.strip(), source)
+
+
 def patient(ctx: dict, usubjid: str) -> dict[str, DataFrame]:
     """Everything known of a subject, section by section; an unknown one has empty sections."""
     own = lambda df: df.where(F.col("usubjid") == usubjid)
-    sections = {"demographics": ctx["dm"], "labs": ctx["labs"], "exposure": ctx["ex"], "adverse_events": ctx["ae"], "medications": ctx["cm"], "history": ctx["mh"], "disposition": ctx["ds"], "findings": ctx["findings"], "person": ctx["persons"], "visits": ctx["lb"].select("usubjid", N.visit_code(F.col("visit")).alias("visit")).distinct()}
-    return {name: own(df) for name, df in sections.items()}
+    visits = ctx["visits"].groupBy("usubjid", "visit").agg(F.min("date").alias("date"), F.sort_array(F.collect_set("domain")).alias("domains"))
+    sections = {
+        "demographics": ctx["dm"], "site": ctx["dm"].select("usubjid", "siteid"), "person": ctx["persons"], "visits": visits, "labs": ctx["labs"], "vitals": ctx["vs"], "ecg": ctx["eg"], "exposure": ctx["ex"], "adverse_events": ctx["ae"], "conmeds": ctx["cm"], "medical_history": ctx["mh"],
+        "disposition": ctx["ds"], "findings": ctx["findings"], "evidence_refs": ctx["findings"].where("domain is not null").select("usubjid", "domain", "seq").distinct(),
+    }
+    out = {name: own(df) for name, df in sections.items()}
+    for name in ("site_replies", "monitor_decisions"):  # keys are parts joined by |
+        if name in ctx:
+            out[name] = ctx[name].where(F.array_contains(F.split("key", r"\|"), usubjid))
+    return out

@@ -28,17 +28,30 @@ def conversions(spark, more: tuple = ()) -> DataFrame:
     return spark.createDataFrame([(*k, v) for k, v in known.items()], "c_test string, c_from string, c_to string, factor double")
 
 
+#: A unit in a sentence, the ways to say that it equals, and its number.
+UNIT, EQUALS, AMOUNT = "[A-Za-zµμ%/]+", ("=", "equals", "is equal to", "is", "→", "->"), "[0-9]+(?:[.,][0-9]+)?"
+
+
 def learn(text) -> F.Column:
-    """ARRAY of (from, factor, to) that a manual's sentences state, as '1 ukat/L = 60 U/L'."""
-    pattern = r"(?i)\b1\s+([A-Za-zµμ%/]+)\s*(?:=|equals|is(?:\s+equal\s+to)?|→)\s*([0-9]+(?:\.[0-9]+)?)\s+([A-Za-zµμ%/]+)"
+    """ARRAY of (from, factor, to) that a manual's sentences state, as '1 ukat/L = 60 U/L'; a comma is a decimal comma."""
+    pattern = rf"(?i)\b1\s*({UNIT})\s*(?:{'|'.join(EQUALS)})\s*({AMOUNT})\s*({UNIT})"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.transform(found, lambda x: F.struct(N.canonical_unit(F.regexp_extract(x, pattern, 1)).alias("from"), F.regexp_extract(x, pattern, 2).try_cast("double").alias("factor"), N.canonical_unit(F.regexp_extract(x, pattern, 3)).alias("to")))
+    part = lambda x, k: F.regexp_extract(x, pattern, k)
+    told = F.transform(found, lambda x: F.struct(N.canonical_unit(part(x, 1)).alias("from"), F.replace(part(x, 2), F.lit(","), F.lit(".")).try_cast("double").alias("factor"), N.canonical_unit(part(x, 3)).alias("to")))
+    return F.filter(told, lambda x: (x["from"] != x["to"]) & (x["factor"] != 0))
+
+
+def learned(documents: DataFrame) -> DataFrame:
+    """(c_from, c_to, factor), both ways, of documents (name, kind, text)' laboratory manuals; the last by name and place wins."""
+    told = documents.where("kind = 'lab_manual'").select("name", F.posexplode(learn(F.col("text"))).alias("at", "l")).select("name", "at", "l.*")
+    both = told.select("name", "at", F.col("from").alias("c_from"), F.col("to").alias("c_to"), "factor").unionByName(told.select("name", "at", F.col("to").alias("c_from"), F.col("from").alias("c_to"), (1 / F.col("factor")).alias("factor")))
+    return both.groupBy("c_from", "c_to").agg(F.max_by("factor", F.struct("name", "at")).alias("factor"))
 
 
 def convert(df: DataFrame, test: str, source: str, target: str, table: DataFrame) -> DataFrame:
     """df with `factor` from source to target unit: 1 if equal, the test's own, the general one, else null."""
-    own = F.broadcast(table.where("c_test is not null").withColumnRenamed("factor", "_own"))
-    any_ = F.broadcast(table.where("c_test is null").drop("c_test").withColumnRenamed("factor", "_any"))  # conversions: a few dozen rows by definition
+    own = table.where("c_test is not null").withColumnRenamed("factor", "_own")
+    any_ = table.where("c_test is null").drop("c_test").withColumnRenamed("factor", "_any")
     a, b = N.canonical_unit(F.col(source)), N.canonical_unit(F.col(target))
     out = df.withColumn("_a", a).withColumn("_b", b)
     out = out.join(own, (F.col(test) == own.c_test) & (F.col("_a") == own.c_from) & (F.col("_b") == own.c_to), "left").drop("c_test", "c_from", "c_to")
@@ -46,24 +59,27 @@ def convert(df: DataFrame, test: str, source: str, target: str, table: DataFrame
     return out.withColumn("factor", F.when(F.col("_a") == F.col("_b"), 1.0).otherwise(F.coalesce("_own", "_any"))).drop("_a", "_b", "_own", "_any")
 
 
-def with_ranges(lb: DataFrame, ranges: DataFrame) -> DataFrame:
+def with_ranges(lb: DataFrame, ranges: DataFrame, manuals: DataFrame | None = None) -> DataFrame:
     """lb with its parsed value, date, and the reference range that holds for it.
 
     A site's own ranges for a test stand for the central ones there; of a laboratory's ranges the first in the
     result's unit is taken, else the first that it converts to. status: ok, no_range, no_conversion, or the kind
-    of value that can't be compared. Ranges are reference data of a few rows a test, joined by test.
+    of value that can't be compared. Conversions that manuals (see learned) state go before the built-in general ones.
     """
-    spark = lb.sparkSession
+    table = conversions(lb.sparkSession)
+    if manuals is not None:
+        general = table.c_test.isNull() & (table.c_from == manuals.c_from) & (table.c_to == manuals.c_to)
+        table = table.join(manuals, general, "left_anti").unionByName(manuals.withColumn("c_test", F.lit(None).cast("string")))
     parsed = N.lab_value(F.col("orres"))
     lb = lb.withColumn("_v", parsed).withColumn("_d", N.parse_date(F.col("dtc"))["date"])
     lb = lb.select(*[c for c in lb.columns if c not in ("_v", "_d")], F.col("_v.kind").alias("kind"), F.col("_v.value").alias("value"), F.col("_d").alias("date"))
     own = ranges.where(F.col("lab") != CENTRAL).select(F.col("testcd").alias("_t"), F.col("lab").alias("_l")).distinct()
-    labs = lb.join(F.broadcast(own), (lb.testcd == own._t) & (lb.site == own._l), "left").withColumn("_lab", F.coalesce("_l", F.lit(CENTRAL))).drop("_t", "_l")
+    labs = lb.join(own, (lb.testcd == own._t) & (lb.site == own._l), "left").withColumn("_lab", F.coalesce("_l", F.lit(CENTRAL))).drop("_t", "_l")
     units = labs.select("testcd", "unit", "_lab").distinct()
-    r = F.broadcast(ranges.select(F.col("testcd").alias("_t"), F.col("unit").alias("r_unit"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), F.col("lab").alias("_l"), F.col("row_no").alias("_n")))
-    pairs = convert(units.join(r, (units.testcd == F.col("_t")) & (units._lab == F.col("_l")), "left"), "testcd", "unit", "r_unit", conversions(spark))
+    r = ranges.select(F.col("testcd").alias("_t"), F.col("unit").alias("r_unit"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), F.col("lab").alias("_l"), F.col("row_no").alias("_n"))
+    pairs = convert(units.join(r, (units.testcd == F.col("_t")) & (units._lab == F.col("_l")), "left"), "testcd", "unit", "r_unit", table)
     best = W.partitionBy("testcd", "unit", "_lab").orderBy(F.when(N.canonical_unit(F.col("unit")) == N.canonical_unit(F.col("r_unit")), 0).when(F.col("factor").isNotNull(), 1).otherwise(2), "_n")
-    picked = F.broadcast(pairs.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k", "_t", "_l", "_n"))  # one row a test, unit and laboratory
+    picked = pairs.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k", "_t", "_l", "_n")  # one row a test, unit and laboratory
     out = labs.join(picked, (labs.testcd == picked.testcd) & labs.unit.eqNullSafe(picked.unit) & (labs._lab == picked._lab), "left").drop(picked.testcd).drop(picked.unit).drop(picked._lab).drop("_lab")
     status = F.when(F.col("kind") != "numeric", F.col("kind")).when(F.col("r_unit").isNull(), "no_range").when(F.col("factor").isNull(), "no_conversion").otherwise("ok")
     std = F.when(status == "ok", F.col("value") * F.col("factor"))

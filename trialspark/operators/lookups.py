@@ -46,34 +46,48 @@ def any_field(records: DataFrame, value: str) -> DataFrame:
     return records.where(F.exists(F.map_values("fields"), lambda x: F.upper(N.strip(x)) == wanted))
 
 
-def count_subjects(ctx: dict, site=None, arm=None, sex=None, age=None, status=None, reason=None, serious=None, term=None, prohibited=None, visit=None, finding=None) -> DataFrame:
+def count_subjects(ctx: dict, site=None, arm=None, sex=None, country=None, age=None, status=None, reason=None, serious=None, term=None, severity=None, cm_class=None, prohibited=None, finding=None, subcode=None, visit=None, test=None) -> DataFrame:
     """(usubjid, person_id) of the subjects that meet all filters; cheap demographic ones first, the others as semi-joins."""
-    out = ctx["dm"]
+    out, has = ctx["dm"], lambda c, x: F.upper(c).contains(x.upper())
     if site:
         out = out.where(F.upper("siteid") == site.upper())
     if arm:
-        out = out.where(F.upper("arm").contains(arm.upper()))
+        out = out.where(has("arm", arm))
     if sex:
         out = out.where(F.upper(F.substring("sex", 1, 1)) == sex[:1].upper())
+    if country:
+        out = out.where(F.upper(N.strip(F.col("country"))) == country.strip().upper())
     if age:
-        out = out.where(N.to_int(F.col("age")).between(*age))
+        out = out.where(N.number(F.col("age")).between(*age))
+    semi = lambda df, *filters: _meeting(out, df, filters)
     if status or reason:
-        ds = ctx["ds"]
-        ds = ds.where(F.upper("decod").contains(status.upper())) if status else ds
-        out = out.join(ds.where(F.upper("term").contains(reason.upper())) if reason else ds, "usubjid", "left_semi")
-    if serious is not None or term:
-        ae = ctx["ae"]
-        ae = ae.where(N.yes_flag(F.col("ser")) == serious) if serious is not None else ae
-        out = out.join(ae.where(F.upper("term").contains(term.upper())) if term else ae, "usubjid", "left_semi")
-    if prohibited:
-        out = out.join(R.prohibited_medication(ctx["cm"]), "usubjid", "left_semi")
-    if visit:
-        out = out.join(ctx["lb"].where(N.visit_code(F.col("visit")) == visit), "usubjid", "left_semi")
+        out = semi(ctx["ds"], status and has("decod", status), reason and has("term", reason))
+    if serious is not None or term or severity:
+        out = semi(ctx["ae"], N.yes_flag(F.col("ser")) == serious if serious is not None else None, term and has("term", term), severity and F.upper(N.strip(F.col("sev"))) == severity.strip().upper())
+    if cm_class or prohibited:
+        cls, trt, want = N.class_token(F.col("cls")), N.class_token(F.col("trt")), N.class_token(F.lit(cm_class or ""))
+        own = (want == cls) | F.array_contains(F.split(cls, "_"), want) | trt.contains(want)
+        out = semi(ctx["cm"], own if cm_class else None, N.match_prohibited(F.col("cls"), F.col("trt"), list(ctx.get("rules", R.Rules()).prohibited)).isNotNull() if prohibited else None)
     if finding:
-        out = out.join(ctx["findings"].where(F.col("code") == finding), "usubjid", "left_semi")
+        out = semi(ctx["findings"], F.col("code") == finding, subcode and F.col("subcode") == subcode)
+    if visit:
+        tested = [ctx[d].where(N.visit_code(F.col("visit")) == visit).select("usubjid", "testcd") for d in ("lb", "vs", "eg") if d in ctx]
+        at = tested if test else [ctx["visits"].where(F.col("visit") == visit).select("usubjid")]
+        for df in at[1:]:
+            at[0] = at[0].unionByName(df)
+        out = semi(at[0], test and F.upper("testcd") == test.upper())
+    elif test:
+        out = semi(ctx["lb"], F.upper("testcd") == test.upper())
     return out.join(ctx["persons"], "usubjid").select("usubjid", "person_id")
 
 
+def _meeting(subjects: DataFrame, records: DataFrame, filters) -> DataFrame:
+    """The subjects with a record that meets all filters at once."""
+    for f in filters:
+        records = records if f is None else records.where(f)
+    return subjects.join(records, "usubjid", "left_semi")
+
+
 def collapse(subjects: DataFrame) -> DataFrame:
     """(n_persons, n_subjects): each person counts once."""
     return subjects.agg(F.count_distinct("person_id").alias("n_persons"), F.count("*").alias("n_subjects"))

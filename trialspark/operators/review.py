@@ -43,11 +43,14 @@ def detect(findings: DataFrame) -> DataFrame:
     return findings.withColumn("severity", R.severity(F.col("code"), F.col("subcode"))).withColumn("site", site).withColumn("fingerprint", fingerprint()).dropDuplicates(["fingerprint"])
 
 
-def medical_review(detected: DataFrame, memory: DataFrame, baseline: DataFrame) -> DataFrame:
-    """detected with its route; known fingerprints are CARRIED, Hy's law on a raised baseline (usubjid) is MONITORED."""
+def medical_review(detected: DataFrame, memory: DataFrame, baseline: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """detected with its route: known fingerprints are CARRIED; Hy's law on a baseline that was raised already (usubjid), or rejected before (fingerprint), is MONITORED."""
     m = memory.select("fingerprint").distinct().withColumn("_known", F.lit(True))
     b = baseline.select("usubjid").distinct().withColumn("_base", F.lit(True))
     out = detected.join(m, "fingerprint", "left").join(b, "usubjid", "left")
+    if rejected is not None:
+        out = out.join(rejected.select("fingerprint").distinct().withColumn("_rejected", F.lit(True)), "fingerprint", "left")
+        out = out.withColumn("_base", F.coalesce("_base", "_rejected")).drop("_rejected")
     route = (
         F.when(F.col("_known"), "CARRIED").when(F.col("code").isin(*DATA_QUALITY), "DATA_QUERY").when((F.col("code") == "HYS_LAW_CANDIDATE") & F.col("_base"), "MONITOR")
         .when(F.col("code").isin(*ESCALATED), "ESCALATE").when(F.col("code").isin(*COMPLIANCE), "DEVIATION").otherwise("MONITOR")
@@ -55,6 +58,20 @@ def medical_review(detected: DataFrame, memory: DataFrame, baseline: DataFrame)
     return out.withColumn("route", route).drop("_known", "_base")
 
 
+RECURRING = ("DOSING_ERROR", "PROHIBITED_MEDICATION")
+
+
+def flagged(detected: DataFrame, cycle: int) -> DataFrame:
+    """(usubjid, cycle): subjects with a compliance finding in the cycle; safety and data-quality findings flag nobody."""
+    return detected.where(F.col("code").isin(*COMPLIANCE)).select("usubjid").distinct().withColumn("cycle", F.lit(cycle).cast("bigint"))
+
+
+def recurring(detected: DataFrame, flags: DataFrame, cycle: int) -> DataFrame:
+    """(usubjid, site, n): subjects flagged in the cycle before whose doses or medicines are wrong again; each is escalated once."""
+    before = flags.where(F.col("cycle") == cycle - 1).select("usubjid").distinct()
+    return detected.where(F.col("code").isin(*RECURRING)).join(before, "usubjid", "left_semi").groupBy("usubjid", "site").agg(F.count("*").alias("n"))
+
+
 def data_queries(reviewed: DataFrame, replies: DataFrame, default: str = "PENDING") -> DataFrame:
     """One query a data-quality finding, with its text and the site's reply."""
     text = F.format_string("Please verify %s for subject %s (%s).", F.lower(F.replace("code", F.lit("_"), F.lit(" "))), "usubjid", F.when(F.col("subcode") == "", "record").otherwise(F.col("subcode")))

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import normalise as N
+from .identity import duplicates
+from .labs import conversions, convert
 
 
 @dataclass(frozen=True)
@@ -35,11 +37,23 @@ class Rules:
 
     def unavailable(self) -> dict[str, str]:
         """code -> why a rule can't run."""
-        need = {
-            "HYS_LAW_CANDIDATE": ("transaminase_multiple", "bilirubin_multiple", "hys_days"), "VISIT_WINDOW_DEVIATION": ("visit_window_days", "visit_schedule"), "DOSING_ERROR": ("expected_dose",),
-            "MISSING_DOSE": ("visit_schedule",), "PROHIBITED_MEDICATION": ("prohibited",), "ELIGIBILITY_VIOLATION": ("age_min", "age_max"),
-        }
-        return {code: "no " + ", ".join(gone) for code, names in need.items() if (gone := [n for n in names if not getattr(self, n) and getattr(self, n) != 0])}
+        stated = lambda name: getattr(self, name) not in (None, {}, ())
+        return {code: "no " + ", ".join(" or ".join(g) for g in gone) for code, groups in NEEDS.items() if (gone := [g for g in groups if not any(map(stated, g))])}
+
+
+#: The parameters that a rule needs: one of each group.
+NEEDS = {
+    "HYS_LAW_CANDIDATE": (("transaminase_multiple",), ("bilirubin_multiple",), ("hys_days",)), "VISIT_WINDOW_DEVIATION": (("visit_window_days",), ("visit_schedule",)), "DOSING_ERROR": (("expected_dose",),),
+    "MISSING_DOSE": (("expected_dose",),), "PROHIBITED_MEDICATION": (("prohibited",),), "ELIGIBILITY_VIOLATION": (("age_min", "hba1c_min", "hepatic_multiple"),),
+}
+
+
+def availability(parameters: DataFrame) -> DataFrame:
+    """(version, code, reason) of the rules that can't run under each version's parameters, a column each, null if not stated."""
+    told = lambda g: F.when(F.coalesce(*[F.col(n).cast("string") for n in g]).isNull(), " or ".join(g))
+    rows = [F.struct(F.lit(code).alias("code"), F.array_compact(F.array(*map(told, groups))).alias("gone")) for code, groups in NEEDS.items()]
+    each = parameters.select("version", F.explode(F.array(*rows)).alias("_r"))
+    return each.where(F.size("_r.gone") > 0).select("version", F.col("_r.code").alias("code"), F.concat(F.lit("no "), F.array_join("_r.gone", ", ")).alias("reason"))
 
 
 TRANSAMINASES = ("ALT", "AST")
@@ -72,11 +86,16 @@ def best_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
 
 
+def raised_baseline(labs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """(usubjid): subjects whose transaminases were beyond the multiple at screening or baseline already."""
+    return labs.where(F.col("testcd").isin(*TRANSAMINASES) & N.visit_code(F.col("visit")).isin("SCREENING", "BASELINE") & (F.col("std_value") > rules.transaminase_multiple * F.col("high"))).select("usubjid").distinct()
+
+
 def hys_law(labs: DataFrame, mh: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Candidates with their best pair, and whether a raised baseline or a history of cholestasis makes them uncertain."""
     pairs = hys_pairs(labs, rules)
     n = pairs.groupBy("usubjid").agg(F.count("*").alias("n_pairs"))
-    base = labs.where(F.col("testcd").isin(*TRANSAMINASES) & N.visit_code(F.col("visit")).isin("SCREENING", "BASELINE") & (F.col("std_value") > rules.transaminase_multiple * F.col("high"))).select("usubjid").distinct().withColumn("_base", F.lit(True))
+    base = raised_baseline(labs, rules).withColumn("_base", F.lit(True))
     history = mh.where(F.lower("term").contains("cholesta")).select("usubjid").distinct().withColumn("_hist", F.lit(True))
     out = best_pairs(pairs).join(n, "usubjid").join(base, "usubjid", "left").join(history, "usubjid", "left")
     flagged = F.coalesce("_base", F.lit(False)) | F.coalesce("_hist", F.lit(False))
@@ -145,39 +164,53 @@ def missing_dose(dm: DataFrame, ex: DataFrame, ds: DataFrame, rules: Rules = Rul
 
 
 def earliest_visits(records: DataFrame) -> DataFrame:
-    """(usubjid, visit, actual, n, first_seq): each visit's earliest date, and the records of that date."""
-    dated = records.select("usubjid", N.visit_code(F.col("visit")).alias("visit"), N.parse_date(F.col("dtc"))["date"].alias("date"), "seq").where("date is not null and visit <> ''")
+    """(usubjid, visit, actual, n, first_domain, first_seq, carriers): each visit's earliest date over all domains (domain, usubjid, visit, date, seq), how many records have it, and the first three of them."""
+    dated = records.where("date is not null and visit <> ''")
     first = dated.groupBy("usubjid", "visit").agg(F.min("date").alias("actual"))
-    return dated.join(first, ["usubjid", "visit"]).where("date = actual").groupBy("usubjid", "visit", "actual").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+    at = dated.join(first, ["usubjid", "visit"]).where("date = actual").groupBy("usubjid", "visit", "actual").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list(F.struct("domain", "seq"))), 1, 3).alias("_c"))
+    return at.select("usubjid", "visit", "actual", "n", F.col("_c")[0]["domain"].alias("first_domain"), F.col("_c")[0]["seq"].alias("first_seq"), F.array_join(F.transform("_c", lambda x: F.concat_ws(":", x["domain"], x["seq"].cast("string"))), ",").alias("carriers"))
 
 
 def visit_windows(records: DataFrame, doses: DataFrame, rules: Rules = Rules()) -> DataFrame:
     day = F.try_element_at(F.create_map(*[F.lit(x) for pair in rules.visit_schedule.items() for x in pair]), F.col("visit"))
     out = earliest_visits(records).withColumn("scheduled", day).where("scheduled is not null").join(doses, "usubjid")
     out = out.withColumn("offset", F.datediff("actual", "first_dose") - F.col("scheduled"))
-    return out.where(F.abs("offset") > rules.visit_window_days).select("usubjid", "visit", "scheduled", "offset", "first_seq")
+    return out.where(F.abs("offset") > rules.visit_window_days).select("usubjid", "visit", "scheduled", "offset", "first_domain", "first_seq")
 
 
 def prohibited_medication(cm: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return cm.withColumn("matched", N.match_prohibited(F.col("cls"), F.col("trt"), list(rules.prohibited))).where("matched is not null").select("usubjid", "seq", "matched")
 
 
-def eligibility(dm: DataFrame, labs: DataFrame, mh: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """(usubjid, subcode): a subject's violations; what can't be parsed or converted violates nothing."""
-    age, hba1c = N.to_int(F.col("age")), N.number(F.col("scr_hba1c"))
-    parts = [
-        dm.where((age < rules.age_min) | (age > rules.age_max)).select("usubjid", F.when(age < rules.age_min, "AGE_BELOW_MIN").otherwise("AGE_ABOVE_MAX").alias("subcode")),
-        dm.where((hba1c < rules.hba1c_min) | (hba1c > rules.hba1c_max)).select("usubjid", F.lit("HBA1C_OUT_OF_RANGE").alias("subcode")),
-    ]
+def outside(value, low, high):
+    """Whether a value is below or above; a bound that isn't stated bounds nothing."""
+    return (value < low if low is not None else F.lit(False)) | (value > high if high is not None else F.lit(False))
+
+
+def eligibility(dm: DataFrame, labs: DataFrame, mh: DataFrame, ae: DataFrame | None = None, rules: Rules = Rules()) -> DataFrame:
+    """(usubjid, subcode, domain, seq): a subject's violations, each with its record; what can't be parsed or converted violates nothing.
+
+    Every screening result counts, creatinine in whatever unit converts to the protocol's; without one in DM the first
+    screening HbA1c does.
+    """
+    form = lambda df, code, domain, seq="seq": df.select("usubjid", F.lit(code).alias("subcode"), F.lit(domain).alias("domain"), (F.col(seq) if seq else F.lit(None)).cast("bigint").alias("seq"))
     screening = labs.where(N.visit_code(F.col("visit")) == "SCREENING")
-    first = screening.where(F.col("testcd").isin(*TRANSAMINASES)).groupBy("usubjid", "testcd").agg(F.min_by(F.struct("std_value", "high"), "seq").alias("_f"))
-    parts.append(first.where(F.col("_f.std_value") > rules.hepatic_multiple * F.col("_f.high")).select("usubjid").distinct().withColumn("subcode", F.lit("HEPATIC_SCREENING")))
+    text = F.col("scr_hba1c") if "scr_hba1c" in dm.columns else F.lit(None).cast("string")
+    blank = F.coalesce(N.strip(text), F.lit("")) == ""
+    first = screening.where("testcd = 'HBA1C'").groupBy("usubjid").agg(F.min_by(F.struct("value", "seq"), "seq").alias("_f"))
+    parts = [
+        form(dm.where(outside(N.number(F.col("age")), rules.age_min, rules.age_max)), "AGE_OUT_OF_RANGE", "DM", None), form(dm.where(outside(N.number(text), rules.hba1c_min, rules.hba1c_max)), "HBA1C_OUT_OF_RANGE", "DM", None),
+        form(dm.where(blank).join(first, "usubjid").where(outside(F.col("_f.value"), rules.hba1c_min, rules.hba1c_max)).withColumn("seq", F.col("_f.seq")), "HBA1C_OUT_OF_RANGE", "LB"),
+    ]
+    if rules.hepatic_multiple is not None:
+        parts.append(form(screening.where(F.col("testcd").isin(*TRANSAMINASES) & (F.col("multiple") > rules.hepatic_multiple)), "HEPATIC_SCREENING", "LB"))
     if rules.creatinine_max is not None:
-        creat = screening.where("testcd = 'CREAT'").groupBy("usubjid").agg(F.min_by(F.struct("value", "unit"), "seq").alias("_f"))
-        same = N.canonical_unit(F.col("_f.unit")) == N.canonical_unit(F.lit(rules.creatinine_unit))
-        parts.append(creat.where(same & (F.col("_f.value") > rules.creatinine_max)).select("usubjid", F.lit("CREATININE_SCREENING").alias("subcode")))
+        creat = screening.where(F.col("testcd").isin("CREAT", "CREATININE") & (F.col("kind") == "numeric")).drop("factor").withColumn("_unit", F.lit(rules.creatinine_unit or ""))
+        same = (N.canonical_unit(F.coalesce("unit", F.lit(""))) == "") | (F.col("_unit") == "")
+        value = F.when(same, F.col("value")).otherwise(F.col("value") * F.col("factor"))
+        parts.append(form(convert(creat, "testcd", "unit", "_unit", conversions(labs.sparkSession)).where(value > rules.creatinine_max), "CREATININE_SCREENING", "LB"))
     if rules.pregnancy_excluded:
-        parts.append(mh.where(F.lower("term").contains("pregnan")).select("usubjid").distinct().withColumn("subcode", F.lit("PREGNANCY")))
+        parts += [form(df.where(F.lower("term").contains("pregnan")), "PREGNANCY", d) for d, df in (("MH", mh), ("AE", ae)) if df is not None]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -204,9 +237,10 @@ def all_findings(ctx: dict, rules: Rules = Rules()) -> DataFrame:
         "AE_BEFORE_FIRST_DOSE": lambda: form(ae_before_first_dose(ctx["ae"], ctx["doses"]), "AE_BEFORE_FIRST_DOSE", "AE", F.col("seq")),
         "DOSING_ERROR": lambda: form(dosing_error(ctx["ex"], rules), "DOSING_ERROR", "EX", F.col("first_seq")),
         "MISSING_DOSE": lambda: form(missing_dose(ctx["dm"], ctx["ex"], ctx["ds"], rules), "MISSING_DOSE", "EX", none, F.col("subcode")),
-        "VISIT_WINDOW_DEVIATION": lambda: form(visit_windows(ctx["lb"], ctx["doses"], rules), "VISIT_WINDOW_DEVIATION", "LB", F.col("first_seq"), F.col("visit")),
+        "VISIT_WINDOW_DEVIATION": lambda: visit_windows(ctx["visits"], ctx["doses"], rules).select(F.lit("VISIT_WINDOW_DEVIATION").alias("code"), "usubjid", F.col("visit").alias("subcode"), F.col("first_domain").alias("domain"), F.col("first_seq").alias("seq")),
         "PROHIBITED_MEDICATION": lambda: form(prohibited_medication(ctx["cm"], rules), "PROHIBITED_MEDICATION", "CM", F.col("seq")),
-        "ELIGIBILITY_VIOLATION": lambda: form(eligibility(ctx["dm"], ctx["labs"], ctx["mh"], rules), "ELIGIBILITY_VIOLATION", "DM", none, F.col("subcode")),
+        "ELIGIBILITY_VIOLATION": lambda: eligibility(ctx["dm"], ctx["labs"], ctx["mh"], ctx["ae"], rules).select(F.lit("ELIGIBILITY_VIOLATION").alias("code"), "usubjid", "subcode", "domain", "seq"),
+        "DUPLICATE_SUBJECT": lambda: form(duplicates(ctx["persons"]).withColumnRenamed("person_id", "usubjid"), "DUPLICATE_SUBJECT", "DM"),
     }
     out = None
     for code, part in parts.items():

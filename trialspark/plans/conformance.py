@@ -47,24 +47,26 @@ def statements(q: Dialect) -> dict[str, str]:
     site = f"'S' || lpad({q.s('c_nationkey')}, 2, '0')"
     twin = "CASE WHEN c_custkey % 97 = 1 THEN c_custkey - 1 ELSE c_custkey END"
     month_day = f"lpad({q.s(f'1 + ({twin}) % 12')}, 2, '0') || '-' || lpad({q.s(f'1 + ({twin}) % 28')}, 2, '0')"
-    cut_of_events = f"1 + {q.div('extract(day FROM e.ts) - 1', 3)}"
+    cut_of_events = f"(1 + {q.div('extract(day FROM e.ts) - 1', 3)})"
+    cut_at_site = f"CASE WHEN c_nationkey = 24 AND {cut_of_events} < 6 THEN 6 ELSE {cut_of_events} END"
     value = f"""CASE WHEN c_nationkey = 11 THEN 50 + value / 1000
       WHEN c_nationkey = 4 AND event_type = 'view' AND {cut_of_events} >= 8 THEN value / 18.016
+      WHEN event_type NOT IN ('purchase', 'view', 'error', 'click') AND e.event_id % 7 IN (3, 5) THEN CASE e.event_id % 7 WHEN 3 THEN value ELSE value / 40 END
       WHEN event_type IN ('purchase', 'signup') THEN value / 100
       WHEN event_type IN ('error', 'click') AND c_nationkey = 7 THEN value / 60 ELSE value END"""
     return {
         "subjects": f"SELECT c.*, {subject} AS usubjid, {site} AS site, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'PLACEBO' ELSE 'DRUG' END AS arm FROM customer c",
         "lb_raw": f"""SELECT usubjid, site, e.event_id, CAST(row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS BIGINT) AS seq,
-  CASE event_type WHEN 'error' THEN 'ALT' WHEN 'click' THEN 'AST' WHEN 'purchase' THEN 'BILI' WHEN 'view' THEN 'GLUC' ELSE 'CREAT' END AS testcd,
-  CASE WHEN event_type IN ('error', 'click') THEN CASE WHEN c_nationkey = 7 THEN 'ukat/L' ELSE 'U/L' END ELSE 'mg/dL' END AS unit,
+  CASE event_type WHEN 'error' THEN 'ALT' WHEN 'click' THEN 'AST' WHEN 'purchase' THEN 'BILI' WHEN 'view' THEN 'GLUC' ELSE CASE WHEN e.event_id % 7 = 5 THEN 'HBA1C' ELSE 'CREAT' END END AS testcd,
+  CASE WHEN event_type IN ('error', 'click') THEN CASE WHEN c_nationkey = 7 THEN 'ukat/L' ELSE 'U/L' END WHEN event_type NOT IN ('purchase', 'view') AND e.event_id % 7 = 3 THEN 'umol/L' WHEN event_type NOT IN ('purchase', 'view') AND e.event_id % 7 = 5 THEN '%' ELSE 'mg/dL' END AS unit,
   CAST(floor(({value}) * 10000) AS BIGINT) AS n4,
   CASE e.event_id % 5 WHEN 0 THEN 'SCREENING' WHEN 1 THEN 'Baseline' WHEN 2 THEN 'Week 2' WHEN 3 THEN 'WEEK4' ELSE 'End of Study' END AS visit,
   CASE WHEN e.event_id % 101 = 0 THEN 'UNK' ELSE {q.either('e.event_id', 'e.ts')} END AS dtc,
-  CAST({cut_of_events} AS INT) AS cut_available
+  CAST({cut_at_site} AS INT) AS cut_available
   FROM events e JOIN subjects ON e.user_id = c_custkey""",
         "lb": f"""SELECT usubjid, site, event_id AS row_no, seq, testcd, unit, visit, dtc, cut_available, n4,
-  CASE event_id % 50 WHEN 0 THEN '<5' WHEN 1 THEN 'ND' WHEN 2 THEN '' WHEN 3 THEN replace({q.four('n4')}, '.', ',') WHEN 4 THEN 'HEMOLYZED' ELSE {q.four('n4')} END AS orres FROM lb_raw""",
-        "corrections": f"""SELECT cut_available + 3 AS cut, 'LB' AS domain, usubjid, seq, 'LBORRES' AS field, {q.four(q.div('n4 * 9', 10))} AS new_value, row_no FROM lb WHERE row_no % 37 = 0
+  CASE event_id % 50 WHEN 0 THEN '<5' WHEN 1 THEN 'ND' WHEN 5 THEN 'Not done' WHEN 2 THEN '' WHEN 3 THEN replace({q.four('n4')}, '.', ',') WHEN 4 THEN 'HEMOLYZED' ELSE {q.four('n4')} END AS orres FROM lb_raw""",
+        "corrections": f"""SELECT cut_available + 3 AS cut, 'LB' AS domain, usubjid, seq, 'LBORRES' AS field, {q.four(q.div('n4', 10))} AS new_value, row_no FROM lb WHERE row_no % 37 = 0
   UNION ALL SELECT cut_available + 5, 'LB', usubjid, seq, 'LBORRES', {q.four(q.div('n4 * 8', 10))}, row_no FROM lb WHERE row_no % 74 = 0
   UNION ALL SELECT cut_available + 1, 'LB', usubjid, seq + 100000, 'LBORRES', '1.0000', row_no FROM lb WHERE row_no % 370 = 0""",
         "cuts": "SELECT 1 AS cut, 1 AS version UNION ALL SELECT 5, 2 UNION ALL SELECT 9, 3",
@@ -72,10 +74,10 @@ def statements(q: Dialect) -> dict[str, str]:
   ('ALT', 'ukat/L', 0.12, 0.93, 'S07', 5), ('ALT', 'U/L', 6.0, 50.0, 'S03', 6)) AS t(testcd, unit, low, high, lab, row_no)""",
         "dm": f"""SELECT usubjid, site AS siteid, n_name AS country, CASE WHEN c_custkey % 41 = 0 THEN 'n/a' ELSE {q.s(f'15 + ({twin}) % 65')} END AS age,
   CASE WHEN ({twin}) % 2 = 0 THEN 'F' ELSE 'M' END AS sex, 'I' || {q.s(f'({twin}) % 400')} AS dminit, {q.s(f'1950 + ({twin}) % 50')} || '-' || {month_day} AS brthdtc, arm,
-  {q.either('c_custkey', 'o.first_order')} AS rfstdtc, {q.s(f'5 + ({twin}) % 8')} || '.5' AS scr_hba1c, CAST(1 + c_custkey % 10 AS INT) AS cut_available, c_custkey AS row_no
+  {q.either('c_custkey', 'o.first_order')} AS rfstdtc, CASE WHEN ({twin}) % 43 = 2 THEN '' ELSE {q.s(f'5 + ({twin}) % 8')} || '.5' END AS scr_hba1c, CAST(1 + c_custkey % 10 AS INT) AS cut_available, c_custkey AS row_no
   FROM subjects JOIN nation ON c_nationkey = n_nationkey JOIN (SELECT o_custkey, min(o_orderdate) AS first_order FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey""",
         "ae": f"""SELECT usubjid, site, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS seq, o_orderkey AS row_no,
-  CASE o_orderpriority WHEN '1-URGENT' THEN 'Hepatotoxicity' WHEN '2-HIGH' THEN 'Nausea' WHEN '3-MEDIUM' THEN 'Headache' ELSE 'Fatigue' END AS term,
+  CASE WHEN o_orderkey % 101 = 7 THEN 'Pregnancy test positive' WHEN o_orderpriority = '1-URGENT' THEN 'Hepatotoxicity' WHEN o_orderpriority = '2-HIGH' THEN 'Nausea' WHEN o_orderpriority = '3-MEDIUM' THEN 'Headache' ELSE 'Fatigue' END AS term,
   CASE o_orderstatus WHEN 'F' THEN 'SEVERE' WHEN 'P' THEN 'MODERATE' ELSE 'MILD' END AS sev, CASE WHEN o_orderstatus = 'F' THEN 'Y' ELSE 'N' END AS ser,
   CASE WHEN o_orderpriority = '1-URGENT' THEN 'Yes' ELSE 'No' END AS hosp, {q.either('o_orderkey', q.plus_days('o_orderdate', '(o_orderkey % 7) - 3'))} AS stdtc, CAST(1 + o_orderkey % 10 AS INT) AS cut_available
   FROM orders JOIN subjects ON o_custkey = c_custkey""",
@@ -88,6 +90,14 @@ def statements(q: Dialect) -> dict[str, str]:
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN subjects ON o_custkey = c_custkey""",
         "ds": f"""SELECT usubjid, site, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS seq, o_orderkey AS row_no, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'P' THEN 'DISCONTINUED' ELSE 'ONGOING' END AS decod,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'ADVERSE EVENT' WHEN '2-HIGH' THEN 'LOST TO FOLLOW-UP' WHEN '3-MEDIUM' THEN 'WITHDRAWAL BY SUBJECT' ELSE '' END AS term, {q.iso('o_orderdate')} AS stdtc FROM orders JOIN subjects ON o_custkey = c_custkey""",
+        "vs": f"""SELECT usubjid, site, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS seq, o_orderkey AS row_no, CASE WHEN o_orderkey % 2 = 0 THEN 'SYSBP' ELSE 'DIABP' END AS testcd, 'mmHg' AS unit,
+  CASE WHEN o_orderkey % 61 = 0 THEN 'ND' WHEN c_nationkey = 11 THEN {q.s('120 + o_orderkey % 2')} ELSE {q.s('60 + (o_orderkey * 37) % 90')} END AS orres, CASE o_orderkey % 4 WHEN 0 THEN 'BASELINE' WHEN 1 THEN 'Week 4' WHEN 2 THEN 'WEEK8' ELSE 'Week 12' END AS visit,
+  {q.either('o_orderkey', q.plus_days('o_orderdate', 'o_orderkey % 9'))} AS dtc, CAST(1 + o_orderkey % 10 AS INT) AS cut_available FROM orders JOIN subjects ON o_custkey = c_custkey""",
+        "eg": f"""SELECT usubjid, site, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS seq, o_orderkey AS row_no, 'QTCF' AS testcd, {q.s('380 + o_orderkey % 90')} AS orres, 'ms' AS unit,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'SCREENING' ELSE 'Week 12' END AS visit, {q.iso(q.plus_days('o_orderdate', 'o_orderkey % 5'))} AS dtc, CAST(1 + o_orderkey % 10 AS INT) AS cut_available FROM orders JOIN subjects ON o_custkey = c_custkey""",
+        "protocols": f"""SELECT CAST(o_orderkey AS BIGINT) AS version, CASE WHEN o_orderkey % 2 = 0 THEN 18 END AS age_min, CASE WHEN o_orderkey % 3 = 0 THEN 7.0 END AS hba1c_min, CASE WHEN o_orderkey % 5 = 0 THEN 2.5 END AS hepatic_multiple, CASE WHEN o_orderkey % 7 <> 0 THEN 3.0 END AS transaminase_multiple,
+  CASE WHEN o_orderkey % 11 <> 0 THEN 2.0 END AS bilirubin_multiple, CASE WHEN o_orderkey % 13 <> 0 THEN 14 END AS hys_days, CASE WHEN o_orderkey % 17 <> 0 THEN 3 + o_orderkey % 2 END AS visit_window_days, CASE WHEN o_orderkey % 19 <> 0 THEN 'BASELINE=0' END AS visit_schedule,
+  CASE WHEN o_orderkey % 23 <> 0 THEN 'DRUG=10' END AS expected_dose, CASE WHEN o_orderkey % 29 <> 0 THEN 'Sulfonylurea' END AS prohibited FROM (SELECT DISTINCT o_orderkey FROM orders) t""",
         "mh": "SELECT usubjid, site, CAST(1 AS BIGINT) AS seq, CASE c_mktsegment WHEN 'FURNITURE' THEN 'Intrahepatic cholestasis' WHEN 'BUILDING' THEN 'Pregnancy' ELSE 'Hypertension' END AS term FROM subjects",
         "schedule": "SELECT * FROM (VALUES ('SCREENING', -14), ('BASELINE', 0), ('WEEK2', 14), ('WEEK4', 28), ('WEEK8', 56), ('WEEK12', 84)) AS t(visit, day)",
     }

@@ -12,11 +12,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_held: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """A table that several parts of a query read, computed once; the next query releases it."""
+    _held.append(df.persist())
+    return df
+
+
+def release() -> None:
+    while _held:
+        df = _held.pop()
+        if df.sparkSession.sparkContext._jsc is not None:  # its session may have ended
+            df.unpersist()
+
+
 def query(name: str, sql: str | None = None, *ctes: str):
     """Register a function of the study tables (a dict of DataFrames) under a name, with its SQL over them."""
 
     def register(f: Callable[[dict], DataFrame]) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: f(study(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            release()
+            return f(study(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = duck(sql, *ctes)
         return f

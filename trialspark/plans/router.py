@@ -24,7 +24,8 @@ FINDING_WORDS = (
 )
 DOMAIN_WORDS = (("AE", r"adverse|\baes?\b|side effect"), ("LB", r"\blabs?\b|laborator|\balt\b|\bast\b|bilirubin|glucose|creatinine"), ("EX", r"dos(e|ing)|exposure"), ("CM", r"medication|concomitant|drug taken"), ("DS", r"disposition|discontinu|complet"), ("MH", r"history"), ("DM", r"demograph|\bage\b|\bsex\b"))
 TESTS = (("ALT", r"\balt\b"), ("AST", r"\bast\b"), ("BILI", r"bili"), ("GLUC", r"gluc"), ("CREAT", r"creat"))
-SUBJECT = re.compile(r"\b[0-9]{3}-S[0-9]{2}-[0-9]{6}\b", re.I)
+#: How subject ids look unless the data show otherwise.
+SUBJECT = re.compile(r"\b[0-9]{3}-S[0-9]{2}-[0-9]{3,}\b", re.I)
 CONFIDENT = 0.6
 
 
@@ -60,9 +61,17 @@ def domains_of(text: str) -> list[str]:
     return [d for d, pattern in DOMAIN_WORDS if re.search(pattern, text.lower())]
 
 
-def classify(text: str) -> Intent:
+def subject_pattern(sample: str | None) -> re.Pattern:
+    """The shape of ids like this one: runs of digits and of letters as long as its own, other characters as they are."""
+    if not sample:
+        return SUBJECT
+    shape = "".join((f"[0-9]{{{len(run)}}}" if run[0].isdigit() else f"[A-Za-z]{{{len(run)}}}") if run[0].isalnum() else re.escape(run) for run in re.findall(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z]+", sample))
+    return re.compile(rf"\b(?:{shape}|{SUBJECT.pattern[2:-2]})\b", re.I)
+
+
+def classify(text: str, subjects: re.Pattern = SUBJECT) -> Intent:
     low, out = text.lower(), Intent()
-    if m := SUBJECT.search(text):
+    if m := subjects.search(text):
         out.subject = m[0].upper()
     if m := re.search(r"\bsite\s+(S?[0-9]{2})\b|\b(S[0-9]{2})\b(?!-)", text, re.I):
         out.site = (m[1] or m[2]).upper()
@@ -138,7 +147,9 @@ def confidence_of(kind: str, empty: bool = False, dropped: bool = False, insuffi
 
 def answer(ctx: dict, text: str, limit: int = 1000) -> Answer:
     """One question, one action; what can't be answered says so. ctx may hold `documents` (name, text) and `unavailable` rules. Only refs end at the limit."""
-    intent = classify(text)
+    if "subject_pattern" not in ctx and "dm" in ctx:
+        ctx["subject_pattern"] = subject_pattern(ctx["dm"].agg(F.min("usubjid")).first()[0])
+    intent = classify(text, ctx["subject_pattern"]) if "subject_pattern" in ctx else classify(text)
     if intent.kind == "count":
         row = count_plan(ctx, intent).first()
         return Answer("count", "ok" if row.n_persons else "no_match", row.n_persons, [], confidence_of("count", not row.n_persons))
@@ -172,5 +183,5 @@ def answer(ctx: dict, text: str, limit: int = 1000) -> Answer:
 
 def rewrite_is_safe(old: str, new: str) -> bool:
     """A rewritten answer may name no id or number that the answer didn't."""
-    told = lambda t: set(re.findall(r"[0-9]{3}-S[0-9]{2}-[0-9]{6}|\d+(?:\.\d+)?", t))
+    told = lambda t: set(re.findall(r"[0-9]{3}-S[0-9]{2}-[0-9]{3,}|\d+(?:\.\d+)?", t))
     return told(new) <= told(old)

@@ -25,7 +25,11 @@ NAMES = {
     "CM": {"USUBJID": "usubjid", "CMTRT": "trt", "CMCLAS": "cls", "CMSTDTC": "stdtc"},
     "DS": {"USUBJID": "usubjid", "DSDECOD": "decod", "DSTERM": "term", "DSSTDTC": "stdtc"},
     "MH": {"USUBJID": "usubjid", "MHTERM": "term"},
+    "VS": {"USUBJID": "usubjid", "VISIT": "visit", "VSDTC": "dtc", "VSTESTCD": "testcd", "VSORRES": "orres", "VSORRESU": "unit"},
+    "EG": {"USUBJID": "usubjid", "VISIT": "visit", "EGDTC": "dtc", "EGTESTCD": "testcd", "EGORRES": "orres", "EGORRESU": "unit"},
 }
+#: The date column of each domain with visits.
+DATED = {"LB": "dtc", "VS": "dtc", "EG": "dtc", "EX": "stdtc"}
 
 
 def tables_of(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -39,7 +43,7 @@ def tables_of(spark: SparkSession, path: str) -> dict[str, DataFrame]:
             df = df.select(*[(F.col(k) if k in df.columns else F.lit("")).alias(v) for k, v in names.items()], "seq", "cut_available", "row_no")
         out[domain.lower()] = df
     sites = out["dm"].select("usubjid", F.col("siteid").alias("_s"), F.col("arm").alias("_a"))
-    for name in ("lb", "ae", "ex", "cm", "ds", "mh"):
+    for name in ("lb", "ae", "ex", "cm", "ds", "mh", "vs", "eg"):
         joined = out[name].join(sites, "usubjid", "left").withColumn("site", F.coalesce("_s", F.get(F.split("usubjid", "-"), F.lit(1))))
         out[name] = (joined.withColumn("arm", F.col("_a")) if name == "ex" else joined).drop("_s", "_a")
     return out
@@ -71,11 +75,18 @@ class Study:
 
     def context(self, cut: int | None, version: int | None) -> dict:
         ctx = {name: C.as_of(df, cut) if "cut_available" in df.columns else df for name, df in self.tables.items()}
-        ctx["lb"] = C.overlay(ctx["lb"], self.corrections, "LBORRES", "orres", cut)
+        if "domain" in self.corrections.columns:
+            fixed = C.overlay_all({d: ctx[d.lower()] for d in NAMES if d.lower() in ctx}, self.corrections, NAMES, cut)
+            ctx |= {d.lower(): df for d, df in fixed.items()}
+        else:
+            ctx["lb"] = C.overlay(ctx["lb"], self.corrections, "LBORRES", "orres", cut)
         rules = self.rules(version)
-        ctx |= {"labs": L.with_ranges(ctx["lb"], self.ranges), "doses": R.first_dose(ctx["dm"], ctx["ex"]), "persons": I.persons(ctx["dm"]), "ranges": self.ranges, "unavailable": rules.unavailable(), "rules": rules}
+        for name in ("vs", "eg"):
+            ctx.setdefault(name, ctx["lb"].limit(0))
+        manuals = L.learned(self.documents) if self.documents is not None and "kind" in self.documents.columns else None
+        ctx |= {"labs": L.with_ranges(ctx["lb"], self.ranges, manuals), "visits": G.visits_of({d: (ctx[d.lower()], dated) for d, dated in DATED.items()}), "version": version, "doses": R.first_dose(ctx["dm"], ctx["ex"]), "persons": I.persons(ctx["dm"]), "ranges": self.ranges, "unavailable": rules.unavailable(), "rules": rules}
         ctx["findings"] = R.all_findings(ctx, rules)
-        ctx["domains"] = {"LB": ctx["lb"], "AE": ctx["ae"], "EX": ctx["ex"], "CM": ctx["cm"], "DS": ctx["ds"], "DM": ctx["dm"].withColumn("seq", F.lit(None).cast("bigint"))}
+        ctx["domains"] = {"LB": ctx["lb"], "VS": ctx["vs"], "EG": ctx["eg"], "MH": ctx["mh"], "AE": ctx["ae"], "EX": ctx["ex"], "CM": ctx["cm"], "DS": ctx["ds"], "DM": ctx["dm"].withColumn("seq", F.lit(None).cast("bigint"))}
         if self.cuts is not None:
             ctx["cuts"] = self.cuts
         if self.documents is not None:
@@ -88,8 +99,8 @@ class Study:
     def patient360(self, usubjid: str) -> dict[str, DataFrame]:
         return G.patient(self.ctx, usubjid)
 
-    def related_subjects(self, table: str, column: str, value: str, source_subject: str | None = None) -> DataFrame:
-        return G.related(self.ctx[table], column, value, source_subject)
+    def related_subjects(self, entity: str, value: str, source_subject: str | None = None) -> DataFrame:
+        return G.related_by(self.ctx, entity, value, source_subject)
 
 
 class ReviewCrew:
@@ -104,14 +115,20 @@ class ReviewCrew:
     def run_cycle(self, cut: int, version: int | None = None, decisions: DataFrame | None = None) -> dict[str, DataFrame]:
         ctx = self.study.build(cut, version).ctx
         spark = ctx["lb"].sparkSession
-        found = P.detect(ctx["findings"]).persist()
-        known = self.memory()
-        base = ctx["mh"].where(F.lower("term").contains("cholesta"))
-        reviewed = P.medical_review(found, known, base)
-        gate = P.human_gate(reviewed, decisions if decisions is not None else spark.createDataFrame([], "key string, decision string"), {})
+        known, rules = self.memory(), ctx["rules"]
+        source.save_state(P.detect(ctx["findings"]), f"{self.state}/detected", cut)  # written once: the nodes and their readers take it from there
+        found = spark.read.parquet(f"{self.state}/detected/cut={cut}")
+        base = R.raised_baseline(ctx["labs"], rules) if "HYS_LAW_CANDIDATE" not in ctx["unavailable"] else ctx["dm"].limit(0)
+        told = decisions if decisions is not None else spark.createDataFrame([], "key string, decision string")
+        said_no = told.where("decision = 'REJECTED'").select("key")
+        rejected = found.join(said_no, F.concat_ws("|", "code", "usubjid") == F.col("key"), "left_semi").select("fingerprint")
+        reviewed = P.medical_review(found, known, base, rejected)
+        flags = source.load_state(spark, f"{self.state}/flags", "usubjid string, cycle bigint")
+        again = P.recurring(found, flags, cut)
+        gate = P.human_gate(reviewed, told, {})
         source.add_state(reviewed.where("route <> 'CARRIED'").select("fingerprint"), f"{self.state}/memory", cut)
-        out = {"reviewed": reviewed, "gate": gate, "compliance": P.compliance(reviewed), "report": P.execute(reviewed, gate)}
-        return out
+        source.save_state(P.flagged(found, cut), f"{self.state}/flags", cut)
+        return {"reviewed": reviewed, "gate": gate, "compliance": P.compliance(reviewed), "report": P.execute(reviewed, gate), "recurring": again}
 
 
 class StudyWatch:
@@ -125,7 +142,7 @@ class StudyWatch:
         found = P.detect(ctx["findings"])
         source.save_state(found.select("fingerprint"), f"{self.state}/findings", cut)
         raw = self.study.tables["lb"]
-        return {"delta": C.delta(raw, cut), "shifts": D.median_shift(raw, cut).where("is_shift"), "sites": D.quarantine(raw, cut)}
+        return {"delta": C.delta(raw, cut), "shifts": D.median_shift(raw, cut).where("is_shift"), "sites": D.quarantine(raw, cut, vs=self.study.tables.get("vs"))}
 
     def run_period(self, cuts: range) -> DataFrame:
         """The ledger after the cuts; a cut run again replaces its findings."""

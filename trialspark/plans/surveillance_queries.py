@@ -12,7 +12,7 @@ from ..operators import ledger as S
 from ..operators import review as P
 from ..operators import rules as R
 from .queries import ALL_FINDINGS, CUT, LABS, NOTES, RULES, SAE, STD, context, labs, notes
-from .registry import query
+from .registry import keep, query
 
 SEEN = "seen AS (SELECT s.subcode || '|' || s.usubjid || '|' || s.seq AS fingerprint, s.usubjid, s.seq, a.cut_available + r.range AS cut FROM sae s JOIN ae a ON a.usubjid = s.usubjid AND a.seq = s.seq JOIN range(0, 4) r ON a.cut_available + r.range <= 10)"
 
@@ -95,19 +95,20 @@ def s9(s):
 PRINTS = "prints AS (SELECT DISTINCT code, usubjid, subcode, domain, seq, concat_ws('|', code, usubjid, domain, coalesce(CAST(seq AS VARCHAR), ''), subcode) AS fingerprint, string_split(usubjid, '-')[2] AS site FROM findings)"
 SEVERE = "CASE WHEN code = 'HYS_LAW_CANDIDATE' OR subcode = 'SAE_MISCODED' THEN 'CRITICAL' WHEN code IN ('SERIOUS_AE', 'DOSING_ERROR', 'ELIGIBILITY_VIOLATION') THEN 'HIGH' ELSE 'MEDIUM' END"
 REVIEWED = f"""reviewed AS (SELECT p.*, {SEVERE} AS severity, CASE WHEN code = 'DOSING_ERROR' AND site = 'S03' THEN 'CARRIED' WHEN code IN ('VISIT_WINDOW_DEVIATION', 'MISSING_DOSE', 'AE_BEFORE_FIRST_DOSE') THEN 'DATA_QUERY'
-  WHEN code = 'HYS_LAW_CANDIDATE' AND usubjid IN (SELECT usubjid FROM mh WHERE term LIKE '%cholestasis%') THEN 'MONITOR' WHEN code IN ('SERIOUS_AE', 'HYS_LAW_CANDIDATE') THEN 'ESCALATE' ELSE 'DEVIATION' END AS route FROM prints p)"""
+  WHEN code = 'HYS_LAW_CANDIDATE' AND usubjid IN (SELECT usubjid FROM std WHERE testcd IN ('ALT', 'AST') AND vcode IN ('SCREENING', 'BASELINE') AND s > 3 * high) THEN 'MONITOR' WHEN code IN ('SERIOUS_AE', 'HYS_LAW_CANDIDATE') THEN 'ESCALATE' ELSE 'DEVIATION' END AS route FROM prints p)"""
 REVIEW = (*ALL_FINDINGS, PRINTS, REVIEWED)
 
 
 def detected(s):
-    """All findings, kept while a cycle's nodes read them: they come from every rule."""
-    return P.detect(context(s)["findings"]).persist()
+    """The context and all its findings, computed once for a cycle's nodes."""
+    ctx = context(s)
+    return ctx, keep(P.detect(ctx["findings"]))
 
 
 def reviewed(s):
-    found = detected(s)
+    ctx, found = detected(s)
     memory = found.where("code = 'DOSING_ERROR' and site = 'S03'").select("fingerprint")
-    return P.medical_review(found, memory, s["mh"].where(F.lower("term").contains("cholesta")))
+    return P.medical_review(found, memory, R.raised_baseline(ctx["labs"], RULES))
 
 
 @query("p1_detect", f"SELECT code, {SEVERE} AS severity, count(*)::BIGINT AS n FROM prints GROUP BY 1, 2", *ALL_FINDINGS, PRINTS)
@@ -120,6 +121,13 @@ def p2(s):
     return reviewed(s).groupBy("route", "code").agg(F.count("*").alias("n"))
 
 
+@query("p2_two_cycles", "SELECT usubjid, site, count(*)::BIGINT AS n FROM prints WHERE code IN ('DOSING_ERROR', 'PROHIBITED_MEDICATION') AND usubjid IN (SELECT usubjid FROM prints WHERE code IN ('DOSING_ERROR', 'PROHIBITED_MEDICATION', 'ELIGIBILITY_VIOLATION', 'DUPLICATE_SUBJECT') AND site < 'S10') GROUP BY 1, 2", *ALL_FINDINGS, PRINTS)
+def p2_two_cycles(s):
+    """Subjects of sites below S10 were flagged in the cycle before."""
+    _, found = detected(s)
+    return P.recurring(found, P.flagged(found.where("site < 'S10'"), 4), 5)
+
+
 @query("p3_data_queries", "SELECT fingerprint, CASE WHEN seq % 4 = 0 THEN 'CONFIRMED' ELSE 'PENDING' END AS reply, coalesce(seq % 4 = 0, FALSE) AS exact_hit FROM reviewed WHERE route = 'DATA_QUERY'", *REVIEW)
 def p3(s):
     r = reviewed(s)
@@ -127,7 +135,7 @@ def p3(s):
     return P.data_queries(r, replies).select("fingerprint", "reply", "exact_hit")
 
 
-@query("p4_compliance", "SELECT site, code, count(*)::BIGINT AS n, count(DISTINCT usubjid)::BIGINT AS n_subjects, code = 'DOSING_ERROR' AND count(DISTINCT usubjid) >= 2 AS site_escalation FROM reviewed WHERE route IN ('DEVIATION', 'CARRIED') AND code IN ('DOSING_ERROR', 'PROHIBITED_MEDICATION', 'ELIGIBILITY_VIOLATION') GROUP BY 1, 2", *REVIEW)
+@query("p4_compliance", "SELECT site, code, count(*)::BIGINT AS n, count(DISTINCT usubjid)::BIGINT AS n_subjects, code = 'DOSING_ERROR' AND count(DISTINCT usubjid) >= 2 AS site_escalation FROM reviewed WHERE route IN ('DEVIATION', 'CARRIED') AND code IN ('DOSING_ERROR', 'PROHIBITED_MEDICATION', 'ELIGIBILITY_VIOLATION', 'DUPLICATE_SUBJECT') GROUP BY 1, 2", *REVIEW)
 def p4(s):
     return P.compliance(reviewed(s))
 
@@ -159,18 +167,22 @@ def p7(s):
 @query("p8_memory_rerun", "SELECT 'CARRIED' AS route, count(*)::BIGINT AS n FROM prints", *ALL_FINDINGS, PRINTS)
 def p8(s):
     """The same cut again: everything is known."""
-    found = detected(s)
+    _, found = detected(s)
     none = found.sparkSession.createDataFrame([], "fingerprint string, cut int")
     baseline = s["mh"].where("false")
     memory = P.remember(none, P.medical_review(found, none, baseline), CUT)
     return P.medical_review(found, memory, baseline).groupBy("route").agg(F.count("*").alias("n"))
 
 
-@query("gr5_patient360", "SELECT 'adverse_events' AS section, count(*)::BIGINT AS n FROM ae WHERE usubjid = (SELECT min(usubjid) FROM subjects) UNION ALL SELECT 'labs', count(*) FROM lb WHERE usubjid = (SELECT min(usubjid) FROM subjects) UNION ALL SELECT 'exposure', count(*) FROM ex WHERE usubjid = (SELECT min(usubjid) FROM subjects) UNION ALL SELECT 'disposition', count(*) FROM ds WHERE usubjid = (SELECT min(usubjid) FROM subjects)")
+FIRST_SUBJECT = "(SELECT min(usubjid) FROM subjects)"
+SECTIONS = {"demographics": "dm", "site": "dm", "person": "persons", "labs": "lb", "vitals": "vs", "ecg": "eg", "exposure": "ex", "adverse_events": "ae", "conmeds": "cm", "medical_history": "mh", "disposition": "ds", "findings": "findings"}
+
+
+@query("gr5_patient360", " UNION ALL ".join(f"SELECT '{k}' AS section, count(*)::BIGINT AS n FROM {t} WHERE usubjid = {FIRST_SUBJECT}" for k, t in SECTIONS.items()) + f" UNION ALL SELECT 'visits', count(DISTINCT visit) FROM visits WHERE usubjid = {FIRST_SUBJECT} UNION ALL SELECT 'evidence_refs', count(*) FROM (SELECT DISTINCT domain, seq FROM findings WHERE usubjid = {FIRST_SUBJECT})", *ALL_FINDINGS)
 def gr5(s):
-    parts = G.patient(context(s), s["subjects"].agg(F.min("usubjid")).first()[0])
+    parts = G.patient(context(s, shared=False), s["subjects"].agg(F.min("usubjid")).first()[0])
     out = None
-    for name in ("adverse_events", "labs", "exposure", "disposition"):
+    for name in (*SECTIONS, "visits", "evidence_refs"):
         one = parts[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("section"), "n")
         out = one if out is None else out.unionByName(one)
     return out
