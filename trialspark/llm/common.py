@@ -14,7 +14,7 @@ SPACE = b" \t\n\x0b\x0c\r"
 SPACE_STR = SPACE.decode()
 
 #: Rows and bytes that Spark hands to Python at once; texts can be long, so both are bounded.
-ARROW_ROWS, ARROW_BYTES = 500, 16 << 20
+ARROW_ROWS, ARROW_BYTES = 500, 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -20,7 +20,7 @@ from .common import map_rows, read, schema_with, texts_of, tune, with_columns
 
 COLUMNS, TRAIN_DOCS, SMOOTHING, UNKNOWN, MIN_SCORE = 1 << 15, 12_000, 0.5, "und", 0.5
 LETTER = re.compile(r"[^\W\d_]")
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def features(texts: list[str], columns: int = COLUMNS) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ from .graphs import components
 WORDS, PERCENT, PARTS = 5, 75, 3
 NOTED_SHARE, NOTED_LEAST, NOTED_MOST, WINDOW_DOCS = 0.0004, 16, 1 << 20, 4096
 STRONG_SEEDS, FULL_SEEDS = 2, 6
-FLUSH, BUCKET_SIGNATURES = 1_200_000, 1_500_000
+FLUSH, BUCKET_SIGNATURES = 600_000, 750_000
 ALL_PAIRS_UP_TO, BROADCAST_IDS, HUB_PAIRS, SKETCH_CHUNK, BLOCK = 8, 1_000_000, 256, 1 << 20, 512
 
 U = np.uint64
