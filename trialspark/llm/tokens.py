@@ -52,7 +52,7 @@ class WordEncoder:
     #: The vocabulary's own pattern of words.
     WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, name: str, most: int = 100_000):
+    def __init__(self, name: str, most: int = 200_000):
         import tiktoken
 
         model = json.load(open(vocabulary(name), encoding="utf-8"))
