@@ -10,14 +10,15 @@ PRIMARY, SECONDARY = ("dminit", "brthdtc", "sex"), ("age", "arm", "rfstdtc", "sc
 
 
 def persons(dm: DataFrame) -> DataFrame:
-    """(usubjid, person_id, matched_on): a subject belongs to its group's base (lowest cut, then usubjid) if at least min(2, number of secondary columns) of those are equal and not empty."""
+    """(usubjid, person_id, matched_on): a subject belongs to its group's base (lowest cut, then usubjid) if at least min(2, number of secondary columns) of those are equal, letters' case and null or empty being one."""
     primary, secondary = ([c for c in names if c in dm.columns] for names in (PRIMARY, SECONDARY))
+    plain = lambda c: F.upper(F.coalesce(c.cast("string"), F.lit("")))
     full = F.lit(bool(primary))
     for c in primary:
-        full = full & (F.coalesce(F.col(c), F.lit("")) != "")
-    group = W.partitionBy(*[F.when(full, F.col(c)) for c in primary], F.when(~full, F.col("usubjid"))).orderBy(F.col("cut_available").asc_nulls_last(), "usubjid")
+        full = full & (plain(F.col(c)) != "")
+    group = W.partitionBy(*[F.when(full, plain(F.col(c))) for c in primary], F.when(~full, F.col("usubjid"))).orderBy(F.coalesce("cut_available", F.lit(0)), "usubjid")
     base = F.first(F.struct("usubjid", *secondary)).over(group)
-    equal = F.array_compact(F.array(*[F.when((F.col(c) == F.col("_b")[c]) & (F.col(c) != ""), F.lit(c)) for c in secondary]))
+    equal = F.array_compact(F.array(*[F.when(plain(F.col(c)) == plain(F.col("_b")[c]), F.lit(c)) for c in secondary]))
     out = dm.withColumn("_b", base).withColumn("_eq", equal)
     same = (F.col("_b.usubjid") == F.col("usubjid")) | (F.size("_eq") >= min(2, len(secondary)))
     return out.select("usubjid", F.when(same, F.col("_b.usubjid")).otherwise(F.col("usubjid")).alias("person_id"), F.when(same & (F.col("_b.usubjid") != F.col("usubjid")), F.array_join("_eq", ",")).otherwise("").alias("matched_on"))
