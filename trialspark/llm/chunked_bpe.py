@@ -3,9 +3,9 @@
 A rolling hash over bytes cuts each text where its content says so, so documents that share a passage share its
 chunks; each distinct chunk is encoded once and remembered (the memory is bounded; what falls out is encoded
 again). A cut may split what the vocabulary's pattern holds together, so each chunk is encoded only between
-positions at which every text splits (before a lone space between two other characters), and every join is
-repaired: the end of one chunk and the start of the next are encoded together, and the repair grows to the next
-such position until it agrees with encoding the whole.
+positions at which this family's pattern splits (before a lone space between two other characters). Every join is
+then repaired: the words on both sides are encoded together and apart, and where the ids differ the pieces become
+one and are encoded anew, until all neighbours agree.
 """
 
 from __future__ import annotations
@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from .common import map_rows, read, schema_with, texts_of, tune, with_columns
 from .tokens import byte_ranks
 
-VOCABULARY, WINDOW, MASK_BITS, KEPT_BYTES = "byte_bpe_50k.json", 24, 9, 48 << 20
+VOCABULARY, WINDOW, MASK_BITS, KEPT_BYTES, TRIED = "byte_bpe_50k.json", 24, 9, 48 << 20, 100_000
 #: A position where every text splits: a lone space before a non-space and after one.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: The start of a piece that a join's trial encodes: white space and a word.
+HEAD = re.compile(r"\s*\S*")
 MIX = 0x9E3779B97F4A7C15
 
 
@@ -65,8 +67,9 @@ class ChunkEncoder:
     def __init__(self, name: str = VOCABULARY, kept_bytes: int = KEPT_BYTES):
         self.ranks, self.kept, self.held, self.most = byte_ranks(name), {}, 0, kept_bytes
         self.special = re.compile("|".join(map(re.escape, self.ranks._special_tokens)) or r"(?!)")
+        self.tried: dict[tuple[str, str], bool] = {}
         self.digits = [str(i) for i in range(self.ranks.n_vocab)]
-        self.asked = self.encoded = 0
+        self.asked = self.encoded = self.repaired = 0
 
     def plain(self, text: str) -> tuple[int, str, str]:
         """A stretch between safe positions, encoded once while it is remembered."""
@@ -119,15 +122,39 @@ class ChunkEncoder:
         out.append(text[done:])
         return out
 
+    def agrees(self, left: str, right: str) -> bool:
+        """Whether the last word of one piece and the first of the next give the same ids together and apart."""
+        pair = left[max(left.rfind(" ", 0, len(left) - 1), 0) :], HEAD.match(right)[0]
+        got = self.tried.get(pair)
+        if got is None:
+            ids = self.ranks.encode_ordinary
+            got = ids(pair[0] + pair[1]) == ids(pair[0]) + ids(pair[1])
+            if len(self.tried) >= TRIED:
+                self.tried.clear()
+            if len(pair[0]) + len(pair[1]) <= 200:  # longer words are tried anew
+                self.tried[pair] = got
+        return got
+
+    def agreed(self, pieces: list[str]) -> list[str]:
+        """The pieces, those whose join doesn't agree made one; the grown piece is tried with the next one again."""
+        out = pieces[:1]
+        for right in pieces[1:]:
+            if self.agrees(out[-1], right):
+                out.append(right)
+            else:
+                self.repaired += 1
+                out[-1] += right
+        return out
+
     def encode(self, text: str) -> tuple[int, str, str]:
         """How many ids, the ids as decimals joined by commas, and what they decode to."""
         parts, at = [], 0
         for m in self.special.finditer(text):
-            parts += [self.plain(s) for s in self.stretches(text[at : m.start()])] if m.start() > at else []
+            parts += [self.plain(s) for s in self.agreed(self.stretches(text[at : m.start()]))] if m.start() > at else []
             parts.append((1, str(self.ranks._special_tokens[m[0]]), m[0]))
             at = m.end()
         if at < len(text):
-            parts += [self.plain(s) for s in self.stretches(text[at:])]
+            parts += [self.plain(s) for s in self.agreed(self.stretches(text[at:]))]
         return sum(p[0] for p in parts), ",".join([p[1] for p in parts if p[0]]), "".join([p[2] for p in parts])
 
 
@@ -138,7 +165,7 @@ def encode_docs(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """docs with n_tokens, ids (decimals joined by commas) and decoded text.
 
     Null and empty texts have no ids and decode to the empty text; a special token's string becomes its id.
-    Texts of any length are encoded whole; repeated rows give repeated results. Columns of docs named n_tokens,
+    Texts of any length are encoded whole; repeated rows give repeated results; nothing depends on an order, so there are no ties; an empty table gives none. Columns of docs named n_tokens,
     ids or decoded are replaced.
     """
     tune(docs.sparkSession)
