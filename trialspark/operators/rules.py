@@ -226,24 +226,36 @@ def severity(code, subcode):
     return F.when((code == "HYS_LAW_CANDIDATE") | (subcode == "SAE_MISCODED"), "CRITICAL").when(code.isin("SERIOUS_AE", "DOSING_ERROR", "ELIGIBILITY_VIOLATION"), "HIGH").otherwise("MEDIUM")
 
 
+def _form(df: DataFrame, code: str, domain: str, seq=None, sub=None) -> DataFrame:
+    return df.select(F.lit(code).alias("code"), "usubjid", (F.lit("") if sub is None else sub).alias("subcode"), F.lit(domain).alias("domain"), (F.lit(None) if seq is None else seq).cast("bigint").alias("seq"))
+
+
+#: The rules by code: functions of the study's context and the protocol's parameters to (code, usubjid, subcode, domain, seq).
+RULES = {
+    "HYS_LAW_CANDIDATE": lambda ctx, rules: _form(hys_law(ctx["labs"], ctx["mh"], rules), "HYS_LAW_CANDIDATE", "LB", F.col("t_seq")),
+    "SERIOUS_AE": lambda ctx, rules: _form(serious_ae(ctx["ae"], rules), "SERIOUS_AE", "AE", F.col("seq"), F.col("subcode")),
+    "AE_BEFORE_FIRST_DOSE": lambda ctx, rules: _form(ae_before_first_dose(ctx["ae"], ctx["doses"]), "AE_BEFORE_FIRST_DOSE", "AE", F.col("seq")),
+    "DOSING_ERROR": lambda ctx, rules: _form(dosing_error(ctx["ex"], rules), "DOSING_ERROR", "EX", F.col("first_seq")),
+    "MISSING_DOSE": lambda ctx, rules: _form(missing_dose(ctx["dm"], ctx["ex"], ctx["ds"], rules), "MISSING_DOSE", "EX", sub=F.col("subcode")),
+    "VISIT_WINDOW_DEVIATION": lambda ctx, rules: visit_windows(ctx["visits"], ctx["doses"], rules).select(F.lit("VISIT_WINDOW_DEVIATION").alias("code"), "usubjid", F.col("visit").alias("subcode"), F.col("first_domain").alias("domain"), F.col("first_seq").alias("seq")),
+    "PROHIBITED_MEDICATION": lambda ctx, rules: _form(prohibited_medication(ctx["cm"], rules), "PROHIBITED_MEDICATION", "CM", F.col("seq")),
+    "ELIGIBILITY_VIOLATION": lambda ctx, rules: eligibility(ctx["dm"], ctx["labs"], ctx["mh"], ctx["ae"], rules).select(F.lit("ELIGIBILITY_VIOLATION").alias("code"), "usubjid", "subcode", "domain", "seq"),
+    "DUPLICATE_SUBJECT": lambda ctx, rules: _form(duplicates(ctx["persons"]).withColumnRenamed("person_id", "usubjid"), "DUPLICATE_SUBJECT", "DM"),
+}
+
+
+def run_rule(ctx: dict, code: str, rules: Rules = Rules()) -> DataFrame:
+    """One rule's findings; an unavailable rule finds nothing, an unknown code is a KeyError."""
+    rule = RULES[code]
+    if code in rules.unavailable():
+        return ctx["dm"].sparkSession.createDataFrame([], "code string, usubjid string, subcode string, domain string, seq bigint")
+    return rule(ctx, rules)
+
+
 def all_findings(ctx: dict, rules: Rules = Rules()) -> DataFrame:
-    """Every rule's findings in one form: (code, usubjid, subcode, domain, seq)."""
-    off = rules.unavailable()
-    none = F.lit(None).cast("bigint")
-    form = lambda df, code, domain, seq=none, sub=F.lit(""): df.select(F.lit(code).alias("code"), "usubjid", sub.alias("subcode"), F.lit(domain).alias("domain"), seq.cast("bigint").alias("seq"))
-    parts = {
-        "HYS_LAW_CANDIDATE": lambda: form(hys_law(ctx["labs"], ctx["mh"], rules), "HYS_LAW_CANDIDATE", "LB", F.col("t_seq")),
-        "SERIOUS_AE": lambda: form(serious_ae(ctx["ae"], rules), "SERIOUS_AE", "AE", F.col("seq"), F.col("subcode")),
-        "AE_BEFORE_FIRST_DOSE": lambda: form(ae_before_first_dose(ctx["ae"], ctx["doses"]), "AE_BEFORE_FIRST_DOSE", "AE", F.col("seq")),
-        "DOSING_ERROR": lambda: form(dosing_error(ctx["ex"], rules), "DOSING_ERROR", "EX", F.col("first_seq")),
-        "MISSING_DOSE": lambda: form(missing_dose(ctx["dm"], ctx["ex"], ctx["ds"], rules), "MISSING_DOSE", "EX", none, F.col("subcode")),
-        "VISIT_WINDOW_DEVIATION": lambda: visit_windows(ctx["visits"], ctx["doses"], rules).select(F.lit("VISIT_WINDOW_DEVIATION").alias("code"), "usubjid", F.col("visit").alias("subcode"), F.col("first_domain").alias("domain"), F.col("first_seq").alias("seq")),
-        "PROHIBITED_MEDICATION": lambda: form(prohibited_medication(ctx["cm"], rules), "PROHIBITED_MEDICATION", "CM", F.col("seq")),
-        "ELIGIBILITY_VIOLATION": lambda: eligibility(ctx["dm"], ctx["labs"], ctx["mh"], ctx["ae"], rules).select(F.lit("ELIGIBILITY_VIOLATION").alias("code"), "usubjid", "subcode", "domain", "seq"),
-        "DUPLICATE_SUBJECT": lambda: form(duplicates(ctx["persons"]).withColumnRenamed("person_id", "usubjid"), "DUPLICATE_SUBJECT", "DM"),
-    }
-    out = None
-    for code, part in parts.items():
+    """Every available rule's findings in one form: (code, usubjid, subcode, domain, seq)."""
+    off, out = rules.unavailable(), None
+    for code, rule in RULES.items():
         if code not in off:
-            out = part() if out is None else out.unionByName(part())
+            out = rule(ctx, rules) if out is None else out.unionByName(rule(ctx, rules))
     return out

@@ -713,6 +713,22 @@ def ev1(s):
     return valid(s)
 
 
+EV_SECTIONS = "ev_sections AS (SELECT DISTINCT 'Protocol_' || CAST(row_no % 5 AS VARCHAR) AS document, CAST((row_no // 5) % 7 + 1 AS VARCHAR) AS section, 'Part ' || CAST((row_no // 5) % 7 + 1 AS VARCHAR) || ' Title' AS title FROM dm)"
+EV_REFS = """ev_refs AS (SELECT usubjid, seq, CASE row_no % 4 WHEN 0 THEN 'protocol_' WHEN 1 THEN 'Protocol_' WHEN 2 THEN 'PROTOCOL_' ELSE 'Appendix_' END || CAST(row_no % 5 AS VARCHAR) AS document,
+  CASE (row_no // 4) % 6 WHEN 0 THEN k WHEN 1 THEN '§ ' || k WHEN 2 THEN 'part-' || k || '-title' WHEN 3 THEN 'PART ' || k WHEN 4 THEN 'Chapter ' || k ELSE '' END AS section FROM (SELECT *, CAST(row_no % 9 + 1 AS VARCHAR) AS k FROM ae))"""
+
+
+@query("ev2_documents", """SELECT usubjid, seq, document, section, CASE WHEN NOT EXISTS (SELECT 1 FROM ev_sections s WHERE lower(s.document) = lower(r.document)) THEN 'document_not_loaded'
+  WHEN NOT EXISTS (SELECT 1 FROM ev_sections s WHERE lower(s.document) = lower(r.document) AND (s.section = r.section OR s.section = ltrim(r.section, '§ ') OR lower(replace(s.title, ' ', '-')) = r.section OR (r.section <> '' AND contains(lower(s.title), lower(r.section))))) THEN 'section_not_found' END AS dropped FROM ev_refs r""", EV_SECTIONS, EV_REFS)
+def ev2(s):
+    key, m = F.floor(F.col("row_no") / 5) % 7 + 1, lambda k: (F.col("row_no") % k).cast("string")
+    sections = s["dm"].select(F.concat(F.lit("Protocol_"), m(5)).alias("document"), key.cast("string").alias("section")).distinct().withColumn("title", F.concat(F.lit("Part "), "section", F.lit(" Title")))
+    case = F.element_at(F.array(*map(F.lit, ("protocol_", "Protocol_", "PROTOCOL_", "Appendix_"))), (F.col("row_no") % 4 + 1).cast("int"))
+    k = (F.col("row_no") % 9 + 1).cast("string")
+    asked = F.element_at(F.array(k, F.concat(F.lit("§ "), k), F.concat(F.lit("part-"), k, F.lit("-title")), F.concat(F.lit("PART "), k), F.concat(F.lit("Chapter "), k), F.lit("")), (F.floor(F.col("row_no") / 4) % 6 + 1).cast("int"))
+    return E.resolved(s["ae"].select("usubjid", "seq", F.concat(case, m(5)).alias("document"), asked.alias("section")), sections)
+
+
 @query("ev3_assemble", "SELECT finding, count(*) FILTER (WHERE domain <> 'DOC')::BIGINT AS n_records, length(array_to_string(list_distinct(list(concat_ws(':', domain, usubjid, seq))), ','))::INT AS refs_length FROM valid WHERE dropped IS NULL GROUP BY 1 HAVING count(*) FILTER (WHERE domain <> 'DOC') > 0", CITED, CLAIMS, VALID)
 def ev3(s):
     return E.assemble(valid(s)).select("finding", "n_records", F.length("refs").alias("refs_length"))
