@@ -136,14 +136,14 @@ class ChunkEncoder:
         return got
 
     def agreed(self, pieces: list[str]) -> list[str]:
-        """The pieces, those whose join doesn't agree made one; the grown piece is tried with the next one again."""
-        out = pieces[:1]
-        for right in pieces[1:]:
-            if self.agrees(out[-1], right):
-                out.append(right)
-            else:
+        """The pieces, those whose join doesn't agree made one; a grown piece is tried with both its neighbours again."""
+        out: list[str] = []
+        for piece in pieces:
+            out.append(piece)
+            while len(out) > 1 and not self.agrees(out[-2], out[-1]):
                 self.repaired += 1
-                out[-1] += right
+                last = out.pop()
+                out[-1] += last
         return out
 
     def encode(self, text: str) -> tuple[int, str, str]:
