@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -125,3 +126,47 @@ def byte_ranks(name: str):
     #: Fixed value: the pattern of words of byte-level vocabularies of this family.
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     return tiktoken.Encoding(name="bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+
+class ByteWords:
+    """ids of whole texts under a byte-level vocabulary, as bytes; words after a lone space are kept, up to a bound.
+
+    Every text of this family splits before a lone space between two other characters, so what stands between two
+    such spaces is encoded by itself. A special token's string becomes its id, as the library has it.
+    """
+
+    #: A lone space between two other characters.
+    LONE = re.compile(r"(?<=\S) (?=\S)")
+
+    def __init__(self, name: str, most: int = 100_000):
+        self.ranks, self.most, self.kept, self.old = byte_ranks(name), most, {}, {}
+        self.special = re.compile("(" + "|".join(map(re.escape, self.ranks._special_tokens)) + ")" if self.ranks._special_tokens else r"((?!))")
+
+    def encode(self, text: str) -> bytes:
+        if not any(s in text for s in self.ranks._special_tokens):
+            return self.plain(text)
+        parts = self.special.split(text)
+        return b"".join([self.plain(p) if i % 2 == 0 else int(self.ranks._special_tokens[p]).to_bytes(4, "little") for i, p in enumerate(parts)])
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.ranks.encode_ordinary(text), dtype="<u4").tobytes()
+
+    def plain(self, text: str) -> bytes:
+        if not text:
+            return b""
+        first, *words = text.split(" ")
+        missing = set(words).difference(self.kept)
+        if not first or first[-1].isspace() or any(not w or w[0].isspace() or w[-1].isspace() for w in missing):
+            first, *words = self.LONE.split(text)  # other white space stays within the stretches
+            missing = set(words).difference(self.kept)
+        long = {w for w in missing if len(w) > 100}  # not kept
+        if len(self.kept) > self.most:  # what was used since the last turn stays for another one
+            self.old, self.kept = self.kept, {}
+            missing = set(words)
+            long = {w for w in missing if len(w) > 100}
+        kept, old = self.kept, self.old
+        for w in missing - long:
+            kept[w] = old.get(w) or self.ids(" " + w)
+        if long:
+            return self.ids(first) + b"".join([kept[w] if w not in long else self.ids(" " + w) for w in words])
+        return self.ids(first) + b"".join(map(kept.__getitem__, words))
