@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, read, tune
 
-LEAST, WORDS, TOP, SHARE = 10, 3, 2000, 50
+LEAST, WORDS, TOP, SHARE, SALTS = 10, 3, 2000, 50, 32
 #: Words that a task counts at once, distinct words that it numbers at once, and the bitmap's bits: at least, a frequent gram, at most.
 BLOCK, NUMBERED, BITS_LEAST, BITS_EACH, BITS_MOST = 2_000_000, 400_000, 1 << 16, 16, 1 << 26
 GAP = b"."  # ends a piece and so is no word
@@ -84,27 +85,35 @@ class Block:
     def full(self) -> bool:
         return self.size >= BLOCK or len(self.numbers) > NUMBERED
 
-    def grams(self, k: int, bitmaps: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
-        """The k-grams of which both (k-1)-grams may be frequent, and how often each is here; for one word also b'', for all words."""
-        ids, words = np.concatenate(self.parts), list(self.numbers)
+    def grams(self, k: int, bitmaps: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+        """The k-grams of which both (k-1)-grams may be frequent, and how often each is here; for one word also '', for all words."""
+        ids, names = np.concatenate(self.parts), list(self.numbers)
+        words = pa.array([b"", *names[1:]], pa.binary())
         if k == 1:
             n = np.bincount(ids, minlength=len(words))
             n[0] = n.sum() - n[0]
-            return [b"", *words[1:]], n
-        hashes = np.array([word_hash(self.lang, w) for w in words], np.uint64)
+            return words, n
+        hashes = np.array([word_hash(self.lang, w) for w in names], np.uint64)
         may = held(bitmaps[0], hashes)
         may[0] = False
-        ok, own, code = may[ids], hashes[ids], ids  # of the gram that starts at each position: may it be frequent, its hash, its number
+        ok, own, code, levels = may[ids], hashes[ids], ids, []  # of the gram that starts at each position: may it be frequent, its hash, its number
         for size in range(2, k + 1):
             at = np.flatnonzero(ok[:-1] & ok[1:])  # both overlapping grams
             last = ids[size - 1 :]
             at = at[at < len(last)]
-            code = code[: len(last)].copy()
-            kinds, first, inverse, n = np.unique((code[at] << 32) | last[at], return_index=True, return_inverse=True, return_counts=True)
+            grams = (code[at] << 32) | last[at]
             if size == k:
-                return [b" ".join([words[x] for x in ids[i : i + k]]) for i in at[first].tolist()], n
+                kinds, n = np.unique(grams, return_counts=True)
+                columns = []
+                for level in (kinds, *reversed(levels)):  # a gram's number leads to its first words' gram
+                    columns.append(words.take(pa.array(level[kinds] & 0xFFFFFFFF if columns else kinds & 0xFFFFFFFF)))
+                    kinds = (level[kinds] if len(columns) > 1 else kinds) >> 32
+                columns.append(words.take(pa.array(kinds)))
+                return pc.binary_join_element_wise(*reversed(columns), b" "), n
+            kinds, inverse = np.unique(grams, return_inverse=True)
+            levels.append(kinds)
             mixed = own[: len(last)] * MIX + hashes[last]
-            ok = np.zeros(len(last), bool)
+            ok, code = np.zeros(len(last), bool), code[: len(last)].copy()
             ok[at] = held(bitmaps[size - 1], mixed[at])
             code[at], own = inverse, mixed
         raise AssertionError("k is at least 1")
@@ -117,7 +126,7 @@ def counted(docs: DataFrame, k: int, bitmaps: list[np.ndarray]) -> DataFrame:
     def out(block: Block) -> Iterator[pa.RecordBatch]:
         phrases, n = block.grams(k, shared.value)
         for at in range(0, len(phrases), 100_000):
-            part = pa.array(phrases[at : at + 100_000], pa.binary()).cast(pa.string())
+            part = phrases[at : at + 100_000].cast(pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([block.lang.decode()] * len(part), pa.string()), part, pa.array(n[at : at + 100_000], pa.int64())], names=["lang", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +191,10 @@ def collocations(docs: DataFrame, words: int = WORDS, least: int = LEAST, top: i
     kept = scored.join(around, ["lang", "phrase"], "left").where(F.col("_longer").isNull() | (100 * F.col("_longer") < share * F.col("a")))
     totals = tables[0].where("phrase = ''").select("lang", "n")
     kept = kept.join(totals, "lang").select("lang", "phrase", "a", "_low.l", "_low.r", "n", "_low.score")
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    ranked = kept.withColumn("rank", rank)  # a limit on the rank is applied within each task before the rows are dealt by language
+    rank = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    if top:  # the best of each of SALTS parts of a language first: what one task ranks is bounded, whatever the corpus
+        kept = kept.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("_r", rank("lang", "_salt")).where(F.col("_r") <= top)
+    ranked = kept.withColumn("rank", rank("lang"))
     ranked = ranked.where(F.col("rank") <= top) if top else ranked
     return ranked.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
