@@ -25,6 +25,21 @@ def ledger(findings: DataFrame) -> DataFrame:
     return out.join(F.broadcast(last)).withColumn("status", F.when(F.col("last_seen") == F.col("_last"), "OPEN").otherwise("RESOLVED")).drop("_last")
 
 
+def period(cuts: DataFrame) -> DataFrame:
+    """A period's cuts (cut, version, findings, serious, queries) with running sums and changes of version.
+
+    A cut that was run again counts once, by its last run (run, if there is such a column): sums stay the same under
+    repeats. The windows are over one row a cut.
+    """
+    run = F.col("run") if "run" in cuts.columns else F.lit(0)
+    once = cuts.groupBy("cut").agg(*[F.max_by(c, F.struct(run, F.col(c))).alias(c) for c in ("version", "findings", "serious", "queries")])
+    order = W.orderBy("cut")
+    for c in ("findings", "serious", "queries"):
+        once = once.withColumn(f"{c}_so_far", F.sum(c).over(order))
+    before = F.lag("version").over(order)
+    return once.withColumn("from_version", F.when(before != F.col("version"), before)).withColumn("to_version", F.when(before != F.col("version"), F.col("version")))
+
+
 def quarantined(findings: DataFrame, sites: DataFrame, tests: DataFrame) -> DataFrame:
     """findings with status QUARANTINED where the site, or the site's test, is not trusted; names compare in upper case."""
     s = sites.select(F.upper("site").alias("_s")).distinct().withColumn("_q", F.lit(True))
@@ -78,6 +93,30 @@ def human_state(escalations: DataFrame, answers: DataFrame, cut: int, delay: int
     return out.select("fingerprint", "raised", state.alias("state"))
 
 
+def human_history(escalations: DataFrame, replies: DataFrame, answered: DataFrame, last: int, limit: int = 4) -> DataFrame:
+    """(fingerprint, raised, cut, state, cuts_pending, clarified): every escalation at every cut from its first to the last.
+
+    escalations (fingerprint, cut), replies (fingerprint, cut, decision) as they come in, answered (fingerprint): those whose
+    clarification the data answer. A reply holds from its cut until another one. APPROVED and REJECTED close an
+    escalation; CLARIFY that is answered closes it as APPROVED, one that isn't leaves it UNRESOLVED. A cut after the
+    first without any reply counts as pending; with `limit` of them standing limits hold, which closes it too: silence
+    is never approval. What is closed stays as it is. Each escalation has a row a cut, so windows stay small.
+    """
+    raised = escalations.groupBy("fingerprint").agg(F.min("cut").alias("raised")).where(F.col("raised") <= last)
+    told = replies.where(F.col("cut") <= last).join(raised, "fingerprint").withColumn("cut_", F.greatest("cut", "raised"))
+    told = told.groupBy("fingerprint", F.col("cut_").alias("cut")).agg(F.max_by("decision", F.struct("cut", "decision")).alias("_new"))
+    days = raised.withColumn("cut", F.explode(F.sequence("raised", F.lit(last).cast(dict(raised.dtypes)["raised"])))).join(told, ["fingerprint", "cut"], "left")
+    days = days.join(answered.select("fingerprint").distinct().withColumn("_answered", F.lit(True)), "fingerprint", "left")
+    so_far = W.partitionBy("fingerprint").orderBy("cut").rowsBetween(W.unboundedPreceding, 0)
+    days = days.withColumn("_d", F.last("_new", ignorenulls=True).over(so_far))
+    days = days.withColumn("_silent", F.sum(F.when(F.col("_d").isNull() & (F.col("cut") > F.col("raised")), 1).otherwise(0)).over(so_far))
+    closing = F.when(F.col("_d").isin("APPROVED", "REJECTED"), F.col("_d")).when((F.col("_d") == "CLARIFY") & F.col("_answered"), "APPROVED").when(F.col("_silent") >= limit, "STANDING_LIMITS")
+    days = days.withColumn("_c", closing).withColumn("_was", F.when(F.col("_c").isNotNull(), F.struct(F.col("_c").alias("state"), F.col("_silent").alias("n"), F.coalesce(F.col("_d") == "CLARIFY", F.lit(False)).alias("clarified"))))
+    days = days.withColumn("_closed", F.first("_was", ignorenulls=True).over(so_far))
+    state = F.coalesce(F.col("_closed.state"), F.when(F.col("_d") == "CLARIFY", "UNRESOLVED").otherwise("PENDING"))
+    return days.select("fingerprint", "raised", "cut", state.alias("state"), F.coalesce(F.col("_closed.n"), F.col("_silent")).alias("cuts_pending"), F.coalesce(F.col("_closed.clarified"), F.lit(False)).alias("clarified"))
+
+
 def budget_tier(spent_ms: float, total_ms: float = 120_000.0, reduced: float = 0.6, essential: float = 0.8) -> str:
     """FULL, REDUCED or ESSENTIAL by the share spent; safety rules run in every tier."""
     share = spent_ms / total_ms if total_ms > 0 else 1.0

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import normalise as N
 from . import rules as R
 
 DATA_QUALITY = ("VISIT_WINDOW_DEVIATION", "MISSING_DOSE", "AE_BEFORE_FIRST_DOSE")
@@ -85,12 +86,59 @@ def compliance(reviewed: DataFrame, least: int = 2) -> DataFrame:
     return out.withColumn("site_escalation", (F.col("code") == "DOSING_ERROR") & (F.col("n_subjects") >= least))
 
 
-def human_gate(reviewed: DataFrame, decisions: DataFrame, aliases: dict[str, str], default: str = "PENDING") -> DataFrame:
-    """Escalations with their status; an unanswered one is the default, never silently approved."""
+def human_gate(reviewed: DataFrame, decisions: DataFrame, aliases: dict[str, str], default: str = "PENDING", answers: DataFrame | None = None) -> DataFrame:
+    """Escalations with their status; an unanswered one is the default, never silently approved.
+
+    CLARIFY is approved only where `answers` (usubjid, answer, refs; see clarify) cites records for it; else it is UNRESOLVED and nothing is done.
+    """
     out = with_decision(reviewed.where("route = 'ESCALATE'"), decisions, aliases, default)
-    status = F.when(F.col("decision") == "REJECTED", "MONITORING").when(F.col("decision") == "CLARIFY", "APPROVED_AFTER_CLARIFICATION").otherwise(F.col("decision"))
-    action = F.when(~F.col("decision").isin("APPROVED", "CLARIFY"), "NONE").when(F.col("code") == "HYS_LAW_CANDIDATE", "HOLD_DOSING").otherwise("EXPEDITED_REPORT")
-    return out.withColumn("status", status).withColumn("action", action)
+    if answers is None:
+        out = out.withColumn("answer", F.lit(None).cast("string"))
+    else:
+        out = out.join(answers.where(F.size("refs") > 0).select("usubjid", "answer"), "usubjid", "left")
+    asked, told = F.col("decision") == "CLARIFY", F.col("answer").isNotNull()
+    status = F.when(F.col("decision") == "REJECTED", "MONITORING").when(asked & told, "APPROVED_AFTER_CLARIFICATION").when(asked, "UNRESOLVED").otherwise(F.col("decision"))
+    action = F.when(~status.isin("APPROVED", "APPROVED_AFTER_CLARIFICATION"), "NONE").when(F.col("code") == "HYS_LAW_CANDIDATE", "HOLD_DOSING").otherwise("EXPEDITED_REPORT")
+    return out.withColumn("status", status).withColumn("action", action).withColumn("answer", F.when(asked, F.col("answer")))
+
+
+#: Classes and names of medicines that may harm the liver.
+LIVER_CLASSES = ("STATIN", "SYSTEMIC_GLUCOCORTICOID", "ANTIFUNGAL", "ANTITUBERCULAR")
+LIVER_NAMES = ("ATORVASTATIN", "SIMVASTATIN", "ROSUVASTATIN", "PRAVASTATIN", "PARACETAMOL", "ACETAMINOPHEN", "METHOTREXATE", "AMIODARONE", "KETOCONAZOLE", "FLUCONAZOLE", "ISONIAZID")
+MEDICINES_TOLD = 20
+
+
+def clarify(asked: DataFrame, lb: DataFrame, cm: DataFrame, told: int = MEDICINES_TOLD) -> DataFrame:
+    """(usubjid, question, answer, refs): what the records say to the monitor's questions, for all subjects at once.
+
+    A question about ALT, transaminases or screening is answered by the subject's first such result (by seq), one about
+    medicines by those that may harm the liver, else by what it takes; refs are domain:seq. The answer names the first
+    `told` medicines by seq and says how many there are; refs are of all that matter. A question about neither, or of
+    a subject without such records, has no refs: it stays open.
+    """
+    low = F.lower("question")
+    alt = lb.where((F.col("testcd") == "ALT") & N.visit_code(F.col("visit")).isin("SCREENING", "BASELINE")).groupBy("usubjid").agg(F.min_by(F.struct("orres", "unit", "visit", "dtc", "seq"), "seq").alias("_alt"))
+    name, cls = N.strip(F.coalesce("trt", F.lit(""))), N.strip(F.coalesce("cls", F.lit("")))
+    liver = N.class_token(cls).isin(*LIVER_CLASSES)
+    for n in LIVER_NAMES:
+        liver = liver | F.upper(name).contains(n)
+    taken = cm.join(asked.select("usubjid").distinct(), "usubjid", "left_semi").select("usubjid", "seq", F.when(cls != "", F.concat(name, F.lit(" ("), F.upper(cls), F.lit(")"))).otherwise(name).alias("_m"), F.coalesce(liver, F.lit(False)).alias("_liver"))
+    few = lambda when, n: F.slice(F.sort_array(F.filter(F.collect_list(F.when(when, F.struct("seq", "_m"))), lambda x: x.isNotNull())), 1, n)
+    meds = taken.groupBy("usubjid").agg(F.count("*").alias("_n"), F.count_if("_liver").alias("_nl"), few(F.col("_liver"), told).alias("_l"), few(F.lit(True), told).alias("_a"), F.sort_array(F.collect_list(F.when(F.col("_liver"), F.col("seq")))).alias("_refs"), F.min("seq").alias("_first"))
+    out = asked.join(alt, "usubjid", "left").join(meds, "usubjid", "left")
+    of_alt = low.contains("alt") | low.contains("transaminase") | low.contains("screening")
+    of_cm = low.contains("medication") | low.contains("medicine") | low.contains("hepatotoxic") | low.contains("drug")
+    names = lambda c: F.array_join(F.transform(c, lambda x: x["_m"]), ", ")
+    alt_text = F.when(F.col("_alt").isNull(), "No screening ALT on record").otherwise(F.concat(F.lit("Screening ALT was "), F.col("_alt.orres"), F.lit(" "), F.col("_alt.unit"), F.lit(" at "), F.col("_alt.visit"), F.lit(" on "), F.coalesce("_alt.dtc", F.lit("an unknown date"))))
+    cm_text = (
+        F.when(F.col("_n").isNull(), "No medicines on record").when(F.col("_nl") > 0, F.concat(F.col("_nl").cast("string"), F.lit(" medicine(s) that may harm the liver: "), names("_l")))
+        .otherwise(F.concat(F.lit("None of "), F.col("_n").cast("string"), F.lit(" medicine(s) is known to harm the liver: "), names("_a")))
+    )
+    alt_refs = F.when(of_alt & F.col("_alt").isNotNull(), F.array(F.concat(F.lit("LB:"), F.col("_alt.seq").cast("string")))).otherwise(F.array().cast("array<string>"))
+    liver_refs = F.transform(F.coalesce("_refs", F.array().cast("array<bigint>")), lambda x: F.concat(F.lit("CM:"), x.cast("string")))
+    cm_refs = F.when(of_cm, F.when((F.size(liver_refs) == 0) & (F.size(alt_refs) == 0) & F.col("_first").isNotNull(), F.array(F.concat(F.lit("CM:"), F.col("_first").cast("string")))).otherwise(liver_refs)).otherwise(F.array().cast("array<string>"))
+    text = F.concat_ws(". ", F.when(of_alt, alt_text), F.when(of_cm, cm_text))
+    return out.select("usubjid", "question", F.when(of_alt | of_cm, F.concat(text, F.lit("."))).alias("answer"), F.concat(alt_refs, cm_refs).alias("refs"))
 
 
 def execute(reviewed: DataFrame, gate: DataFrame) -> DataFrame:

@@ -132,16 +132,21 @@ def no_exposure(dm: DataFrame, ex: DataFrame) -> DataFrame:
     return dm.join(ex.select("usubjid").distinct(), "usubjid", "left_anti").select("usubjid")
 
 
-def dose_gaps(ex: DataFrame, ds: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def dosed_visits(ex: DataFrame) -> DataFrame:
+    """(visit): the visits at which anyone was dosed, the one fact about all subjects that a subject's findings rest on."""
+    return ex.select(N.visit_code(F.col("visit")).alias("visit")).distinct()
+
+
+def dose_gaps(ex: DataFrame, ds: DataFrame, rules: Rules = Rules(), dosed: DataFrame | None = None) -> DataFrame:
     """(usubjid, visit, ord): visits expected of each subject at which nothing was given.
 
-    Expected are the scheduled visits at which anyone was dosed, from the subject's first to its last, or to the
-    end if it completed.
+    Expected are the scheduled visits at which anyone was dosed (`dosed`, if ex holds some subjects only), from the
+    subject's first to its last, or to the end if it completed.
     """
     spark = ex.sparkSession
     order = spark.createDataFrame([(v, i) for i, v in enumerate(sorted(rules.visit_schedule, key=rules.visit_schedule.get))], "visit string, ord int")
     given = ex.select("usubjid", N.visit_code(F.col("visit")).alias("visit")).distinct().join(F.broadcast(order), "visit")  # the schedule: a few dozen visits
-    used = given.select("visit", "ord").distinct()
+    used = given.select("visit", "ord").distinct() if dosed is None else dosed.join(F.broadcast(order), "visit")
     done = last_disposition(ds).where("upper(decod) like 'COMPLET%'").select("usubjid", F.lit(True).alias("_done"))
     last = F.broadcast(used.agg(F.max("ord").alias("_end")))
     span = given.groupBy("usubjid").agg(F.min("ord").alias("_from"), F.max("ord").alias("_to")).join(done, "usubjid", "left").join(last).withColumn("_to", F.when(F.col("_done"), F.col("_end")).otherwise(F.col("_to")))
@@ -157,8 +162,8 @@ def gap_neighbours(gaps: DataFrame, ex: DataFrame, rules: Rules = Rules()) -> Da
     return out.select("usubjid", "visit", "ord", F.array_max(F.filter("_given", lambda x: x < F.col("ord"))).alias("before"), F.array_min(F.filter("_given", lambda x: x > F.col("ord"))).alias("after"))
 
 
-def missing_dose(dm: DataFrame, ex: DataFrame, ds: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    gaps = dose_gaps(ex, ds, rules).groupBy("usubjid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "visit"))), lambda x: x["visit"]), ",").alias("visits"))
+def missing_dose(dm: DataFrame, ex: DataFrame, ds: DataFrame, rules: Rules = Rules(), dosed: DataFrame | None = None) -> DataFrame:
+    gaps = dose_gaps(ex, ds, rules, dosed).groupBy("usubjid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "visit"))), lambda x: x["visit"]), ",").alias("visits"))
     none = no_exposure(dm, ex).select("usubjid", F.lit("NO_EXPOSURE").alias("subcode"), F.lit("").alias("visits"), F.lit(0.85).alias("confidence"))
     return gaps.select("usubjid", F.lit("MISSING_DOSE").alias("subcode"), "visits", F.lit(0.8).alias("confidence")).unionByName(none)
 
@@ -230,13 +235,15 @@ def _form(df: DataFrame, code: str, domain: str, seq=None, sub=None) -> DataFram
     return df.select(F.lit(code).alias("code"), "usubjid", (F.lit("") if sub is None else sub).alias("subcode"), F.lit(domain).alias("domain"), (F.lit(None) if seq is None else seq).cast("bigint").alias("seq"))
 
 
+FINDING = "code string, usubjid string, subcode string, domain string, seq bigint"
+
 #: The rules by code: functions of the study's context and the protocol's parameters to (code, usubjid, subcode, domain, seq).
 RULES = {
     "HYS_LAW_CANDIDATE": lambda ctx, rules: _form(hys_law(ctx["labs"], ctx["mh"], rules), "HYS_LAW_CANDIDATE", "LB", F.col("t_seq")),
     "SERIOUS_AE": lambda ctx, rules: _form(serious_ae(ctx["ae"], rules), "SERIOUS_AE", "AE", F.col("seq"), F.col("subcode")),
     "AE_BEFORE_FIRST_DOSE": lambda ctx, rules: _form(ae_before_first_dose(ctx["ae"], ctx["doses"]), "AE_BEFORE_FIRST_DOSE", "AE", F.col("seq")),
     "DOSING_ERROR": lambda ctx, rules: _form(dosing_error(ctx["ex"], rules), "DOSING_ERROR", "EX", F.col("first_seq")),
-    "MISSING_DOSE": lambda ctx, rules: _form(missing_dose(ctx["dm"], ctx["ex"], ctx["ds"], rules), "MISSING_DOSE", "EX", sub=F.col("subcode")),
+    "MISSING_DOSE": lambda ctx, rules: _form(missing_dose(ctx["dm"], ctx["ex"], ctx["ds"], rules, ctx.get("dosed")), "MISSING_DOSE", "EX", sub=F.col("subcode")),
     "VISIT_WINDOW_DEVIATION": lambda ctx, rules: visit_windows(ctx["visits"], ctx["doses"], rules).select(F.lit("VISIT_WINDOW_DEVIATION").alias("code"), "usubjid", F.col("visit").alias("subcode"), F.col("first_domain").alias("domain"), F.col("first_seq").alias("seq")),
     "PROHIBITED_MEDICATION": lambda ctx, rules: _form(prohibited_medication(ctx["cm"], rules), "PROHIBITED_MEDICATION", "CM", F.col("seq")),
     "ELIGIBILITY_VIOLATION": lambda ctx, rules: eligibility(ctx["dm"], ctx["labs"], ctx["mh"], ctx["ae"], rules).select(F.lit("ELIGIBILITY_VIOLATION").alias("code"), "usubjid", "subcode", "domain", "seq"),
@@ -248,14 +255,14 @@ def run_rule(ctx: dict, code: str, rules: Rules = Rules()) -> DataFrame:
     """One rule's findings; an unavailable rule finds nothing, an unknown code is a KeyError."""
     rule = RULES[code]
     if code in rules.unavailable():
-        return ctx["dm"].sparkSession.createDataFrame([], "code string, usubjid string, subcode string, domain string, seq bigint")
+        return ctx["dm"].sparkSession.createDataFrame([], FINDING)
     return rule(ctx, rules)
 
 
-def all_findings(ctx: dict, rules: Rules = Rules()) -> DataFrame:
-    """Every available rule's findings in one form: (code, usubjid, subcode, domain, seq)."""
+def all_findings(ctx: dict, rules: Rules = Rules(), codes=None) -> DataFrame:
+    """Every available rule's findings (or those of some codes) in one form: (code, usubjid, subcode, domain, seq)."""
     off, out = rules.unavailable(), None
     for code, rule in RULES.items():
-        if code not in off:
+        if code not in off and (codes is None or code in codes):
             out = rule(ctx, rules) if out is None else out.unionByName(rule(ctx, rules))
-    return out
+    return out if out is not None else ctx["dm"].sparkSession.createDataFrame([], FINDING)

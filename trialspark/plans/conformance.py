@@ -6,6 +6,8 @@ shifts at cut 8, subjects without exposure or with a missing visit, malformed va
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
@@ -95,6 +97,11 @@ def statements(q: Dialect) -> dict[str, str]:
   {q.either('o_orderkey', q.plus_days('o_orderdate', 'o_orderkey % 9'))} AS dtc, CAST(1 + o_orderkey % 10 AS INT) AS cut_available FROM orders JOIN subjects ON o_custkey = c_custkey""",
         "eg": f"""SELECT usubjid, site, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS seq, o_orderkey AS row_no, 'QTCF' AS testcd, {q.s('380 + o_orderkey % 90')} AS orres, 'ms' AS unit,
   CASE WHEN o_orderkey % 2 = 0 THEN 'SCREENING' ELSE 'Week 12' END AS visit, {q.iso(q.plus_days('o_orderdate', 'o_orderkey % 5'))} AS dtc, CAST(1 + o_orderkey % 10 AS INT) AS cut_available FROM orders JOIN subjects ON o_custkey = c_custkey""",
+        "corrections_all": f"""SELECT cut, domain, usubjid, seq, field, new_value, row_no FROM corrections
+  UNION ALL SELECT cut_available + 2, 'AE', usubjid, seq, 'AESER', CASE WHEN ser = 'Y' THEN 'N' ELSE 'Y' END, row_no FROM ae WHERE row_no % 53 = 0
+  UNION ALL SELECT cut_available + 3, 'AE', usubjid, seq, 'AESHOSP', 'Yes', row_no FROM ae WHERE row_no % 59 = 0
+  UNION ALL SELECT cut_available + 1, 'DM', usubjid, CAST(NULL AS BIGINT), 'AGE', '17', CAST(row_no AS BIGINT) FROM dm WHERE row_no % 47 = 0
+  UNION ALL SELECT CAST(3 + seq % 7 AS INT), 'EX', usubjid, seq, 'EXDOSE', '20', seq FROM ex WHERE seq % 91 = 0""",
         "protocols": f"""SELECT CAST(o_orderkey AS BIGINT) AS version, CASE WHEN o_orderkey % 2 = 0 THEN 18 END AS age_min, CASE WHEN o_orderkey % 3 = 0 THEN 7.0 END AS hba1c_min, CASE WHEN o_orderkey % 5 = 0 THEN 2.5 END AS hepatic_multiple, CASE WHEN o_orderkey % 7 <> 0 THEN 3.0 END AS transaminase_multiple,
   CASE WHEN o_orderkey % 11 <> 0 THEN 2.0 END AS bilirubin_multiple, CASE WHEN o_orderkey % 13 <> 0 THEN 14 END AS hys_days, CASE WHEN o_orderkey % 17 <> 0 THEN 3 + o_orderkey % 2 END AS visit_window_days, CASE WHEN o_orderkey % 19 <> 0 THEN 'BASELINE=0' END AS visit_schedule,
   CASE WHEN o_orderkey % 23 <> 0 THEN 'DRUG=10' END AS expected_dose, CASE WHEN o_orderkey % 29 <> 0 THEN 'Sulfonylurea' END AS prohibited FROM (SELECT DISTINCT o_orderkey FROM orders) t""",
@@ -103,9 +110,26 @@ def statements(q: Dialect) -> dict[str, str]:
     }
 
 
-def duck(body: str, *extra: str) -> str:
-    """A query for DuckDB over the study tables, as one statement."""
-    ctes = [f"{name} AS ({text})" for name, text in statements(Dialect(True)).items()]
+#: Tables whose records arrive at cuts, and the corrected fields of each table with their columns.
+ARRIVING = ("lb", "ae", "dm", "vs", "eg")
+CORRECTED = {"lb": {"LBORRES": "orres"}, "ae": {"AESER": "ser", "AESHOSP": "hosp"}, "dm": {"AGE": "age"}, "ex": {"EXDOSE": "dose"}}
+
+
+def duck(body: str, *extra: str, cut: int | None = None) -> str:
+    """A query for DuckDB over the study tables, as one statement; with a cut, over the tables as known then, all corrections applied."""
+    made = statements(Dialect(True))
+    if cut is None:
+        return "WITH RECURSIVE " + ",\n".join([*(f"{name} AS ({text})" for name, text in made.items()), *extra]) + "\n" + body
+    whole = lambda text: re.sub(rf"\b(FROM|JOIN) ({'|'.join({*ARRIVING, *CORRECTED})})\b", r"\1 \2_all", text)
+    ctes = [f"{name + '_all' if name in (*ARRIVING, *CORRECTED) else name} AS ({whole(text)})" for name, text in made.items()]
+    for name in dict.fromkeys((*ARRIVING, *CORRECTED)):
+        held = f"WHERE t.cut_available <= {cut}" if name in ARRIVING else ""
+        columns = ", ".join(f"CASE WHEN {f}_.usubjid IS NULL THEN t.{c} ELSE {f}_.v END AS {c}" for f, c in CORRECTED.get(name, {}).items())
+        joins = " ".join(
+            f"LEFT JOIN (SELECT usubjid, seq, arg_max(new_value, row(cut, row_no)) AS v FROM corrections_all WHERE cut <= {cut} AND domain = '{name.upper()}' AND field = '{f}' GROUP BY 1, 2) {f}_ ON {f}_.usubjid = t.usubjid" + ("" if name == "dm" else f" AND {f}_.seq = t.seq")
+            for f in CORRECTED.get(name, {})
+        )
+        ctes.append(f"{name} AS (SELECT t.*" + (f" REPLACE ({columns})" if columns else "") + f" FROM {name}_all t {joins} {held})")
     return "WITH RECURSIVE " + ",\n".join([*ctes, *extra]) + "\n" + body
 
 

@@ -28,8 +28,8 @@ def release() -> None:
             df.unpersist()
 
 
-def query(name: str, sql: str | None = None, *ctes: str):
-    """Register a function of the study tables (a dict of DataFrames) under a name, with its SQL over them."""
+def query(name: str, sql: str | None = None, *ctes: str, cut: int | None = None):
+    """Register a function of the study tables (a dict of DataFrames) under a name, with its SQL over them (as known at a cut, if given)."""
 
     def register(f: Callable[[dict], DataFrame]) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None, *ctes: str):
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = duck(sql, *ctes)
+            ORACLES[name] = duck(sql, *ctes, cut=cut)
         return f
 
     return register

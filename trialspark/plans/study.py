@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..operators import cuts as C
 from ..operators import detectors as D
 from ..operators import graph as G
 from ..operators import identity as I
+from ..operators import incremental as V
 from ..operators import labs as L
 from ..operators import ledger as S
 from ..operators import review as P
@@ -73,14 +76,22 @@ class Study:
         at = [v for v in known if version is None or v <= version]
         return self.rules_by[at[-1] if at else known[0]]
 
-    def context(self, cut: int | None, version: int | None) -> dict:
-        ctx = {name: C.as_of(df, cut) if "cut_available" in df.columns else df for name, df in self.tables.items()}
+    def view(self, cut: int | None, subjects: DataFrame | None = None) -> dict[str, DataFrame]:
+        """The tables as known at the cut, corrections applied; of some subjects only, if given."""
+        own = (lambda df: df.join(subjects, "usubjid", "left_semi")) if subjects is not None else (lambda df: df)
+        ctx = {name: own(C.as_of(df, cut) if "cut_available" in df.columns else df) for name, df in self.tables.items()}
         if "domain" in self.corrections.columns:
             fixed = C.overlay_all({d: ctx[d.lower()] for d in NAMES if d.lower() in ctx}, self.corrections, NAMES, cut)
             ctx |= {d.lower(): df for d, df in fixed.items()}
         else:
             ctx["lb"] = C.overlay(ctx["lb"], self.corrections, "LBORRES", "orres", cut)
-        rules = self.rules(version)
+        return ctx
+
+    def context(self, cut: int | None, version: int | None, subjects: DataFrame | None = None, dosed: DataFrame | None = None) -> dict:
+        """view() with everything derived; `dosed` are the visits at which anyone was dosed, if the view holds some subjects only."""
+        ctx, rules = self.view(cut, subjects), self.rules(version)
+        if dosed is not None:
+            ctx["dosed"] = dosed
         for name in ("vs", "eg"):
             ctx.setdefault(name, ctx["lb"].limit(0))
         manuals = L.learned(self.documents) if self.documents is not None and "kind" in self.documents.columns else None
@@ -93,6 +104,37 @@ class Study:
             ctx["documents"] = self.documents
         return ctx
 
+    def advance(self, cut: int, state: str, version: int | None = None) -> DataFrame:
+        """The findings at the cut, from those kept of the cut before if there are any, else derived whole; kept for the next.
+
+        A cut run again gives the same rows; state holds findings, touched subjects and a line of what was done, by cut.
+        """
+        spark = self.corrections.sparkSession
+        before = spark.read.json(f"{state}/advanced/cut={cut - 1}").first() if source.exists(spark, f"{state}/advanced/cut={cut - 1}") else None
+        dosed_now = sorted(r.visit for r in R.dosed_visits(self.view(cut)["ex"]).where("visit <> ''").collect())  # a study's visits: a few dozen
+        done = {"cut": cut, "version": version, "dosed": dosed_now, "whole": before is None, "touched_rules": [], "everyone_rules": sorted(R.RULES)}
+        if before is None:
+            found = self.context(cut, version)["findings"]
+        else:
+            source.save_state(V.touched({d: self.tables[d.lower()] for d in NAMES if d.lower() in self.tables}, self.corrections, cut), f"{state}/touched", cut)
+            touched = spark.read.parquet(f"{state}/touched/cut={cut}")
+            sums = {r.domain: (r.n, r.c) for r in touched.groupBy("domain").agg(F.sum("n_new").alias("n"), F.sum("n_corrected").alias("c")).collect()}
+            again = V.dirty(set(sums), V.changed_fields(self.rules(before["version"]), self.rules(version)), dosed_now != list(before["dosed"]))
+            done |= {"touched_rules": list(again.touched), "everyone_rules": list(again.everyone), "new_records": {d: n for d, (n, _) in sums.items()}, "corrections": sum(c for _, c in sums.values())}
+            subjects = touched.select("usubjid").distinct()
+            if "DUPLICATE_SUBJECT" in again.touched:
+                subjects = V.kin(subjects, self.view(cut - 1)["dm"], self.view(cut)["dm"])
+            source.save_state(subjects, f"{state}/subjects", cut)
+            subjects = spark.read.parquet(f"{state}/subjects/cut={cut}")
+            dosed = spark.createDataFrame([(v,) for v in dosed_now], "visit string")
+            rules, prior = self.rules(version), spark.read.schema(R.FINDING).parquet(f"{state}/findings/cut={cut - 1}")
+            some = R.all_findings(self.context(cut, version, subjects, dosed), rules, again.touched)
+            whole = R.all_findings(self.context(cut, version), rules, again.everyone) if again.everyone else prior.limit(0)
+            found = V.merged(prior, again, subjects, some, whole)
+        source.save_state(found, f"{state}/findings", cut)
+        spark.createDataFrame([(json.dumps(done),)], "value string").coalesce(1).write.mode("overwrite").text(f"{state}/advanced/cut={cut}")  # last: a cut without it is done anew
+        return spark.read.schema(R.FINDING).parquet(f"{state}/findings/cut={cut}")
+
     def answer(self, question: str) -> router.Answer:
         return router.answer(self.ctx, question)
 

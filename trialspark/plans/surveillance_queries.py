@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import normalise as N
 from ..operators import cuts as C
+from ..operators import decisions as DS
 from ..operators import graph as G
 from ..operators import labs as L
 from ..operators import ledger as S
 from ..operators import review as P
 from ..operators import rules as R
-from .queries import ALL_FINDINGS, CUT, LABS, NOTES, RULES, SAE, STD, context, labs, notes
+from ..sources import study as source
+from .queries import ALL_FINDINGS, CUT, LABS, NOTES, RULES, SAE, STD, context, labs, notes, token
 from .registry import keep, query
 
 SEEN = "seen AS (SELECT s.subcode || '|' || s.usubjid || '|' || s.seq AS fingerprint, s.usubjid, s.seq, a.cut_available + r.range AS cut FROM sae s JOIN ae a ON a.usubjid = s.usubjid AND a.seq = s.seq JOIN range(0, 4) r ON a.cut_available + r.range <= 10)"
@@ -159,9 +161,38 @@ def p6(s):
     return P.execute(r, gate(s, r))
 
 
-@query("p7_clarify", "SELECT usubjid, arg_min(orres, seq) AS alt FROM std WHERE vcode = 'SCREENING' AND testcd = 'ALT' GROUP BY 1", LABS, STD)
+CLARIFIED = f"""liver AS (SELECT usubjid, seq, upper(trim(cls)) AS cls, trim(trt) || CASE WHEN trim(cls) <> '' THEN ' (' || upper(trim(cls)) || ')' ELSE '' END AS m,
+  {token('cls')} IN ('STATIN', 'SYSTEMIC_GLUCOCORTICOID', 'ANTIFUNGAL', 'ANTITUBERCULAR') OR regexp_matches(upper(trt), 'ATORVASTATIN|SIMVASTATIN|ROSUVASTATIN|PRAVASTATIN|PARACETAMOL|ACETAMINOPHEN|METHOTREXATE|AMIODARONE|KETOCONAZOLE|FLUCONAZOLE|ISONIAZID') AS is_liver FROM cm),
+meds AS (SELECT usubjid, count(*) AS n, count(*) FILTER (is_liver) AS nl, list(m ORDER BY seq) FILTER (is_liver) AS l, list(m ORDER BY seq) AS a, list('CM:' || seq ORDER BY seq) FILTER (is_liver) AS refs, min(seq) AS first FROM liver GROUP BY 1),
+alts AS (SELECT usubjid, arg_min(row(orres, unit, visit, dtc, seq), seq) AS x FROM std WHERE testcd = 'ALT' AND vcode IN ('SCREENING', 'BASELINE') GROUP BY 1),
+asked AS (SELECT usubjid, CASE WHEN c_custkey % 3 = 0 THEN 'What was the screening ALT?' WHEN c_custkey % 3 = 1 THEN 'Any hepatotoxic medication, and the transaminases?' ELSE CASE WHEN c_custkey % 2 = 0 THEN 'Which drugs?' ELSE 'Why?' END END AS question FROM subjects),
+clarified AS (SELECT q.usubjid, question, contains(lower(question), 'alt') OR contains(lower(question), 'trans') AS of_alt, contains(lower(question), 'medic') OR contains(lower(question), 'drug') AS of_cm,
+  CASE WHEN x IS NULL THEN 'No screening ALT on record' ELSE 'Screening ALT was ' || x[1] || ' ' || x[2] || ' at ' || x[3] || ' on ' || x[4] END AS alt_text,
+  CASE WHEN n IS NULL THEN 'No medicines on record' WHEN nl > 0 THEN nl || ' medicine(s) that may harm the liver: ' || array_to_string(l[1:20], ', ') ELSE 'None of ' || n || ' medicine(s) is known to harm the liver: ' || array_to_string(a[1:20], ', ') END AS cm_text,
+  CASE WHEN of_alt AND x IS NOT NULL THEN ['LB:' || x[5]] ELSE [] END AS alt_refs, CASE WHEN NOT of_cm THEN [] WHEN nl > 0 THEN refs WHEN len(alt_refs) = 0 AND first IS NOT NULL THEN ['CM:' || first] ELSE [] END AS cm_refs
+  FROM asked q LEFT JOIN alts ON alts.usubjid = q.usubjid LEFT JOIN meds ON meds.usubjid = q.usubjid)"""
+
+
+def questions(s):
+    n = F.col("c_custkey")
+    text = F.when(n % 3 == 0, "What was the screening ALT?").when(n % 3 == 1, "Any hepatotoxic medication, and the transaminases?").when(n % 2 == 0, "Which drugs?").otherwise("Why?")
+    return s["subjects"].select("usubjid", text.alias("question"))
+
+
+@query("p7_clarify", "SELECT usubjid, question, CASE WHEN of_alt AND of_cm THEN alt_text || '. ' || cm_text || '.' WHEN of_alt THEN alt_text || '.' WHEN of_cm THEN cm_text || '.' END AS answer, array_to_string(list_concat(alt_refs, cm_refs), ',') AS refs FROM clarified", LABS, STD, CLARIFIED)
 def p7(s):
-    return s["lb"].where((N.visit_code(F.col("visit")) == "SCREENING") & (F.col("testcd") == "ALT")).groupBy("usubjid").agg(F.min_by("orres", "seq").alias("alt"))
+    """Questions about all subjects, with answers and the records that they cite."""
+    return P.clarify(questions(s), s["lb"], s["cm"]).withColumn("refs", F.array_join("refs", ","))
+
+
+@query("p5_clarified", """SELECT fingerprint, CASE WHEN site = 'S05' THEN CASE WHEN (of_alt OR of_cm) AND len(alt_refs) + len(cm_refs) > 0 THEN 'APPROVED_AFTER_CLARIFICATION' ELSE 'UNRESOLVED' END ELSE 'PENDING' END AS status,
+  CASE WHEN site = 'S05' AND (of_alt OR of_cm) AND len(alt_refs) + len(cm_refs) > 0 THEN 'EXPEDITED_REPORT' ELSE 'NONE' END AS action
+  FROM (SELECT 'SERIOUS_AE|' || usubjid || '|AE|' || seq || '|' || subcode AS fingerprint, usubjid, string_split(usubjid, '-')[2] AS site FROM sae) e JOIN clarified c ON c.usubjid = e.usubjid""", LABS, STD, SAE, CLARIFIED)
+def p5_clarified(s):
+    """A site's serious events sent back for clarification: approved where records answer, else open."""
+    found = P.detect(R.run_rule({"ae": s["ae"], "dm": s["dm"]}, "SERIOUS_AE", RULES)).withColumn("route", F.lit("ESCALATE"))
+    told = s["lb"].sparkSession.createDataFrame([("SERIOUS_AE|S05", "CLARIFY")], "key string, decision string")
+    return P.human_gate(found, told, {}, answers=P.clarify(questions(s), s["lb"], s["cm"])).select("fingerprint", "status", "action")
 
 
 @query("p8_memory_rerun", "SELECT 'CARRIED' AS route, count(*)::BIGINT AS n FROM prints", *ALL_FINDINGS, PRINTS)
@@ -186,3 +217,102 @@ def gr5(s):
         one = parts[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("section"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# ---- cut by cut
+
+
+def whole_study(s):
+    """The projection as a Study: tables that arrive by cuts, corrections of all domains."""
+    from .study import Study
+
+    tables = {name: s[name] for name in ("dm", "lb", "ae", "ex", "cm", "ds", "mh", "vs", "eg")}
+    tables["dm"] = tables["dm"].withColumn("seq", F.lit(None).cast("bigint"))
+    return Study(tables, s["corrections_all"], s["ranges"], RULES, s["cuts"])
+
+
+@query("cut2_all_fields", "SELECT 'AE' AS domain, usubjid, seq, ser || '/' || hosp AS value FROM ae UNION ALL SELECT 'DM', usubjid, NULL, age FROM dm UNION ALL SELECT 'EX', usubjid, seq, dose FROM ex UNION ALL SELECT 'LB', usubjid, seq, orres FROM lb", cut=CUT)
+def cut2_all_fields(s):
+    """Fields of four domains as corrected at the cut."""
+    view = whole_study(s).view(CUT)
+    form = lambda d, value: view[d.lower()].select(F.lit(d).alias("domain"), "usubjid", "seq", value.alias("value"))
+    return form("AE", F.concat_ws("/", "ser", "hosp")).unionByName(form("DM", F.col("age"))).unionByName(form("EX", F.col("dose"))).unionByName(form("LB", F.col("orres")))
+
+
+@query("cut8_advance", "SELECT code, usubjid, subcode, domain, seq FROM findings", *ALL_FINDINGS, cut=CUT + 1)
+def cut8(s):
+    """The findings of a cut from those of the cut before; the SQL derives them whole."""
+    study, state = whole_study(s), source.scratch(s["lb"].sparkSession, "advance")
+    study.advance(CUT, state)
+    return study.advance(CUT + 1, state)
+
+
+REPLIES = """replies AS (SELECT fingerprint, usubjid, seq, raised + seq % 4 AS cut, CASE WHEN seq % 5 < 2 THEN 'APPROVED' WHEN seq % 5 = 2 THEN 'REJECTED' ELSE 'CLARIFY' END AS decision FROM (SELECT fingerprint, usubjid, seq, min(cut) AS raised FROM seen GROUP BY 1, 2, 3) WHERE seq % 7 <> 0
+  UNION ALL SELECT fingerprint, usubjid, seq, raised + 5, 'REJECTED' FROM (SELECT fingerprint, usubjid, seq, min(cut) AS raised FROM seen GROUP BY 1, 2, 3) WHERE seq % 5 >= 3 OR seq % 14 = 0)"""
+#: The state machine as a recursive walk over cuts, one step a cut.
+WALK = """answered AS (SELECT DISTINCT fingerprint FROM replies WHERE decision = 'CLARIFY' AND seq % 2 = 0),
+raised AS (SELECT fingerprint, min(cut)::BIGINT AS raised FROM seen GROUP BY 1),
+told AS (SELECT r.fingerprint, c.cut, (SELECT arg_max(decision, q.cut) FROM replies q WHERE q.fingerprint = r.fingerprint AND q.cut <= c.cut) AS d FROM raised r JOIN (SELECT range AS cut FROM range(1, 13)) c ON c.cut >= r.raised),
+walk AS (SELECT r.fingerprint, raised, raised AS cut, 0 AS pending, CASE WHEN d IN ('APPROVED', 'REJECTED') THEN d WHEN d = 'CLARIFY' AND a.fingerprint IS NOT NULL THEN 'APPROVED' WHEN d = 'CLARIFY' THEN 'UNRESOLVED' ELSE 'PENDING' END AS state, d = 'CLARIFY' AND a.fingerprint IS NOT NULL AS clarified
+  FROM raised r JOIN told t ON t.fingerprint = r.fingerprint AND t.cut = r.raised LEFT JOIN answered a ON a.fingerprint = r.fingerprint
+  UNION ALL SELECT w.fingerprint, w.raised, w.cut + 1, CASE WHEN w.state IN ('APPROVED', 'REJECTED', 'STANDING_LIMITS') OR d IS NOT NULL THEN w.pending ELSE w.pending + 1 END,
+  CASE WHEN w.state IN ('APPROVED', 'REJECTED', 'STANDING_LIMITS') THEN w.state WHEN d IN ('APPROVED', 'REJECTED') THEN d WHEN d = 'CLARIFY' AND a.fingerprint IS NOT NULL THEN 'APPROVED' WHEN d = 'CLARIFY' THEN 'UNRESOLVED' WHEN w.pending + 1 >= 4 THEN 'STANDING_LIMITS' ELSE 'PENDING' END,
+  CASE WHEN w.state IN ('APPROVED', 'REJECTED', 'STANDING_LIMITS') THEN w.clarified ELSE coalesce(d = 'CLARIFY' AND a.fingerprint IS NOT NULL, false) END
+  FROM walk w JOIN told t ON t.fingerprint = w.fingerprint AND t.cut = w.cut + 1 LEFT JOIN answered a ON a.fingerprint = w.fingerprint)"""
+
+
+def history(s):
+    """Serious findings as escalations, each with replies at cuts of its own; every second clarification can be answered."""
+    every = seen(s)
+    first = every.groupBy("fingerprint", "usubjid", "seq").agg(F.min("cut").alias("raised"))
+    kind = F.when(F.col("seq") % 5 < 2, "APPROVED").when(F.col("seq") % 5 == 2, "REJECTED").otherwise("CLARIFY")
+    replies = first.where("seq % 7 <> 0").select("fingerprint", "seq", (F.col("raised") + F.col("seq") % 4).alias("cut"), kind.alias("decision"))
+    replies = replies.unionByName(first.where("seq % 5 >= 3 or seq % 14 = 0").select("fingerprint", "seq", (F.col("raised") + 5).alias("cut"), F.lit("REJECTED").alias("decision")))
+    answered = replies.where("decision = 'CLARIFY' and seq % 2 = 0").select("fingerprint")
+    return S.human_history(every, replies.select("fingerprint", "cut", "decision"), answered, 12)
+
+
+@query("s7_history", "SELECT fingerprint, raised, cut, state, pending::BIGINT AS cuts_pending, coalesce(clarified, false) AS clarified FROM walk", SAE, SEEN, REPLIES, WALK)
+def s7_history(s):
+    """Every escalation at every cut: replies, answered clarifications, ageing, standing limits."""
+    return history(s)
+
+
+def human_decisions(s):
+    h = history(s)
+    return DS.events(h, "HUMAN_GATE", h["fingerprint"], h["state"], h["cut"], F.concat(F.lit("pending "), h["cuts_pending"].cast("string")))
+
+
+@query("s10_history", """SELECT 'HUMAN_GATE|' || fingerprint AS decision_id, cut, old_status, status FROM (SELECT fingerprint, cut, state AS status, lag(state) OVER (PARTITION BY fingerprint ORDER BY cut) AS old_status FROM walk) WHERE old_status IS NULL OR old_status <> status""", SAE, SEEN, REPLIES, WALK)
+def s10_history(s):
+    """Decisions' transitions: of the states that every cut reports, those that differ from the one before."""
+    return DS.transitions(human_decisions(s)).select("decision_id", "cut", "old_status", "status")
+
+
+@query("s10_state", """SELECT 'HUMAN_GATE|' || fingerprint AS decision_id, min(cut) AS first_cut, max(cut) FILTER (old_status IS NULL OR old_status <> status) AS cut, arg_max(status, cut) AS status, count(*) FILTER (old_status IS NULL OR old_status <> status) AS n_transitions
+  FROM (SELECT fingerprint, cut, state AS status, lag(state) OVER (PARTITION BY fingerprint ORDER BY cut) AS old_status FROM walk WHERE cut <= 8) GROUP BY 1""", SAE, SEEN, REPLIES, WALK)
+def s10_state(s):
+    """Decisions as of a cut."""
+    return DS.state_as_of(human_decisions(s), 8).select("decision_id", "first_cut", "cut", "status", "n_transitions")
+
+
+@query("s10_deviations", "SELECT 'FINDING|' || fingerprint AS decision_id, 'AE:' || max(seq) AS extra FROM seen WHERE seq % 4 = 0 GROUP BY fingerprint", SAE, SEEN)
+def s10_deviations(s):
+    """Explanations that cite a record which the decision's trace doesn't."""
+    every = seen(s).groupBy("fingerprint").agg(F.max("seq").alias("seq"), F.min("cut").alias("cut"))
+    ref = F.concat(F.lit("AE:"), F.col("seq").cast("string"))
+    traced = DS.events(every, "FINDING", F.col("fingerprint"), F.lit("CONFIRMED"), F.col("cut"), F.lit("found"), F.when(F.col("seq") % 4 == 0, F.array(F.lit("AE:0"))).otherwise(F.array(ref)))
+    explained = every.select(F.concat(F.lit("FINDING|"), "fingerprint").alias("decision_id"), F.array(ref).alias("refs"))
+    return DS.deviations(explained, traced).select("decision_id", F.array_join("extra", ",").alias("extra"))
+
+
+@query("ag11_period", """SELECT cut, version, findings, serious, queries, (sum(findings) OVER w)::BIGINT AS findings_so_far, (sum(serious) OVER w)::BIGINT AS serious_so_far, (sum(queries) OVER w)::BIGINT AS queries_so_far,
+  CASE WHEN lag(version) OVER w <> version THEN lag(version) OVER w END AS from_version, CASE WHEN lag(version) OVER w <> version THEN version END AS to_version
+  FROM (SELECT cut, (SELECT arg_max(c.version, c.cut) FROM cuts c WHERE c.cut <= x.cut) AS version, count(*) AS findings, count(*) FILTER (fingerprint LIKE 'SAE_MISCODED%') AS serious, count(*) FILTER (seq % 3 = 0) AS queries FROM seen x GROUP BY 1) WINDOW w AS (ORDER BY cut)""", SAE, SEEN)
+def ag11_period(s):
+    """A period's roll-up; cut 5 was run twice, first with other counts."""
+    every = seen(s)
+    sums = every.groupBy("cut").agg(F.count("*").alias("findings"), F.count_if(F.col("fingerprint").startswith("SAE_MISCODED")).alias("serious"), F.count_if(F.col("seq") % 3 == 0).alias("queries"))
+    sums = C.version_as_of(sums.withColumn("at", F.col("cut")), s["cuts"]).drop("at").withColumn("run", F.lit(2))
+    again = sums.where("cut = 5").withColumn("findings", F.col("findings") + 100).withColumn("run", F.lit(1))
+    return S.period(sums.unionByName(again))

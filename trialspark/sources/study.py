@@ -6,6 +6,7 @@ Everything is read as text, through Hadoop file systems, so a study may lie in a
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -139,6 +140,13 @@ def add_state(df: DataFrame, path: str, cut: int) -> None:
     df.write.mode("append").parquet(f"{path}/cut={cut}")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something was written there to its end."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return where.getFileSystem(conf).exists(where)
+
+
 def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -147,6 +155,17 @@ def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir; only a local master may do without that setting."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if root is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def save_json(df: DataFrame, path: str) -> None:
     """Decisions and traces as JSON lines."""
     df.write.mode("append").json(path)
