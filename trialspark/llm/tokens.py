@@ -138,9 +138,11 @@ class ByteWords:
     #: A lone space between two other characters.
     LONE = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, name: str, most: int = 100_000):
+    def __init__(self, name: str, most: int = 250_000):
         self.ranks, self.most, self.kept, self.old = byte_ranks(name), most, {}, {}
         self.special = re.compile("(" + "|".join(map(re.escape, self.ranks._special_tokens)) + ")" if self.ranks._special_tokens else r"((?!))")
+        self.spaced = np.zeros(self.ranks.n_vocab, bool)  # ids that start with a space
+        self.spaced[[i for raw, i in self.ranks._mergeable_ranks.items() if raw.startswith(b" ")]] = True
 
     def encode(self, text: str) -> bytes:
         if not any(s in text for s in self.ranks._special_tokens):
@@ -159,14 +161,25 @@ class ByteWords:
         if not first or first[-1].isspace() or any(not w or w[0].isspace() or w[-1].isspace() for w in missing):
             first, *words = self.LONE.split(text)  # other white space stays within the stretches
             missing = set(words).difference(self.kept)
-        long = {w for w in missing if len(w) > 100}  # not kept
-        if len(self.kept) > self.most:  # what was used since the last turn stays for another one
-            self.old, self.kept = self.kept, {}
-            missing = set(words)
-            long = {w for w in missing if len(w) > 100}
-        kept, old = self.kept, self.old
-        for w in missing - long:
-            kept[w] = old.get(w) or self.ids(" " + w)
-        if long:
-            return self.ids(first) + b"".join([kept[w] if w not in long else self.ids(" " + w) for w in words])
-        return self.ids(first) + b"".join(map(kept.__getitem__, words))
+        if missing:
+            if len(self.kept) > self.most:  # what was used since the last turn stays for another one
+                self.old, self.kept = self.kept, {}
+                missing = set(words)
+            self.learn(missing)
+        return self.ids(first) + b"".join(map(self.kept.__getitem__, words))
+
+    def learn(self, words: set[str]) -> None:
+        """Encode words in one call: of a word without a space in it, the first id starts with one and no other does."""
+        kept, old, new = self.kept, self.old, []
+        for w in words:
+            if (got := old.get(w)) is not None:
+                kept[w] = got
+            elif " " in w:
+                kept[w] = self.ids(" " + w)
+            else:
+                new.append(w)
+        if new:
+            ids = np.array(self.ranks.encode_ordinary(" " + " ".join(new)), dtype="<u4")
+            raw, stops = ids.tobytes(), (4 * np.flatnonzero(self.spaced[ids])).tolist()
+            for w, a, b in zip(new, stops, [*stops[1:], len(raw)], strict=True):
+                kept[w] = raw[a:b]
