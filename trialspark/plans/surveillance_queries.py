@@ -316,3 +316,29 @@ def ag11_period(s):
     sums = C.version_as_of(sums.withColumn("at", F.col("cut")), s["cuts"]).drop("at").withColumn("run", F.lit(2))
     again = sums.where("cut = 5").withColumn("findings", F.col("findings") + 100).withColumn("run", F.lit(1))
     return S.period(sums.unionByName(again))
+
+
+ROUTED = f"""routed AS (SELECT p.*, CASE WHEN code IN ('VISIT_WINDOW_DEVIATION', 'MISSING_DOSE', 'AE_BEFORE_FIRST_DOSE') THEN 'DATA_QUERY'
+  WHEN code = 'HYS_LAW_CANDIDATE' AND usubjid IN (SELECT usubjid FROM std WHERE testcd IN ('ALT', 'AST') AND vcode IN ('SCREENING', 'BASELINE') AND s > 3 * high) THEN 'MONITOR' WHEN code IN ('SERIOUS_AE', 'HYS_LAW_CANDIDATE') THEN 'ESCALATE' ELSE 'DEVIATION' END AS route FROM prints p)"""
+
+
+@query("s1_surveillance", f"""SELECT 'new_records' AS what, ((SELECT count(*) FROM lb_all WHERE cut_available = {CUT}) + (SELECT count(*) FROM ae_all WHERE cut_available = {CUT}) + (SELECT count(*) FROM dm_all WHERE cut_available = {CUT}) + (SELECT count(*) FROM vs_all WHERE cut_available = {CUT}) + (SELECT count(*) FROM eg_all WHERE cut_available = {CUT}))::BIGINT AS n
+  UNION ALL SELECT 'corrections', count(*) FROM corrections_all WHERE cut = {CUT} UNION ALL SELECT 'findings', count(*) FROM prints UNION ALL SELECT 'serious', count(*) FROM prints WHERE code IN ('SERIOUS_AE', 'HYS_LAW_CANDIDATE')
+  UNION ALL SELECT 'escalations', count(*) FROM routed WHERE route = 'ESCALATE' UNION ALL SELECT 'carried', 0 UNION ALL SELECT 'retracted', 0
+  UNION ALL SELECT 'serious_unescalated', count(*) FROM routed WHERE code IN ('SERIOUS_AE', 'HYS_LAW_CANDIDATE') AND route <> 'ESCALATE'
+  UNION ALL SELECT CASE WHEN code <> 'SERIOUS_AE' OR seq % 3 = 2 THEN 'human:PENDING' WHEN seq % 3 = 0 THEN 'human:APPROVED' WHEN seq % 3 = 1 AND len(alt_refs) + len(cm_refs) > 0 THEN 'human:APPROVED' ELSE 'human:UNRESOLVED' END, count(*) FROM routed r LEFT JOIN clarified c ON c.usubjid = r.usubjid WHERE route = 'ESCALATE' GROUP BY 1
+  UNION ALL SELECT 'version', (SELECT arg_max(version, cut) FROM cuts WHERE cut <= {CUT})
+  UNION ALL SELECT 'data_queries', count(*) FROM routed WHERE route = 'DATA_QUERY'""", *ALL_FINDINGS, PRINTS, ROUTED, CLARIFIED, cut=CUT)
+def s1(s):
+    """A cut's thirteen steps, its figures at the end."""
+    from .surveillance import Surveillance
+
+    spark = s["lb"].sparkSession
+    state = source.scratch(spark, "watch")
+    study = whole_study(s)
+    codes = F.explode(F.array(F.lit("SAE_CODED"), F.lit("SAE_MISCODED")))
+    replies = s["ae"].withColumn("_c", codes).where("seq % 3 < 2").select(F.concat_ws("|", F.lit("SERIOUS_AE"), "usubjid", F.lit("AE"), F.col("seq").cast("string"), "_c").alias("fingerprint"), F.lit(CUT).cast("bigint").alias("cut"), F.when(F.col("seq") % 3 == 0, "APPROVED").otherwise("CLARIFY").alias("decision"))
+    watch = Surveillance(study, state, replies, questions(s))
+    out = watch.run_cut(CUT).where("what not in ('untrusted', 'quarantined_sites', 'quarantined', 'queries')")
+    asked = watch.written("queries", CUT).where("not key like 'LAB_SHIFT%'").agg(F.count("*").alias("n")).select(F.lit("data_queries").alias("what"), "n")
+    return out.unionByName(asked)

@@ -35,3 +35,23 @@ def follow(spark: SparkSession, source: str, schema: str, state: str, rule: Call
 
 def ledger_of(spark: SparkSession, state: str) -> DataFrame:
     return S.ledger(spark.read.schema(SCHEMA).parquet(state))
+
+
+def announce(spark: SparkSession, path: str, cut: int) -> None:
+    """Say that a cut's records are all there: one small file, written after them."""
+    spark.createDataFrame([(cut,)], "cut int").coalesce(1).write.mode("append").json(path)
+
+
+def watch(spark: SparkSession, announced: str, run_cut: Callable[[int], object], checkpoint: str) -> None:
+    """Run the surveillance of each announced cut, in order within a batch.
+
+    A batch holds whole cuts, for a cut is announced when all its files are written. A batch that failed half-way comes
+    again, and run_cut (Surveillance.run_cut) goes on where it stopped; a cut announced twice runs no step twice.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        for row in batch.select("cut").distinct().orderBy("cut").collect():  # the announcements of a batch: a line a cut
+            run_cut(row.cut)
+
+    stream = spark.readStream.schema("cut int").json(announced)
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
