@@ -17,9 +17,18 @@ YES = ("Y", "YES", "TRUE", "1")
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 
 
+#: Unicode's white space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often body names it; what body's branches don't reach isn't computed."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at the ends, Unicode's too."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def is_missing(c: Column) -> Column:
@@ -45,10 +54,6 @@ def _part(c: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(c, pattern, group)
 
 
-def _day(y: Column, m: Column, d: Column) -> Column:
-    return F.try_to_timestamp(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
-
-
 #: The formats accepted, in order: name, pattern, and the groups of year, month, day.
 DATE_FORMATS = (
     ("ISO", r"^(\d{4})-(\d{1,2})-(\d{1,2})$", (1, 2, 3)),
@@ -62,26 +67,48 @@ DATE_FORMATS = (
 )
 
 
+def _shapes() -> tuple[str, str]:
+    """One pattern of all date formats, and what it is replaced by: year, month and day, then for each format a text that only its match fills."""
+    parts, groups, firsts, at = [], ([], [], []), [], 0
+    for _, pattern, order in DATE_FORMATS:
+        inner = pattern[1:-1] if order else f"({pattern[1:-1]})"
+        for held, g in zip(groups, order or ()):
+            held.append(at + g)
+        firsts.append(at + 1)
+        at += re.compile(inner).groups
+        parts.append(inner)
+    told = ["".join(f"${g}" for g in held) for held in groups]
+    return f"(?s)^(?:{'|'.join(parts)})$", "\x1e" + "\x1f".join([*told, *(f"${g}" for g in firsts)])
+
+
+SHAPES = _shapes()
+
+
 def parse_date(c: Column) -> Column:
-    """STRUCT<raw, date, fmt, ok, reason>: slash dates are day first, two-digit years are ambiguous, times are cut off."""
-    text, date, fmt, named = strip(c), F.lit(None).cast("date"), F.lit(None).cast("string"), F.lit(False)
-    for name, pattern, groups in reversed(DATE_FORMATS):
-        hit = text.rlike(pattern)
-        fmt = F.when(hit, F.lit(name)).otherwise(fmt)
-        if groups is None:
-            date = F.when(~hit, date)
-            continue
-        y, m, d = (_part(text, pattern, g) for g in groups)
-        if "MON" in name:
-            month = F.array_position(F.array(*map(F.lit, MONTHS)), F.upper(m)).cast("string")
-            named = named | (hit & (month == "0"))
-            m = month
-        date = F.when(hit, _day(y, m, d)).otherwise(date)
-    reason = (
-        F.when(c.isNull() | (text == ""), "missing").when(date.isNotNull(), F.lit(None)).when(fmt == "DD-MON-YY", "ambiguous_two_digit_year")
-        .when(named, "unknown_month").when(fmt.isNotNull(), "invalid_calendar_date").otherwise("unrecognised_format")
-    )
-    return F.struct(c.alias("raw"), date.alias("date"), F.when(reason != "missing", fmt).otherwise(F.when(date.isNotNull(), fmt)).alias("fmt"), date.isNotNull().alias("ok"), reason.alias("reason"))
+    """STRUCT<raw, date, fmt, ok, reason>: slash dates are day first, two-digit years are ambiguous, times are cut off.
+
+    One replacement names the format and its parts; everything else is comparisons of these.
+    """
+
+    def told(p: Column) -> Column:
+        part = lambda i: F.get(p, F.lit(i))
+        found = F.size(p) > 1
+        fmt = F.lit(None).cast("string")
+        for i, (name, *_) in reversed(list(enumerate(DATE_FORMATS))):
+            fmt = F.when(found & (part(3 + i) != ""), F.lit(name)).otherwise(fmt)
+        month = F.when(part(1).rlike("^[0-9]"), part(1)).otherwise(F.array_position(F.array(*map(F.lit, MONTHS)), F.upper(part(1))).cast("string"))
+        year = F.substring(part(0), 2, 4)  # after the mark of a match
+        date = F.when(found & (year != "0000"), F.concat_ws("-", year, month, part(2)).try_cast("date"))
+        return F.struct(fmt.alias("fmt"), date.alias("date"), F.coalesce(found & (month == "0"), F.lit(False)).alias("named"), F.coalesce(part(0) == "", F.lit(True)).alias("blank"))
+
+    def whole(d: Column) -> Column:
+        reason = (
+            F.when(d["blank"], "missing").when(d["date"].isNotNull(), F.lit(None)).when(d["fmt"] == "DD-MON-YY", "ambiguous_two_digit_year")
+            .when(d["named"], "unknown_month").when(d["fmt"].isNotNull(), "invalid_calendar_date").otherwise("unrecognised_format")
+        )
+        return F.struct(c.alias("raw"), d["date"].alias("date"), d["fmt"].alias("fmt"), d["date"].isNotNull().alias("ok"), reason.alias("reason"))
+
+    return let(let(F.split(F.regexp_replace(strip(c), SHAPES[0], SHAPES[1]), "\x1f"), told), whole)
 
 
 def days_between(a: Column, b: Column) -> Column:
@@ -119,23 +146,38 @@ def class_token(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.upper(strip(c)), r"[^A-Z0-9]+", "_"), r"^_+|_+$", "")
 
 
-#: Named visits and how their labels say so: words in a row, the last of them whole unless `-` follows, and words that must be all of it.
-NAMED_VISITS = {"SCREENING": (("screen-",), ()), "BASELINE": (("baseline", "randomisation", "randomization"), ()), "EOS": (("end of study", "end of treatment", "final visit"), ("eos", "eot"))}
-#: Words before a number, and the unit that they name.
+#: Named visits and how their labels say so: a part that such labels hold, words in a row (the last of them whole unless `-` follows), and words that must be all of it.
+NAMED_VISITS = {
+    "SCREENING": (("screen",), ("screen-",), ()), "BASELINE": (("baseline", "randomi"), ("baseline", "randomisation", "randomization"), ()),
+    "EOS": (("end", "final", "eo"), ("end of study", "end of treatment", "final visit"), ("eos", "eot")),
+}
+#: Words before a number, and the unit that they name.
 VISIT_UNITS = {"week": "WEEK", "wk": "WEEK", "w": "WEEK", "day": "DAY", "d": "DAY"}
 
 
 def visit_code(c: Column) -> Column:
-    """A visit's code from its label: a named visit, a unit with its number (days may be negative), else the label as a token."""
-    label = F.translate(F.lower(c), "−–", "--")
-    code = F.when(F.trim(label) == "", "")
-    for name, (phrases, whole) in NAMED_VISITS.items():
-        within = "|".join(x[:-1] if x.endswith("-") else x.replace(" ", r"\s*") + "(?![a-z0-9])" for x in phrases)
-        code = code.when(label.rlike(rf"(?:^|[^a-z0-9])(?:{within})" + "".join(rf"|^\s*{x}\s*$" for x in whole)), name)
-    counted = rf"(?:^|[^a-z0-9])({'|'.join(VISIT_UNITS)})[ _]*(-?)[ _-]*([0-9]+)(?![a-z0-9])"
-    unit = F.try_element_at(F.create_map(*[F.lit(x) for pair in VISIT_UNITS.items() for x in pair]), _part(label, counted, 1))
-    number = F.concat(unit, F.when((unit == "DAY") & (_part(label, counted, 2) == "-"), "-").otherwise(""), _part(label, counted, 3).try_cast("bigint").cast("string"))
-    return code.when(label.rlike(counted), number).otherwise(class_token(c))
+    """A visit's code from its label: a named visit, a unit with its number (days may be negative), else the label as a token.
+
+    Patterns are tried only on labels that hold a part of theirs.
+    """
+    counted = rf"(?s)^(?:.*?[^a-z0-9])??({'|'.join(VISIT_UNITS)})[ _]*(-?)[ _-]*([0-9]+)(?![a-z0-9]).*$"
+    units = F.create_map(*[F.lit(x) for pair in VISIT_UNITS.items() for x in pair])
+
+    def number(p: Column) -> Column:
+        unit = F.try_element_at(units, F.substring(F.get(p, F.lit(0)), 2, 9))
+        return F.when(F.size(p) > 1, F.concat(unit, F.when((unit == "DAY") & (F.get(p, F.lit(1)) == "-"), "-").otherwise(""), F.get(p, F.lit(2)).try_cast("bigint").cast("string")))
+
+    def of(label: Column) -> Column:
+        code = F.when(F.trim(label) == "", "")
+        for name, (parts, phrases, whole) in NAMED_VISITS.items():
+            within = "|".join(x[:-1] if x.endswith("-") else x.replace(" ", r"\s*") + "(?![a-z0-9])" for x in phrases)
+            may = F.lit(False)
+            for x in parts:
+                may = may | label.contains(x)
+            code = code.when(may & label.rlike(rf"(?:^|[^a-z0-9])(?:{within})" + "".join(rf"|^\s*{x}\s*$" for x in whole)), name)
+        return code.otherwise(F.coalesce(let(F.split(F.regexp_replace(label, counted, "\x1e$1\x1f$2\x1f$3"), "\x1f"), number), class_token(c)))
+
+    return let(F.translate(F.lower(c), "−–", "--"), of)
 
 
 def match_prohibited(cls: Column, treatment: Column, entries: list[str]) -> Column:
@@ -205,12 +247,21 @@ INSTRUCTIONS = (
 )
 
 
+#: What may end a sentence's last word, and what may begin the next one's first.
+LAST_MARKS, FIRST_MARKS = ".!?", "ABCDEFGHIJKLMNOPQRSTUVWXYZ\"'("
+
+
 def sentences(text: Column) -> Column:
-    """ARRAY of sentences: paragraphs at blank lines, white space squeezed; a sentence ends with . ! ? before a blank and a capital or an opening mark."""
-    squeezed = F.transform(F.split(text, r"\n\s*\n"), lambda p: strip(F.regexp_replace(p, r"(?U)\s+", " ")))
-    ended = F.transform(squeezed, lambda p: F.regexp_replace(p, r"([.!?]) (?=[A-Z\"'(])", "$1\n"))  # squeezed paragraphs hold no line ends
-    parts = F.split(F.array_join(ended, "\n"), "\n")
-    return F.filter(F.transform(parts, strip), lambda s: s != "")
+    """ARRAY of sentences: paragraphs at blank lines, words at white space; a word with an end mark ends one if the next word begins like a sentence."""
+
+    def told(words: Column) -> Column:
+        after = lambda i: F.substring(F.coalesce(F.get(words, i + 1), F.lit("")), 1, 1)
+        ends = lambda w, i: F.lit(LAST_MARKS).contains(F.right(w, F.lit(1))) & (after(i) != "") & F.lit(FIRST_MARKS).contains(after(i))
+        spaced = F.transform(words, lambda w, i: F.concat(w, F.when(ends(w, i), "\n").otherwise(" ")))
+        return F.split(F.array_join(spaced, ""), "\n")
+
+    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), strip), lambda p: p != "")
+    return F.filter(F.transform(F.flatten(F.transform(paragraphs, lambda p: told(F.split(p, r"(?U)\s+")))), strip), lambda s: s != "")
 
 
 def instruction_reasons(sentence: Column) -> Column:

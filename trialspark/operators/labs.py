@@ -28,17 +28,37 @@ def conversions(spark, more: tuple = ()) -> DataFrame:
     return spark.createDataFrame([(*k, v) for k, v in known.items()], "c_test string, c_from string, c_to string, factor double")
 
 
-#: A unit in a sentence, the ways to say that it equals, and its number.
-UNIT, EQUALS, AMOUNT = "[A-Za-zµμ%/]+", ("=", "equals", "is equal to", "is", "→", "->"), "[0-9]+(?:[.,][0-9]+)?"
+#: How a manual says that one unit is so many of another.
+VERBS = (("=",), ("→",), ("->",), ("equals",), ("is", "equal", "to"), ("is",))
 
 
 def learn(text) -> F.Column:
-    """ARRAY of (from, factor, to) that a manual's sentences state, as '1 ukat/L = 60 U/L'; a comma is a decimal comma."""
-    pattern = rf"(?i)\b1\s*({UNIT})\s*(?:{'|'.join(EQUALS)})\s*({AMOUNT})\s*({UNIT})"
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = lambda x, k: F.regexp_extract(x, pattern, k)
-    told = F.transform(found, lambda x: F.struct(N.canonical_unit(part(x, 1)).alias("from"), F.replace(part(x, 2), F.lit(","), F.lit(".")).try_cast("double").alias("factor"), N.canonical_unit(part(x, 3)).alias("to")))
-    return F.filter(told, lambda x: (x["from"] != x["to"]) & (x["factor"] != 0))
+    """ARRAY of (from, factor, to) that a manual's sentences state, as '1 ukat/L = 60 U/L'; a comma is a decimal comma.
+
+    The text becomes words, with blanks around signs and between a number and what follows it. A statement is the word 1,
+    a unit, a verb, a number and a unit; a unit is a word of letters, % and /.
+    """
+    apart = F.regexp_replace(F.regexp_replace(text, r"(->|→|=)", " $1 "), r"(?<=\d)(?=[\p{L}%])", " ")
+    words = F.transform(F.split(apart, r"\s+"), lambda w: F.btrim(w, F.lit(".,;:()[]*`\"'")))
+
+    def told(w):
+        at = lambda i: F.coalesce(F.get(w, i), F.lit(""))
+        is_unit = lambda u: (u != "") & (F.regexp_replace(u, r"[\p{L}%/]+", "") == "")
+
+        def from_here(i):
+            held = F.lit(0)
+            for verb in reversed(VERBS):
+                same = F.lit(True)
+                for k, word in enumerate(verb):
+                    same = same & (F.lower(at(i + 2 + k)) == word)
+                held = F.when(same, F.lit(len(verb))).otherwise(held)
+            factor = F.replace(at(i + 2 + held), F.lit(","), F.lit(".")).try_cast("double")
+            good = (at(i) == "1") & is_unit(at(i + 1)) & (held > 0) & is_unit(at(i + 3 + held)) & factor.isNotNull()
+            return F.when(good, F.struct(N.canonical_unit(at(i + 1)).alias("from"), factor.alias("factor"), N.canonical_unit(at(i + 3 + held)).alias("to")))
+
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 1), from_here)
+
+    return F.filter(N.let(words, told), lambda x: x.isNotNull() & (x["from"] != x["to"]) & (x["factor"] != 0))
 
 
 def learned(documents: DataFrame) -> DataFrame:
@@ -80,7 +100,8 @@ def with_ranges(lb: DataFrame, ranges: DataFrame, manuals: DataFrame | None = No
     pairs = convert(units.join(r, (units.testcd == F.col("_t")) & (units._lab == F.col("_l")), "left"), "testcd", "unit", "r_unit", table)
     best = W.partitionBy("testcd", "unit", "_lab").orderBy(F.when(N.canonical_unit(F.col("unit")) == N.canonical_unit(F.col("r_unit")), 0).when(F.col("factor").isNotNull(), 1).otherwise(2), "_n")
     picked = pairs.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k", "_t", "_l", "_n")  # one row a test, unit and laboratory
-    out = labs.join(picked, (labs.testcd == picked.testcd) & labs.unit.eqNullSafe(picked.unit) & (labs._lab == picked._lab), "left").drop(picked.testcd).drop(picked.unit).drop(picked._lab).drop("_lab")
+    picked = picked.withColumnsRenamed({"testcd": "_pt", "unit": "_pu", "_lab": "_pl"})
+    out = labs.join(picked, (F.col("testcd") == F.col("_pt")) & F.col("unit").eqNullSafe(F.col("_pu")) & (F.col("_lab") == F.col("_pl")), "left").drop("_pt", "_pu", "_pl", "_lab")
     status = F.when(F.col("kind") != "numeric", F.col("kind")).when(F.col("r_unit").isNull(), "no_range").when(F.col("factor").isNull(), "no_conversion").otherwise("ok")
     std = F.when(status == "ok", F.col("value") * F.col("factor"))
     return out.withColumn("status", status).withColumn("std_value", std).withColumn("multiple", std / F.col("high")).withColumn("flag", F.when(std > F.col("high"), "HIGH").when(std < F.col("low"), "LOW").when(std.isNotNull(), "NORMAL"))
