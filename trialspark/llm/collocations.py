@@ -24,7 +24,7 @@ from .common import cut, read, tune
 
 LEAST, WORDS, TOP, SHARE, SALTS = 10, 3, 2000, 50, 32
 #: Words that a task counts at once, distinct words that it numbers at once, and the bitmap's bits: at least, a frequent gram, at most.
-BLOCK, NUMBERED, BITS_LEAST, BITS_EACH, BITS_MOST = 2_000_000, 400_000, 1 << 16, 16, 1 << 26
+BLOCK, NUMBERED, BITS_LEAST, BITS_EACH, BITS_MOST = 2_000_000, 300_000, 1 << 16, 16, 1 << 26
 GAP = b"."  # ends a piece and so is no word
 ENDS = re.compile(rb"[.,;:!?\n-\r]+")
 MIX, FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -79,7 +79,7 @@ class Block:
         words = ENDS.sub(b" . ", text.lower()).split()  # lower() and split() of bytes know ASCII alone
         ids = [numbers.setdefault(w, len(numbers)) for w in words]
         ids.append(0)
-        self.parts.append(np.array(ids, np.int64))
+        self.parts.append(np.array(ids, np.int32))
         self.size += len(ids)
 
     def full(self) -> bool:
@@ -87,7 +87,8 @@ class Block:
 
     def grams(self, k: int, bitmaps: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
         """The k-grams of which both (k-1)-grams may be frequent, and how often each is here; for one word also '', for all words."""
-        ids, names = np.concatenate(self.parts), list(self.numbers)
+        ids, names = np.concatenate(self.parts).astype(np.int64), list(self.numbers)
+        self.parts.clear()
         words = pa.array([b"", *names[1:]], pa.binary())
         if k == 1:
             n = np.bincount(ids, minlength=len(words))
@@ -138,7 +139,7 @@ def counted(docs: DataFrame, k: int, bitmaps: list[np.ndarray]) -> DataFrame:
                 before = block.size
                 block.add(text)
                 held_words += block.size - before
-                if block.full() or held_words > 2 * BLOCK:  # many languages share one bound: the largest block goes
+                if block.full() or held_words > BLOCK:  # many languages share one bound: the largest block goes
                     lang = max(blocks, key=lambda x: blocks[x].size)
                     held_words -= blocks[lang].size
                     yield from out(blocks.pop(lang))
