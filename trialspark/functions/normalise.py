@@ -247,21 +247,14 @@ INSTRUCTIONS = (
 )
 
 
-#: What may end a sentence's last word, and what may begin the next one's first.
-LAST_MARKS, FIRST_MARKS = ".!?", "ABCDEFGHIJKLMNOPQRSTUVWXYZ\"'("
+#: Fixed value: where a sentence ends within a paragraph: after an end mark, at white space before a capital or an opening mark.
+SENTENCE_END = r"""(?<=[.!?])\s+(?=[A-Z"'(])"""
 
 
 def sentences(text: Column) -> Column:
-    """ARRAY of sentences: paragraphs at blank lines, words at white space; a word with an end mark ends one if the next word begins like a sentence."""
-
-    def told(words: Column) -> Column:
-        after = lambda i: F.substring(F.coalesce(F.get(words, i + 1), F.lit("")), 1, 1)
-        ends = lambda w, i: F.lit(LAST_MARKS).contains(F.right(w, F.lit(1))) & (after(i) != "") & F.lit(FIRST_MARKS).contains(after(i))
-        spaced = F.transform(words, lambda w, i: F.concat(w, F.when(ends(w, i), "\n").otherwise(" ")))
-        return F.split(F.array_join(spaced, ""), "\n")
-
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), strip), lambda p: p != "")
-    return F.filter(F.transform(F.flatten(F.transform(paragraphs, lambda p: told(F.split(p, r"(?U)\s+")))), strip), lambda s: s != "")
+    """ARRAY of sentences of each paragraph; paragraphs end at blank lines, white space is squeezed."""
+    paragraphs = F.transform(F.split(text, r"\n\s*\n"), lambda p: strip(F.regexp_replace(p, r"(?U)\s+", " ")))
+    return F.filter(F.transform(F.flatten(F.transform(paragraphs, lambda p: F.split(p, SENTENCE_END))), strip), lambda s: s != "")
 
 
 def instruction_reasons(sentence: Column) -> Column:

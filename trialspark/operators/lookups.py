@@ -41,6 +41,13 @@ def visit_anchor(lb: DataFrame, dm: DataFrame, visit: str, scheduled: int) -> Da
     return dm.join(at, "usubjid", "left").select("usubjid", F.coalesce("_d", F.date_add(N.parse_date(F.col("rfstdtc"))["date"], scheduled)).alias("anchor"))
 
 
+def visit_anchors(visits: DataFrame, dm: DataFrame, visit: str, scheduled: int | None) -> DataFrame:
+    """A subject's earliest dated record of any domain at the visit, else its reference start plus the scheduled day, if there is one."""
+    at = visits.where(F.col("visit") == visit).groupBy("usubjid").agg(F.min("date").alias("_d"))
+    planned = F.lit(None).cast("date") if scheduled is None else F.date_add(N.parse_date(F.col("rfstdtc"))["date"], scheduled)
+    return dm.join(at, "usubjid", "left").select("usubjid", F.coalesce("_d", planned).alias("anchor"))
+
+
 def any_field(records: DataFrame, value: str) -> DataFrame:
     wanted = value.strip().upper()
     return records.where(F.exists(F.map_values("fields"), lambda x: F.upper(N.strip(x)) == wanted))

@@ -53,35 +53,79 @@ def _first(pattern: str, text: str, kind=float):
     return tuple(kind(g) for g in m.groups()) if m else None
 
 
+def clauses(text: str) -> list[list[str]]:
+    """The text's sentences and bullets as words, signs apart from numbers; a point within a number ends nothing."""
+    spaced = re.sub(r"([>≥<×*±=(),;:])", r" \1 ", text.replace("−", "-").replace("–", "-"))
+    return [c.split() for line in spaced.splitlines() for c in re.split(r"\.(?:\s|$)", line) if c.split()]
+
+
+def _number(word: str) -> float | None:
+    return float(word) if re.fullmatch(r"\d+(?:\.\d+)?", word) else None
+
+
+#: What a limit may be of: spoken word -> which limit.
+LIMITED = {"alt": "transaminase", "ast": "transaminase", "transaminase": "transaminase", "transaminases": "transaminase", "hepatic": "transaminase", "liver": "transaminase", "bilirubin": "bilirubin"}
+
+
+def limits(words: list[str]) -> list[tuple[str, float]]:
+    """(what, multiple) of each "more than so many times ULN" in a clause, of what was named last before it."""
+    out, what = [], None
+    for i, word in enumerate(words):
+        what = LIMITED.get(word.lower().strip(".,"), what)
+        if word == ">" and what and len(words) > i + 3 and (n := _number(words[i + 1])) is not None and words[i + 2] in ("×", "x", "X", "*") and words[i + 3].upper().startswith("ULN"):
+            out.append((what, n))
+    return out
+
+
+def weeks(words: list[str]) -> list[int]:
+    """The numbers after "Week" or "Weeks", as far as commas and "and" go on."""
+    out, within = [], False
+    for word in words:
+        if word.lower() in ("week", "weeks"):
+            within = True
+        elif within and word.isdigit():
+            out.append(int(word))
+        elif word not in (",", "and"):
+            within = False
+    return out
+
+
 def parse_protocol(text: str) -> Rules:
     """The parameters that a protocol states; what it doesn't state is None, never a default."""
     flat = re.sub(r"[ \t]+", " ", text)
     bullets = [b.strip() for b in re.findall(r"^\s*[-*]\s+(.+)$", flat, re.M)]
     age = _first(r"\bage\D{0,20}?(\d+)\s*(?:-|–|to|and)\s*(\d+)", flat, int)
     hba1c = _first(r"hba1c\D{0,20}between\s*([\d.]+)\s*%?\s*and\s*([\d.]+)\s*%", flat)
-    hepatic = next((v[0] for b in bullets if re.search(r"\b(alt|ast|hepatic|liver)\b", b, re.I) and (v := _first(r">\s*([\d.]+)\s*(?:×|x|\*)\s*ULN", b))), None)
+    hepatic = next((n for b in bullets for c in clauses(b) for what, n in limits(c) if what == "transaminase"), None)
     creat = next((m for b in bullets if (m := re.search(r"creatinine\D*>\s*([\d.]+)\s*([A-Za-zµμ]+/[A-Za-z]+)", b, re.I))), None)
     schedule = {m[1].upper(): int(m[2].replace("−", "-").replace("–", "-").replace(" ", "")) for m in re.finditer(r"\b([A-Z][a-z]+)\s*\(\s*Day\s*([-−–]?\s*\d+)\s*\)", flat)}
-    for m in re.finditer(r"\bWeeks?\s+((?:\d+\s*(?:,|and|,\s*and)?\s*)+)", flat):
-        schedule |= {f"WEEK{w}": 7 * int(w) for w in re.findall(r"\d+", m[1])}
+    for title, body in sections(text).values():
+        if re.search("schedule|visit", title, re.I) or not title:
+            schedule |= {f"WEEK{n}": 7 * n for c in clauses(body) for n in weeks(c)}
     window = _first(r"±\s*(\d+)\s*days?", flat, int)
     banned: list[str] = []
     for title, body in sections(text).values():
         if re.search(r"prohibited|concomitant", title, re.I):
             banned += [re.sub(r"[.;].*$", "", b).strip() for b in re.findall(r"^\s*[-*]\s+(.+)$", body, re.M)]
-    tx = _first(r"(?:ALT|AST)[^.]*?>\s*([\d.]+)\s*(?:×|x|\*)\s*ULN[^.]*?bilirubin", flat)
-    bili = _first(r"bilirubin[^.]*?>\s*([\d.]+)\s*(?:×|x|\*)\s*ULN", flat)
+    law = next((found for c in clauses(flat) if {"transaminase", "bilirubin"} <= (found := dict(reversed(limits(c)))).keys()), {})
     days = _first(r"within\s+(\d+)\s+days", flat, int)
     dose = re.search(r"([\d.]+)\s*(mg|g|mcg|ug)\s*\(\s*([a-z]+)(?:\s+arm)?\s*\)\s*or\s*([\d.]+)\s*(?:mg|g|mcg|ug)\s*\(\s*([a-z]+)(?:\s+arm)?\s*\)", flat, re.I)
     return Rules(
         age_min=age and age[0], age_max=age and age[1], hba1c_min=hba1c and hba1c[0], hba1c_max=hba1c and hba1c[1], hepatic_multiple=hepatic,
         creatinine_max=float(creat[1]) if creat else None, creatinine_unit=creat[2] if creat else None, pregnancy_excluded=any(re.search("pregnan", b, re.I) for b in bullets) or None,
-        visit_window_days=window and window[0], transaminase_multiple=tx and tx[0], bilirubin_multiple=bili and bili[0], hys_days=days and days[0],
+        visit_window_days=window and window[0], transaminase_multiple=law.get("transaminase"), bilirubin_multiple=law.get("bilirubin"), hys_days=days and days[0],
         sae_hosp_rule=bool(re.search(r"AESHOSP\s*=\s*\"?Y", flat) and re.search("serious", flat, re.I)) or None, dose_unit=dose[2] if dose else None,
         expected_dose={dose[3].upper(): float(dose[1]), dose[5].upper(): float(dose[4])} if dose else {}, visit_schedule=schedule, prohibited=tuple(banned),
     )
 
 
+#: Words that ask for parameters.
+SPOKEN = (
+    (r"visit window", ("visit_window_days",)), (r"schedule", ("visit_schedule",)), (r"\bage\b", ("age_min", "age_max")), (r"hba1c", ("hba1c_min", "hba1c_max")), (r"creatinine", ("creatinine_max", "creatinine_unit")), (r"prohibited", ("prohibited",)),
+    (r"hy'?s.law|liver", ("transaminase_multiple", "bilirubin_multiple", "hys_days")), (r"\bdose", ("expected_dose", "dose_unit")),
+)
+
+
 def told(value) -> str | None:
     """A parameter as text; lists in sorted order."""
     if value is None:

@@ -95,7 +95,7 @@ class Study:
         for name in ("vs", "eg"):
             ctx.setdefault(name, ctx["lb"].limit(0))
         manuals = L.learned(self.documents) if self.documents is not None and "kind" in self.documents.columns else None
-        ctx |= {"labs": L.with_ranges(ctx["lb"], self.ranges, manuals), "visits": G.visits_of({d: (ctx[d.lower()], dated) for d, dated in DATED.items()}), "version": version, "doses": R.first_dose(ctx["dm"], ctx["ex"]), "persons": I.persons(ctx["dm"]), "ranges": self.ranges, "unavailable": rules.unavailable(), "rules": rules}
+        ctx |= {"labs": L.with_ranges(ctx["lb"], self.ranges, manuals), "visits": G.visits_of({d: (ctx[d.lower()], dated) for d, dated in DATED.items()}), "version": version, "doses": R.first_dose(ctx["dm"], ctx["ex"]), "persons": I.persons(ctx["dm"]), "ranges": self.ranges, "unavailable": rules.unavailable(), "rules": rules, "rules_by": self.rules_by}
         ctx["findings"] = R.all_findings(ctx, rules)
         ctx["domains"] = {"LB": ctx["lb"], "VS": ctx["vs"], "EG": ctx["eg"], "MH": ctx["mh"], "AE": ctx["ae"], "EX": ctx["ex"], "CM": ctx["cm"], "DS": ctx["ds"], "DM": ctx["dm"].withColumn("seq", F.lit(None).cast("bigint"))}
         if self.cuts is not None:

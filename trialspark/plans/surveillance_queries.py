@@ -8,12 +8,13 @@ from ..functions import normalise as N
 from ..operators import cuts as C
 from ..operators import decisions as DS
 from ..operators import graph as G
+from ..operators import identity as I
 from ..operators import labs as L
 from ..operators import ledger as S
 from ..operators import review as P
 from ..operators import rules as R
 from ..sources import study as source
-from .queries import ALL_FINDINGS, CUT, LABS, NOTES, RULES, SAE, STD, context, labs, notes, token
+from .queries import ALL_FINDINGS, CUT, LABS, NOTES, PERSONS, RULES, SAE, STD, context, day, labs, notes, token, visit
 from .registry import keep, query
 
 SEEN = "seen AS (SELECT s.subcode || '|' || s.usubjid || '|' || s.seq AS fingerprint, s.usubjid, s.seq, a.cut_available + r.range AS cut FROM sae s JOIN ae a ON a.usubjid = s.usubjid AND a.seq = s.seq JOIN range(0, 4) r ON a.cut_available + r.range <= 10)"
@@ -342,3 +343,45 @@ def s1(s):
     out = watch.run_cut(CUT).where("what not in ('untrusted', 'quarantined_sites', 'quarantined', 'queries')")
     asked = watch.written("queries", CUT).where("not key like 'LAB_SHIFT%'").agg(F.count("*").alias("n")).select(F.lit("data_queries").alias("what"), "n")
     return out.unionByName(asked)
+
+
+PERSON = "SELECT count(DISTINCT p.person_id) FROM dm d JOIN persons p ON p.usubjid = d.usubjid WHERE"
+AGE = "try_cast(d.age AS DOUBLE)"
+#: Questions and the SQL of what they ask.
+ASKED = (
+    ("How many subjects are in the study?", f"{PERSON} true"),
+    ("How many subjects under 18?", f"{PERSON} {AGE} < 18"),
+    ("How many women at site 3 are aged 30 to 60?", f"{PERSON} sex = 'F' AND siteid = 'S03' AND {AGE} BETWEEN 30 AND 60"),
+    ("How many patients older than 65 are in the placebo arm?", f"{PERSON} {AGE} > 65 AND arm = 'PLACEBO'"),
+    ("How many subjects withdrew?", f"{PERSON} d.usubjid IN (SELECT usubjid FROM ds WHERE decod = 'DISCONTINUED' AND term LIKE '%WITHDRAW%')"),
+    ("How many patients were discontinued due to an adverse event at site 7?", f"{PERSON} siteid = 'S07' AND d.usubjid IN (SELECT usubjid FROM ds WHERE decod = 'DISCONTINUED' AND term = 'ADVERSE EVENT')"),
+    ("How many subjects completed the study?", f"{PERSON} d.usubjid IN (SELECT usubjid FROM ds WHERE decod = 'COMPLETED')"),
+    ("How many subjects are taking sulfonylurea?", f"{PERSON} d.usubjid IN (SELECT usubjid FROM cm WHERE cls = 'SULFONYLUREA')"),
+    ("How many subjects in the drug arm had severe adverse events?", f"{PERSON} arm = 'DRUG' AND d.usubjid IN (SELECT usubjid FROM ae WHERE sev = 'SEVERE')"),
+    ("How many subjects have a systolic result at week 8?", f"{PERSON} d.usubjid IN (SELECT usubjid FROM vs WHERE testcd = 'SYSBP' AND {visit('visit')} = 'WEEK8')"),
+    ("How many subjects at site 10 had miscoded serious adverse events?", f"{PERSON} siteid = 'S10' AND d.usubjid IN (SELECT usubjid FROM sae WHERE subcode = 'SAE_MISCODED')"),
+    ("How many serious adverse events were reported?", "SELECT count(*) FROM sae"),
+    ("How many ALT results are recorded at week 2 at site S05?", f"SELECT count(*) FROM lb WHERE testcd = 'ALT' AND site = 'S05' AND {visit('visit')} = 'WEEK2' AND usubjid IN (SELECT usubjid FROM dm)"),
+    ("How many lab results between 2024-01-05 and 31-JAN-2024?", f"SELECT count(*) FROM lb WHERE {day('dtc')} BETWEEN DATE '2024-01-05' AND DATE '2024-01-31'"),
+    ("How many left-handed subjects discontinued?", "SELECT NULL"),
+    ("How many subjects had a hepatotoxicity event?", f"{PERSON} d.usubjid IN (SELECT usubjid FROM ae WHERE term = 'Hepatotoxicity')"),
+)
+
+
+@query("q1_questions", " UNION ALL ".join(f"SELECT '{q}' AS question, {'true' if 'NULL' in sql else 'false'} AS ambiguous, CAST(({sql}) AS BIGINT) AS n" for q, sql in ASKED), SAE, PERSONS)
+def q1(s):
+    """What questions count; one that isn't understood has no number."""
+    from . import router
+
+    ctx = s | {"labs": s["lb"], "persons": I.persons(s["dm"]), "visits": G.visits_of({"LB": (s["lb"], "dtc"), "VS": (s["vs"], "dtc"), "EG": (s["eg"], "dtc"), "EX": (s["ex"], "stdtc")}), "rules": RULES, "findings": R.run_rule(s, "SERIOUS_AE", RULES)}
+    ctx["domains"] = {d: s[d.lower()] for d in ("LB", "AE", "EX", "CM", "DS", "VS", "EG", "MH", "DM")}
+    out, words = None, router.vocabulary(ctx)
+    for question, _ in ASKED:
+        intent = router.with_terms(ctx, router.classify(question, words))
+        if router.unused(intent):
+            one = s["lb"].sparkSession.createDataFrame([(None,)], "n bigint")
+        else:
+            one = router.count_plan(ctx, intent).select(F.col("n_records" if intent.records else "n_persons").alias("n"))
+        one = one.select(F.lit(question).alias("question"), F.lit(bool(router.unused(intent))).alias("ambiguous"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
