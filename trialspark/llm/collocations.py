@@ -190,13 +190,13 @@ def collocations(docs: DataFrame, words: int = WORDS, least: int = LEAST, top: i
     inner = F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))))
     around = candidates.where(size > 2).select("lang", F.explode(inner).alias("phrase"), F.col("a").alias("_longer")).groupBy("lang", "phrase").agg(F.max("_longer").alias("_longer"))
     kept = scored.join(around, ["lang", "phrase"], "left").where(F.col("_longer").isNull() | (100 * F.col("_longer") < share * F.col("a")))
-    totals = tables[0].where("phrase = ''").select("lang", "n")
-    kept = kept.join(totals, "lang").select("lang", "phrase", "a", "_low.l", "_low.r", "n", "_low.score")
+    kept = kept.select("lang", "phrase", "a", "_low.l", "_low.r", "_low.score")
     rank = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase"))
     if top:  # the best of each of SALTS parts of a language first: what one task ranks is bounded, whatever the corpus
         kept = kept.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("_r", rank("lang", "_salt")).where(F.col("_r") <= top)
     ranked = kept.withColumn("rank", rank("lang"))
     ranked = ranked.where(F.col("rank") <= top) if top else ranked
+    ranked = ranked.join(tables[0].where("phrase = ''").select("lang", "n"), "lang")
     return ranked.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
