@@ -148,7 +148,7 @@ def test_language_edges(spark, odd, sf):
 
 
 def test_one_file_makes_batches_runs_and_compactions(spark, monkeypatch):
-    """Whatever the files: four batches, later ones without what earlier ones settled, and runs compacted."""
+    """Whatever the files: four batches, none of which counts (and so shuffles) a key that earlier ones settled, and runs compacted."""
     seen, add = [], line_runs.LineRuns.add
 
     def watched(self, counts):
@@ -160,7 +160,22 @@ def test_one_file_makes_batches_runs_and_compactions(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id >= 0").select("doc_id", "text")
     rows = line_runs.dedup_lines(docs).collect()
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in rows), key=str) == brute_lines([tuple(r) for r in docs.collect()], 10)
-    assert len(seen) == 4 and [c for _, c, _ in seen] == [0, 1, 1, 3] and seen[-1][0] > 0 and seen[-1][2] > 0
+    assert len(seen) == 4 and [c for _, c, _ in seen] == [0, 1, 1, 3] and seen[1][0] > 0 and [n for *_, n in seen] == [0] * 4
+
+
+def test_a_later_delivery_goes_on_with_the_runs(spark, tmp_path):
+    """Two deliveries, the second to reopened levels: its lines are judged by the documents of both."""
+    rows = [(i, f"Shared {i % 5}\nown {i}\n") for i in range(60)]
+    form = lambda part: spark.createDataFrame(part, "doc_id bigint, text string")
+    root = f"file://{tmp_path}/runs"
+    first = line_runs.dedup_lines(form(rows[:40]), min_docs=10, root=root).collect()
+    assert not any(r.n_dropped for r in first)
+    for name in [t.name for t in spark.catalog.listTables() if t.name.startswith("runs_")]:
+        spark.sql(f"DROP TABLE {name}")  # as in another session
+    second = line_runs.dedup_lines(form(rows[40:]), min_docs=10, root=root).collect()
+    want = {d: n for d, _, n, _ in brute_lines(rows, 10)}
+    assert {r.doc_id: r.n_dropped for r in second} == {d: n for d, n in want.items() if d >= 40} and all(r.n_dropped == 1 for r in second)
+    line_runs.LineRuns(spark, root=root).close()
 
 
 def test_keys_settle_by_the_sum_over_runs(spark):

@@ -1,15 +1,17 @@
 """Line dedup by levelled sorted runs of line hashes.
 
 A run is a table of (key, n): the 16-byte hash of a line key and the number of documents seen with it, bucketed
-and sorted by key. Each new batch is counted, merge-anti-joined with the keys that the runs have settled (those
-that all runs together found in enough documents need no more counting), and added as a run of its own; `fanout`
-runs of a level are compacted into one of the next. Runs are bucketed alike, so the anti-joins merge them without
-a shuffle; a compaction sums its runs with one. The batches of a table are hash ranges of its texts, whatever its
-files: one scan counts all of them, in a column each, and one shuffle buckets the counts.
+and sorted by key. Batches come one after another from the source. A batch's lines are counted within the tasks that
+read them, without the most frequent keys that the runs have settled (found in enough documents: they need no more
+counting), so these never reach a shuffle again; what is left is summed, merge-anti-joined with all that the runs have
+settled, and added as a run of its own; `fanout` runs of a level are compacted into one of the next. Runs are bucketed
+alike, so the anti-joins merge them without a shuffle; a compaction sums its runs with one. The levels can be kept: a
+later delivery opens them again and goes on.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -19,9 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, map_rows, read, remove_path, schema_with, scratch_path, texts_of, tune, width, with_columns
+from .common import SPACE, cut, map_rows, path_exists, read, remove_path, schema_with, scratch_path, texts_of, tune, width, with_columns
 
 MIN_DOCS, MIN_CHARS, BATCHES, FANOUT, BROADCAST_KEYS = 10, 1, 4, 2, 400_000
+#: The settled keys that tasks leave out before the shuffle: the most frequent ones, 16 bytes each; the anti-join takes out the others.
+LEFT_OUT = 100_000
 
 
 def line_keys(text: str) -> list[bytes]:
@@ -37,37 +41,56 @@ def long_enough(key: bytes, min_chars: int) -> bool:
     return len(key) >= min_chars and (min_chars <= 1 or len(key.decode()) >= min_chars)
 
 
-def count_keys(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
-    """(key, n0, n1, ...): in how many documents of each batch a line key is; counted in the task first, so a hot line is few rows."""
+def count_keys(docs: DataFrame, min_chars: int = MIN_CHARS, settled: frozenset = frozenset()) -> DataFrame:
+    """(key, n): in how many documents a line key is, settled keys left out; counted in the task first, so a hot line is few rows."""
+    out = docs.sparkSession.sparkContext.broadcast(settled)
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def flush():
-            keys, of = zip(*seen)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(of, pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["key", "batch", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["key", "n"])
 
         for batch in rows:
-            for text, of in zip(texts_of(batch), batch.column("batch").to_pylist()):
-                seen.update({(key_hash(k), of) for k in line_keys(text) if long_enough(k, min_chars)})
+            for text in texts_of(batch):
+                seen.update({key_hash(k) for k in line_keys(text) if long_enough(k, min_chars)} - out.value)
                 if len(seen) > 200_000:
                     yield flush()
                     seen.clear()
         if seen:
             yield flush()
 
-    batch = F.pmod(F.xxhash64(F.lit("batch"), "text"), F.lit(batches)).cast("int").alias("batch")
-    counted = docs.select("text", batch).mapInArrow(count, "key binary, batch int, n bigint")
-    return counted.groupBy("key").agg(*[F.sum(F.when(F.col("batch") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(batches)])
+    return docs.select("text").mapInArrow(count, "key binary, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def batch_of(docs: DataFrame, batches: int):
+    """Which batch a row belongs to, whatever the files: a hash of its doc_id, or of its text where there is none."""
+    return F.pmod(F.xxhash64(F.lit("batch"), "doc_id" if "doc_id" in docs.columns else "text"), F.lit(batches))
 
 
 class LineRuns:
-    """The levels of runs, in the shared folder; close() drops them."""
+    """The levels of runs, under a root in the shared folder; close() drops them.
 
-    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
+    With a root that holds levels already (keep() wrote them), these are opened and go on with their own settings.
+    """
+
+    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT, root: str | None = None):
         self.spark, self.min_docs, self.fanout, self.buckets = spark, min_docs, fanout, width(spark)
         self.levels: list[list[str]] = [[]]
-        self.root, self.compacted = scratch_path(spark, "runs"), 0
+        self.root, self.compacted = root or scratch_path(spark, "runs"), 0
+        if root and path_exists(spark, f"{root}/levels/_SUCCESS"):
+            told = json.loads(spark.read.text(f"{root}/levels").first()[0])
+            self.levels, self.min_docs, self.fanout, self.buckets = told["levels"], told["min_docs"], told["fanout"], told["buckets"]
+            known = {t.name for t in spark.catalog.listTables()}
+            for name in self.runs():
+                if name not in known:
+                    spark.sql(f"CREATE TABLE {name} (key BINARY, n BIGINT) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{name}'")
+
+    def keep(self) -> str:
+        """Write down which runs the levels hold; the root to open them by."""
+        told = {"levels": self.levels, "min_docs": self.min_docs, "fanout": self.fanout, "buckets": self.buckets}
+        self.spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/levels")
+        return self.root
 
     def write(self, rows: DataFrame) -> str:
         name = f"runs_{uuid.uuid4().hex}"
@@ -98,16 +121,22 @@ class LineRuns:
                 self.drop(run)
             level, self.compacted = level + 1, self.compacted + 1
 
-    def add_all(self, counts: DataFrame, batches: int) -> None:
-        """(key, n0, n1, ...) batch by batch, from one bucketed table."""
-        name = self.write(counts)
+    def left_out(self, most: int = LEFT_OUT) -> frozenset:
+        """The most frequent settled keys, at most so many."""
+        if not self.runs():
+            return frozenset()
+        found = self.merged(self.runs()).where(F.col("n") >= self.min_docs).orderBy(F.desc("n"), "key").limit(most).select("key").toArrow()
+        return frozenset(found.column("key").to_pylist())
+
+    def add_docs(self, docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> None:
+        """A delivery of documents, batch by batch."""
+        of = batch_of(docs, batches)
         for i in range(batches):
-            self.add(self.spark.table(name).where(F.col(f"n{i}") > 0).select("key", F.col(f"n{i}").alias("n")))
-        self.drop(name)
+            self.add(count_keys(docs.where(of == i) if batches > 1 else docs, min_chars, self.left_out()))
 
     def merged(self, runs: list[str]) -> DataFrame:
         """The runs' sums by key. The renaming makes the union forget the runs' buckets: Spark 4.1 keeps them in the plan of a union of column batches but doesn't join them when it runs."""
-        rows = [self.spark.table(run).select("key", F.col("n").alias("m")) for run in runs]
+        rows = [self.spark.table(run).select("key", F.col("n").alias("m")) for run in runs] or [self.spark.createDataFrame([], "key binary, m bigint")]
         every = rows[0]
         for more in rows[1:]:
             every = every.unionByName(more)
@@ -131,23 +160,28 @@ def drop_lines(text: str, gone) -> tuple[str, int, int]:
     return ("\n".join(x for x, o in zip(text.split("\n"), out) if not o) if n else text), len(keys), n
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, broadcast_keys: int = BROADCAST_KEYS, root: str | None = None) -> DataFrame:
     """docs with repeated lines cut out of text, and n_lines, n_dropped (long).
 
     A line goes from every document if its key has at least min_chars code points and is in at least min_docs
     documents; others stay, joined by \\n. Null and empty texts are one empty line, which stays, and come out as
     the empty text. Repeated rows count as documents of their own; texts of any length are read whole; an empty
-    table gives no rows. Columns n_lines and n_dropped of docs are replaced. Up to broadcast_keys settled keys (16
+    table gives no rows. A line counts once a document, and which of equal lines come first doesn't matter: all go or
+    none, so there are no ties. Columns n_lines and n_dropped of docs are replaced. Up to broadcast_keys settled keys (16
     bytes each) go to the executors whole; beyond that they are joined to the distinct texts' keys instead, with the
-    same result.
+    same result. With a root the runs stay there, and the documents are counted on top of what earlier deliveries to
+    that root had.
     """
     spark = docs.sparkSession
     tune(spark)
     docs = docs.drop("n_lines", "n_dropped")
-    runs = LineRuns(spark, min_docs)
-    runs.add_all(count_keys(docs, min_chars, batches), batches)
+    runs = LineRuns(spark, min_docs, root=root)
+    runs.add_docs(docs, min_chars, batches)
     settled = cut(runs.settled())
-    runs.close()
+    if root:
+        runs.keep()
+    else:
+        runs.close()
     out = schema_with(docs, text="string", n_lines="bigint", n_dropped="bigint")
     few = [bytes(r[0]) for r in settled.limit(broadcast_keys + 1).collect()]
 
