@@ -4,7 +4,8 @@ Statistics of each text (word counts and lengths, symbols, repeated lines and wo
 by random axis-parallel splits; short mean path lengths mean anomaly. The forest is grown on labelled clean
 rows, and the threshold is set on other labelled rows of both kinds. All statistics are of the whole text; the share of
 distinct words, which falls with length, is the mean over windows of WINDOW words. How far the lowest window falls
-below that mean tells texts that are junk in part; more than MARGIN above what clean labelled rows have is anomalous.
+below that mean, beyond MARGIN, tells texts that are junk in part: it is nought in whole texts, so its range is taken as
+at least 1, and the trees draw it DRAWN times as often as another statistic.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_STR, hash_share, map_rows, read, schema_with, texts_of, tune, with_columns
 
-TREES, SUBSAMPLE, TRAIN_DOCS, SEED, CLEAN_LOSS, MARGIN = 100, 256, 6_000, 7, 0.002, 0.1
+TREES, SUBSAMPLE, TRAIN_DOCS, SEED, CLEAN_LOSS, MARGIN, DRAWN, DEEPER = 100, 256, 6_000, 7, 0.002, 0.1, 4, 4
 SYMBOLS, SPAN, WINDOW = "#*$%&|<>", 8, 2000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-FEATURES = ("log_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "punct_share", "distinct_share", "longest_word", "stutter_share", "distinct_drop")  # the forest sees all but the last
+FEATURES = ("log_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "punct_share", "distinct_share", "longest_word", "stutter_share", "distinct_drop")
+WEIGHTS = (*[1] * (len(FEATURES) - 1), DRAWN)
 
 
 def distinct_shares(words: list) -> list[float]:
@@ -67,7 +69,7 @@ def rule_counts(text: str | None) -> tuple[list[int], list[float]]:
     return [n, chars, symbols, dup, repeat], [
         math.log1p(n), chars / max(1, n), symbols / size, dup / max(1, len(lines)), repeat / max(1, n), upper / max(1, upper + lower), digits / size, punct / size,
         sum(distinct) / len(distinct), math.log1p(longest), float((ids[1:] == ids[:-1]).mean()) if n > 1 else 0.0,
-        1 - min(distinct) / (sum(distinct) / len(distinct)) if n else 0.0,
+        max(0.0, 1 - min(distinct) / (sum(distinct) / len(distinct)) - MARGIN) if n else 0.0,
     ]
 
 
@@ -83,9 +85,10 @@ class Forest:
     so a feature that is constant in the grown rows still cuts off what differs in it, after a short path.
     """
 
-    def __init__(self, rows: np.ndarray, ranges: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED):
+    def __init__(self, rows: np.ndarray, ranges: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED, weights=None):
         rng, self.margin = np.random.default_rng(seed), MARGIN * ranges
-        self.depth = max(1, math.ceil(math.log2(max(2, min(subsample, len(rows))))))
+        self.drawn = np.array(weights if weights is not None else [1] * rows.shape[1]) * (self.margin > 0)
+        self.depth = max(1, math.ceil(math.log2(max(2, min(subsample, len(rows))))) + DEEPER)  # deeper than usual: splits of a constant statistic part nothing
         self.norm = max(1.0, path_norm(min(subsample, len(rows))))
         self.trees = [self.grow(rows[rng.choice(len(rows), min(subsample, len(rows)), replace=False)], rng) for _ in range(trees)]
 
@@ -96,9 +99,8 @@ class Forest:
             at = len(feature)
             for column, value in ((feature, -1), (split, 0.0), (left, at), (right, at), (path, depth + path_norm(len(part)))):
                 column.append(value)
-            wide = np.flatnonzero(self.margin > 0)
-            if depth < self.depth and len(part) > 1 and len(wide):
-                k = int(rng.choice(wide))
+            if depth < self.depth and len(part) > 1 and self.drawn.any():
+                k = int(rng.choice(len(self.drawn), p=self.drawn / self.drawn.sum()))
                 low, high = part.min(axis=0) - self.margin, part.max(axis=0) + self.margin
                 feature[at], split[at] = k, float(rng.uniform(low[k], high[k]))
                 goes = part[:, k] < split[at]
@@ -139,12 +141,11 @@ def calibrate(scores: np.ndarray, clean: np.ndarray, loss: float = CLEAN_LOSS) -
     return float((floor + above.min()) / 2) if len(above) else float(floor)
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[Forest | None, float, float]:
-    """A forest on clean labelled rows, its threshold, and the limit of distinct_drop.
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[Forest | None, float]:
+    """A forest on clean labelled rows, and its threshold.
 
     At most about train_docs labelled rows are used, chosen by a hash of doc_id; a doc_id labelled twice has its lower
-    quality. The forest grows on every other clean row, and the threshold and the limit are set on the rest and on
-    the junk (one clean row serves for both). Without a clean row all labelled ones stand for clean, and without a
+    quality. The forest grows on every other clean row, and the threshold is set on the rest and on the junk (one clean row serves for both). Without a clean row all labelled ones stand for clean, and without a
     labelled one as many documents chosen alike. Rows that the base rules fail are left out: they never reach the
     forest's verdict. If that leaves none, there is no forest.
     """
@@ -161,16 +162,15 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
         return df.where(hash_share("doc_id", share)) if share < 1 else df
 
     told = some(labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")))
-    rows = measured(docs.select("doc_id", "text").join(told, "doc_id")) or measured(some(docs.where("doc_id is not null").select("doc_id", "text")).withColumn("quality", F.lit(1)))
+    rows = measured(docs.select("doc_id", "text").join(F.broadcast(told), "doc_id")) or measured(some(docs.where("doc_id is not null").select("doc_id", "text")).withColumn("quality", F.lit(1)))
     if not rows:
-        return None, 1.0, 1.0
+        return None, 1.0
     data, clean = np.array([r.f for r in rows]), np.array([r.quality == 1 for r in rows])
     clean |= not clean.any()
     grown = np.flatnonzero(clean)[::2]
     apart = np.setdiff1d(np.arange(len(rows)), grown) if clean.sum() > 1 else np.arange(len(rows))
-    data, drop = data[:, :-1], data[:, -1]
-    forest = Forest(data[grown], np.ptp(data, axis=0))
-    return forest, calibrate(forest.score(data[apart]), clean[apart]), float(np.quantile(drop[apart][clean[apart]], 1 - CLEAN_LOSS)) + MARGIN
+    forest = Forest(data[grown], np.maximum(np.ptp(data, axis=0), [*[0.0] * (len(FEATURES) - 1), 1.0]), weights=WEIGHTS)
+    return forest, calibrate(forest.score(data[apart]), clean[apart])
 
 
 def judge(docs: DataFrame, model: tuple) -> DataFrame:
@@ -185,13 +185,12 @@ def judge(docs: DataFrame, model: tuple) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def add(batch: pa.RecordBatch) -> pa.RecordBatch:
-        forest, threshold, limit = shared.value
+        forest, threshold = shared.value
         rows = [rule_counts(t) for t in texts_of(batch)]
         failed = [base_failed(c[0], c[4]) for c, _ in rows]
         scores = np.zeros(len(rows))
         if forest and rows:
-            data = np.array([f for _, f in rows])
-            scores = np.where(data[:, -1] > limit, 1.0, forest.score(data[:, :-1]))
+            scores = forest.score(np.array([f for _, f in rows]))
         columns = {k: pa.array([c[i] for c, _ in rows], pa.int64()) for i, k in enumerate(COUNTS)}
         return with_columns(batch, **columns, base_failed=pa.array(failed), anomaly=pa.array(scores), kept=pa.array([not f and bool(s <= threshold) for f, s in zip(failed, scores)]))
 

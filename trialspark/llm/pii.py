@@ -1,7 +1,7 @@
 """Personal data by candidate gradient boosting.
 
 Four exact patterns (email, ip, card, phone) always count. Beyond them, high-recall generators propose spans that
-may overlap (secrets after a key word, long codes, written-out addresses, local telephone numbers, account and
+may overlap (secrets after a key word, key blocks, long codes, written-out addresses, local telephone numbers, account and
 social numbers); boosted trees score each from its format and its context, and those at or above their kind's
 calibrated threshold are added, best first, where they overlap nothing chosen already. A secret runs to the end of
 its token whatever its length: of secrets within one another the longest counts, and an exact span inside a secret
@@ -72,12 +72,17 @@ BARE = 20
 #: The generators: recall first; what they propose is for the trees to judge.
 GENERATORS = (
     ("secret", re.compile(r"(?i)(?<![a-z])(?:token|secret|password|passwd|pwd|api[_-]?key|apikey|auth|bearer|key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.=-]{6,}+)")),
+    ("secret", re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|passphrase|secret|token)\s+is:?\s+[\"']?([^\s\"',;]{6,}+)")),
     ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])([A-Za-z0-9+/_-]{20,}+)")),
+    ("secret", re.compile(r"(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?!-----)[A-Za-z0-9+/=:,. \r\n-])*+-----END [A-Z ]{0,40}PRIVATE KEY-----)")),
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++\s?(?:\[at\]|\(at\)|\sat\s)\s?[A-Za-z0-9-]++(?:(?:\s?(?:\[dot\]|\(dot\)|\sdot\s)\s?|\.)[A-Za-z0-9-]{2,}+)++)")),
     ("phone", re.compile(r"(?<![0-9.+-])(\(?[0-9]{2,5}\)?(?:[ .-][0-9]{2,4}){2,4})(?![0-9.-])")),
     ("account", re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")),
     ("social", re.compile(r"(?<![0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")),
 )
+#: How issued keys begin.
+ISSUED = re.compile(r"(?:AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk[-_](?:live|test|proj)?[-_]?|rk_live_|pk_live_|npm_|pypi-|hf_|eyJ|-----BEGIN )")
+UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 CUES = {
     "secret": ("token", "secret", "password", "passwd", "pwd", "key", "auth", "bearer"),
     "email": ("mail", "contact", "write", "reach"),
@@ -85,7 +90,7 @@ CUES = {
     "account": ("iban", "account", "bank", "konto"),
     "social": ("ssn", "social", "security"),
 }
-MIGHT = re.compile(r"[0-9]|(?i:\[at\]|\(at\)|\sat\s|token|secret|passw|pwd|key|auth|bearer)")
+MIGHT = re.compile(r"[0-9]|PRIVATE KEY|(?i:passphrase|\[at\]|\(at\)|\sat\s|token|secret|passw|pwd|key|auth|bearer)")
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
@@ -109,10 +114,15 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
     switches = sum(a.isdigit() != b.isdigit() for a, b in zip(span, span[1:]))
     vowels = sum(c in "aeiouAEIOU" for c in span)
     cue = max((before.rfind(c) + 1 for c in CUES[kind]), default=0)
+    token = text[max(0, start - 200) : start]  # of the word that the span is in, what stands before it
+    token = token[max(token.rfind(c) for c in " \n\t\"'(<") + 1 :]
+    parts = [x for x in re.split("[/_.+-]", span[:200]) if x]
     return [
         float(MODEL_KINDS.index(kind)), n, digits / n, upper / n, lower / n, (n - digits - upper - lower) / n, -sum(p * math.log2(p) for p in held), switches / n, vowels / max(1, upper + lower),
         float(cue > 0), float(cue > 12), float(before.rstrip(" \"'")[-1:] in (":", "=")), float(after[:1] in ("\"", "'")), float(all(c in "0123456789abcdefABCDEF" for c in span)),
         float(digits), float(span.count("-") + span.count(" ") + span.count(".")), float(kind == "account" and account_check(span)), float(before[-1:].isalnum()), float("dot" in span.lower() or "[" in span or "(" in span),
+        float(ISSUED.match(span) is not None), float("://" in token or token.startswith(("www.", "/", "./", "~/"))), float(UUID.search(span) is not None), min(digits, upper, lower) / n, max(map(len, parts), default=0) / n, float(" is" in before[-6:]),
+        float(sum(not c.isalnum() for c in span)),
     ]
 
 
@@ -166,11 +176,20 @@ class Boosted:
 
 
 def examples(n: int, seed: int) -> list[tuple[str, str, int, int, bool]]:
-    """Written candidates with their truth: (text, kind, start, end, personal)."""
+    """Written candidates with their truth: (text, kind, start, end, personal).
+
+    What real text holds and nobody has to hide is among them: commit ids and other digests, UUIDs, addresses of pages,
+    paths, versions, slugs, numbers.
+    """
     rng, out = random.Random(seed), []
     word = lambda lo=2, hi=9: "".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(lo, hi)))
-    pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
-    digit, low = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    pick = lambda chars, k: "".join(rng.choices(chars, k=k))
+    digit, low, hexa = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+    every = low + low.upper() + digit
+    cue = lambda kind: rng.choice((str.lower, str.upper, str.title))(rng.choice(CUES[kind]))
+    said = lambda: rng.choice((" = ", ": ", "=", ":", " : ")) + quote()
+    quote = lambda: rng.choice(('"', "'", ""))
+    joined = lambda by, lo, hi: by.join(word() for _ in range(rng.randint(lo, hi)))
 
     def account(valid: bool) -> str:
         body, land = pick(digit, rng.choice((14, 16, 18))), rng.choice(("DE", "FR", "ES", "GB", "NL"))
@@ -178,33 +197,47 @@ def examples(n: int, seed: int) -> list[tuple[str, str, int, int, bool]]:
         code = f"{land}{check if valid else (check + rng.randint(1, 40)) % 97:02d}{body}"
         return " ".join(code[i : i + 4] for i in range(0, len(code), 4)) if rng.random() < 0.5 else code
 
-    for _ in range(n):
-        cue = lambda kind: rng.choice(CUES[kind])
-        mark, quote = rng.choice((" = ", ": ", "=", ":", " : ")), rng.choice(('"', "'", ""))
-        spoken = rng.choice((str.lower, str.upper, str.title))
-        code = pick(rng.choice(("0123456789abcdef", "0123456789ABCDEF", low + digit, low + low.upper() + digit)), rng.randint(20, 64))
-        long = pick(rng.choice(("0123456789abcdef", low + digit, low + low.upper() + digit, low + low.upper() + digit + "+/")), rng.randint(200, 2000))
-        made = rng.choice((
-            ("secret", spoken(cue("secret")) + mark + quote, code, quote, True), ("secret", spoken(cue("secret")) + mark + quote, code, quote, True),
-            ("secret", spoken(cue("secret")) + mark + quote, pick(low + digit + low.upper(), rng.randint(8, 20)) + pick(digit, 2), quote, True),
-            ("secret", word() + " ", code, "", len(code) >= 32),
-            ("secret", spoken(cue("secret")) + mark + quote, long, quote, True), ("secret", word() + " ", long, "", True), ("secret", spoken(cue("secret")) + mark + quote, ".".join(pick(low + low.upper() + digit + "-_", rng.randint(30, 700)) for _ in range(3)), quote, True),
-            ("secret", word() + " /", "/".join(word() for _ in range(rng.randint(30, 300))) + "/" + pick(digit, 2), " ", False), ("secret", " ", pick(digit, rng.randint(200, 2000)), " ", False), ("secret", word() + " ", "-".join(word() for _ in range(rng.randint(30, 300))) + "-" + pick(digit, 1), " ", False),
-            ("secret", rng.choice(("key", "Key", "token", "auth")) + rng.choice((": ", " : ")), word(6, 12), " ", False), ("secret", word() + " ", word() + "-" + word() + "-" + word(8, 12) + "-" + pick(digit, 1), " ", False),
-            ("secret", word() + " ", word(18, 30) + pick(digit, 1), " ", False), ("secret", " ", pick(digit, rng.randint(20, 40)), " ", False),
-            ("secret", word() + " /", "/".join(word() for _ in range(5)) + "/" + pick(digit, 2), " ", False),
-            ("email", rng.choice(("", cue("email") + " ")), f"{word()}.{word()} [at] {word()} [dot] com", "", True), ("email", " ", f"{word()}(at){word()}.{rng.choice(('com', 'org', 'net'))}", "", True),
-            ("email", cue("email") + mark, f"{word()} at {word()} dot com", "", True), ("email", word() + " ", f"{word()} at {word()}.{word(2, 6)}", " ", False), ("email", word() + " ", f"{word()} at {word()}.{word().title()}", " ", False),
-            ("phone", spoken(cue("phone")) + rng.choice((": ", " ", ". ")), f"({pick(digit, 3)}) {pick(digit, 3)}-{pick(digit, 4)}", "", True), ("phone", spoken(cue("phone")) + rng.choice((": ", " ")), f"{pick(digit, 3)}-{pick(digit, 3)}-{pick(digit, 4)}", "", True),
-            ("phone", word() + " ", f"{pick(digit, 3)} {pick(digit, 3)} {pick(digit, 3)}", " ", False), ("phone", word() + " ", f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", " ", False),
-            ("phone", word() + " ", " ".join(pick(digit, 4) for _ in range(4)), " ", False), ("phone", word() + " ", ".".join(pick(digit, rng.randint(2, 3)) for _ in range(4)), " ", False),
-            ("account", rng.choice(("IBAN ", "account ", "", word() + " ")), account(True), "", True), ("account", word() + " ", account(False), "", False),
-            ("social", spoken(cue("social")) + rng.choice((" ", ": ")), f"{pick(digit, 3)}-{pick(digit, 2)}-{pick(digit, 4)}", "", True), ("social", word() + " ", f"{pick(digit, 3)}-{pick(digit, 2)}-{pick(digit, 4)}", "", False),
-        ))
-        head = " ".join(word() for _ in range(rng.randint(0, 6))) + rng.choice((" ", ". ", "\n"))
-        text = head + made[1] + made[2] + made[3] + " " + word() + " " + word()
-        start = len(head) + len(made[1])
-        out.append((text, made[0], start, start + len(made[2]), made[4]))
+    def uuid() -> str:
+        return "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12))
+
+    def issued() -> str:
+        return rng.choice((lambda: "AKIA" + pick(low.upper() + digit, 16), lambda: rng.choice(("ghp_", "gho_", "npm_", "hf_")) + pick(every, 36), lambda: "glpat-" + pick(every, 20), lambda: "sk_live_" + pick(every, 24), lambda: f"xoxb-{pick(digit, 11)}-{pick(digit, 12)}-{pick(every, 24)}", lambda: "AIza" + pick(every + "_-", 35), lambda: ".".join(("eyJ" + pick(every, 30), pick(every, 60), pick(every + "_-", 43)))))()
+
+    def block() -> str:
+        kind = rng.choice(("RSA ", "EC ", "OPENSSH ", ""))
+        return f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(pick(every + "+/", 64) for _ in range(rng.randint(2, 25))) + f"\n-----END {kind}PRIVATE KEY-----"
+
+    def spoken_password() -> str:
+        return word(3, 7).title() + pick(digit, rng.randint(1, 3)) + pick("!&#*$%@", 1) + pick(every, rng.randint(1, 4))
+
+    def code(lo: int, hi: int) -> str:
+        return pick(rng.choice((hexa, hexa.upper(), low + digit, every)), rng.randint(lo, hi))
+
+    def page() -> tuple[str, str]:
+        return rng.choice(("see ", "", "at ")) + f"https://{word()}.{word(2, 3)}", rng.choice(("/", "/p/", "/en/")) + f"{rng.randint(2000, 2030)}/{rng.randint(10, 12)}/" + joined("-", 3, 9) + rng.choice(("", f"-{rng.randint(1, 99)}", "/" + pick(hexa, rng.choice((8, 12, 32)))))
+
+    #: (weight, kind, the words before, the span, what follows, personal)
+    made = (
+        (4, "secret", lambda: cue("secret") + said(), lambda: code(20, 64), quote, True), (2, "secret", lambda: cue("secret") + said(), lambda: pick(every, rng.randint(8, 20)) + pick(digit, 2), quote, True), (2, "secret", lambda: cue("secret") + said(), lambda: pick(rng.choice((hexa, low + digit, every, every + "+/")), rng.randint(200, 2000)), quote, True),
+        (2, "secret", lambda: cue("secret") + said(), issued, quote, True), (3, "secret", lambda: word() + " ", issued, lambda: " ", True), (2, "secret", lambda: word() + "\n", block, lambda: "\n", True), (2, "secret", lambda: rng.choice(("my password is ", "the password is ", "Password is: ", "passphrase is ", "secret is ")), spoken_password, lambda: rng.choice((" ", "\n")), True),
+        (2, "secret", lambda: word() + " ", lambda: pick(every, rng.randint(32, 64)) + pick(digit, 1) + pick(low, 1) + pick(low.upper(), 1), lambda: " ", True), (2, "secret", lambda: word() + " ", lambda: pick(every + "+/", rng.randint(200, 2000)), lambda: " ", True), (1, "secret", lambda: cue("secret") + said(), lambda: ".".join(pick(every + "-_", rng.randint(30, 700)) for _ in range(3)), quote, True),
+        (3, "secret", lambda: rng.choice(("commit ", "rev ", "see ", "sha1 ", "sha256:", "md5 ", "", "fixed in ", "digest ")), lambda: pick(hexa, rng.choice((32, 40, 64, 40, 20, 28))), lambda: rng.choice((" ", ".", ",")), False), (2, "secret", lambda: word() + " ", uuid, lambda: " ", False), (1, "secret", lambda: rng.choice(("id ", "uuid ", "request ")), uuid, lambda: " ", False),
+        (4, "secret", None, None, lambda: rng.choice((" ", ".", ")")), False), (1, "secret", lambda: word() + " /", lambda: joined("/", 5, 300) + "/" + pick(digit, 2), lambda: " ", False), (1, "secret", lambda: "~", lambda: "/" + joined("/", 4, 9) + f"/{word()}_{pick(digit, 2)}", lambda: " ", False),
+        (1, "secret", lambda: " ", lambda: pick(digit, rng.randint(20, 2000)), lambda: " ", False), (2, "secret", lambda: word() + " ", lambda: joined("-", 4, 300) + "-" + pick(digit, 1), lambda: " ", False), (1, "secret", lambda: word() + " ", lambda: joined("_", 4, 9) + "_v" + pick(digit, 2), lambda: " ", False),
+        (2, "secret", lambda: rng.choice(("key", "Key", "token", "auth")) + rng.choice((": ", " : ")), lambda: word(6, 12), lambda: " ", False), (2, "secret", lambda: rng.choice(("the password is ", "a secret is ", "the token is ", "my password is ")), lambda: word(6, 12), lambda: rng.choice((" ", ".")), False), (1, "secret", lambda: word() + " ", lambda: word(18, 30) + pick(digit, 1), lambda: " ", False),
+        (2, "email", lambda: rng.choice(("", "contact ", "mail ")), lambda: f"{word()}.{word()} [at] {word()} [dot] com", lambda: "", True), (1, "email", lambda: " ", lambda: f"{word()}(at){word()}.{rng.choice(('com', 'org', 'net'))}", lambda: "", True), (2, "email", lambda: cue("email") + said(), lambda: f"{word()} at {word()} dot com", lambda: "", True),
+        (2, "email", lambda: word() + " ", lambda: f"{word()} at {word()}.{word(2, 6)}", lambda: " ", False), (2, "email", lambda: word() + " ", lambda: f"{word()} at {word()}.{word().title()}", lambda: " ", False),
+        (2, "phone", lambda: cue("phone") + rng.choice((": ", " ", ". ")), lambda: f"({pick(digit, 3)}) {pick(digit, 3)}-{pick(digit, 4)}", lambda: "", True), (2, "phone", lambda: cue("phone") + rng.choice((": ", " ")), lambda: f"{pick(digit, 3)}-{pick(digit, 3)}-{pick(digit, 4)}", lambda: "", True), (2, "phone", lambda: word() + " ", lambda: f"{pick(digit, 3)} {pick(digit, 3)} {pick(digit, 3)}", lambda: " ", False),
+        (1, "phone", lambda: word() + " ", lambda: f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: " ", False), (1, "phone", lambda: word() + " ", lambda: " ".join(pick(digit, 4) for _ in range(4)), lambda: " ", False), (1, "phone", lambda: word() + " ", lambda: ".".join(pick(digit, rng.randint(2, 3)) for _ in range(4)), lambda: " ", False),
+        (2, "account", lambda: rng.choice(("IBAN ", "account ", "", word() + " ")), lambda: account(True), lambda: "", True), (2, "account", lambda: word() + " ", lambda: account(False), lambda: "", False),
+        (2, "social", lambda: cue("social") + rng.choice((" ", ": ")), lambda: f"{pick(digit, 3)}-{pick(digit, 2)}-{pick(digit, 4)}", lambda: "", True), (2, "social", lambda: word() + " ", lambda: f"{pick(digit, 3)}-{pick(digit, 2)}-{pick(digit, 4)}", lambda: "", False),
+    )
+    for _, kind, before, span, after, personal in rng.choices(made, weights=[m[0] for m in made], k=n):
+        lead, held = page() if before is None else (before(), span())
+        head = joined(" ", 1, 6) * (rng.random() < 0.8) + rng.choice((" ", ". ", "\n"))
+        text = head + lead + held + after() + " " + word() + " " + word()
+        start = len(head) + len(lead)
+        out.append((text, kind, start, start + len(held), personal))
     return out
 
 
@@ -231,20 +264,26 @@ def all_spans(texts: list[str], trees: Boosted, limits: dict[str, float]) -> lis
     added: list[list] = [[] for _ in texts]
     if found:
         chances = trees.chance(np.array([describe(texts[i], *c) for i, c in found]))
-        taken = [[(a, b) for _, a, b in spans] for spans in based]
-        exact, whole = [set(spans) for spans in taken], set()
+        whole: set = set()
         likely = [(float(p), i, c) for p, (i, c) in zip(chances, found) if p >= limits[c[0]]]
         reach: dict[int, int] = {}
         for _, i, (kind, a, b) in sorted(likely, key=lambda x: (x[1], x[2][1], -x[2][2])):
             if kind == "secret" and b > reach.get(i, 0):
                 reach[i] = b
                 whole.add((i, a, b))
-        for p, i, (kind, a, b) in sorted(likely, key=lambda x: (-x[0], x[1], x[2])):
+        held: dict[int, tuple[bytearray, bytearray]] = {}  # a byte a character: in a base span (1) or an added one (2); and whether a base span goes on across its start
+        for _, i, (kind, a, b) in sorted(likely, key=lambda x: (-x[0], x[1], x[2])):
             if kind == "secret" and (i, a, b) not in whole:
                 continue
-            held = [(s, e) for s, e in taken[i] if s < b and a < e]
-            if not held or kind == "secret" and all((s, e) in exact[i] and a <= s and e <= b for s, e in held) and b - a - sum(e - s for s, e in held) >= BARE:
-                taken[i].append((a, b))
+            if i not in held:
+                taken, across = held[i] = bytearray(len(texts[i])), bytearray(len(texts[i]) + 1)
+                for _, x, y in based[i]:
+                    taken[x:y] = b"\1" * (y - x)
+                    across[x + 1 : y] = b"\1" * (y - x - 1)
+            taken, across = held[i]
+            free = taken.count(0, a, b)
+            if free == b - a or kind == "secret" and free >= BARE and not across[a] and not across[b] and taken.find(2, a, b) < 0:
+                taken[a:b] = b"\2" * (b - a)
                 added[i].append((kind, a, b))
     return list(zip(based, added))
 
