@@ -22,6 +22,8 @@ from .common import cut, map_rows, read, texts_of, tune, width
 from .tokens import word_encoder
 
 CAPACITY, VOCABULARY, SEPARATOR = 4096, "word_bpe_49k.json", 1
+#: Pieces that a cut of the most common length has at most, about.
+CUT_ROWS = 200_000
 
 
 class CapacityTree:
@@ -116,14 +118,17 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, separator: int = SEPARATOR, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents with sequence_id and offset.
 
-    Null and empty texts are the separator alone. Ties of length go by a hash of the document, then doc_id and
-    piece; repeated rows are packed one by one. Other columns of docs are left out. An empty table gives none.
+    Null and empty texts are the separator alone; texts of any length are encoded whole and cut at the capacity. Ties of
+    length go by a hash of the document, then doc_id and piece; repeated rows are packed one by one. Other columns of
+    docs, whatever their names, are left out. An empty table gives none.
     """
     spark = docs.sparkSession
     tune(spark)
-    cuts = max(width(spark), 16)
-    made = cut(pieces(docs, vocabulary, capacity, separator, with_ids).withColumn("_cut", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start"), F.lit(cuts)).cast("int")))
-    # how many pieces of each length each cut has: at most cuts * capacity small rows, of which the driver sees capacity sums
+    made = cut(pieces(docs, vocabulary, capacity, separator, with_ids))
+    # cuts of the pieces of one length, each numbered in one task: as many as keep a cut small however common its length is
+    cuts = max(width(spark), 16, made.count() // CUT_ROWS)
+    made = made.withColumn("_cut", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start"), F.lit(cuts)).cast("int"))
+    # how many pieces of each length each cut has: small rows, of which the driver sees capacity sums
     held = made.groupBy("length", "_cut").agg(F.count("*").alias("n"))
     histogram = {r[0]: r[1] for r in held.groupBy("length").agg(F.sum("n")).collect()}
     runs = plan(histogram, capacity)
