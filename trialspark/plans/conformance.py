@@ -105,6 +105,9 @@ def statements(q: Dialect) -> dict[str, str]:
         "protocols": f"""SELECT CAST(o_orderkey AS BIGINT) AS version, CASE WHEN o_orderkey % 2 = 0 THEN 18 END AS age_min, CASE WHEN o_orderkey % 3 = 0 THEN 7.0 END AS hba1c_min, CASE WHEN o_orderkey % 5 = 0 THEN 2.5 END AS hepatic_multiple, CASE WHEN o_orderkey % 7 <> 0 THEN 3.0 END AS transaminase_multiple,
   CASE WHEN o_orderkey % 11 <> 0 THEN 2.0 END AS bilirubin_multiple, CASE WHEN o_orderkey % 13 <> 0 THEN 14 END AS hys_days, CASE WHEN o_orderkey % 17 <> 0 THEN 3 + o_orderkey % 2 END AS visit_window_days, CASE WHEN o_orderkey % 19 <> 0 THEN 'BASELINE=0' END AS visit_schedule,
   CASE WHEN o_orderkey % 23 <> 0 THEN 'DRUG=10' END AS expected_dose, CASE WHEN o_orderkey % 29 <> 0 THEN 'Sulfonylurea' END AS prohibited FROM (SELECT DISTINCT o_orderkey FROM orders) t""",
+        "protocol_docs": f"""SELECT 'protocol_' || {q.s('o_orderkey')} AS name, CASE WHEN o_orderkey % 9 = 0 THEN 'First paragraph.' || chr(10) || 'Its second line.' || chr(10) || chr(10) || 'Another, window of 4 days.' ELSE
+  'Preface.' || chr(10) || '# 1. Eligibility' || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN '- Age ' || {q.s('16 + o_orderkey % 7')} || ' years or more' || chr(10) ELSE '' END || chr(10) || '## 2) Visits' || chr(10) || CASE WHEN o_orderkey % 5 <> 0 THEN 'Visit window: plus or minus ' || {q.s('2 + o_orderkey % 4')} || ' days.' ELSE 'As planned.' END
+  || chr(10) || '## Prohibited medication' || chr(10) || '- ' || CASE WHEN o_orderkey % 3 = 0 THEN 'Sulfonylurea' ELSE 'Systemic Glucocorticoid' END || chr(10) || '### Notes' || chr(10) || 'None.' || chr(10) || '### Notes' || chr(10) || 'Bilirubin > 2 x ULN within ' || {q.s('7 + o_orderkey % 9')} || ' days.' END AS text FROM (SELECT DISTINCT o_orderkey FROM orders) t""",
         "mh": "SELECT usubjid, site, CAST(1 AS BIGINT) AS seq, CASE c_mktsegment WHEN 'FURNITURE' THEN 'Intrahepatic cholestasis' WHEN 'BUILDING' THEN 'Pregnancy' ELSE 'Hypertension' END AS term FROM subjects",
         "schedule": "SELECT * FROM (VALUES ('SCREENING', -14), ('BASELINE', 0), ('WEEK2', 14), ('WEEK4', 28), ('WEEK8', 56), ('WEEK12', 84)) AS t(visit, day)",
     }

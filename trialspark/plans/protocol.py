@@ -10,6 +10,8 @@ import re
 from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from ..operators.rules import Rules
 
@@ -119,6 +121,57 @@ def parse_protocol(text: str) -> Rules:
     )
 
 
+def section_table(documents: DataFrame) -> DataFrame:
+    """(name, section, title, n_lines, text) of all documents (name, text) at once, as sections() has them of one.
+
+    Lines are exploded with the running number of headings before them; numbered headings are their own keys, others
+    slugs, and a key that comes again gets -2, -3. A document without headings has its paragraphs as sections p1, p2.
+    Lines before the first heading belong to no section.
+    """
+    lines = documents.select("name", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("at", "line"))
+    head = r"^#{1,6}\s+(?:(\d+(?:\.\d+)*)[.)]?\s+)?(.+?)\s*$"
+    lines = lines.withColumn("_h", F.col("line").rlike(head))
+    per = W.partitionBy("name")
+    lines = lines.withColumn("_any", F.max("_h").over(per)).withColumn("_blank", F.trim("line") == "")
+    order = per.orderBy("at")
+    begins = F.when(F.col("_any"), F.col("_h")).otherwise(~F.col("_blank") & F.coalesce(F.lag("_blank").over(order), F.lit(True)))
+    lines = lines.withColumn("_n", F.sum(begins.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))).where("_n > 0")
+    held = F.sort_array(F.collect_list(F.when(~F.col("_h"), F.struct("at", "line"))))
+    parts = lines.groupBy("name", "_n", "_any").agg(F.max(F.when(F.col("_h"), F.col("line"))).alias("_head"), held.alias("_l"), F.count_if(~F.col("_h") & ~F.col("_blank")).alias("n_lines"))
+    number, title = F.regexp_extract("_head", head, 1), F.regexp_extract("_head", head, 2)
+    key = F.when(~F.col("_any"), F.concat(F.lit("p"), F.col("_n").cast("string"))).when(number != "", number).otherwise(F.btrim(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), F.lit("-")))
+    parts = parts.select("name", "_n", key.alias("_key"), F.when(F.col("_any"), title).otherwise("").alias("title"), "n_lines", F.btrim(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), F.lit(" \t\n")).alias("text"))
+    again = F.row_number().over(W.partitionBy("name", "_key").orderBy("_n"))
+    return parts.withColumn("_again", again).select("name", F.when(F.col("_again") > 1, F.concat("_key", F.lit("-"), F.col("_again").cast("string"))).otherwise(F.col("_key")).alias("section"), "title", "n_lines", "text")
+
+
+#: What a section says if it states the parameter of a rule: words that its sentence holds, and how the value stands in it.
+STATED = (
+    ("VISIT_WINDOW_DEVIATION", "visit_window_days", r"(?i)window[^.\n]*?(\d+) days?"), ("ELIGIBILITY_VIOLATION", "age_min", r"(?i)\bage (\d+)"), 
+    ("HYS_LAW_CANDIDATE", "hys_days", r"(?i)bilirubin[^.\n]*? within (\d+) days?"), ("DOSING_ERROR", "expected_dose", r"(?i)dose other than (\d+(?:\.\d+)?) ?mg"), ("SERIOUS_AE", "sae_hosp_rule", r"(AESHOSP) ?="),
+)
+
+
+#: Under a heading that names prohibited medication, the first item.
+PROHIBITED_ITEM = r"\A- ([^\n]+)"
+
+
+def references(parts: DataFrame) -> DataFrame:
+    """(name, code, parameter, value, section): which section of a document states the parameter of a rule, and what it says; the first section by key, if more do."""
+    struct = lambda code, name, value: F.struct(F.lit(code).alias("code"), F.lit(name).alias("parameter"), F.nullif(value, F.lit("")).alias("value"))
+    prohibited = F.when(F.lower("title").contains("prohibited"), F.regexp_extract("text", PROHIBITED_ITEM, 1))
+    told = F.array(*[struct(code, name, F.regexp_extract("text", pattern, 1)) for code, name, pattern in STATED], struct("PROHIBITED_MEDICATION", "prohibited", prohibited))
+    each = parts.select("name", "section", F.explode(told).alias("_t")).select("name", "section", "_t.*").where("value is not null")
+    return each.groupBy("name", "code", "parameter").agg(F.min_by("value", "section").alias("value"), F.min("section").alias("section"))
+
+
+def with_references(findings: DataFrame, refs: DataFrame, name) -> DataFrame:
+    """findings with doc_ref (name#section) of the document (a Column) that governs them, null where it states nothing; the documents' sections are few rows."""
+    r = refs.groupBy("name", "code").agg(F.min("section").alias("_s")).withColumnsRenamed({"name": "_name", "code": "_code"})
+    out = findings.withColumn("_doc", name)
+    return out.join(r, (F.col("_doc") == F.col("_name")) & (F.col("code") == F.col("_code")), "left").withColumn("doc_ref", F.concat(F.col("_name"), F.lit("#"), F.col("_s"))).drop("_doc", "_name", "_code", "_s")
+
+
 #: Words that ask for parameters.
 SPOKEN = (
     (r"visit window", ("visit_window_days",)), (r"schedule", ("visit_schedule",)), (r"\bage\b", ("age_min", "age_max")), (r"hba1c", ("hba1c_min", "hba1c_max")), (r"creatinine", ("creatinine_max", "creatinine_unit")), (r"prohibited", ("prohibited",)),

@@ -104,6 +104,18 @@ class Study:
             ctx["documents"] = self.documents
         return ctx
 
+    def findings(self, cache: str, signature: str) -> DataFrame:
+        """The findings at the study's cut and version, kept under the signature of its files (sources.signature): computed once until a file changes.
+
+        What other signatures left there is removed.
+        """
+        spark = self.corrections.sparkSession
+        path = f"{cache}/{signature}/cut={self.cut}/version={self.version}"
+        if not source.exists(spark, path):
+            source.keep_only(spark, cache, signature)
+            self.ctx["findings"].write.mode("overwrite").parquet(path)
+        return spark.read.schema(R.FINDING).parquet(path)
+
     def advance(self, cut: int, state: str, version: int | None = None) -> DataFrame:
         """The findings at the cut, from those kept of the cut before if there are any, else derived whole; kept for the next.
 

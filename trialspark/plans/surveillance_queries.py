@@ -14,7 +14,8 @@ from ..operators import ledger as S
 from ..operators import review as P
 from ..operators import rules as R
 from ..sources import study as source
-from .queries import ALL_FINDINGS, CUT, LABS, NOTES, PERSONS, RULES, SAE, STD, context, day, labs, notes, token, visit
+from . import protocol
+from .queries import ALL_FINDINGS, CUT, LABS, NOTES, PERSONS, PROHIBITED, RULES, SAE, STD, VISITS, context, day, labs, notes, token, visit
 from .registry import keep, query
 
 SEEN = "seen AS (SELECT s.subcode || '|' || s.usubjid || '|' || s.seq AS fingerprint, s.usubjid, s.seq, a.cut_available + r.range AS cut FROM sae s JOIN ae a ON a.usubjid = s.usubjid AND a.seq = s.seq JOIN range(0, 4) r ON a.cut_available + r.range <= 10)"
@@ -385,3 +386,52 @@ def q1(s):
         one = one.select(F.lit(question).alias("question"), F.lit(bool(router.unused(intent))).alias("ambiguous"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+#: The sections of the projection's documents, written out from how they are made.
+MADE = """made AS (SELECT CAST(replace(name, 'protocol_', '') AS BIGINT) AS k, name FROM protocol_docs),
+parts AS (
+  SELECT name, 'p1' AS section, '' AS title, 2 AS n_lines, 'First paragraph.' || chr(10) || 'Its second line.' AS text FROM made WHERE k % 9 = 0 UNION ALL SELECT name, 'p2', '', 1, 'Another, window of 4 days.' FROM made WHERE k % 9 = 0
+  UNION ALL SELECT name, '1', 'Eligibility', CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END, CASE WHEN k % 2 = 0 THEN '- Age ' || (16 + k % 7) || ' years or more' ELSE '' END FROM made WHERE k % 9 <> 0
+  UNION ALL SELECT name, '2', 'Visits', 1, CASE WHEN k % 5 <> 0 THEN 'Visit window: plus or minus ' || (2 + k % 4) || ' days.' ELSE 'As planned.' END FROM made WHERE k % 9 <> 0
+  UNION ALL SELECT name, 'prohibited-medication', 'Prohibited medication', 1, '- ' || CASE WHEN k % 3 = 0 THEN 'Sulfonylurea' ELSE 'Systemic Glucocorticoid' END FROM made WHERE k % 9 <> 0
+  UNION ALL SELECT name, 'notes', 'Notes', 1, 'None.' FROM made WHERE k % 9 <> 0 UNION ALL SELECT name, 'notes-2', 'Notes', 1, 'Bilirubin > 2 x ULN within ' || (7 + k % 9) || ' days.' FROM made WHERE k % 9 <> 0),
+refs AS (
+  SELECT name, 'ELIGIBILITY_VIOLATION' AS code, 'age_min' AS parameter, CAST(16 + k % 7 AS VARCHAR) AS value, '1' AS section FROM made WHERE k % 9 <> 0 AND k % 2 = 0
+  UNION ALL SELECT name, 'VISIT_WINDOW_DEVIATION', 'visit_window_days', CASE WHEN k % 9 = 0 THEN '4' ELSE CAST(2 + k % 4 AS VARCHAR) END, CASE WHEN k % 9 = 0 THEN 'p2' ELSE '2' END FROM made WHERE k % 9 = 0 OR k % 5 <> 0
+  UNION ALL SELECT name, 'PROHIBITED_MEDICATION', 'prohibited', CASE WHEN k % 3 = 0 THEN 'Sulfonylurea' ELSE 'Systemic Glucocorticoid' END, 'prohibited-medication' FROM made WHERE k % 9 <> 0
+  UNION ALL SELECT name, 'HYS_LAW_CANDIDATE', 'hys_days', CAST(7 + k % 9 AS VARCHAR), 'notes-2' FROM made WHERE k % 9 <> 0)"""
+
+
+@query("fn19_sections", "SELECT name, section, title, n_lines::BIGINT AS n_lines, text FROM parts", MADE)
+def fn19(s):
+    """The sections of all protocol documents at once."""
+    return protocol.section_table(s["protocol_docs"])
+
+
+@query("fn21_references", "SELECT name, code, parameter, value, section FROM refs", MADE)
+def fn21(s):
+    """Which section states which rule's parameter."""
+    return protocol.references(protocol.section_table(s["protocol_docs"]))
+
+
+@query("ev1_finding_refs", "SELECT h.usubjid, h.seq, h.name || '#' || r.section AS doc_ref FROM (SELECT h.usubjid, h.seq, 'protocol_' || l.row_no AS name FROM hits h JOIN (SELECT usubjid, max(row_no) AS row_no FROM ds GROUP BY 1) l ON l.usubjid = h.usubjid WHERE matched IS NOT NULL) h LEFT JOIN refs r ON r.name = h.name AND r.code = 'PROHIBITED_MEDICATION'", PROHIBITED, MADE)
+def ev1_finding_refs(s):
+    """Findings with the section that states their rule, in the document of the subject's last order."""
+    found = R.run_rule(s, "PROHIBITED_MEDICATION", RULES).join(s["ds"].groupBy("usubjid").agg(F.max("row_no").alias("_o")), "usubjid")
+    refs = protocol.references(protocol.section_table(s["protocol_docs"]))
+    return protocol.with_references(found, refs, F.concat(F.lit("protocol_"), F.col("_o").cast("string"))).select("usubjid", "seq", "doc_ref")
+
+
+@query("gr5_many", """SELECT d.usubjid, true AS found, (SELECT string_agg(a.seq || ':' || a.term || '/' || a.sev, ';' ORDER BY a.seq) FROM ae a WHERE a.usubjid = d.usubjid) AS adverse_events, (SELECT string_agg(c.seq || ':' || c.trt, ';' ORDER BY c.seq) FROM cm c WHERE c.usubjid = d.usubjid) AS conmeds,
+  (SELECT string_agg(l.seq || ':' || l.orres, ';' ORDER BY l.seq) FROM lb l WHERE l.usubjid = d.usubjid) AS labs, (SELECT string_agg(x.v, ';' ORDER BY x.v) FROM (SELECT DISTINCT v.visit AS v FROM visits v WHERE v.usubjid = d.usubjid) x) AS visits, (SELECT string_agg(s.seq || ':' || s.subcode, ';' ORDER BY s.seq) FROM sae s WHERE s.usubjid = d.usubjid) AS findings
+  FROM dm d UNION ALL SELECT '999-S99-999', false, NULL, NULL, NULL, NULL, NULL""", VISITS, SAE)
+def gr5_many(s):
+    """Sections of all subjects, and of one that nobody knows, by their contents."""
+    ctx = s | {"persons": I.persons(s["dm"]), "visits": G.visits_of({"LB": (s["lb"], "dtc"), "VS": (s["vs"], "dtc"), "EG": (s["eg"], "dtc"), "EX": (s["ex"], "stdtc")}), "findings": R.run_rule(s, "SERIOUS_AE", RULES)}
+    asked = s["dm"].select("usubjid").unionByName(s["lb"].sparkSession.createDataFrame([("999-S99-999",)], "usubjid string"))
+    out = G.patients(ctx, asked)
+    field = lambda x, name: F.get_json_object(x["record"], f"$.{name}")
+    told = lambda section, *names: F.nullif(F.array_join(F.transform(f"sections.{section}", lambda x: F.concat(x["seq"].cast("string"), F.lit(":"), F.concat_ws("/", *[field(x, n) for n in names]))), ";"), F.lit(""))
+    visits = F.nullif(F.array_join(F.sort_array(F.transform("sections.visits", lambda x: field(x, "visit"))), ";"), F.lit(""))
+    return out.select("usubjid", "found", told("adverse_events", "term", "sev").alias("adverse_events"), told("conmeds", "trt").alias("conmeds"), told("labs", "orres").alias("labs"), visits.alias("visits"), told("findings", "subcode").alias("findings"))

@@ -5,6 +5,7 @@ Everything is read as text, through Hadoop file systems, so a study may lie in a
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import uuid
 
@@ -36,25 +37,41 @@ def discover(spark: SparkSession, study: str) -> dict[str, str]:
     return {stem(p): p for p, *_ in _listing(spark, f"{study}/data") if p.lower().endswith(".csv") and stem(p).isupper() and stem(p).lower() not in SIDE_TABLES}
 
 
+ROW = (1 << 33) - 1  # the bits of a row's number within its task, in monotonically_increasing_id
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A file's rows as text with row_no (from 2, blank rows not counted) and malformed.
 
-    A byte-order mark and blanks around headers go; short rows are padded and long ones cut, and both are marked
-    malformed; blank rows are skipped; nulls become the empty text. An empty file gives no columns but these.
+    A byte-order mark and blanks around headers go; headers may be quoted; short rows are padded and long ones cut, and
+    both are marked malformed; blank rows are skipped; nulls become the empty text. An empty file gives no columns but
+    these. A file is read by as many tasks as it has splits: a row's number is its number within its split, after the
+    rows of the splits before, which a first pass counts. Only a file with line breaks within quotes is read by one task.
     """
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    header = [h.strip().strip('"') for h in first[0][0].lstrip("﻿").split(",")] if first else []
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_line"))
+    first = raw.where(F.trim(F.replace("value", F.lit("\ufeff"), F.lit(""))) != "").select("value", "_line").limit(1).collect()
+    header = [h.strip() for h in next(csv.reader([first[0].value.lstrip("\ufeff")], skipinitialspace=True))] if first else []
     header = [h or f"column_{i}" for i, h in enumerate(header)]
-    schema = ", ".join(f"`{h}` string" for h in header)
-    reader = spark.read.schema(", ".join(filter(None, [schema, "_malformed string"]))).option("header", True).option("enforceSchema", True)
-    rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_malformed").option("multiLine", True).option("escape", '"').option("emptyValue", "").csv(path)
+    if not header:
+        return spark.createDataFrame([], "row_no bigint, malformed boolean")
+    schema = ", ".join(f"`{h}` string" for h in header) + ", _malformed string"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed", "escape": '"', "emptyValue": ""}
+    whole = raw.where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).limit(1).count() == 0
+    if whole:
+        rows = raw.where(F.col("_line") != first[0]["_line"]).select("_at", F.from_csv("value", F.lit(schema), options).alias("_r")).select("_at", "_r.*")
+    else:
+        rows = spark.read.schema(schema).options(**options, header=True, enforceSchema=True, multiLine=True).csv(path).withColumn("_at", F.lit(0))
     blank = F.lit(True)
     for h in header:
         blank = blank & (F.coalesce(F.trim(F.col(f"`{h}`")), F.lit("")) == "")
-    kept = rows.where(~blank) if header else rows.limit(0)
-    # one file is one task here (multiLine), so its row order is the id's order
-    order = F.row_number().over(W.orderBy(F.monotonically_increasing_id())) + 1
-    return kept.select(*[F.coalesce(N.strip(F.col(f"`{h}`")), F.lit("")).alias(h) for h in header], order.cast("bigint").alias("row_no"), F.col("_malformed").isNotNull().alias("malformed"))
+    kept = rows.where(~blank).withColumn("_id", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_id", 33))
+    sums, before = [], 0
+    for r in sorted(kept.groupBy("_task").agg(F.min("_at").alias("at"), F.count("*").alias("n")).collect(), key=lambda r: (r.at, r["_task"])):  # a row a split
+        sums.append((r["_task"], before))
+        before += r.n
+    kept = kept.join(F.broadcast(spark.createDataFrame(sums, "_task bigint, _before bigint")), "_task")
+    number = F.col("_before") + F.col("_id").bitwiseAND(F.lit(ROW)) + 2
+    return kept.select(*[F.coalesce(N.strip(F.col(f"`{h}`")), F.lit("")).alias(h) for h in header], number.cast("bigint").alias("row_no"), F.col("_malformed").isNotNull().alias("malformed"))
 
 
 def load_domain(spark: SparkSession, domain: str, path: str) -> tuple[DataFrame, DataFrame]:
@@ -147,6 +164,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(conf).exists(where)
 
 
+def keep_only(spark: SparkSession, path: str, name: str) -> None:
+    """Remove what lies in a folder but for one name."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(conf)
+    if fs.exists(where):
+        for s in fs.listStatus(where):
+            if s.getPath().getName() != name:
+                fs.delete(s.getPath(), True)
+
+
 def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
