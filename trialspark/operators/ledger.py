@@ -85,6 +85,14 @@ def affected_rules(changed: DataFrame) -> DataFrame:
     return hit.unionByName(default.join(hit.agg(F.count("*").alias("_n")).where("_n = 0")).select("code"))
 
 
+def affected_by(changed: DataFrame, versions: DataFrame) -> DataFrame:
+    """(version, code): affected_rules of many versions at once, from (version, field); a version without a known change has the default set."""
+    known = F.create_map(*[x for f, codes in DEPENDS.items() for x in (F.lit(f), F.array(*map(F.lit, codes)))])
+    hit = changed.select("version", F.explode(F.try_element_at(known, F.col("field"))).alias("code")).distinct()
+    rest = versions.select("version").distinct().join(hit, "version", "left_anti")
+    return hit.unionByName(rest.select("version", F.explode(F.array(*map(F.lit, DEFAULT_AFFECTED))).alias("code")))
+
+
 def human_state(escalations: DataFrame, answers: DataFrame, cut: int, delay: int | None = 1, limit: int = 4) -> DataFrame:
     """(fingerprint, raised, state): an answer counts from `delay` cuts after raising (None: never); unanswered after `limit` cuts, standing limits hold."""
     out = escalations.groupBy("fingerprint").agg(F.min("cut").alias("raised")).where(F.col("raised") <= cut).join(answers.select("fingerprint", "decision").dropDuplicates(["fingerprint"]), "fingerprint", "left")
@@ -123,6 +131,13 @@ def budget_tier(spent_ms: float, total_ms: float = 120_000.0, reduced: float = 0
     return "FULL" if share < reduced else "REDUCED" if share < essential else "ESSENTIAL"
 
 
+def budget(cuts: DataFrame, total_ms: float = 120_000.0, reduced: float = 0.6, essential: float = 0.8) -> DataFrame:
+    """(cut, ms, spent, tier): each cut's tier by what was spent before it; the window is over one row a cut."""
+    spent = F.coalesce(F.sum("ms").over(W.orderBy("cut").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    tier = F.when(F.col("spent") < reduced * total_ms, "FULL").when(F.col("spent") < essential * total_ms, "REDUCED").otherwise("ESSENTIAL")
+    return cuts.withColumn("spent", spent).withColumn("tier", tier)
+
+
 def explanation_deviates(explained: DataFrame, traced: DataFrame) -> DataFrame:
     """Decisions (decision_id, refs) whose explanation cites what the trace doesn't: (decision_id, extra)."""
     both = explained.join(traced.select("decision_id", F.col("refs").alias("_t")), "decision_id", "left")

@@ -192,3 +192,10 @@ def diff(spark: SparkSession, old: Rules, new: Rules) -> DataFrame:
     """(field, old, new) of the parameters that differ."""
     rows = [(f.name, told(getattr(old, f.name)), told(getattr(new, f.name))) for f in fields(Rules)]
     return spark.createDataFrame([r for r in rows if r[1] != r[2]], "field string, old string, new string")
+
+
+def changes(parameters: DataFrame, against: Rules) -> DataFrame:
+    """(version, field, old, new) of the parameters, a column each, that differ from these rules; both as text."""
+    names = [f.name for f in fields(Rules) if f.name in parameters.columns]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.lit(told(getattr(against, n))).cast("string").alias("old"), F.col(n).cast("string").alias("new")) for n in names]))
+    return parameters.select("version", each.alias("_c")).select("version", "_c.*").where(~F.col("old").eqNullSafe(F.col("new")))

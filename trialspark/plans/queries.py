@@ -5,6 +5,7 @@ The SQL is written apart from the operators, for another engine: it shares the p
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import normalise as N
@@ -130,9 +131,9 @@ def fn3(s):
     return s["lb"].groupBy("usubjid", N.is_missing(F.col("orres")).alias("orres_missing")).agg(F.count("*").alias("n"))
 
 
-@query("fn4_to_int", "SELECT usubjid, TRY_CAST(age AS BIGINT) AS age, CASE WHEN scr_hba1c <> '' THEN CAST(floor(CAST(scr_hba1c AS DOUBLE)) AS BIGINT) END AS hba1c, CAST(NULL AS BIGINT) AS half FROM dm")
+@query("fn4_to_int", "SELECT usubjid, TRY_CAST(age AS BIGINT) AS age, CASE WHEN scr_hba1c <> '' THEN CAST(floor(CAST(scr_hba1c AS DOUBLE)) AS BIGINT) END AS hba1c, CASE WHEN row_no % 2 = 0 THEN CAST(row_no % 7 AS BIGINT) END AS half FROM dm")
 def fn4(s):
-    return s["dm"].select("usubjid", N.to_int(F.col("age")).alias("age"), N.to_int(F.replace("scr_hba1c", F.lit(".5"), F.lit(".0"))).alias("hba1c"), N.to_int(F.col("scr_hba1c")).alias("half"))
+    return s["dm"].select("usubjid", N.to_int(F.col("age")).alias("age"), N.to_int(F.replace("scr_hba1c", F.lit(".5"), F.lit(".0"))).alias("hba1c"), N.to_int(F.concat((F.col("row_no") % 7).cast("string"), F.when(F.col("row_no") % 2 == 0, ".0").otherwise(".5"))).alias("half"))
 
 
 @query("fn5_upper", "SELECT usubjid, seq, upper(visit) AS visit FROM lb")
@@ -242,10 +243,11 @@ def cut3_pending(s):
     return C.pending(s["corrections"], CUT).groupBy("cut").agg(F.count("*").alias("n"))
 
 
-@query("cut4_version_asof", "SELECT a.at, coalesce((SELECT arg_max(version, cut) FROM cuts WHERE cut <= a.at OR a.at IS NULL), (SELECT arg_min(version, cut) FROM cuts)) AS version FROM (SELECT CAST(range AS INT) AS at FROM range(0, 13) UNION ALL SELECT NULL) a")
+@query("cut4_version_asof", "SELECT usubjid, seq, a.at, coalesce((SELECT arg_max(version, cut) FROM cuts WHERE cut <= a.at OR a.at IS NULL), (SELECT arg_min(version, cut) FROM cuts)) AS version FROM (SELECT usubjid, seq, CASE WHEN seq % 13 = 0 THEN NULL WHEN seq % 11 = 0 THEN 0 ELSE cut_available END AS at FROM lb) a")
 def cut4(s):
-    spark = s["lb"].sparkSession
-    return C.version_as_of(spark.createDataFrame([(i,) for i in [*range(13), None]], "at int"), s["cuts"])
+    """The version in force when each result arrived; some are asked for before the first cut, some for the last."""
+    at = F.when(F.col("seq") % 13 == 0, None).when(F.col("seq") % 11 == 0, 0).otherwise(F.col("cut_available"))
+    return C.version_as_of(s["lb"].select("usubjid", "seq", at.alias("at")), s["cuts"]).select("usubjid", "seq", "at", "version")
 
 
 @query("cut7_delta", f"SELECT l.site, CAST(count(*) AS BIGINT) AS n_new, min(f.m) = {CUT} AS is_new_site FROM lb l JOIN (SELECT site, min(cut_available) AS m FROM lb GROUP BY 1) f ON f.site = l.site WHERE l.cut_available = {CUT} GROUP BY 1")
@@ -384,18 +386,23 @@ def ag1(s):
     return K.collapse(K.count_subjects(ctx, sex="Female", arm="drug", age=(20, 60), status="discontinued", reason="adverse event", serious=True))
 
 
-@query("ag1_more_filters", f"""SELECT 'severity' AS what, count(DISTINCT p.person_id)::BIGINT AS n FROM persons p WHERE usubjid IN (SELECT usubjid FROM ae WHERE sev = 'SEVERE' AND term = 'Nausea' AND ser = 'Y') UNION ALL SELECT 'country', count(DISTINCT p.person_id) FROM persons p JOIN dm d ON d.usubjid = p.usubjid WHERE d.country = (SELECT min(country) FROM dm)
-  UNION ALL SELECT 'cm_class', count(DISTINCT person_id) FROM persons WHERE usubjid IN (SELECT usubjid FROM cm WHERE list_contains(string_split({token('cls')}, '_'), 'GLUCOCORTICOID')) UNION ALL SELECT 'prohibited', count(DISTINCT person_id) FROM persons WHERE usubjid IN (SELECT usubjid FROM hits WHERE matched IS NOT NULL)
-  UNION ALL SELECT 'subcode', count(DISTINCT person_id) FROM persons WHERE usubjid IN (SELECT usubjid FROM sae WHERE subcode = 'SAE_MISCODED') UNION ALL SELECT 'visit', count(DISTINCT person_id) FROM persons WHERE usubjid IN (SELECT usubjid FROM visits WHERE visit = 'WEEK8')
-  UNION ALL SELECT 'test', count(DISTINCT person_id) FROM persons WHERE usubjid IN (SELECT usubjid FROM lb WHERE testcd = 'HBA1C') UNION ALL SELECT 'visit_test', count(DISTINCT person_id) FROM persons WHERE usubjid IN (SELECT usubjid FROM vs WHERE testcd = 'SYSBP' AND {visit('visit')} = 'WEEK8')""", PERSONS, PROHIBITED, SAE, VISITS)
+FILTERED = (
+    ("severity", "usubjid IN (SELECT usubjid FROM ae WHERE sev = 'SEVERE' AND term = 'Nausea' AND ser = 'Y')"), ("country", "usubjid IN (SELECT usubjid FROM dm WHERE country = (SELECT min(country) FROM dm))"),
+    ("cm_class", f"usubjid IN (SELECT usubjid FROM cm WHERE list_contains(string_split({token('cls')}, '_'), 'GLUCOCORTICOID'))"), ("prohibited", "usubjid IN (SELECT usubjid FROM hits WHERE matched IS NOT NULL)"), ("subcode", "usubjid IN (SELECT usubjid FROM sae WHERE subcode = 'SAE_MISCODED')"),
+    ("visit", "usubjid IN (SELECT usubjid FROM visits WHERE visit = 'WEEK8')"), ("test", "usubjid IN (SELECT usubjid FROM lb WHERE testcd = 'HBA1C')"), ("visit_test", f"usubjid IN (SELECT usubjid FROM vs WHERE testcd = 'SYSBP' AND {visit('visit')} = 'WEEK8')"),
+)
+
+
+@query("ag1_more_filters", " UNION ALL ".join(f"SELECT '{what}' AS what, usubjid, person_id FROM persons WHERE {where}" for what, where in FILTERED), PERSONS, PROHIBITED, SAE, VISITS)
 def ag1_more(s):
+    """The subjects that meet each of eight filters."""
     findings = R.serious_ae(s["ae"]).select("usubjid", F.lit("SERIOUS_AE").alias("code"), "subcode")
     ctx = s | {"persons": I.persons(s["dm"]), "visits": visits(s), "findings": findings}
     first = s["dm"].agg(F.min("country")).first()[0]
     asked = {"severity": {"severity": "severe", "term": "nausea", "serious": True}, "country": {"country": first}, "cm_class": {"cm_class": "Glucocorticoid"}, "prohibited": {"prohibited": True}, "subcode": {"finding": "SERIOUS_AE", "subcode": "SAE_MISCODED"}, "visit": {"visit": "WEEK8"}, "test": {"test": "hba1c"}, "visit_test": {"visit": "WEEK8", "test": "SYSBP"}}
     out = None
     for what, filters in asked.items():
-        one = K.collapse(K.count_subjects(ctx, **filters)).select(F.lit(what).alias("what"), F.col("n_persons").alias("n"))
+        one = K.count_subjects(ctx, **filters).select(F.lit(what).alias("what"), "usubjid", "person_id")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -464,13 +471,13 @@ RELATED = {"medication": ("cm", "upper(trt) LIKE '%GLOVE%' OR upper(trt) LIKE '%
 RELATED["medication"] = ("cm", "upper(trt) LIKE '%1%'", "1")
 
 
-@query("gr4_entities", " UNION ALL ".join(f"SELECT '{e}' AS entity, count(DISTINCT usubjid)::BIGINT AS n, sum(q)::BIGINT AS seqs FROM (SELECT usubjid, min(seq) AS q FROM {t} WHERE {w} GROUP BY 1)" for e, (t, w, _) in RELATED.items()), SAE, VISITS)
+@query("gr4_entities", " UNION ALL ".join(f"SELECT '{e}' AS entity, usubjid, min(seq)::BIGINT AS seq FROM {t} WHERE {w} GROUP BY usubjid" for e, (t, w, _) in RELATED.items()), SAE, VISITS)
 def gr4_entities(s):
     """Subjects related by each of the eight kinds of entity, and their first records."""
     ctx = s | {"visits": visits(s), "findings": R.serious_ae(s["ae"]).withColumn("code", F.lit("SERIOUS_AE"))}
     out = None
     for entity, (_, _, value) in RELATED.items():
-        one = G.related_by(ctx, entity, value).agg(F.count("*").alias("n"), F.sum("seq").alias("seqs")).select(F.lit(entity).alias("entity"), "n", "seqs")
+        one = G.related_by(ctx, entity, value).select(F.lit(entity).alias("entity"), "usubjid", F.col("seq").cast("bigint").alias("seq"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -577,9 +584,11 @@ def wn4(s):
     return R.dose_gaps(s["ex"], s["ds"], RULES)
 
 
-@query("wn5_ordered_findings", "SELECT usubjid, code, count(*)::BIGINT AS n FROM findings GROUP BY 1, 2", *ALL_FINDINGS)
+@query("wn5_ordered_findings", "SELECT usubjid, row_number() OVER (PARTITION BY usubjid ORDER BY code, subcode, domain, seq NULLS FIRST)::INT AS place, code, subcode, domain, seq FROM findings", *ALL_FINDINGS)
 def wn5(s):
-    return context(s)["findings"].groupBy("usubjid", "code").agg(F.count("*").alias("n")).orderBy("usubjid", "code")
+    """Each subject's findings in order."""
+    place = F.row_number().over(W.partitionBy("usubjid").orderBy("code", "subcode", "domain", F.asc_nulls_first("seq")))
+    return context(s)["findings"].select("usubjid", place.alias("place"), "code", "subcode", "domain", "seq")
 
 
 @query("wn7_last_ds", "SELECT usubjid, decod, term, seq FROM last_ds", LAST)
@@ -617,14 +626,17 @@ def st2(s):
     return C.new_places({"LB": s["lb"], "VS": s["vs"], "AE": s["ae"]}, CUT)
 
 
-@query("st4_diff", "SELECT * FROM (VALUES ('creatinine_max', NULL, '1.5'), ('visit_window_days', '7', '3'), ('prohibited', 'Systemic Glucocorticoid', 'Sulfonylurea,Systemic Glucocorticoid')) t(field, old, new)")
-def st4(s):
-    from dataclasses import replace
+#: The default rules' parameters as text, and which versions' parameters differ from them.
+DEFAULTS = {"age_min": "18", "hba1c_min": "7.0", "hepatic_multiple": "2.5", "transaminase_multiple": "3.0", "bilirubin_multiple": "2.0", "hys_days": "14", "visit_window_days": "3", "visit_schedule": "BASELINE=0,SCREENING=-14,WEEK12=84,WEEK2=14,WEEK4=28,WEEK8=56", "expected_dose": "DRUG=10.0,PLACEBO=0.0", "prohibited": "Sulfonylurea,Systemic Glucocorticoid"}
+CHANGED = "changed AS (" + " UNION ALL ".join(f"SELECT version, '{f}' AS field, '{v}' AS old, CAST({f} AS VARCHAR) AS new FROM protocols WHERE CAST({f} AS VARCHAR) IS DISTINCT FROM '{v}'" for f, v in DEFAULTS.items()) + ")"
 
-    from .protocol import diff
 
-    old = replace(RULES, visit_window_days=7, creatinine_max=None, prohibited=("Systemic Glucocorticoid",))
-    return diff(s["lb"].sparkSession, old, RULES)
+@query("st4_diff", "SELECT version, field, old, new FROM changed", CHANGED)
+def st4(s):
+    """The parameters of every protocol version that differ from the default rules'."""
+    from .protocol import changes
+
+    return changes(s["protocols"], RULES)
 
 
 @query("st5_subset", f"SELECT cls, list_has_all(string_split({token('cls')}, '_'), ['GLUCOCORTICOID']) AS held FROM cm GROUP BY 1")
@@ -729,9 +741,9 @@ def ev2(s):
     return E.resolved(s["ae"].select("usubjid", "seq", F.concat(case, m(5)).alias("document"), asked.alias("section")), sections)
 
 
-@query("ev3_assemble", "SELECT finding, count(*) FILTER (WHERE domain <> 'DOC')::BIGINT AS n_records, length(array_to_string(list_distinct(list(concat_ws(':', domain, usubjid, seq))), ','))::INT AS refs_length FROM valid WHERE dropped IS NULL GROUP BY 1 HAVING count(*) FILTER (WHERE domain <> 'DOC') > 0", CITED, CLAIMS, VALID)
+@query("ev3_assemble", "SELECT finding, count(*) FILTER (WHERE domain <> 'DOC')::BIGINT AS n_records, array_to_string(list_sort(list_distinct(list(concat_ws(':', domain, usubjid, seq)))), ',') AS refs FROM valid WHERE dropped IS NULL GROUP BY 1 HAVING count(*) FILTER (WHERE domain <> 'DOC') > 0", CITED, CLAIMS, VALID)
 def ev3(s):
-    return E.assemble(valid(s)).select("finding", "n_records", F.length("refs").alias("refs_length"))
+    return E.assemble(valid(s)).select("finding", "n_records", F.array_join(F.sort_array(F.split("refs", ",")), ",").alias("refs"))
 
 
 @query("ev4_confidence", "SELECT row_no, greatest(0.05, least(0.95, round_even(CASE WHEN row_no % 11 = 0 THEN 0.2 WHEN row_no % 7 = 0 THEN 0.3 WHEN row_no % 5 = 0 THEN 0.85 ELSE 0.9 END - CASE WHEN row_no % 2 = 0 THEN 0.1 ELSE 0 END - CASE WHEN row_no % 3 = 0 THEN 0.1 ELSE 0 END - CASE WHEN row_no % 13 = 0 THEN 0.15 ELSE 0 END, 3)))::DOUBLE AS confidence FROM dm")

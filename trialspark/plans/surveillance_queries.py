@@ -15,7 +15,7 @@ from ..operators import review as P
 from ..operators import rules as R
 from ..sources import study as source
 from . import protocol
-from .queries import ALL_FINDINGS, CUT, LABS, NOTES, PERSONS, PROHIBITED, RULES, SAE, STD, VISITS, context, day, labs, notes, token, visit
+from .queries import ALL_FINDINGS, CHANGED, CUT, LABS, NOTES, PERSONS, PROHIBITED, RULES, SAE, STD, VISITS, context, day, labs, notes, token, visit
 from .registry import keep, query
 
 SEEN = "seen AS (SELECT s.subcode || '|' || s.usubjid || '|' || s.seq AS fingerprint, s.usubjid, s.seq, a.cut_available + r.range AS cut FROM sae s JOIN ae a ON a.usubjid = s.usubjid AND a.seq = s.seq JOIN range(0, 4) r ON a.cut_available + r.range <= 10)"
@@ -60,20 +60,19 @@ def s5(s):
     return S.document_changes(notes(s).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), "text"), old)
 
 
-@query("s6_amendment", "SELECT * FROM (VALUES ('VISIT_WINDOW_DEVIATION'), ('PROHIBITED_MEDICATION')) t(code)")
-def s6(s):
-    from dataclasses import replace
+TOUCHED = "touched(field, code) AS (VALUES " + ", ".join(f"('{f}', '{c}')" for f, codes in S.DEPENDS.items() for c in codes) + ")"
 
-    from .protocol import diff
 
-    return S.affected_rules(diff(s["lb"].sparkSession, replace(RULES, visit_window_days=7, prohibited=("Sulfonylurea",)), RULES))
+@query("s6_amendment", "SELECT DISTINCT version, code FROM changed JOIN touched USING (field)", CHANGED, TOUCHED)
+def s6(s):
+    """The rules that each protocol version touches against the default rules."""
+    return S.affected_by(protocol.changes(s["protocols"], RULES), s["protocols"])
 
 
-@query("s6_amendment_default", "SELECT * FROM (VALUES ('ELIGIBILITY_VIOLATION'), ('PROHIBITED_MEDICATION'), ('VISIT_WINDOW_DEVIATION')) t(code)")
+@query("s6_amendment_default", "SELECT DISTINCT version, code FROM changed JOIN touched USING (field) WHERE field IN ('visit_window_days', 'hys_days') UNION ALL SELECT version, unnest(['ELIGIBILITY_VIOLATION', 'PROHIBITED_MEDICATION', 'VISIT_WINDOW_DEVIATION']) FROM protocols WHERE visit_window_days = 3 AND hys_days = 14", CHANGED, TOUCHED)
 def s6_default(s):
-    from .protocol import diff
-
-    return S.affected_rules(diff(s["lb"].sparkSession, RULES, RULES))
+    """With two parameters alone, versions that change neither have the default set."""
+    return S.affected_by(protocol.changes(s["protocols"].select("version", "visit_window_days", "hys_days"), RULES), s["protocols"])
 
 
 @query("s7_human_state", "SELECT fingerprint, min(cut) AS raised, CASE WHEN min(seq) % 3 = 0 AND 6 >= min(cut) + 1 THEN CASE WHEN min(seq) % 2 = 0 THEN 'APPROVED' ELSE 'UNRESOLVED' END WHEN 6 - min(cut) >= 4 THEN 'STANDING_LIMITS' ELSE 'PENDING' END AS state FROM seen GROUP BY 1 HAVING min(cut) <= 6", SAE, SEEN)
@@ -89,9 +88,10 @@ def s8(s):
     return S.human_state(every, every.select("fingerprint", F.lit("APPROVED").alias("decision")), CUT, delay=None).drop("raised")
 
 
-@query("s9_budget_tier", "SELECT n, CASE WHEN n < 72000 THEN 'FULL' WHEN n < 96000 THEN 'REDUCED' ELSE 'ESSENTIAL' END AS tier FROM (SELECT range * 12000 AS n FROM range(0, 12))")
+@query("s9_budget_tier", "SELECT cut, ms, spent, CASE WHEN 10 * spent < 6 * total THEN 'FULL' WHEN 10 * spent < 8 * total THEN 'REDUCED' ELSE 'ESSENTIAL' END AS tier FROM (SELECT cut, ms, coalesce(sum(ms) OVER (ORDER BY cut ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent, (SELECT count(*) FROM lb) AS total FROM (SELECT cut_available AS cut, count(*) AS ms FROM lb GROUP BY 1))")
 def s9(s):
-    return s["lb"].sparkSession.createDataFrame([(n * 12000, S.budget_tier(n * 12000)) for n in range(12)], "n bigint, tier string")
+    """Each cut's tier, a millisecond a result, when the budget is enough for all of them."""
+    return S.budget(s["lb"].groupBy(F.col("cut_available").alias("cut")).agg(F.count("*").alias("ms")), float(s["lb"].count()))
 
 
 # ---- review cycle
@@ -197,14 +197,15 @@ def p5_clarified(s):
     return P.human_gate(found, told, {}, answers=P.clarify(questions(s), s["lb"], s["cm"])).select("fingerprint", "status", "action")
 
 
-@query("p8_memory_rerun", "SELECT 'CARRIED' AS route, count(*)::BIGINT AS n FROM prints", *ALL_FINDINGS, PRINTS)
+@query("p8_memory_rerun", "SELECT fingerprint, CASE WHEN code IN ('HYS_LAW_CANDIDATE', 'SERIOUS_AE') AND site < 'S08' THEN CASE WHEN code = 'HYS_LAW_CANDIDATE' THEN 'MONITOR' ELSE 'ESCALATE' END WHEN site < 'S08' THEN CASE WHEN code IN ('VISIT_WINDOW_DEVIATION', 'MISSING_DOSE', 'AE_BEFORE_FIRST_DOSE') THEN 'DATA_QUERY' ELSE 'DEVIATION' END ELSE 'CARRIED' END AS route FROM prints", *ALL_FINDINGS, PRINTS)
 def p8(s):
-    """The same cut again: everything is known."""
+    """The same cut again after sites from S08 on were reviewed, and all Hy's-law findings rejected: what is known is carried, what was rejected is watched."""
     _, found = detected(s)
     none = found.sparkSession.createDataFrame([], "fingerprint string, cut int")
     baseline = s["mh"].where("false")
-    memory = P.remember(none, P.medical_review(found, none, baseline), CUT)
-    return P.medical_review(found, memory, baseline).groupBy("route").agg(F.count("*").alias("n"))
+    memory = P.remember(none, P.medical_review(found.where("site >= 'S08'"), none, baseline), CUT)
+    rejected = found.where("code = 'HYS_LAW_CANDIDATE'").select("fingerprint")
+    return P.medical_review(found, memory, baseline, rejected).select("fingerprint", "route")
 
 
 FIRST_SUBJECT = "(SELECT min(usubjid) FROM subjects)"
