@@ -24,3 +24,15 @@ def test_any_cuts_are_repaired_to_the_librarys_ids():
         assert "".join(pieces) == text
         got = [i for p in pieces for i in encoder.ranks.encode_ordinary(p)]
         assert got == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_runs_of_white_space_are_repaired_within_whole_texts():
+    """Edges at any space: where white space runs, pieces disagree and grow; the ids are the library's all the same."""
+    encoder, lib, rng = chunked_bpe.ChunkEncoder(kept_bytes=200_000), library("byte_bpe_50k.json"), random.Random(8)
+    units = ["word", "It's", "\n", "\t", " ", "  ", "\xa0", "12", "é", "...", "x" * 30, "日本", "😀"]
+    for _ in range(60):
+        text = "".join(rng.choice(units) + rng.choice(["", " ", " ", "  "]) for _ in range(rng.randint(50, 900)))
+        n, ids, decoded = encoder.encode(text)
+        want = lib.encode(text, add_special_tokens=False).ids
+        assert ids == ",".join(map(str, want)) and n == len(want) and decoded == text
+    assert encoder.repaired > 0

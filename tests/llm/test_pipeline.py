@@ -54,3 +54,29 @@ def test_run_is_registered(spark):
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_on_repeated_rows_empty_tables_and_clashing_columns(spark):
+    """Repeated doc_ids (same and other texts), null columns, columns that the stages' own work is named like, and no rows at all."""
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    more = spark.createDataFrame([(0, None, None, None, None), (0, None, None, None, None), (None, "The the of and. Odd line\n" * 3, "en", "s", 1), (7, "another text of one id", "en", "s", 1)], base.schema)
+    docs = base.unionByName(base.limit(20)).unionByName(more)
+    for name in ("n_lines", "n_dropped", "lang_pred", "score", "component_id", "n_shingles", "spans", "base", "n_email", "ids", "piece", "start", "_cut", "_rank", "_text", "length", "key", "node", "held_out"):
+        docs = docs.withColumn(name, docs["doc_id"].cast("string"))
+    n = docs.count()
+    rows = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        rows[name] = out.collect()
+        if name != "packing":
+            assert out.columns == list(corpus_pipeline.COLUMNS)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    assert len(rows["line_dedup"]) == len(rows["personal_data"]) == n and sorted(map(key, rows["line_dedup"])) == sorted(map(key, docs.select("doc_id").collect()))
+    assert 0 < len(rows["language_id"]) < n and all(r.text for r in rows["language_id"])
+    kept = [r.doc_id for r in rows["jaccard_join"]]
+    assert kept.count(7) == 2 and len(kept) < n and kept.count(None) == 1  # rows of one doc_id are told apart by their texts
+    check_sequences([(r.sequence_id, r.offset, r.length) for r in rows["packing"]], 4096)
+    assert sum(r.piece == 0 for r in rows["packing"]) == n

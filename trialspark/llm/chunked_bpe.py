@@ -2,10 +2,11 @@
 
 A rolling hash over bytes cuts each text where its content says so, so documents that share a passage share its
 chunks; each distinct chunk is encoded once and remembered (the memory is bounded; what falls out is encoded
-again). A cut may split what the vocabulary's pattern holds together, so each chunk is encoded only between
-positions at which this family's pattern splits (before a lone space between two other characters). Every join is
-then repaired: the words on both sides are encoded together and apart, and where the ids differ the pieces become
-one and are encoded anew, until all neighbours agree.
+again, but for what was used since the memory last turned over). A cut falls anywhere, within words too. So a chunk's
+core, from its first space to its last, is kept apart from what lies between two cores, the join, and whether a piece may
+end before a space isn't taken for granted either (runs of white space are held together): at every edge the words on
+both sides are encoded together and apart, and where the ids differ the pieces become one and are encoded anew, until
+all neighbours agree.
 """
 
 from __future__ import annotations
@@ -20,9 +21,7 @@ from pyspark.sql import DataFrame
 from .common import map_rows, read, schema_with, texts_of, tune, with_columns
 from .tokens import byte_ranks
 
-VOCABULARY, WINDOW, MASK_BITS, KEPT_BYTES, TRIED = "byte_bpe_50k.json", 24, 9, 48 << 20, 100_000
-#: A position where every text splits: a lone space before a non-space and after one.
-SAFE = re.compile(r"(?<=\S) (?=\S)")
+VOCABULARY, WINDOW, MASK_BITS, KEPT_BYTES, TRIED = "byte_bpe_50k.json", 24, 9, 96 << 20, 100_000
 #: The start of a piece that a join's trial encodes: white space and a word.
 HEAD = re.compile(r"\s*\S*")
 MIX = 0x9E3779B97F4A7C15
@@ -65,30 +64,31 @@ class ChunkEncoder:
     """Encodes whole texts; remembers the chunks' ids as (count, decimal digits, decoded text)."""
 
     def __init__(self, name: str = VOCABULARY, kept_bytes: int = KEPT_BYTES):
-        self.ranks, self.kept, self.held, self.most = byte_ranks(name), {}, 0, kept_bytes
+        self.ranks, self.kept, self.old, self.held, self.most = byte_ranks(name), {}, {}, 0, kept_bytes // 2
         self.special = re.compile("|".join(map(re.escape, self.ranks._special_tokens)) or r"(?!)")
         self.tried: dict[tuple[str, str], bool] = {}
         self.digits = [str(i) for i in range(self.ranks.n_vocab)]
         self.asked = self.encoded = self.repaired = 0
 
     def plain(self, text: str) -> tuple[int, str, str]:
-        """A stretch between safe positions, encoded once while it is remembered."""
+        """A core or a join, encoded once while it is remembered."""
         self.asked += 1
         got = self.kept.get(text)
         if got is None:
-            self.encoded += 1
-            ids = self.ranks.encode_ordinary(text)
-            digits = self.digits
-            got = (len(ids), ",".join([digits[i] for i in ids]), self.ranks.decode(ids))
+            got = self.old.get(text)
+            if got is None:
+                self.encoded += 1
+                ids = self.ranks.encode_ordinary(text)
+                digits = self.digits
+                got = (len(ids), ",".join([digits[i] for i in ids]), self.ranks.decode(ids))
             self.held += 200 + 4 * len(text) + len(got[1])
-            if self.held > self.most:
-                self.kept.clear()
-                self.held = 0
+            if self.held > self.most:  # what was used since the last turn stays for another one
+                self.old, self.kept, self.held = self.kept, {}, 0
             self.kept[text] = got
         return got
 
     def stretches(self, text: str) -> list[str]:
-        """The text as cores of chunks and repaired joins, in order; each starts and ends at a safe position."""
+        """The text as cores of chunks and joins, in order; each but the first starts at a space."""
         raw = text.encode("utf-8", "surrogatepass")
         points = cut_points(raw)
         if not points:
@@ -98,24 +98,18 @@ class ChunkEncoder:
             points = sorted({int(starts[p - 1]) for p in points})
         out, done = [], 0
         for left, right in zip(points, [*points[1:], len(text)]):
-            # the chunk [left, right): its core goes from its first safe position to its last; before it is a join
-            first = SAFE.search(text, max(left - 1, done, 0), right)
-            while first and first.start() < max(left, done + 1):
-                first = SAFE.search(text, first.start() + 1, right)
-            if first is None:  # no safe position: the repair of this join grows over the whole chunk
+            # the chunk [left, right): its core goes from its first space to its last; before it is a join
+            first = text.find(" ", max(left, done + 1), right)
+            if first < 0:  # no space: the join grows over the whole chunk
                 continue
-            last = text.rfind(" ", first.start() + 1, right - 1)
-            while last > first.start() and not SAFE.match(text, last):
-                last = text.rfind(" ", first.start() + 1, last)
+            last = text.rfind(" ", first + 1, right)
             if done == 0:  # the first chunk's core reaches back to the text's start
                 head = text.rfind(" ", 1, left)
-                while head > 0 and not SAFE.match(text, head):
-                    head = text.rfind(" ", 1, head)
                 if head > 0:
                     out.append(text[:head])
                     done = head
-            out.append(text[done : first.start()])
-            done = first.start()
+            out.append(text[done:first])
+            done = first
             if last > done:
                 out.append(text[done:last])
                 done = last
