@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import normalise as N
+
 
 def as_of(df: DataFrame, cut: int | None) -> DataFrame:
     """Rows available at the cut; without one, all. A missing cut_available is available always."""
@@ -60,6 +62,20 @@ def delta(df: DataFrame, cut: int) -> DataFrame:
     return out.where("n_new > 0")
 
 
+def delta_all(domains: dict[str, DataFrame], corrections: DataFrame, cut: int) -> DataFrame:
+    """(domain, site, n_new, is_new_site, n_corrections): what the cut brings to each domain and site; a corrected record's site is in its subject's id."""
+    out = None
+    for name, df in domains.items():
+        if "cut_available" in df.columns:
+            df = df if "site" in df.columns else df.withColumn("site", F.col("siteid"))
+            one = delta(df, cut).select(F.lit(name).alias("domain"), "site", "n_new", "is_new_site", F.lit(0).cast("bigint").alias("n_corrections"))
+            out = one if out is None else out.unionByName(one)
+    fixed = corrections.where(F.col("cut") == cut).groupBy("domain", N.site_of(F.col("usubjid")).alias("site")).agg(F.count("*").alias("n_corrections"))
+    fixed = fixed.select("domain", "site", F.lit(0).cast("bigint").alias("n_new"), F.lit(False).alias("is_new_site"), "n_corrections")
+    out = fixed if out is None else out.unionByName(fixed)
+    return out.groupBy("domain", "site").agg(F.sum("n_new").alias("n_new"), F.max("is_new_site").alias("is_new_site"), F.sum("n_corrections").alias("n_corrections"))
+
+
 def new_places(domains: dict[str, DataFrame], cut: int) -> DataFrame:
     """(domain, site) with records at the cut and none before."""
     out = None

@@ -30,6 +30,11 @@ def window_lookup(records: DataFrame, start, end) -> DataFrame:
     return records.where(F.col("date").between(start, end))
 
 
+def window_counts(records: DataFrame, start, end) -> DataFrame:
+    """(domain, usubjid, n_in, n_undated): how many of a subject's records are in the window, and how many can't be placed for want of a date."""
+    return records.groupBy("domain", "usubjid").agg(F.count_if(F.col("date").between(start, end)).alias("n_in"), F.count_if(F.col("date").isNull()).alias("n_undated"))
+
+
 def anchored(records: DataFrame, anchors: DataFrame, days: int) -> DataFrame:
     """Records within days of their subject's anchor (usubjid, anchor)."""
     return records.join(anchors, "usubjid").where(F.abs(F.datediff("date", "anchor")) <= days)

@@ -85,15 +85,7 @@ def budget(w: Surveillance, cut: int) -> DataFrame:
 
 def delta(w: Surveillance, cut: int) -> DataFrame:
     """(domain, site, n_new, is_new_site, n_corrections): what the cut brings."""
-    out = None
-    for d in NAMES:
-        df = w.study.tables.get(d.lower())
-        if df is not None and "cut_available" in df.columns:
-            df = df if "site" in df.columns else df.withColumn("site", F.col("siteid"))
-            one = C.delta(df, cut).select(F.lit(d).alias("domain"), "site", "n_new", "is_new_site", F.lit(0).cast("bigint").alias("n_corrections"))
-            out = one if out is None else out.unionByName(one)
-    fixed = w.study.corrections.where(F.col("cut") == cut).groupBy("domain").agg(F.count("*").alias("n_corrections"))
-    return out.unionByName(fixed.select("domain", F.lit(None).cast("string").alias("site"), F.lit(0).cast("bigint").alias("n_new"), F.lit(False).alias("is_new_site"), "n_corrections"))
+    return C.delta_all({d: w.study.tables[d.lower()] for d in NAMES if d.lower() in w.study.tables}, w.study.corrections, cut)
 
 
 def documents(w: Surveillance, cut: int) -> DataFrame:

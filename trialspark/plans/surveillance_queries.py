@@ -11,6 +11,7 @@ from ..operators import graph as G
 from ..operators import identity as I
 from ..operators import labs as L
 from ..operators import ledger as S
+from ..operators import lookups as K
 from ..operators import review as P
 from ..operators import rules as R
 from ..sources import study as source
@@ -436,3 +437,38 @@ def gr5_many(s):
     told = lambda section, *names: F.nullif(F.array_join(F.transform(f"sections.{section}", lambda x: F.concat(x["seq"].cast("string"), F.lit(":"), F.concat_ws("/", *[field(x, n) for n in names]))), ";"), F.lit(""))
     visits = F.nullif(F.array_join(F.sort_array(F.transform("sections.visits", lambda x: field(x, "visit"))), ";"), F.lit(""))
     return out.select("usubjid", "found", told("adverse_events", "term", "sev").alias("adverse_events"), told("conmeds", "trt").alias("conmeds"), told("labs", "orres").alias("labs"), visits.alias("visits"), told("findings", "subcode").alias("findings"))
+
+
+@query("cut7_all", f"""SELECT coalesce(a.domain, c.domain) AS domain, coalesce(a.site, c.site) AS site, coalesce(n_new, 0)::BIGINT AS n_new, coalesce(is_new_site, false) AS is_new_site, coalesce(n_corrections, 0)::BIGINT AS n_corrections
+  FROM (SELECT domain, site, count(*) FILTER (cut_available = {CUT}) AS n_new, min(cut_available) = {CUT} AS is_new_site FROM (SELECT 'LB' AS domain, site, cut_available FROM lb UNION ALL SELECT 'AE', site, cut_available FROM ae UNION ALL SELECT 'VS', site, cut_available FROM vs UNION ALL SELECT 'EG', site, cut_available FROM eg UNION ALL SELECT 'DM', siteid, cut_available FROM dm) GROUP BY 1, 2 HAVING count(*) FILTER (cut_available = {CUT}) > 0) a
+  FULL JOIN (SELECT domain, string_split(usubjid, '-')[2] AS site, count(*) AS n_corrections FROM corrections_all WHERE cut = {CUT} GROUP BY 1, 2) c ON c.domain = a.domain AND c.site = a.site""")
+def cut7_all(s):
+    """What a cut brings to every domain and site, corrections too."""
+    return C.delta_all({d: s[d.lower()] for d in ("LB", "AE", "VS", "EG", "DM", "EX", "CM")}, s["corrections_all"], CUT)
+
+
+@query("flt1_undated", f"SELECT domain, usubjid, count(*) FILTER (date BETWEEN DATE '2024-01-05' AND DATE '2024-12-31')::BIGINT AS n_in, count(*) FILTER (date IS NULL)::BIGINT AS n_undated FROM (SELECT 'AE' AS domain, usubjid, {day('stdtc')} AS date FROM ae UNION ALL SELECT 'LB', usubjid, {day('dtc')} FROM lb UNION ALL SELECT 'MH', usubjid, NULL FROM mh) GROUP BY 1, 2")
+def flt1_undated(s):
+    """Records in a window, and those that have no date to place them by."""
+    records = K.long_records({"AE": (s["ae"], "stdtc"), "LB": (s["lb"], "dtc"), "MH": (s["mh"], None)})
+    return K.window_counts(records, F.lit("2024-01-05").cast("date"), F.lit("2024-12-31").cast("date"))
+
+
+@query("flt2_any_domain", f"""SELECT a.usubjid, a.seq, a.date FROM (SELECT usubjid, seq, {day('stdtc')} AS date FROM ae) a
+  JOIN (SELECT d.usubjid, coalesce(e.d, CAST({day('d.rfstdtc')} + 56 AS DATE)) AS anchor FROM dm d LEFT JOIN (SELECT usubjid, min(d) AS d FROM visits WHERE visit = 'WEEK8' GROUP BY 1) e ON e.usubjid = d.usubjid) v ON v.usubjid = a.usubjid AND abs(date_diff('day', a.date, v.anchor)) <= 30""", VISITS)
+def flt2_any_domain(s):
+    """Adverse events around a visit: its earliest record of any domain, else its scheduled day."""
+    seen_ = G.visits_of({"LB": (s["lb"], "dtc"), "VS": (s["vs"], "dtc"), "EG": (s["eg"], "dtc"), "EX": (s["ex"], "stdtc")})
+    anchors = K.visit_anchors(seen_, s["dm"], "WEEK8", RULES.visit_schedule["WEEK8"])
+    return K.anchored(K.long_records({"AE": (s["ae"], "stdtc")}), anchors, 30).select("usubjid", "seq", "date")
+
+
+@query("fn10_learned", """SELECT name, unnest([lower('ukat/L'), lower('g/L')]) AS "from", unnest([CAST(1 + k % 90 AS DOUBLE), (k % 7) + 0.5]) AS factor, unnest([lower('U/L'), lower('mg/dL')]) AS "to" FROM (SELECT 'm' || row_no AS name, row_no AS k FROM ds WHERE row_no % 4 <> 0)
+  UNION ALL SELECT 'm' || row_no, 'mmol/l', 2.0, '%' FROM ds WHERE row_no % 4 = 0""")
+def fn10(s):
+    """What manuals' sentences say about units."""
+    n = F.col("row_no")
+    text = F.when(n % 4 != 0, F.concat(F.lit("Manual 1. Note: 1 ukat/L = "), (1 + n % 90).cast("string"), F.lit(" U/L; also 1g/L is equal to "), (n % 7).cast("string"), F.lit(",5 mg/dL.\nOf 1 sample in 3 nothing is known. 2 mg = 3 ml. 1 U/L = 1 U/L.")))
+    text = text.otherwise("Then 1 mmol/L equals 2% (about), but 1 mg/dL is not 3 mmol/L.")
+    told = s["ds"].select(F.concat(F.lit("m"), n.cast("string")).alias("name"), F.explode(L.learn(text)).alias("l"))
+    return told.select("name", "l.*")
