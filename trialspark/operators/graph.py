@@ -35,6 +35,10 @@ def nodes(ctx: dict) -> DataFrame:
     return _all([study, one(ctx["cuts"], "PROTOCOL_VERSION", "version"), one(ctx["documents"], "DOCUMENT", "name"), one(ctx["ranges"], "REFERENCE_RANGE", "testcd", "unit", "lab"), one(dm, "SITE", "siteid"), one(many, "PERSON", "person_id"), one(dm, "SUBJECT", "usubjid"), one(visits, "VISIT", "usubjid", "v"), *records])
 
 
+#: The domains whose records ctx["visits"] holds, all of them.
+VISITED = ("LB", "VS", "EG", "EX")
+
+
 def edges(ctx: dict) -> DataFrame:
     """(src, type, dst), each once; ctx["version"] is the protocol version in force, which governs the study and its subjects."""
     dm, persons = ctx["dm"], ctx["persons"]
@@ -43,8 +47,13 @@ def edges(ctx: dict) -> DataFrame:
     subject, person, protocol = node_id("SUBJECT", F.col("usubjid")), node_id("PERSON", F.col("person_id")), node_id("PROTOCOL_VERSION", F.lit(ctx["version"]))
     many = persons.join(persons.groupBy("person_id").count().where("count > 1"), "person_id")
     base = many.where("usubjid <> person_id")
-    visited = keys(ctx["visits"].select("domain", "usubjid", "seq", F.col("visit").alias("v")).where("v <> ''"), "domain", "usubjid", "seq", "v")
-    record, visit = node_id("RECORD", F.col("domain"), F.col("usubjid"), F.col("seq")), node_id("VISIT", F.col("usubjid"), F.col("v"))
+    visits = ctx["visits"].select("domain", "usubjid", "seq", F.col("visit").alias("v"))
+    record, visit = node_id("RECORD", F.col("domain"), F.col("usubjid"), F.col("seq")), lambda v: node_id("VISIT", F.col("usubjid"), v)
+    # every record once, with its visits: each domain is read once, and one grouping makes the edges of records distinct
+    plain = [df.select(F.lit(d).alias("domain"), "usubjid", F.col("seq").cast("bigint").alias("seq"), F.lit("").alias("v")) for d, df in ctx["domains"].items() if d not in VISITED]
+    held = _all([visits, *plain]).groupBy("domain", "usubjid", "seq").agg(F.collect_set(F.when(F.col("v") != "", F.col("v"))).alias("vs"))
+    two = lambda src, kind, dst: F.struct(src.alias("src"), F.lit(kind).alias("type"), dst.alias("dst"))
+    of_records = held.select(F.explode(F.concat(F.array(two(subject, "HAS_RECORD", record)), F.transform("vs", lambda v: two(record, "AT_VISIT", visit(v))))).alias("_e")).select("_e.*")
     compared = ctx["labs"].where("r_unit is not null and status = 'ok'")
     lab = F.when(F.col("r_lab").isNotNull(), F.col("r_lab")).otherwise("CENTRAL") if "r_lab" in compared.columns else F.lit("")
     compared = compared.select("usubjid", "seq", "testcd", "r_unit", lab.alias("lab")).distinct()
@@ -52,8 +61,7 @@ def edges(ctx: dict) -> DataFrame:
         edge(keys(dm, "siteid"), F.lit("STUDY:042"), "HAS_SITE", node_id("SITE", F.col("siteid"))), edge(keys(dm, "usubjid", "siteid"), subject, "ENROLLED", node_id("SITE", F.col("siteid"))),
         edge(keys(ctx["cuts"].where(F.col("version") == ctx["version"]), "version"), F.lit("STUDY:042"), "GOVERNED_BY", node_id("PROTOCOL_VERSION", F.col("version"))), edge(keys(dm, "usubjid"), subject, "UNDER_PROTOCOL", protocol), edge(many, subject, "SAME_PERSON", person),
         edge(base, subject, "POSSIBLE_DUPLICATE_OF", node_id("SUBJECT", F.col("person_id"))), edge(base, node_id("SUBJECT", F.col("person_id")), "POSSIBLE_DUPLICATE_OF", subject),
-        edge(keys(visited, "usubjid", "v"), subject, "HAS_VISIT", visit), edge(visited, record, "AT_VISIT", visit), edge(compared, node_id("RECORD", F.lit("LB"), F.col("usubjid"), F.col("seq")), "COMPARED_TO", node_id("REFERENCE_RANGE", F.col("testcd"), F.col("r_unit"), F.col("lab"))),
-        *[edge(keys(df, "usubjid", "seq"), subject, "HAS_RECORD", node_id("RECORD", F.lit(d), F.col("usubjid"), F.col("seq"))) for d, df in ctx["domains"].items()],
+        edge(keys(visits.where("v <> ''"), "usubjid", "v"), subject, "HAS_VISIT", visit(F.col("v"))), of_records, edge(compared, node_id("RECORD", F.lit("LB"), F.col("usubjid"), F.col("seq")), "COMPARED_TO", node_id("REFERENCE_RANGE", F.col("testcd"), F.col("r_unit"), F.col("lab"))),
     ]
     return _all(parts)
 
