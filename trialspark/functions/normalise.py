@@ -43,6 +43,12 @@ def to_upper(c: Column) -> Column:
     return F.when(~is_missing(c), F.upper(strip(c)))
 
 
+def normalise_row(df, columns: list[str] | None = None):
+    """df with its text columns (or these) cleaned: white space at the ends goes, and what counts as missing is null."""
+    texts = columns or [n for n, t in df.dtypes if t == "string"]
+    return df.withColumns({c: clean(F.col(c)) for c in texts})
+
+
 def to_int(c: Column) -> Column:
     """'5.0' is 5; '5.5', words, infinities and blanks are null."""
     text = strip(c)

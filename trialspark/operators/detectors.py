@@ -74,6 +74,17 @@ def low_variation(lb: DataFrame, cut: int, share: float = 0.2, vs: DataFrame | N
     return out.select("site", "testcd", "n", "cv_site", "cv_other", ((F.col("cv_other") > 0.05) & (F.col("cv_site") < share * F.col("cv_other"))).alias("is_low"))
 
 
+def site_variation(lb: DataFrame, test: str) -> DataFrame:
+    """(site, n_subjects, n, cv_site, cv_other, ratio): a test's variation at every site against all others, from sums; what a monitor asks of a site that looks too regular."""
+    held = plain(lb).where(F.col("testcd") == test).groupBy("site").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    total = held.agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("q").alias("tq"))
+    both = held.join(F.broadcast(total)).withColumn("on", F.col("tn") - F.col("n")).withColumn("os", F.col("ts") - F.col("s")).withColumn("oq", F.col("tq") - F.col("q")).where("n > 1 and on > 1 and s <> 0 and os <> 0")  # total: one row
+    cv = lambda n, s, q: F.sqrt(F.greatest((F.col(q) - F.col(s) * F.col(s) / F.col(n)) / (F.col(n) - 1), F.lit(0.0))) / F.abs(F.col(s) / F.col(n))
+    subjects = lb.groupBy("site").agg(F.count_distinct("usubjid").alias("n_subjects"))
+    out = both.join(subjects, "site").withColumn("cv_site", cv("n", "s", "q")).withColumn("cv_other", cv("on", "os", "oq"))
+    return out.select("site", "n_subjects", "n", "cv_site", "cv_other", F.when(F.col("cv_other") > 0, F.col("cv_site") / F.col("cv_other")).alias("ratio"))
+
+
 def visit_spacing(lb: DataFrame, least: int = 10, limit: float = 0.5) -> DataFrame:
     """(site, n_gaps, sd_gap, is_rigid): the spread of days between a subject's consecutive records, by site."""
     dated = lb.select("site", "usubjid", "seq", N.parse_date(F.col("dtc"))["date"].alias("d")).where("d is not null")

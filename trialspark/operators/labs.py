@@ -107,6 +107,18 @@ def with_ranges(lb: DataFrame, ranges: DataFrame, manuals: DataFrame | None = No
     return out.withColumn("status", status).withColumn("std_value", std).withColumn("multiple", std / F.col("high")).withColumn("flag", F.when(std > F.col("high"), "HIGH").when(std < F.col("low"), "LOW").when(std.isNotNull(), "NORMAL"))
 
 
+def central(labs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """labs (see with_ranges) with central_unit, central_value and central_flag: each numeric result in the central laboratory's unit, against its range, whatever range holds at the site.
+
+    Of a test's central ranges the first by row_no counts; without one, or without a conversion, the columns are null.
+    """
+    first = ranges.where(F.col("lab") == CENTRAL).groupBy("testcd").agg(F.min_by(F.struct(F.col("unit"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high")), "row_no").alias("_c"))
+    held = labs.drop("factor").join(first.withColumnRenamed("testcd", "_ct"), F.col("testcd") == F.col("_ct"), "left").drop("_ct").withColumn("central_unit", F.col("_c.unit"))
+    out = convert(held, "testcd", "unit", "central_unit", conversions(labs.sparkSession)).withColumn("central_value", F.when(F.col("kind") == "numeric", F.col("value") * F.col("factor")))
+    flag = F.when(F.col("central_value") > F.col("_c.high"), "HIGH").when(F.col("central_value") < F.col("_c.low"), "LOW").when(F.col("central_value").isNotNull(), "NORMAL")
+    return out.withColumn("central_flag", flag).drop("_c")
+
+
 def abnormal(labs: DataFrame, test: str, direction: str = "high", multiple: float | None = None, site: str | None = None) -> DataFrame:
     """A test's results beyond the range, or beyond a multiple of the upper limit (strictly)."""
     out = labs.where(F.col("testcd") == test)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import normalise as N
+
 
 def running(df: DataFrame) -> DataFrame:
     """(cut, n_new, n_total): counts a cut and so far; the window is over one row a cut."""
@@ -67,6 +69,14 @@ def document_changes(documents: DataFrame, registry: DataFrame) -> DataFrame:
     return out.withColumn("change", F.when(F.col("_old").isNull(), "NEW").when(F.col("_old") != F.col("sha256"), "MODIFIED").otherwise("UNCHANGED")).drop("_old")
 
 
+def document_instructions(documents: DataFrame, registry: DataFrame) -> DataFrame:
+    """document_changes with what the text asks of automated readers: n_instructions and their sentences, which are reported and never done."""
+    told = documents.select("name", F.explode(N.sentences(F.col("text"))).alias("sentence")).where(N.instruction_reasons(F.col("sentence")).isNotNull())
+    told = told.groupBy("name").agg(F.count("*").alias("n_instructions"), F.sort_array(F.collect_set("sentence")).alias("instructions"))
+    out = document_changes(documents, registry).join(told, "name", "left")
+    return out.withColumn("n_instructions", F.coalesce("n_instructions", F.lit(0))).withColumn("instructions", F.coalesce("instructions", F.array().cast("array<string>")))
+
+
 #: The protocol parameters that each rule reads.
 DEPENDS = {
     "visit_window_days": ("VISIT_WINDOW_DEVIATION",), "visit_schedule": ("VISIT_WINDOW_DEVIATION", "MISSING_DOSE"), "prohibited": ("PROHIBITED_MEDICATION",), "expected_dose": ("DOSING_ERROR",), "dose_unit": ("DOSING_ERROR",),

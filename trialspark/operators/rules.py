@@ -222,6 +222,11 @@ def eligibility(dm: DataFrame, labs: DataFrame, mh: DataFrame, ae: DataFrame | N
     return out
 
 
+def eligibility_confidence(subcode):
+    """A pregnancy is read from a term and so less sure than a number out of its range."""
+    return F.when(subcode == "PREGNANCY", 0.7).otherwise(0.9)
+
+
 def last_disposition(ds: DataFrame) -> DataFrame:
     return ds.groupBy("usubjid").agg(F.max_by(F.struct("decod", "term", "seq"), "row_no").alias("_l")).select("usubjid", "_l.*")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import normalise as N
 from ..operators import cuts as C
 from ..operators import decisions as DS
+from ..operators import detectors as D
 from ..operators import graph as G
 from ..operators import identity as I
 from ..operators import labs as L
@@ -16,7 +17,7 @@ from ..operators import review as P
 from ..operators import rules as R
 from ..sources import study as source
 from . import protocol
-from .queries import ALL_FINDINGS, CHANGED, CUT, LABS, NOTES, PERSONS, PROHIBITED, RULES, SAE, STD, VISITS, context, day, labs, notes, token, visit
+from .queries import ALL_FINDINGS, CHANGED, CUT, ELIGIBLE, HITS, LABS, NOTES, PERSONS, PLAIN, PROHIBITED, RULES, SAE, SENTENCES, STD, VISITS, context, day, labs, notes, token, visit
 from .registry import keep, query
 
 SEEN = "seen AS (SELECT s.subcode || '|' || s.usubjid || '|' || s.seq AS fingerprint, s.usubjid, s.seq, a.cut_available + r.range AS cut FROM sae s JOIN ae a ON a.usubjid = s.usubjid AND a.seq = s.seq JOIN range(0, 4) r ON a.cut_available + r.range <= 10)"
@@ -472,3 +473,44 @@ def fn10(s):
     text = text.otherwise("Then 1 mmol/L equals 2% (about), but 1 mg/dL is not 3 mmol/L.")
     told = s["ds"].select(F.concat(F.lit("m"), n.cast("string")).alias("name"), F.explode(L.learn(text)).alias("l"))
     return told.select("name", "l.*")
+
+
+@query("ag13_all_sites", "SELECT a.site, (SELECT count(DISTINCT usubjid) FROM lb WHERE lb.site = a.site)::BIGINT AS n_subjects, count(*)::BIGINT AS n, round(stddev_samp(a.v) / avg(a.v), 4) AS cv_site, round((SELECT stddev_samp(b.v) / avg(b.v) FROM plain b WHERE b.testcd = 'GLUC' AND b.site <> a.site), 4) AS cv_other FROM plain a WHERE testcd = 'GLUC' GROUP BY a.site HAVING count(*) > 1", PLAIN)
+def ag13_all_sites(s):
+    """Glucose at every site against all others."""
+    return D.site_variation(s["lb"], "GLUC").select("site", "n_subjects", "n", F.round("cv_site", 4).alias("cv_site"), F.round("cv_other", 4).alias("cv_other"))
+
+
+@query("s5_instructions", f"SELECT n.name, c.change, coalesce(i.n, 0)::BIGINT AS n_instructions, coalesce(i.said, '') AS instructions FROM (SELECT 'd' || doc_id AS name, doc_id FROM notes) n JOIN (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'NEW' WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN 'MODIFIED' ELSE 'UNCHANGED' END AS change FROM notes) c ON c.doc_id = n.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(sentence))), '|') AS said FROM cut WHERE concat_ws('; ', {HITS}) <> '' GROUP BY 1) i ON i.doc_id = n.doc_id", SENTENCES)
+def s5_instructions(s):
+    """Changed documents with the sentences in them that address automated readers."""
+    named = notes(s).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), "text")
+    old = s["lb"].sparkSession.table("documents").where("doc_id % 5 <> 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.sha2("text", 256).alias("sha256"))
+    return S.document_instructions(named, old).select("name", "change", "n_instructions", F.array_join("instructions", "|").alias("instructions"))
+
+
+@query("rl8_confidence", "SELECT usubjid, subcode, domain, seq, CASE subcode WHEN 'PREGNANCY' THEN 0.7 ELSE 0.9 END::DOUBLE AS confidence FROM eligible", LABS, STD, ELIGIBLE)
+def rl8_confidence(s):
+    return R.eligibility(s["dm"], labs(s), s["mh"], s["ae"], RULES).withColumn("confidence", R.eligibility_confidence(F.col("subcode")))
+
+
+@query("fn5_rows", "SELECT usubjid, seq, CASE WHEN upper(trim(orres)) IN ('', 'NA', 'N/A', 'NULL', 'NONE', '.') THEN NULL ELSE trim(orres) END AS orres, trim(visit) AS visit, CASE WHEN row_no % 3 = 0 THEN NULL ELSE unit END AS unit FROM lb")
+def fn5_rows(s):
+    """Whole rows cleaned."""
+    messy = s["lb"].select("usubjid", "seq", F.concat(F.lit(" "), "orres", F.lit("\t")).alias("orres"), F.concat("visit", F.lit("  ")).alias("visit"), F.when(F.col("row_no") % 3 == 0, " n/a ").otherwise(F.col("unit")).alias("unit"))
+    return N.normalise_row(messy)
+
+
+@query("flt6_central", "SELECT l.usubjid, l.seq, c.unit AS central_unit, round(CASE WHEN kind <> 'numeric' THEN NULL WHEN l.unit = c.unit THEN value WHEN l.unit = 'ukat/L' AND c.unit = 'U/L' THEN 60 * value END, 4) AS central_value, CASE WHEN kind <> 'numeric' OR c.unit IS NULL THEN NULL WHEN CASE WHEN l.unit = c.unit THEN value ELSE 60 * value END > c.high THEN 'HIGH' WHEN CASE WHEN l.unit = c.unit THEN value ELSE 60 * value END < c.low THEN 'LOW' ELSE 'NORMAL' END AS central_flag FROM labs l LEFT JOIN (SELECT testcd, unit, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high FROM ranges WHERE lab = 'CENTRAL') c ON c.testcd = l.testcd", LABS)
+def flt6_central(s):
+    """Every result in the central laboratory's unit and against its range."""
+    return L.central(labs(s), s["ranges"]).select("usubjid", "seq", "central_unit", F.round("central_value", 4).alias("central_value"), "central_flag")
+
+
+@query("src7_kinds", "SELECT name, CASE WHEN k % 4 = 0 THEN 'protocol' WHEN k % 4 = 1 THEN 'lab_manual' WHEN k % 4 = 2 THEN 'sap' ELSE 'other' END AS kind FROM (SELECT 'document ' || row_no AS name, row_no AS k FROM ds)")
+def src7(s):
+    """Kinds of documents whose names say nothing, by their first lines."""
+    k = F.col("row_no") % 4
+    head = F.when(k == 0, "# STUDY: Clinical Study Protocol\nText.").when(k == 1, "Central Laboratory Manual\n1 U").when(k == 2, "## Statistical Analysis Plan\nThe protocol says").otherwise("A letter\nabout the protocol and the laboratory manual")
+    named = s["ds"].select(F.concat(F.lit("document "), F.col("row_no").cast("string")).alias("name"), head.alias("text"))
+    return named.select("name", source.document_kind(F.col("name"), F.col("text")).alias("kind"))

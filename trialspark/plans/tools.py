@@ -38,7 +38,14 @@ def protocol_rule_text(ctx: dict, name: str, section: str) -> DataFrame:
     return ctx["documents"].sparkSession.createDataFrame([(key, *parts[key])] if key else [], "section string, title string, text string")
 
 
+def rule_value(ctx: dict, parameter: str) -> DataFrame:
+    """(parameter, value) of the rules in force; no row for what the protocol doesn't state or the rules don't know."""
+    value = protocol.told(getattr(ctx["rules"], parameter, None)) if hasattr(ctx.get("rules"), parameter) else None
+    return ctx["dm"].sparkSession.createDataFrame([(parameter, value)] if value else [], "parameter string, value string")
+
+
 TOOLS: dict[str, Callable] = {
+    "rule_value": rule_value,
     "count_subjects": lambda ctx, **filters: K.collapse(K.count_subjects(ctx, **filters)),
     "count_records": count_records,
     "records_for_subject": lambda ctx, usubjid, domains=(): lookup_plan(ctx, Intent(subject=usubjid, domains=list(domains))),

@@ -130,6 +130,19 @@ def decisions(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(F.explode("j.decisions").alias("key", "v")).select("key", F.get("v", F.lit(0)).alias("decision"), F.get("v", F.lit(1)).alias("reason"))
 
 
+#: How a document's own heading says what it is.
+KINDS = (("protocol", r"(?i)^\s*#*[^\n]*\bprotocol\b"), ("lab_manual", r"(?i)^\s*#*[^\n]*\b(?:laboratory|lab) manual\b"), ("sap", r"(?i)^\s*#*[^\n]*\bstatistical analysis plan\b"))
+
+
+def document_kind(name, text):
+    """A document's kind by its name, else by its first line."""
+    low = F.lower(name)
+    kind = F.when(low.contains("protocol"), "protocol").when(low.contains("manual") | low.contains("lab"), "lab_manual").when(low.contains("sap"), "sap")
+    for told, pattern in KINDS:
+        kind = kind.when(text.rlike(pattern), told)
+    return kind.otherwise("other")
+
+
 def documents(spark: SparkSession, study: str) -> DataFrame:
     """(name, kind, version, text) of the Markdown documents."""
     paths = [p for p, *_ in _listing(spark, f"{study}/documents") if p.lower().endswith(".md")]
@@ -137,8 +150,7 @@ def documents(spark: SparkSession, study: str) -> DataFrame:
         return spark.createDataFrame([], "name string, kind string, version int, text string")
     raw = spark.read.text(paths, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[Mm][Dd]$", 1).alias("name"), F.col("value").alias("text"))
     low = F.lower("name")
-    kind = F.when(low.contains("protocol"), "protocol").when(low.contains("manual") | low.contains("lab"), "lab_manual").when(low.contains("sap"), "sap").otherwise("other")
-    return raw.select("name", kind.alias("kind"), F.nullif(F.regexp_extract(low, r"v(\d+)$", 1), F.lit("")).try_cast("int").alias("version"), "text")
+    return raw.select("name", document_kind(F.col("name"), F.col("text")).alias("kind"), F.nullif(F.regexp_extract(low, r"v(\d+)$", 1), F.lit("")).try_cast("int").alias("version"), "text")
 
 
 def signature(spark: SparkSession, study: str) -> str:
