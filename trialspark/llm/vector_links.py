@@ -192,8 +192,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     Vectors link if their labels are equal and not null and their cosine is at least the threshold. Unusable
     vectors (null, zero, null or non-finite components, or another length than those compared) and null
     labels link with nothing. Equal vectors of a label are one class: they link with each other without being
-    compared, and a class is compared once. Rows with a repeated vec_id count as vectors of their own. Other
-    columns are left out; vectors may be of any length; an empty table gives no rows.
+    compared, and a class is compared once. Rows with a repeated vec_id count as vectors of their own. A cosine
+    equal to the threshold links; links have no order, so there are no other ties. Other columns, whatever their names,
+    are left out; vectors may be of any length; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     tune(spark)
