@@ -18,7 +18,8 @@ from trialspark.plans.conformance import study as tables
 from trialspark.sources import study as source
 from trialspark.streaming import cuts as stream
 
-SOME = ("fn1_dates", "fn6_lab_value", "fn9_convert", "fn18_instructions", "cut2_overlay", "cut4_version_asof", "cut7_delta", "flt2_anchor_window", "jn2_range", "jn6_person", "jn9_evidence", "jn11_alias_reply", "ag1_count_subjects", "ag6_median_shift", "ag7_cv", "ag9_site_dosing", "wn1_earliest_visit", "wn4_gap_fill", "rl1_hys", "rl4_dosing", "rl8_eligibility", "ev3_assemble", "s2_ledger", "s7_human_state", "jn12_retract")
+SOME = ("fn1_dates", "fn6_lab_value", "fn9_convert", "fn18_instructions", "cut2_overlay", "cut4_version_asof", "cut7_delta", "flt2_anchor_window", "jn2_range", "jn6_person", "jn9_evidence", "jn11_alias_reply", "ag1_count_subjects", "ag6_median_shift", "ag7_cv", "ag9_site_dosing", "wn1_earliest_visit", "wn4_gap_fill", "rl1_hys", "rl4_dosing", "rl8_eligibility", "ev3_assemble", "s2_ledger", "s7_human_state", "jn12_retract",
+        "cut2_all_fields", "cut7_all", "s7_history", "s10_history", "s10_state", "s10_deviations", "p5_clarified", "p7_clarify", "ag11_period", "q1_questions", "fn10_learned", "fn19_sections", "fn21_references", "ev1_finding_refs", "gr5_many", "flt6_central", "s5_instructions", "src7_kinds")
 
 
 @pytest.fixture(scope="module")
