@@ -96,7 +96,9 @@ MIGHT = re.compile(r"[0-9]|PRIVATE KEY|(?i:passphrase|\[at\]|\(at\)|\sat\s|token
 def candidates(text: str) -> list[tuple[str, int, int]]:
     if not MIGHT.search(text):
         return []
-    return sorted({(kind, *m.span(1)) for kind, pattern in GENERATORS for m in pattern.finditer(text)}, key=lambda x: (x[1], x[2], x[0]))
+    found = [(*m.span(1), kind) for kind, pattern in GENERATORS for m in pattern.finditer(text)]
+    found.sort()  # each generator's spans come in order: runs are merged
+    return [(kind, a, b) for i, (a, b, kind) in enumerate(found) if i == 0 or found[i - 1] != (a, b, kind)]
 
 
 def account_check(code: str) -> bool:
