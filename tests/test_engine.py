@@ -229,3 +229,13 @@ def test_medians_of_others_are_exact(spark):
     for (site, test), own in by.items():
         others = [v for (s, t), vs in by.items() if t == test and s != site for v in vs]
         assert got[site, test].med == statistics.median(own) and got[site, test].med_others == statistics.median(others)
+
+
+def test_a_query_keeps_its_tables_while_the_next_is_built(spark, sf):
+    first = registry.QUERIES["rl8_eligibility"](spark, sf)
+    held = list(registry._held[-1])
+    registry.QUERIES["rl1_hys"](spark, sf)
+    assert held and all(df.storageLevel.useMemory for df in held) and first.count() > 0
+    for _ in range(registry.STANDING):
+        registry.QUERIES["fn14_site"](spark, sf)
+    assert not any(df.storageLevel.useMemory for df in held)

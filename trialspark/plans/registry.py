@@ -12,20 +12,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-_held: list[DataFrame] = []
+#: How many queries may stand built and unread: the kept tables of an older one are released.
+STANDING = 3
+_held: list[list[DataFrame]] = [[]]
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """A table that several parts of a query read, computed once; the next query releases it."""
-    _held.append(df.persist())
+    """A table that several parts of a query read, computed once; it is released when STANDING newer queries have been built."""
+    if not _held:
+        _held.append([])
+    _held[-1].append(df.persist())
     return df
 
 
-def release() -> None:
-    while _held:
-        df = _held.pop()
-        if df.sparkSession.sparkContext._jsc is not None:  # its session may have ended
-            df.unpersist()
+def release(standing: int = 0) -> None:
+    """Release the kept tables of all queries but the last `standing` ones."""
+    while len(_held) > standing:
+        for df in _held.pop(0):
+            if df.sparkSession.sparkContext._jsc is not None:  # its session may have ended
+                df.unpersist()
 
 
 def query(name: str, sql: str | None = None, *ctes: str, cut: int | None = None):
@@ -33,7 +38,8 @@ def query(name: str, sql: str | None = None, *ctes: str, cut: int | None = None)
 
     def register(f: Callable[[dict], DataFrame]) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            release()
+            release(STANDING - 1)
+            _held.append([])
             return f(study(spark, sf_dir))
 
         QUERIES[name] = run
