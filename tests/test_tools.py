@@ -37,6 +37,8 @@ def test_tools_by_name(spark):
     assert [r.name for r in tools.call(ctx, "instruction_like").collect()] == ["protocol_v1"]
     assert {(r.c_from, r.c_to, round(r.factor, 4)) for r in tools.call(ctx, "unit_facts").collect()} == {("ukat/l", "u/l", 60.0), ("u/l", "ukat/l", 0.0167)}
     assert [(r.field, r.old, r.new) for r in tools.call(ctx, "protocol_diff", old=R.Rules(), new=R.Rules(age_min=21)).collect()] == [("age_min", "18", "21")]
-    assert len(tools.TOOLS) == 12
+    assert [tuple(r) for r in tools.call(ctx | {"rules": R.Rules(visit_window_days=7)}, "rule_value", parameter="visit_window_days").collect()] == [("visit_window_days", "7")]
+    assert tools.call(ctx | {"rules": R.Rules(age_min=None)}, "rule_value", parameter="age_min").count() == tools.call(ctx, "rule_value", parameter="none").count() == 0
+    assert len(tools.TOOLS) == 13
     with pytest.raises(KeyError):
         tools.call(ctx, "drop_tables")
