@@ -117,6 +117,11 @@ def parse_date(c: Column) -> Column:
     return let(let(F.split(F.regexp_replace(strip(c), SHAPES[0], SHAPES[1]), "\x1f"), told), whole)
 
 
+def date_of(c: Column) -> Column:
+    """parse_date(c)'s date; a plain ISO date, which most are, is read without looking for other formats."""
+    return F.when(c.rlike(r"^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}$"), c.try_cast("date")).otherwise(parse_date(c)["date"])
+
+
 def days_between(a: Column, b: Column) -> Column:
     return F.datediff(b, a)
 
@@ -183,7 +188,8 @@ def visit_code(c: Column) -> Column:
             code = code.when(may & label.rlike(rf"(?:^|[^a-z0-9])(?:{within})" + "".join(rf"|^\s*{x}\s*$" for x in whole)), name)
         return code.otherwise(F.coalesce(let(F.split(F.regexp_replace(label, counted, "\x1e$1\x1f$2\x1f$3"), "\x1f"), number), class_token(c)))
 
-    return let(F.translate(F.lower(c), "−–", "--"), of)
+    whole = c.rlike("^(?:SCREENING|BASELINE|EOS|(?:WEEK|DAY)(?:0|[1-9][0-9]{0,8}))$")  # a code already
+    return F.when(whole, c).otherwise(let(F.translate(F.lower(c), "−–", "--"), of))
 
 
 def match_prohibited(cls: Column, treatment: Column, entries: list[str]) -> Column:

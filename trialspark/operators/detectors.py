@@ -87,7 +87,7 @@ def site_variation(lb: DataFrame, test: str) -> DataFrame:
 
 def visit_spacing(lb: DataFrame, least: int = 10, limit: float = 0.5) -> DataFrame:
     """(site, n_gaps, sd_gap, is_rigid): the spread of days between a subject's consecutive records, by site."""
-    dated = lb.select("site", "usubjid", "seq", N.parse_date(F.col("dtc"))["date"].alias("d")).where("d is not null")
+    dated = lb.select("site", "usubjid", "seq", N.date_of(F.col("dtc")).alias("d")).where("d is not null")
     gap = F.datediff("d", F.lag("d").over(W.partitionBy("usubjid").orderBy("d", "seq")))
     return dated.withColumn("gap", gap).where("gap is not null").groupBy("site").agg(F.count("*").alias("n_gaps"), F.stddev_samp("gap").alias("sd_gap")).where(F.col("n_gaps") >= least).withColumn("is_rigid", F.col("sd_gap") < limit)
 

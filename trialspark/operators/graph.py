@@ -21,7 +21,7 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 def visits_of(domains: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """(domain, usubjid, visit, date, seq): the records of every domain with visits, by code and date; domains map to a table and its date column."""
     raw = _all([df.select(F.lit(d).alias("domain"), "usubjid", "visit", F.col(dated).alias("dtc"), F.col("seq").cast("bigint").alias("seq")) for d, (df, dated) in domains.items()])
-    return raw.select("domain", "usubjid", N.visit_code(F.col("visit")).alias("visit"), N.parse_date(F.col("dtc"))["date"].alias("date"), "seq")
+    return raw.select("domain", "usubjid", N.visit_code(F.col("visit")).alias("visit"), N.date_of(F.col("dtc")).alias("date"), "seq")
 
 
 def nodes(ctx: dict) -> DataFrame:

@@ -91,7 +91,7 @@ def with_ranges(lb: DataFrame, ranges: DataFrame, manuals: DataFrame | None = No
         general = table.c_test.isNull() & (table.c_from == manuals.c_from) & (table.c_to == manuals.c_to)
         table = table.join(manuals, general, "left_anti").unionByName(manuals.withColumn("c_test", F.lit(None).cast("string")))
     parsed = N.lab_value(F.col("orres"))
-    lb = lb.withColumn("_v", parsed).withColumn("_d", N.parse_date(F.col("dtc"))["date"])
+    lb = lb.withColumn("_v", parsed).withColumn("_d", N.date_of(F.col("dtc")))
     lb = lb.select(*[c for c in lb.columns if c not in ("_v", "_d")], F.col("_v.kind").alias("kind"), F.col("_v.value").alias("value"), F.col("_d").alias("date"))
     own = ranges.where(F.col("lab") != CENTRAL).select(F.col("testcd").alias("_t"), F.col("lab").alias("_l")).distinct()
     labs = lb.join(own, (lb.testcd == own._t) & (lb.site == own._l), "left").withColumn("_lab", F.coalesce("_l", F.lit(CENTRAL))).drop("_t", "_l")

@@ -14,7 +14,7 @@ def long_records(domains: dict[str, tuple[DataFrame, str | None]]) -> DataFrame:
     """One row a record: (domain, usubjid, seq, date, fields); domains map to a table and its date column."""
     out = None
     for name, (df, dated) in domains.items():
-        date = N.parse_date(F.col(dated))["date"] if dated else F.lit(None).cast("date")
+        date = N.date_of(F.col(dated)) if dated else F.lit(None).cast("date")
         own = [c for c in df.columns if c not in ("usubjid", "seq")]
         row = df.select(F.lit(name).alias("domain"), "usubjid", F.col("seq").cast("bigint").alias("seq"), date.alias("date"), F.create_map(*[x for c in own for x in (F.lit(c), F.col(c).cast("string"))]).alias("fields"))
         out = row if out is None else out.unionByName(row)
@@ -42,14 +42,14 @@ def anchored(records: DataFrame, anchors: DataFrame, days: int) -> DataFrame:
 
 def visit_anchor(lb: DataFrame, dm: DataFrame, visit: str, scheduled: int) -> DataFrame:
     """A subject's earliest dated record at the visit, else its reference start plus the scheduled day."""
-    at = lb.where(N.visit_code(F.col("visit")) == visit).select("usubjid", N.parse_date(F.col("dtc"))["date"].alias("_d")).groupBy("usubjid").agg(F.min("_d").alias("_d"))
-    return dm.join(at, "usubjid", "left").select("usubjid", F.coalesce("_d", F.date_add(N.parse_date(F.col("rfstdtc"))["date"], scheduled)).alias("anchor"))
+    at = lb.where(N.visit_code(F.col("visit")) == visit).select("usubjid", N.date_of(F.col("dtc")).alias("_d")).groupBy("usubjid").agg(F.min("_d").alias("_d"))
+    return dm.join(at, "usubjid", "left").select("usubjid", F.coalesce("_d", F.date_add(N.date_of(F.col("rfstdtc")), scheduled)).alias("anchor"))
 
 
 def visit_anchors(visits: DataFrame, dm: DataFrame, visit: str, scheduled: int | None) -> DataFrame:
     """A subject's earliest dated record of any domain at the visit, else its reference start plus the scheduled day, if there is one."""
     at = visits.where(F.col("visit") == visit).groupBy("usubjid").agg(F.min("date").alias("_d"))
-    planned = F.lit(None).cast("date") if scheduled is None else F.date_add(N.parse_date(F.col("rfstdtc"))["date"], scheduled)
+    planned = F.lit(None).cast("date") if scheduled is None else F.date_add(N.date_of(F.col("rfstdtc")), scheduled)
     return dm.join(at, "usubjid", "left").select("usubjid", F.coalesce("_d", planned).alias("anchor"))
 
 

@@ -61,8 +61,8 @@ TRANSAMINASES = ("ALT", "AST")
 
 def first_dose(dm: DataFrame, ex: DataFrame) -> DataFrame:
     """(usubjid, first_dose): the reference start date, else the earliest exposure."""
-    earliest = ex.groupBy("usubjid").agg(F.min(N.parse_date(F.col("stdtc"))["date"]).alias("_ex"))
-    return dm.join(earliest, "usubjid", "left").select("usubjid", F.coalesce(N.parse_date(F.col("rfstdtc"))["date"], F.col("_ex")).alias("first_dose"))
+    earliest = ex.groupBy("usubjid").agg(F.min(N.date_of(F.col("stdtc"))).alias("_ex"))
+    return dm.join(earliest, "usubjid", "left").select("usubjid", F.coalesce(N.date_of(F.col("rfstdtc")), F.col("_ex")).alias("first_dose"))
 
 
 def hys_pairs(labs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -108,7 +108,7 @@ def serious_ae(ae: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def ae_before_first_dose(ae: DataFrame, doses: DataFrame) -> DataFrame:
-    start = N.parse_date(F.col("stdtc"))["date"]
+    start = N.date_of(F.col("stdtc"))
     return ae.withColumn("_start", start).join(doses, "usubjid").where("_start < first_dose").select("usubjid", "seq", F.datediff("first_dose", "_start").alias("days_before"))
 
 

@@ -123,7 +123,7 @@ def fn1(s):
 
 @query("fn2_days_between", f"SELECT a.usubjid, a.seq, CAST(date_diff('day', {day('d.rfstdtc')}, {day('a.stdtc')}) AS INT) AS gap FROM ae a JOIN dm d ON d.usubjid = a.usubjid")
 def fn2(s):
-    return s["ae"].join(s["dm"].select("usubjid", "rfstdtc"), "usubjid").select("usubjid", "seq", N.days_between(N.parse_date(F.col("rfstdtc"))["date"], N.parse_date(F.col("stdtc"))["date"]).alias("gap"))
+    return s["ae"].join(s["dm"].select("usubjid", "rfstdtc"), "usubjid").select("usubjid", "seq", N.days_between(N.date_of(F.col("rfstdtc")), N.date_of(F.col("stdtc"))).alias("gap"))
 
 
 @query("fn3_missing", "SELECT usubjid, orres IN ('', 'NA', 'N/A', 'NULL', 'NONE', '.') AS orres_missing, CAST(count(*) AS BIGINT) AS n FROM lb GROUP BY 1, 2")
@@ -267,7 +267,7 @@ def flt1(s):
 @query("flt2_anchor_window", f"""SELECT l.usubjid, l.seq, {day('l.dtc')} AS date, a.anchor FROM lb l JOIN (SELECT d.usubjid, coalesce(v.m, {day('d.rfstdtc')} + 14) AS anchor FROM dm d LEFT JOIN (SELECT usubjid, min({day('dtc')}) AS m FROM lb WHERE {visit('visit')} = 'WEEK2' GROUP BY 1) v ON v.usubjid = d.usubjid) a ON a.usubjid = l.usubjid
   WHERE abs(date_diff('day', a.anchor, {day('l.dtc')})) <= 3""")
 def flt2(s):
-    records = s["lb"].select("usubjid", "seq", N.parse_date(F.col("dtc"))["date"].alias("date"))
+    records = s["lb"].select("usubjid", "seq", N.date_of(F.col("dtc")).alias("date"))
     return K.anchored(records, K.visit_anchor(s["lb"], s["dm"], "WEEK2", 14), 3)
 
 
@@ -278,7 +278,7 @@ def flt3(s):
 
 @query("flt4_window", f"SELECT usubjid, seq FROM lb WHERE {day('dtc')} BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'")
 def flt4(s):
-    records = s["lb"].select("usubjid", "seq", N.parse_date(F.col("dtc"))["date"].alias("date"))
+    records = s["lb"].select("usubjid", "seq", N.date_of(F.col("dtc")).alias("date"))
     return K.window_lookup(records, F.lit("2024-01-10").cast("date"), F.lit("2024-01-12").cast("date")).select("usubjid", "seq")
 
 
