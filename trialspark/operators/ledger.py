@@ -97,10 +97,12 @@ def affected_rules(changed: DataFrame) -> DataFrame:
 
 def affected_by(changed: DataFrame, versions: DataFrame) -> DataFrame:
     """(version, code): affected_rules of many versions at once, from (version, field); a version without a known change has the default set."""
-    known = F.create_map(*[x for f, codes in DEPENDS.items() for x in (F.lit(f), F.array(*map(F.lit, codes)))])
-    hit = changed.select("version", F.explode(F.try_element_at(known, F.col("field"))).alias("code")).distinct()
-    rest = versions.select("version").distinct().join(hit, "version", "left_anti")
-    return hit.unionByName(rest.select("version", F.explode(F.array(*map(F.lit, DEFAULT_AFFECTED))).alias("code")))
+    codes = sorted({c for told in DEPENDS.values() for c in told})
+    bits = F.create_map(*[x for f, told in DEPENDS.items() for x in (F.lit(f), F.lit(sum(1 << codes.index(c) for c in told)).cast("bigint"))])
+    hit = changed.select("version", F.coalesce(F.try_element_at(bits, F.col("field")), F.lit(0).cast("bigint")).alias("_m"))
+    every = hit.unionByName(versions.select("version", F.lit(0).cast("bigint").alias("_m"))).groupBy("version").agg(F.bit_or("_m").alias("_m"))  # a number a version, however many of its fields changed
+    told = F.array_compact(F.array(*[F.when(F.col("_m").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, c) for i, c in enumerate(codes)]))
+    return every.select("version", F.explode(F.when(F.col("_m") == 0, F.array(*map(F.lit, DEFAULT_AFFECTED))).otherwise(told)).alias("code"))
 
 
 def human_state(escalations: DataFrame, answers: DataFrame, cut: int, delay: int | None = 1, limit: int = 4) -> DataFrame:
