@@ -9,10 +9,10 @@ from __future__ import annotations
 import re
 from dataclasses import fields
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import normalise as N
 from ..operators.rules import Rules
 
 HEADING = re.compile(r"^#{1,6}\s+(?:(\d+(?:\.\d+)*)[.)]?\s+)?(.+?)\s*$")
@@ -121,28 +121,55 @@ def parse_protocol(text: str) -> Rules:
     )
 
 
-def section_table(documents: DataFrame) -> DataFrame:
-    """(name, section, title, n_lines, text) of all documents (name, text) at once, as sections() has them of one.
+def section_array(text: Column) -> Column:
+    """ARRAY of (section, title, n_lines, text): a text's sections, as sections() has them; of its own lines only, so nothing moves.
 
-    Lines are exploded with the running number of headings before them; numbered headings are their own keys, others
-    slugs, and a key that comes again gets -2, -3. A document without headings has its paragraphs as sections p1, p2.
-    Lines before the first heading belong to no section.
+    Lines that begin a section are found by number, and a section is the lines up to the next one; numbered headings are
+    their own keys, others slugs, and a key that comes again gets -2, -3. A document without headings has its paragraphs
+    as sections p1, p2. Lines before the first heading belong to no section.
     """
-    lines = documents.select("name", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("at", "line"))
-    head = r"^#{1,6}\s+(?:(\d+(?:\.\d+)*)[.)]?\s+)?(.+?)\s*$"
-    lines = lines.withColumn("_h", F.col("line").rlike(head))
-    per = W.partitionBy("name")
-    lines = lines.withColumn("_any", F.max("_h").over(per)).withColumn("_blank", F.trim("line") == "")
-    order = per.orderBy("at")
-    begins = F.when(F.col("_any"), F.col("_h")).otherwise(~F.col("_blank") & F.coalesce(F.lag("_blank").over(order), F.lit(True)))
-    lines = lines.withColumn("_n", F.sum(begins.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))).where("_n > 0")
-    held = F.sort_array(F.collect_list(F.when(~F.col("_h"), F.struct("at", "line"))))
-    parts = lines.groupBy("name", "_n", "_any").agg(F.max(F.when(F.col("_h"), F.col("line"))).alias("_head"), held.alias("_l"), F.count_if(~F.col("_h") & ~F.col("_blank")).alias("n_lines"))
-    number, title = F.regexp_extract("_head", head, 1), F.regexp_extract("_head", head, 2)
-    key = F.when(~F.col("_any"), F.concat(F.lit("p"), F.col("_n").cast("string"))).when(number != "", number).otherwise(F.btrim(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), F.lit("-")))
-    parts = parts.select("name", "_n", key.alias("_key"), F.when(F.col("_any"), title).otherwise("").alias("title"), "n_lines", F.btrim(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), F.lit(" \t\n")).alias("text"))
-    again = F.row_number().over(W.partitionBy("name", "_key").orderBy("_n"))
-    return parts.withColumn("_again", again).select("name", F.when(F.col("_again") > 1, F.concat("_key", F.lit("-"), F.col("_again").cast("string"))).otherwise(F.col("_key")).alias("section"), "title", "n_lines", "text")
+    line = lambda x, i: F.get(x["l"], i)
+    blank = lambda t: F.trim(t) == ""
+
+    def marked(lines: Column) -> Column:
+        heads = F.filter(F.transform(lines, lambda t, i: F.when(t.rlike(HEADING.pattern), i)), lambda i: i.isNotNull())
+        starts = lambda t, i: F.when(~blank(t) & F.coalesce(blank(F.get(lines, F.when(i > 0, i - 1))), F.lit(True)), i)
+        begun = lambda h: F.when(F.size(h) > 0, h).otherwise(F.filter(F.transform(lines, starts), lambda i: i.isNotNull()))
+        return N.let(heads, lambda h: F.struct(lines.alias("l"), (F.size(h) > 0).alias("any"), begun(h).alias("at")))
+
+    def cut(x: Column) -> Column:
+        def one(i: Column, k: Column) -> Column:
+            first, end = F.when(x["any"], i + 1).otherwise(i), F.coalesce(F.get(x["at"], k + 1), F.size(x["l"]))
+            head = F.when(x["any"], F.struct(F.regexp_extract(line(x, i), HEADING.pattern, 1).alias("number"), F.regexp_extract(line(x, i), HEADING.pattern, 2).alias("title")))
+            body = F.slice(x["l"], first + 1, end - first)
+
+            def section(h: Column) -> Column:
+                slug_ = F.btrim(F.regexp_replace(F.lower(h["title"]), "[^a-z0-9]+", "-"), F.lit("-"))
+                key = F.when(h.isNull(), F.concat(F.lit("p"), (k + 1).cast("string"))).when(h["number"] != "", h["number"]).otherwise(slug_)
+                return F.struct(key.alias("key"), F.coalesce(h["title"], F.lit("")).alias("title"), body.alias("body"))
+
+            return N.let(head, section)
+
+        return F.transform(x["at"], one)
+
+    def named(parts: Column) -> Column:
+        keys = lambda p: F.transform(p, lambda x: x["key"])
+
+        def of(ks: Column) -> Column:
+            repeats = F.size(F.array_distinct(ks)) < F.size(ks)
+            again = lambda k, key: F.when(repeats, F.size(F.filter(F.slice(ks, 1, k + 1), lambda y: y == key))).otherwise(1)
+            section = lambda x, k: N.let(again(k, x["key"]), lambda n: F.when(n > 1, F.concat(x["key"], F.lit("-"), n.cast("string"))).otherwise(x["key"]))
+            n_lines = lambda x: F.size(F.filter(x["body"], lambda t: ~blank(t))).cast("bigint")
+            return F.transform(parts, lambda x, k: F.struct(section(x, k).alias("section"), x["title"].alias("title"), n_lines(x).alias("n_lines"), F.btrim(F.array_join(x["body"], "\n"), F.lit(" \t\n")).alias("text")))
+
+        return N.let(keys(parts), of)
+
+    return N.let(N.let(N.let(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), marked), cut), named)
+
+
+def section_table(documents: DataFrame) -> DataFrame:
+    """(name, section, title, n_lines, text) of all documents (name, text) at once: each row's sections, without a shuffle."""
+    return documents.select("name", F.explode(section_array(F.col("text"))).alias("_s")).select("name", "_s.*")
 
 
 #: What a section says if it states the parameter of a rule: words that its sentence holds, and how the value stands in it.
@@ -156,15 +183,30 @@ STATED = (
 PROHIBITED_ITEM = r"\A- ([^\n]+)"
 
 
+def _told(section: Column, title: Column, text: Column, codes=None) -> list[Column]:
+    """What a section says of each rule's parameter (or of some rules'): (code, parameter, value, section), null values where it says nothing."""
+    struct = lambda code, name, value: F.struct(F.lit(code).alias("code"), F.lit(name).alias("parameter"), N.let(value, lambda v: F.nullif(v, F.lit(""))).alias("value"), section.alias("section"))
+    prohibited = F.when(F.lower(title).contains("prohibited"), F.regexp_extract(text, PROHIBITED_ITEM, 1))
+    stated = [(code, name, F.regexp_extract(text, pattern, 1)) for code, name, pattern in STATED]
+    return [struct(*one) for one in (*stated, ("PROHIBITED_MEDICATION", "prohibited", prohibited)) if codes is None or one[0] in codes]
+
+
 def references(parts: DataFrame) -> DataFrame:
     """(name, code, parameter, value, section): which section of a document states the parameter of a rule, and what it says; the first section by key, if more do."""
-    struct = lambda code, name, value: F.struct(F.lit(code).alias("code"), F.lit(name).alias("parameter"), F.nullif(value, F.lit("")).alias("value"))
-    prohibited = F.when(F.lower("title").contains("prohibited"), F.regexp_extract("text", PROHIBITED_ITEM, 1))
-    told = F.array(*[struct(code, name, F.regexp_extract("text", pattern, 1)) for code, name, pattern in STATED], struct("PROHIBITED_MEDICATION", "prohibited", prohibited))
-    each = parts.select("name", "section", F.explode(told).alias("_t")).select("name", "section", "_t.*").where("value is not null")
+    each = parts.select("name", F.explode(F.array(*_told(F.col("section"), F.col("title"), F.col("text")))).alias("_t")).select("name", "_t.*").where("value is not null")
     return each.groupBy("name", "code", "parameter").agg(F.min_by("value", "section").alias("value"), F.min("section").alias("section"))
 
 
+def document_references(documents: DataFrame, codes=None) -> DataFrame:
+    """references(section_table(documents)), of all rules or some, for documents each of its own name: a document's sections stay in its row, so nothing is shuffled."""
+    said = lambda s: F.filter(F.array(*_told(s["section"], s["title"], s["text"], codes)), lambda t: t["value"].isNotNull())
+    key = lambda t: F.struct(t["code"].alias("code"), t["parameter"].alias("parameter"), t["section"].alias("section"), t["value"].alias("value"))
+    every = F.array_sort(F.transform(F.flatten(F.transform(section_array(F.col("text")), said)), key))
+    same = lambda t, o: o.isNotNull() & (o["code"] == t["code"]) & (o["parameter"] == t["parameter"])
+    first = lambda a: F.filter(a, lambda t, i: ~F.coalesce(same(t, F.get(a, F.when(i > 0, i - 1))), F.lit(False)))
+    return documents.select("name", F.explode(N.let(every, first)).alias("_t")).select("name", "_t.code", "_t.parameter", "_t.value", "_t.section")
+
+
 def with_references(findings: DataFrame, refs: DataFrame, name) -> DataFrame:
     """findings with doc_ref (name#section) of the document (a Column) that governs them, null where it states nothing; the documents' sections are few rows."""
     r = refs.groupBy("name", "code").agg(F.min("section").alias("_s")).withColumnsRenamed({"name": "_name", "code": "_code"})
