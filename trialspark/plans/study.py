@@ -33,6 +33,8 @@ NAMES = {
 }
 #: The date column of each domain with visits.
 DATED = {"LB": "dtc", "VS": "dtc", "EG": "dtc", "EX": "stdtc"}
+#: The tables that several rules read.
+WRITTEN = ("dm", "lb", "ae", "ex")
 
 
 def tables_of(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -87,9 +89,23 @@ class Study:
             ctx["lb"] = C.overlay(ctx["lb"], self.corrections, "LBORRES", "orres", cut)
         return ctx
 
-    def context(self, cut: int | None, version: int | None, subjects: DataFrame | None = None, dosed: DataFrame | None = None) -> dict:
-        """view() with everything derived; `dosed` are the visits at which anyone was dosed, if the view holds some subjects only."""
-        ctx, rules = self.view(cut, subjects), self.rules(version)
+    def written_view(self, cut: int, state: str, again: bool = False) -> dict[str, DataFrame]:
+        """view(cut) with the tables that several rules read written once, there or now; `again` replaces them."""
+        spark, view = self.corrections.sparkSession, self.view(cut)
+        for name in WRITTEN:
+            path = f"{state}/view/{name}"
+            if again or not source.exists(spark, f"{path}/cut={cut}"):
+                source.save_state(view[name], path, cut)
+            view[name] = spark.read.schema(view[name].schema).parquet(f"{path}/cut={cut}")
+        return view
+
+    def context(self, cut: int | None, version: int | None, subjects: DataFrame | None = None, dosed: DataFrame | None = None, view: dict[str, DataFrame] | None = None) -> dict:
+        """view() with everything derived; `dosed` are the visits at which anyone was dosed, if the view holds some subjects only; `view`, if given, is of all subjects."""
+        rules = self.rules(version)
+        if view is None:
+            ctx = self.view(cut, subjects)
+        else:
+            ctx = dict(view) if subjects is None else {name: df.join(subjects, "usubjid", "left_semi") for name, df in view.items()}
         if dosed is not None:
             ctx["dosed"] = dosed
         for name in ("vs", "eg"):
@@ -123,10 +139,11 @@ class Study:
         """
         spark = self.corrections.sparkSession
         before = spark.read.json(f"{state}/advanced/cut={cut - 1}").first() if source.exists(spark, f"{state}/advanced/cut={cut - 1}") else None
-        dosed_now = sorted(r.visit for r in R.dosed_visits(self.view(cut)["ex"]).where("visit <> ''").collect())  # a study's visits: a few dozen
+        view = self.written_view(cut, state, again=True)
+        dosed_now = sorted(r.visit for r in R.dosed_visits(view["ex"]).where("visit <> ''").collect())  # a study's visits: a few dozen
         done = {"cut": cut, "version": version, "dosed": dosed_now, "whole": before is None, "touched_rules": [], "everyone_rules": sorted(R.RULES)}
         if before is None:
-            found = self.context(cut, version)["findings"]
+            found = self.context(cut, version, view=view)["findings"]
         else:
             source.save_state(V.touched({d: self.tables[d.lower()] for d in NAMES if d.lower() in self.tables}, self.corrections, cut), f"{state}/touched", cut)
             touched = spark.read.parquet(f"{state}/touched/cut={cut}")
@@ -135,13 +152,13 @@ class Study:
             done |= {"touched_rules": list(again.touched), "everyone_rules": list(again.everyone), "new_records": {d: n for d, (n, _) in sums.items()}, "corrections": sum(c for _, c in sums.values())}
             subjects = touched.select("usubjid").distinct()
             if "DUPLICATE_SUBJECT" in again.touched:
-                subjects = V.kin(subjects, self.view(cut - 1)["dm"], self.view(cut)["dm"])
+                subjects = V.kin(subjects, self.view(cut - 1)["dm"], view["dm"])
             source.save_state(subjects, f"{state}/subjects", cut)
             subjects = spark.read.parquet(f"{state}/subjects/cut={cut}")
             dosed = spark.createDataFrame([(v,) for v in dosed_now], "visit string")
             rules, prior = self.rules(version), spark.read.schema(R.FINDING).parquet(f"{state}/findings/cut={cut - 1}")
-            some = R.all_findings(self.context(cut, version, subjects, dosed), rules, again.touched)
-            whole = R.all_findings(self.context(cut, version), rules, again.everyone) if again.everyone else prior.limit(0)
+            some = R.all_findings(self.context(cut, version, subjects, dosed, view), rules, again.touched)
+            whole = R.all_findings(self.context(cut, version, view=view), rules, again.everyone) if again.everyone else prior.limit(0)
             found = V.merged(prior, again, subjects, some, whole)
         source.save_state(found, f"{state}/findings", cut)
         spark.createDataFrame([(json.dumps(done),)], "value string").coalesce(1).write.mode("overwrite").text(f"{state}/advanced/cut={cut}")  # last: a cut without it is done anew

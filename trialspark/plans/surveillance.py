@@ -126,8 +126,8 @@ def sites(w: Surveillance, cut: int) -> DataFrame:
 def crew(w: Surveillance, cut: int) -> DataFrame:
     """The findings with their routes; what earlier cuts routed is carried."""
     known = w.so_far("crew", cut, "fingerprint string, route string, cut int", before=True)
-    ctx = w.study.view(cut)
-    results = w.study.context(cut, w.version(cut))["labs"] if "HYS_LAW_CANDIDATE" not in w.study.rules(w.version(cut)).unavailable() else None
+    ctx = w.study.written_view(cut, f"{w.state}/engine")
+    results = w.study.context(cut, w.version(cut), view=ctx)["labs"] if "HYS_LAW_CANDIDATE" not in w.study.rules(w.version(cut)).unavailable() else None
     base = R.raised_baseline(results, w.study.rules(w.version(cut))) if results is not None else ctx["dm"].limit(0)
     return P.medical_review(w.written("advance", cut), known, base)
 
@@ -164,7 +164,7 @@ def human(w: Surveillance, cut: int) -> DataFrame:
     raised = w.so_far("crew", cut, "fingerprint string, usubjid string, route string, cut int").where("route = 'ESCALATE'").select("fingerprint", "usubjid", F.col("cut").cast("bigint").alias("cut"))
     told = raised.limit(0).select("fingerprint")
     if w.asked is not None:
-        view = w.study.view(cut)
+        view = w.study.written_view(cut, f"{w.state}/engine")
         said = P.clarify(w.asked, view["lb"], view["cm"]).where(F.size("refs") > 0)
         told = raised.join(said, "usubjid", "left_semi").select("fingerprint")
     out = S.human_history(raised, w.replies, told, cut).where(F.col("cut") == cut).drop("cut")
