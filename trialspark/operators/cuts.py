@@ -86,16 +86,29 @@ def new_places(domains: dict[str, DataFrame], cut: int) -> DataFrame:
 
 
 def overlay_all(domains: dict[str, DataFrame], corrections: DataFrame, columns: dict[str, dict[str, str]], cut: int | None) -> dict[str, DataFrame]:
-    """Each domain with all its fields corrected: columns maps a domain to its fields' column names. Fields without a correction cost nothing beyond one small job."""
-    told = {(r.domain, r.field) for r in in_force(corrections, cut).select("domain", "field").distinct().collect()}  # a row a field of the study
+    """Each domain with all its fields corrected, as overlay does for one: columns maps a domain to its fields' column names; raw values stay in raw_<column>.
+
+    A record's corrections become one row, found by the record's key as delivered: a domain is joined once, however many
+    fields it has, and no job runs to find out which fields were corrected.
+    """
     out = dict(domains)
-    for domain, field in sorted(told):
-        column = columns.get(domain, {}).get(field)
-        if column is not None and domain in out:
-            out[domain] = overlay(out[domain], corrections.where(F.col("domain") == domain), field, column, cut).drop("n_corrections")
+    for domain, df in domains.items():
+        known = {field: column for field, column in columns.get(domain, {}).items() if column in df.columns}
+        if known:
+            out[domain] = _overlaid(df, in_force(corrections, cut).where(F.col("domain") == domain), known)
     return out
 
 
+def _overlaid(df: DataFrame, corrections: DataFrame, known: dict[str, str]) -> DataFrame:
+    is_ = lambda field: F.col("field") == field
+    last = [F.max_by(F.when(is_(f), F.struct("new_value")), F.when(is_(f), F.struct("cut", "row_no"))).alias(f"_new_{c}") for f, c in known.items()]
+    fixed = corrections.where(F.col("field").isin(*known)).groupBy(F.col("usubjid").alias("_u"), F.col("seq").alias("_q")).agg(*last)
+    joined = df.join(fixed, (F.col("usubjid") == F.col("_u")) & F.col("seq").eqNullSafe(F.col("_q")), "left")
+    value = lambda c: F.when(F.col(f"_new_{c}").isNotNull(), F.col(f"_new_{c}.new_value")).otherwise(F.col(c)).alias(c)
+    changed = set(known.values())
+    return joined.select(*[value(c) if c in changed else F.col(c) for c in df.columns], *[F.col(c).alias(f"raw_{c}") for c in known.values()])
+
+
 def unknown_fields(corrections: DataFrame, columns: dict[str, dict[str, str]]) -> DataFrame:
     """Corrections to a field that its domain doesn't have: issues, applied to nothing."""
     known = [d + "." + f for d, names in columns.items() for f in names]
