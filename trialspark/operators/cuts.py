@@ -103,7 +103,8 @@ def _overlaid(df: DataFrame, corrections: DataFrame, known: dict[str, str]) -> D
     is_ = lambda field: F.col("field") == field
     last = [F.max_by(F.when(is_(f), F.struct("new_value")), F.when(is_(f), F.struct("cut", "row_no"))).alias(f"_new_{c}") for f, c in known.items()]
     fixed = corrections.where(F.col("field").isin(*known)).groupBy(F.col("usubjid").alias("_u"), F.col("seq").alias("_q")).agg(*last)
-    joined = df.join(fixed, (F.col("usubjid") == F.col("_u")) & F.col("seq").eqNullSafe(F.col("_q")), "left")
+    number = F.col("seq") if "seq" in df.columns else F.lit(None).cast("bigint")  # DM may have none
+    joined = df.join(fixed, (F.col("usubjid") == F.col("_u")) & number.eqNullSafe(F.col("_q")), "left")
     value = lambda c: F.when(F.col(f"_new_{c}").isNotNull(), F.col(f"_new_{c}.new_value")).otherwise(F.col(c)).alias(c)
     changed = set(known.values())
     return joined.select(*[value(c) if c in changed else F.col(c) for c in df.columns], *[F.col(c).alias(f"raw_{c}") for c in known.values()])
