@@ -36,7 +36,7 @@ class Surveillance:
         self.replies = replies if replies is not None else self.spark.createDataFrame([], REPLIES)
         self.asked = asked
         self.decisions = DS.DecisionStore(self.spark, f"{state}/decisions")
-        self.began = time.monotonic()
+        self.began, self._held = time.monotonic(), []
 
     # what is written
 
@@ -51,11 +51,20 @@ class Surveillance:
     def is_done(self, step: str, cut: int) -> bool:
         return source.exists(self.spark, f"{self.state}/log/cut={cut}/step={step}")
 
+    def once(self, df: DataFrame) -> DataFrame:
+        """A step's table from which decisions are taken too: computed once, and released when the step is written."""
+        self._held.append(df.persist())
+        return df
+
     def run_cut(self, cut: int, until: str | None = None) -> DataFrame:
         """Run the steps that the cut still lacks, up to `until`; the last one's table."""
         for step, make in STEPS:
             if not self.is_done(step, cut):
-                source.save_state(make(self, cut), f"{self.state}/{step}", cut)
+                try:
+                    source.save_state(make(self, cut), f"{self.state}/{step}", cut)
+                finally:
+                    while self._held:
+                        self._held.pop().unpersist()
                 self.spark.createDataFrame([(step, cut)], "step string, cut int").coalesce(1).write.mode("overwrite").parquet(f"{self.state}/log/cut={cut}/step={step}")
             if step == until:
                 break
@@ -140,7 +149,7 @@ def corrections(w: Surveillance, cut: int) -> DataFrame:
     before = w.written("advance", cut - 1)
     same = (before.domain == fixed.domain) & (before.usubjid == fixed.usubjid) & before.seq.eqNullSafe(fixed.seq)
     gone = before.join(fixed, same, "left_semi").join(w.written("advance", cut).select("fingerprint"), "fingerprint", "left_anti")
-    out = gone.select("fingerprint", "usubjid", "seq", "code")
+    out = w.once(gone.select("fingerprint", "usubjid", "seq", "code"))
     w.decisions.append(DS.events(out, "FINDING", F.col("fingerprint"), F.lit("RESOLVED"), F.lit(cut), F.lit("the record was corrected"), target=F.col("usubjid"), code=F.col("code")), cut, 9)
     return out
 
@@ -153,7 +162,7 @@ def ledger(w: Surveillance, cut: int) -> DataFrame:
     raised = w.so_far("crew", cut, "fingerprint string, route string, cut int").where("route = 'ESCALATE'").select("fingerprint").distinct().withColumn("escalated", F.lit(True))
     out = found.join(bad, ["domain", "usubjid", "seq"], "left").join(far, "site", "left").join(raised, "fingerprint", "left")
     out = out.withColumn("status", F.when(F.coalesce("_u", "_s"), "QUARANTINED").otherwise("CONFIRMED")).withColumn("escalated", F.when(F.col("code").isin(*SERIOUS), F.coalesce("escalated", F.lit(False))))
-    out = out.select("fingerprint", "code", "usubjid", "site", "domain", "seq", "status", "escalated")
+    out = w.once(out.select("fingerprint", "code", "usubjid", "site", "domain", "seq", "status", "escalated"))
     refs = F.when(F.col("seq").isNotNull(), F.array(F.concat_ws(":", "domain", F.col("seq").cast("string")))).otherwise(F.array().cast("array<string>"))
     w.decisions.append(DS.events(out, "FINDING", F.col("fingerprint"), F.col("status"), F.lit(cut), F.col("code"), refs, F.col("usubjid"), F.col("code")), cut, 10)
     return out
@@ -167,7 +176,7 @@ def human(w: Surveillance, cut: int) -> DataFrame:
         view = w.study.written_view(cut, f"{w.state}/engine")
         said = P.clarify(w.asked, view["lb"], view["cm"]).where(F.size("refs") > 0)
         told = raised.join(said, "usubjid", "left_semi").select("fingerprint")
-    out = S.human_history(raised, w.replies, told, cut).where(F.col("cut") == cut).drop("cut")
+    out = w.once(S.human_history(raised, w.replies, told, cut).where(F.col("cut") == cut).drop("cut"))
     w.decisions.append(DS.events(out, "HUMAN_GATE", F.col("fingerprint"), F.col("state"), F.lit(cut), F.lit("the monitor's state")), cut, 11)
     return out
 
@@ -178,7 +187,7 @@ def queries(w: Surveillance, cut: int) -> DataFrame:
     labs_ = w.written("labs", cut).groupBy("site", "testcd").agg(F.count("*").alias("n"))
     asked = labs_.select(F.concat_ws("|", F.lit("LAB_SHIFT"), "site", "testcd").alias("key"), F.col("site").alias("target"), F.format_string("Please confirm the unit of %s at site %s (%d results).", "testcd", "site", "n").alias("text"))
     before = w.so_far("queries", cut, "key string, cut int", before=True).select("key")
-    out = data.unionByName(asked).join(before, "key", "left_anti")
+    out = w.once(data.unionByName(asked).join(before, "key", "left_anti"))
     w.decisions.append(DS.events(out, "QUERY", F.col("key"), F.lit("OPEN"), F.lit(cut), F.col("text"), target=F.col("target")), cut, 12)
     return out
 
